@@ -1,0 +1,142 @@
+"""Queries that write and read back: sources, caches, exports, refresh and stream."""
+
+from __future__ import annotations
+
+import datetime as dt
+import uuid
+
+from pyspark.sql import functions as F
+
+from fieldcheck.constants import CLINICAL_VARS, SAFE_COLUMNS
+from fieldcheck.operators import aggregates as A, joins as E
+from fieldcheck.operators.schema import apply_schema
+from fieldcheck.plans import heaping as H
+from fieldcheck.plans.refresh import incremental_refresh
+from fieldcheck.queries.base import (
+    CORE_SQL, SALTS, core, events, events_long, query, strip_sql, table, visits,
+)
+from fieldcheck.queries.reports import (
+    BY_DAY, FRIENDLY, SAFE_SQL, heaping_sql, pivot_sql, unpivot_sql,
+)
+from fieldcheck.sources import readers as R, sinks as S
+from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
+
+
+def run_folder(spark, name: str) -> str:
+    """A new folder of its own for a run, below the shared work folder."""
+    return f"{S.work_folder(spark)}/fieldcheck-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("a1_load_parquet", "SELECT * FROM customer")
+def _(spark, sf):
+    return R.load_dataset(spark, f"{sf}/customer.parquet")
+
+
+@query("a1_load_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(spark, sf):
+    customer = table(spark, sf, "customer")
+    path = f"{run_folder(spark, 'csv')}/customer.csv"
+    S.export_csv(customer, path)
+    return R.load_dataset(spark, path, schema=customer.schema)
+
+
+@query("a3_load_rules", """WITH r AS (SELECT event_type AS v, min(value) + 10 AS lo, max(value) - 100 AS hi FROM events GROUP BY 1)
+SELECT v AS "Variable", lo AS min_ok, hi AS max_ok, count(*) FILTER (value < lo OR value > hi) AS n_out
+FROM events JOIN r ON v = event_type GROUP BY ALL""")
+def _(spark, sf):
+    df = table(spark, sf, "events")
+    made = df.groupBy(F.col("event_type").alias("Variable")).agg(
+        (F.min("value") + 10).alias("min_ok"), (F.max("value") - 100).alias("max_ok"))
+    rules = R.load_rules(spark, S.export_csv(made, f"{run_folder(spark, 'rules')}/rules.csv"))
+    out = (F.col("value") < F.col("min_ok")) | (F.col("value") > F.col("max_ok"))
+    return E.with_rules(df.withColumnRenamed("event_type", "Variable"), rules).groupBy(
+        "Variable", "min_ok", "max_ok").agg(F.count_if(out).alias("n_out"))
+
+
+@query("a4_write_cache", """SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS day FROM events""")
+def _(spark, sf):
+    """Written twice with every row repeated: one copy of each row remains."""
+    df = events(spark, sf).select("event_id", "user_id", "event_type", "value", "day")
+    path = run_folder(spark, "cache")
+    S.write_cache(df.unionByName(df), path)
+    S.write_cache(df, path)
+    return spark.read.parquet(path)
+
+
+@query("a5_export_csv", pivot_sql("ratio", "-"))
+def _(spark, sf):
+    labels = H.heaping_labels(H.heaping_daily(events_long(spark, sf)))
+    path = f"{run_folder(spark, 'export')}/{S.export_name('heaping_step6', '20240131')}"
+    return R.load_dataset(spark, S.export_csv(H.heaping_pivot(labels), path))
+
+
+_vars = {f: strip_sql(c) for f, c in FRIENDLY.items()}
+_kept = {f: e for f, e in _vars.items() if f not in ("Nafas", "Suhu")}
+
+
+@query("a6_export_steps", f"""WITH {CORE_SQL},
+long AS (SELECT * FROM ({unpivot_sql('core', ['day AS "Tanggal"'], _kept)}) WHERE "Value" IS NOT NULL AND "Tanggal" IS NOT NULL),
+{heaping_sql('long', BY_DAY)}
+SELECT 'Step1_NA_Summary' AS step, 8::BIGINT AS n UNION ALL SELECT 'Step1_Audit', 0
+UNION ALL SELECT 'Step2_df_long', count(*) FROM long UNION ALL SELECT 'Step3_int_counts', count(*) FROM ic
+UNION ALL SELECT 'Step3_int_full', count(*) FROM inf UNION ALL SELECT 'Step4_dec_counts', count(*) FROM dc
+UNION ALL SELECT 'Step5_Combined', count(*) FROM heap UNION ALL SELECT 'Step6_preferred_raw', count(*) FROM heap
+UNION ALL SELECT 'Step6_pivot_with_avg', count(DISTINCT "Variabel") + 1 FROM heap""")
+def _(spark, sf):
+    steps = H.heaping_steps(apply_schema(core(spark, sf)), CLINICAL_VARS)
+    counts = None
+    for path in S.export_steps(steps, run_folder(spark, "steps")):
+        step = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+        step = step.select(F.lit(path.rsplit("/", 1)[-1]).alias("step"), "n")
+        counts = step if counts is None else counts.unionByName(step)
+    return counts
+
+
+_stored = [c for c in SAFE_COLUMNS if c not in ("file_ts", "tanggal_ts")]
+_STORED_SQL = ", ".join(f'"{c}"' for c in _stored)
+
+
+def _refreshed(cache):
+    """Stored rows with their number of copies."""
+    return A.count_by(cache, _stored, "copies")
+
+
+@query("l23_incremental_refresh", f"""WITH {SAFE_SQL}
+SELECT {_STORED_SQL}, count(*) AS copies FROM (
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-28') GROUP BY ALL""")
+def _(spark, sf):
+    """First the days to the 20th, then to the 28th with repeated uploads, then once more."""
+    source, path = visits(spark, sf), run_folder(spark, "refresh")
+    start = dt.date(2024, 1, 1)
+    incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 20), start)
+    twice = source.unionByName(source)
+    incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 28), start)
+    return _refreshed(incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 28), start))
+
+
+@query("m2_refresh_reload_days", f"""WITH {SAFE_SQL}
+SELECT {_STORED_SQL}, count(*) AS copies FROM (
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe
+  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-25' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16')) GROUP BY ALL""")
+def _(spark, sf):
+    """Uploads of one unit arrive late: five reloaded days admit theirs, older ones stay out."""
+    source, path = visits(spark, sf), run_folder(spark, "reload")
+    start = dt.date(2024, 1, 1)
+    early = source.filter("poliruangan <> 'view'")
+    incremental_refresh(spark, early, path, SALTS, dt.date(2024, 1, 20), start)
+    return _refreshed(incremental_refresh(
+        spark, source, path, SALTS, dt.date(2024, 1, 25), start, reload_days=5))
+
+
+@query("m1_refresh_stream", f"""WITH {SAFE_SQL}
+SELECT {_STORED_SQL}, count(*) AS copies FROM (
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day IS NOT NULL) GROUP BY ALL""")
+def _(spark, sf):
+    """Uploads arrive as files, every one twice; the stream runs after each arrival."""
+    source, folder = visits(spark, sf), run_folder(spark, "stream")
+    inbox, cache = f"{folder}/inbox", f"{folder}/cache"
+    for _ in range(2):
+        source.write.mode("append").parquet(inbox)
+        stream = upload_stream(spark, inbox, source.schema, max_files=4)
+        refresh_stream(stream, cache, f"{folder}/checkpoint", SALTS).start().awaitTermination()
+    return _refreshed(spark.read.parquet(cache))
