@@ -38,11 +38,14 @@ def accent_map() -> tuple[str, str]:
 
 def fold_accents(x: Column | str) -> Column:
     """Replace accented lower-case Latin letters by plain ones."""
-    out = as_col(x)
+    x = as_col(x)
+    out = x
     for letter, plain in MULTI_LETTERS.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
     out = F.translate(out, *accent_map())
-    return F.regexp_replace(out, COMBINING_MARKS, "")
+    out = F.regexp_replace(out, COMBINING_MARKS, "")
+    # A text with as many bytes as characters is plain ASCII and needs no folding.
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(out)
 
 
 def norm_key(x: Column | str) -> Column:

@@ -28,7 +28,8 @@ def with_times(df: DataFrame, zone: str = SOURCE_ZONE) -> DataFrame:
     facility = find_facility_col(df.columns)
     if facility is None:
         raise ValueError("no facility column")
-    new = {"PKM": trimmed(quoted(facility)), "PKM_norm": norm_key(trimmed(quoted(facility)))}
+    df = df.withColumn("PKM", trimmed(quoted(facility)))
+    new = {"PKM_norm": norm_key("PKM")}
     if "tanggal_ts" not in types:
         new["tanggal_ts"] = parse_visit_time("tanggal", types["tanggal"], zone)
     if "day" in types:

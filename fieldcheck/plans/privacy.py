@@ -38,34 +38,43 @@ def _filled(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-def identifier_columns(salts: Salts, map_country_code: bool = False) -> dict[str, Column]:
-    """The derived safe columns by name, as expressions over the raw ones."""
-    nik = _filled(digits_only("nik"))
-    phone = _filled(normalize_phone("no_telp") if map_country_code else digits_only("no_telp"))
-    doctor = _filled(normalize_person("dokter_tenaga_medis"))
-    staff = _filled(normalize_person("perawat_bidan_nutrisionist_sanitarian"))
+def cleaned_identifiers(map_country_code: bool = False) -> dict[str, Column]:
+    """Digits of identifiers and one spelling per name, NULL when nothing is left."""
+    phone = normalize_phone("no_telp") if map_country_code else digits_only("no_telp")
     return {
-        "nik_len": F.length(nik), "nik_len_ok": id_length_ok(F.length(nik)),
-        "phone_len": F.length(phone), "phone_len_ok": phone_length_ok(F.length(phone)),
-        "nik_masked": mask_tail(nik, ID_TAIL), "phone_masked": mask_tail(phone, PHONE_TAIL),
-        "nik_hash": salted_hash(nik, salts.nik), "phone_hash": salted_hash(phone, salts.phone),
+        "_nik": _filled(digits_only("nik")),
+        "_phone": _filled(phone),
+        "_doctor": _filled(normalize_person("dokter_tenaga_medis")),
+        "_staff": _filled(normalize_person("perawat_bidan_nutrisionist_sanitarian")),
+    }
+
+
+def safe_identifiers(salts: Salts) -> dict[str, Column]:
+    """The safe columns by name, from the cleaned identifiers."""
+    return {
+        "nik_len": F.length("_nik"), "nik_len_ok": id_length_ok(F.length("_nik")),
+        "phone_len": F.length("_phone"), "phone_len_ok": phone_length_ok(F.length("_phone")),
+        "nik_masked": mask_tail("_nik", ID_TAIL), "phone_masked": mask_tail("_phone", PHONE_TAIL),
+        "nik_hash": salted_hash("_nik", salts.nik),
+        "phone_hash": salted_hash("_phone", salts.phone),
         "name_present": is_present("nama_pasien"),
-        "dokter_pseudo": pseudonym(salted_hash(doctor, salts.doctor), "D"),
-        "doctor_present": doctor.isNotNull(),
-        "staff_pseudo": pseudonym(salted_hash(staff, salts.staff), "S"),
-        "staff_present": staff.isNotNull(),
+        "dokter_pseudo": pseudonym(salted_hash("_doctor", salts.doctor), "D"),
+        "doctor_present": F.col("_doctor").isNotNull(),
+        "staff_pseudo": pseudonym(salted_hash("_staff", salts.staff), "S"),
+        "staff_present": F.col("_staff").isNotNull(),
     }
 
 
 def anonymize(
     df: DataFrame, salts: Salts, map_country_code: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Lengths, flags, hashes, masks and pseudonyms instead of raw identifiers; one projection.
+    """Lengths, flags, hashes, masks and pseudonyms instead of raw identifiers.
 
+    Two projections, no shuffle: identifiers are cleaned once and then used several times.
     ``keep`` names further columns without personal data to carry along.
     """
-    df = ensure_columns(df)
-    return project_safe(df.withColumns(identifier_columns(salts, map_country_code)), keep)
+    cleaned = ensure_columns(df).withColumns(cleaned_identifiers(map_country_code))
+    return project_safe(cleaned.withColumns(safe_identifiers(salts)), keep)
 
 
 FORMATS = {
