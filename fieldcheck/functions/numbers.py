@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 from fieldcheck.constants import INTEGER_TOLERANCE
@@ -65,9 +67,18 @@ def r_round(x: Column | str, digits: int) -> Column:
     )
 
 
+def bind(x: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often ``use`` names it.
+
+    For result tables: it keeps nested formulas from multiplying in the plan. In the scan of
+    raw rows generated code is faster, which lambdas are not part of.
+    """
+    return F.transform(F.array(as_col(x)), use)[0]
+
+
 def round2(x: Column | str) -> Column:
     """Two-step rounding for quantiles: 6 digits remove the last-bit noise, then 2."""
-    return r_round(r_round(x, 6), 2)
+    return bind(bind(x, lambda v: r_round(v, 6)), lambda v: r_round(v, 2))
 
 
 def is_integerish(x: Column | str, tol: float = INTEGER_TOLERANCE) -> Column:
@@ -96,7 +107,7 @@ def fmt_pct(share: Column | str) -> Column:
 
 def fmt_pct_value(pct: Column | str) -> Column:
     """``12.34`` → ``12.3%``."""
-    return F.format_string("%.1f%%", r_round(pct, 1))
+    return bind(pct, lambda v: F.format_string("%.1f%%", r_round(v, 1)))
 
 
 def fmt_share_label(pct: Column | str, num: Column | str, den: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fieldcheck.constants import PREFERRED_SHARE
 from fieldcheck.functions.numbers import fmt_pct, is_finite, order_bin, r_round
 from fieldcheck.functions.text import blank_to_null
+from fieldcheck.operators.joins import small_side
 from fieldcheck.operators.schema import quoted
 
 FIVE_NUMBERS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -67,33 +68,36 @@ def distinct_nonmissing(
     )
 
 
-def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str = "value", n: str | None = None
-) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Finite values per group with their number of rows: the input of ``quantiles``.
 
     Counted before the shuffle, so a value that fills a third of all rows travels as one
     row per task.
     """
-    rows = F.count(F.lit(1)) if n is None else F.sum(n)
     return (
         df.filter(is_finite(F.col(value)))
-        .groupBy(*keys, F.col(value).alias("value")).agg(rows.alias("n"))
+        .groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def quantiles(
     counts: DataFrame, keys: Sequence[str], probs: Sequence[float] = FIVE_NUMBERS,
     names: Sequence[str] = ("q_min", "q1", "median", "q3", "q_max"),
+    max_groups: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, linear interpolation between ranks.
 
     ``counts`` comes from ``value_counts``. No group is ever sorted as a whole: counts per
     order bin tell in which bins the wanted ranks lie, and only the values of those bins are
     ranked. The bins of a group are bounded in number, whatever the number of its rows.
+    ``max_groups`` is the known bound of groups, if there is one.
+
+    Both uses of ``counts`` have the same columns and no filter of their own (the join is
+    null-safe for that reason), so Spark shuffles it once and reads the shuffle twice.
     """
     keys = list(keys)
-    binned = counts.withColumn("_bin", order_bin("value"))
+    binned = counts.select(
+        *keys, "value", "n", F.coalesce(order_bin("value"), F.lit(0)).alias("_bin"))
     in_order = Window.partitionBy(*keys).orderBy("_bin")
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = (
@@ -119,11 +123,16 @@ def quantiles(
     hit = F.lit(False)
     for rank in wanted:
         hit = hit | holds(rank, F.col("_from"), F.col("_to"))
-    chosen = bins.filter(hit).drop("_bin_n", "_to")
+    chosen = bins.filter(hit).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_from", "_total")
+    bound = None if max_groups is None else max_groups * len(wanted)
+    same = F.col("_bin") == F.col("_k_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
 
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("value")
     ranked = (
-        binned.join(chosen, [*keys, "_bin"])
+        binned.join(small_side(chosen, bound), same)
         .withColumn("_end", F.col("_from") + F.sum("n").over(
             in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_start", F.col("_end") - F.col("n"))
@@ -158,7 +167,9 @@ def quantiles_approx(
     return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def basic_stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def basic_stats(
+    counts: DataFrame, keys: Sequence[str], max_groups: int | None = None
+) -> DataFrame:
     """Rows, mean, median, lowest, highest and range per group, from ``value_counts``."""
     keys = list(keys)
     sums = counts.groupBy(*keys).agg(
@@ -167,7 +178,8 @@ def basic_stats(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"),
         (F.max("value") - F.min("value")).alias("range"),
     )
-    return sums.join(quantiles(counts, keys, (0.5,), ("median",)), keys)
+    middle = quantiles(counts, keys, (0.5,), ("median",), max_groups)
+    return sums.join(small_side(middle, max_groups), keys)
 
 
 def null_counts(df: DataFrame, variables: Sequence[str], variable: str = "Variabel") -> DataFrame:

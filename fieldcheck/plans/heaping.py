@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldcheck.constants import HEAPING_EXCLUDED, PREFERRED_SHARE
 from fieldcheck.functions.numbers import (
-    fmt_pct, fmt_share_label, is_integerish, last_digit, last_tenth, number_of, parse_strip,
+    bind, fmt_pct, fmt_share_label, is_integerish, last_digit, last_tenth, number_of, parse_strip,
     r_round,
 )
 from fieldcheck.operators.aggregates import mean_pct, null_counts, ratio_total
@@ -83,14 +83,18 @@ def heaping_counts(long: DataFrame, keys: Sequence[str] = BY_DAY) -> tuple[DataF
     return ints, decs
 
 
-def _summary(slots: Column, prefix: str, names: tuple[str, str, str]) -> dict[str, Column]:
-    """Preferred list, percents, count and largest share over one kind of buckets."""
-    share = lambda s: s["n"] / F.col("Total_n")
-    chosen = F.filter(slots, lambda s: share(s) >= PREFERRED_SHARE)
-    if prefix == "Int":
-        label = lambda s: s["slot"].cast("string")
-    else:
-        label = lambda s: F.format_string("%.1f", (s["slot"] - _FIRST_TENTH) / 10.0)
+def _summary(prefix: str, names: tuple[str, str, str]) -> dict[str, Column]:
+    """Preferred list, percents, count and largest share over one kind of buckets.
+
+    Reads the arrays ``_<prefix>`` (the buckets) and ``_<prefix>_chosen`` (preferred ones),
+    whose elements are ``slot, n, share``.
+    """
+    slots, chosen = F.col(f"_{prefix}"), F.col(f"_{prefix}_chosen")
+
+    def label(s: Column) -> Column:
+        if prefix == "Int":
+            return s["slot"].cast("string")
+        return F.format_string("%.1f", (s["slot"] - _FIRST_TENTH) / 10.0)
 
     def listed(text) -> Column:
         joined = F.array_join(F.transform(chosen, text), ", ")
@@ -99,10 +103,10 @@ def _summary(slots: Column, prefix: str, names: tuple[str, str, str]) -> dict[st
     digits, percents, largest = names
     return {
         digits: listed(label),
-        percents: listed(lambda s: fmt_pct(share(s))),
+        percents: listed(lambda s: fmt_pct(s["share"])),
         f"{prefix}_pref_n": F.aggregate(
             chosen, F.lit(0).cast("bigint"), lambda total, s: total + s["n"]),
-        largest: F.array_max(F.transform(slots, lambda s: share(s) * 100.0)),
+        largest: F.array_max(F.transform(slots, lambda s: s["share"] * 100.0)),
     }
 
 
@@ -117,22 +121,29 @@ def heaping(long: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
         F.sum("n").alias("Total_n"),
         F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("_slots"),
     )
-    ints = F.filter("_slots", lambda s: s["slot"] < _FIRST_TENTH)
-    decs = F.filter("_slots", lambda s: s["slot"] > _FIRST_TENTH)
-    split = groups.withColumns({"_ints": ints, "_decs": decs})
-    full = split.withColumns(
-        _summary(F.col("_ints"), "Int", (
+    shared = groups.withColumn("_slots", F.transform("_slots", lambda s: F.struct(
+        s["slot"].alias("slot"), s["n"].alias("n"), (s["n"] / F.col("Total_n")).alias("share"))))
+    split = shared.withColumns({
+        "_Int": F.filter("_slots", lambda s: s["slot"] < _FIRST_TENTH),
+        "_Dec": F.filter("_slots", lambda s: s["slot"] > _FIRST_TENTH),
+    })
+    chosen = split.withColumns({
+        f"_{p}_chosen": F.filter(f"_{p}", lambda s: s["share"] >= PREFERRED_SHARE)
+        for p in ("Int", "Dec")
+    })
+    full = chosen.withColumns(
+        _summary("Int", (
             "Int_Preferred_Digits", "Int_Preferred_Digits_Prop", "Int_Max_Last_Digit_Prop"))
-        | _summary(F.col("_decs"), "Dec", (
+        | _summary("Dec", (
             "Dec_Preferred_Tenths", "Dec_Preferred_Tenths_Prop", "Dec_Max_Tenth_Prop"))
     )
     preferred = F.col("Int_pref_n") + F.col("Dec_pref_n")
+    share = bind(F.lit(100.0) * preferred / F.col("Total_n"), lambda v: r_round(v, 2))
     return full.select(
         *keys, "Total_n", preferred.alias("Total_pref_n"),
         "Int_Preferred_Digits", "Int_Preferred_Digits_Prop", "Int_Max_Last_Digit_Prop",
         "Dec_Preferred_Tenths", "Dec_Preferred_Tenths_Prop", "Dec_Max_Tenth_Prop",
-        r_round(F.lit(100.0) * preferred / F.col("Total_n"), 2).alias("Total_Preferred_Prop"),
-        F.col("Int_pref_n"),
+        share.alias("Total_Preferred_Prop"), F.col("Int_pref_n"),
     )
 
 

@@ -40,10 +40,11 @@ def _iqr_width(n: Column, q1: Column, q3: Column, low: Column, high: Column) ->
     )
 
 
-def auto_binwidth(counts: DataFrame) -> DataFrame:
+def auto_binwidth(counts: DataFrame, max_groups: int | None = None) -> DataFrame:
     """Bin width per variable: 2·IQR/n^(1/3), else a thirtieth of the range, else 1."""
     sums = counts.groupBy("Variable").agg(F.sum("n").alias("n"))
-    stats = quantiles(counts, ["Variable"]).join(sums, "Variable")
+    stats = quantiles(counts, ["Variable"], max_groups=max_groups)
+    stats = stats.join(small_side(sums, max_groups), "Variable")
     width = _iqr_width(F.col("n"), F.col("q1"), F.col("q3"), F.col("q_min"), F.col("q_max"))
     return stats.select("Variable", width.alias("binwidth"))
 
@@ -53,11 +54,13 @@ def limits(
     probs: tuple[float, float] = (0.01, 0.99), rules: DataFrame | None = None,
 ) -> DataFrame:
     """Padded display window per variable: the data's extremes, two quantiles or the rule."""
-    ends = counts.groupBy("Variable").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
+    # Every value has rows; asking for them keeps the columns of `counts` as they are in
+    # its other uses, which then all read one shuffle.
+    counted = F.when(F.col("n") > 0, F.col("value"))
+    ends = counts.groupBy("Variable").agg(F.min(counted).alias("lo"), F.max(counted).alias("hi"))
     if clamp == "quantile":
         lo, hi = sorted(min(max(p, 0.0), 1.0) for p in probs)
-        ends = quantiles(counts, ["Variable"], (lo, hi), ("lo", "hi"))
+        ends = quantiles(counts, ["Variable"], (lo, hi), ("lo", "hi"), len(variables))
     elif clamp == "rules" and rules is not None:
         ruled = F.col("min_ok").isNotNull() & F.col("max_ok").isNotNull()
         ends = with_rules(ends, rules, "Variable", variables).select(
@@ -72,12 +75,14 @@ def limits(
         "Variable", (F.col("lo") - pad).alias("lo"), (F.col("hi") + pad).alias("hi"))
 
 
-def _grid(ends: DataFrame, counts: DataFrame, binwidth: float | None) -> DataFrame:
+def _grid(
+    ends: DataFrame, counts: DataFrame, binwidth: float | None, groups: int
+) -> DataFrame:
     """Per variable: window, width, first break and number of bins."""
     if binwidth is not None and binwidth > 0:
         grid = ends.withColumn("binwidth", F.lit(float(binwidth)))
     else:
-        grid = ends.join(auto_binwidth(counts), "Variable")
+        grid = ends.join(auto_binwidth(counts, groups), "Variable")
     w = F.col("binwidth")
     first, last = F.floor(F.col("lo") / w), F.ceil(F.col("hi") / w)
     return grid.withColumns({"first": first, "bins": last - first + 1})
@@ -91,7 +96,7 @@ def _binned(
     keys = list(keys)
     ends = limits(counts, variables, clamp, probs, rules)
     # One row per variable.
-    grid = small_side(_grid(ends, counts, binwidth), len(variables))
+    grid = small_side(_grid(ends, counts, binwidth, len(variables)), len(variables))
     w, x = F.col("binwidth"), F.col("value")
     start = F.col("first") * w
     shown = counts.join(grid, "Variable").filter(x.between(F.col("lo"), F.col("hi")))
@@ -100,9 +105,10 @@ def _binned(
     filled = shown.groupBy(*keys, index.alias("bin")).agg(F.sum("n").alias("count"))
     sums = shown.groupBy(*keys).agg(
         F.sum("n").alias("N"), (F.sum(x * F.col("n")) / F.sum("n")).alias("mean"))
-    middle = quantiles(
-        shown.select(*keys, "value", "n"), keys, (0.5,), ("median",))
-    groups = sums.join(middle, keys).join(grid, "Variable")
+    # Groups are the variables, times two when windows are compared.
+    bound = len(variables) * (2 if len(keys) > 1 else 1)
+    middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)
+    groups = sums.join(small_side(middle, bound), keys).join(grid, "Variable")
     frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)))
     left = (F.col("first") + F.col("bin")) * w
     return frame.join(filled, [*keys, "bin"], "left").select(

@@ -18,7 +18,7 @@ from fieldcheck.functions.text import (
     phone_length_ok, pretty_var,
 )
 from fieldcheck.functions.times import parse_date_multi
-from fieldcheck.operators.aggregates import quantiles, value_counts
+from fieldcheck.operators.aggregates import quantiles
 from fieldcheck.operators.joins import small_side, with_rules
 from fieldcheck.operators.schema import apply_schema, clip_to_null, dtypes_of, quoted, \
     rules_by_variable
@@ -127,7 +127,8 @@ def profile(
     )
     number = F.when(of_kind("numeric", text_only=True) & ~F.col("missing"),
                     parse_first_number("key", comma_decimal=False)).otherwise(F.col("number"))
-    texts = with_rules(texts.withColumn("number", number), rules, "Variable", variables)
+    texts = texts.withColumn("number", number)
+    ruled = with_rules(texts, rules, "Variable", variables)
 
     x, key = F.col("number"), F.col("key")
     born = F.when(of_kind("date"), parse_date_multi(key))
@@ -141,7 +142,7 @@ def profile(
     if not flags_known["phone"]:
         wrong |= of_kind("phone") & ~phone_length_ok(F.length(normalize_phone(key)))
     is_key = ~F.col("missing") & (key.isNotNull() | F.col("number").isNotNull())
-    counts = texts.groupBy("Variable").agg(
+    counts = ruled.groupBy("Variable").agg(
         F.sum("n").alias("Rows"),
         F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("Missing"),
         F.count_if(is_key).alias("distinct_n"),
@@ -150,10 +151,14 @@ def profile(
     )
     result = counts
     if any(k == "numeric" for k in kinds.values()):
-        numbers = value_counts(texts.filter(of_kind("numeric")), ["Variable"], "number", n="n")
+        # bad_n never exceeds n. Naming both keeps this filter above the counting, so that
+        # counts and quantiles read one and the same shuffle.
+        is_number = of_kind("numeric") & is_finite(x) & ~F.col("missing")
+        numbers = texts.filter(is_number | (F.col("n") < F.col("bad_n"))).select(
+            "Variable", x.alias("value"), "n")
+        stats = quantiles(numbers, ["Variable"], names=_STATS, max_groups=len(variables))
         # One row per variable.
-        stats = small_side(quantiles(numbers, ["Variable"], names=_STATS), len(variables))
-        result = counts.join(stats, "Variable", "left")
+        result = counts.join(small_side(stats, len(variables)), "Variable", "left")
     else:
         result = counts.withColumns({s: F.lit(None).cast("double") for s in _STATS})
 
