@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldcheck.operators.filters import filter_day_file, filter_days
 from fieldcheck.operators.joins import semi_latest_files
 from fieldcheck.operators.ranking import latest_file_for_day, latest_file_per_day
-from fieldcheck.operators.reshape import distinct_values, union_frames
+from fieldcheck.operators.reshape import distinct_values
 
 Window = tuple[dt.date, dt.date]
 ONE_DAY = dt.timedelta(days=1)
@@ -122,11 +122,11 @@ def scope_frame(df: DataFrame, scope: Scope) -> DataFrame:
     if scope.kind == "range":
         return window_frame(df, scope.range())
     if scope.kind == "range_pair":
-        current = scope.range()
-        return union_frames(
-            window_frame(df, current).withColumn("period", F.lit("Current")),
-            window_frame(df, previous_window(*current)).withColumn("period", F.lit("Previous")),
-        )
+        # The windows adjoin and every day has its own latest file, so both are one window.
+        start, end = scope.range()
+        both = window_frame(df, (previous_window(start, end)[0], end))
+        period = F.when(F.col("day") >= F.lit(start), "Current").otherwise("Previous")
+        return both.withColumn("period", period)
     day = resolved_date(df, scope.selected)
     if day is None or scope.kind == "day":
         return day_frame(df, day)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldcheck.constants import HEAPING_EXCLUDED, PREFERRED_SHARE
 from fieldcheck.functions.numbers import (
     bind, fmt_pct, fmt_share_label, is_integerish, last_digit, last_tenth, number_of, parse_strip,
     r_round,
 )
-from fieldcheck.operators.aggregates import mean_pct, null_counts, ratio_total
+from fieldcheck.operators.aggregates import null_counts, ratio_total
 from fieldcheck.operators.filters import (
     drop_sundays, exclude_dates, focus_date, focus_variable, latest_date_only, nonzero_tenth,
     parse_failures,
@@ -20,6 +20,7 @@ from fieldcheck.operators.filters import (
 from fieldcheck.operators.joins import with_denominator
 from fieldcheck.operators.reshape import distinct_rows, to_long, to_wide, union_frames
 from fieldcheck.operators.schema import Parser, dtypes_of, quoted
+from fieldcheck.sources.sinks import stored
 
 BY_DAY = ("Tanggal", "Variabel")
 BY_VARIABLE = ("Variabel",)
@@ -63,7 +64,12 @@ def slot_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def bucket_counts(long: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
     """Digit and tenth buckets with count, total of the group, share and percent."""
-    slots = with_denominator(slot_counts(long, keys), keys)
+    return buckets_of(slot_counts(long, keys), keys)
+
+
+def buckets_of(slots: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
+    """``bucket_counts`` from slot counts."""
+    slots = with_denominator(slots, keys)
     is_digit = F.col("slot") < _FIRST_TENTH
     return slots.select(
         *keys, F.when(is_digit, "int").otherwise("dec").alias("kind"),
@@ -75,7 +81,13 @@ def bucket_counts(long: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
 
 def heaping_counts(long: DataFrame, keys: Sequence[str] = BY_DAY) -> tuple[DataFrame, DataFrame]:
     """The integer and the decimal bucket table."""
-    buckets = bucket_counts(long, keys)
+    return split_buckets(bucket_counts(long, keys), keys)
+
+
+def split_buckets(
+    buckets: DataFrame, keys: Sequence[str] = BY_DAY
+) -> tuple[DataFrame, DataFrame]:
+    """``heaping_counts`` from the buckets."""
     ints = buckets.filter("kind = 'int'").select(
         *keys, F.col("digit").alias("int_last_digit"), "n", "Total_n", "prop", "prop_pct")
     decs = nonzero_tenth(buckets.filter("kind = 'dec'")).select(
@@ -116,8 +128,13 @@ def heaping(long: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
     Values are counted per slot, then a group is the list of its (at most 21) slots; totals,
     integer and decimal summaries come from that list without joins.
     """
+    return heaping_of(slot_counts(long, keys), keys)
+
+
+def heaping_of(slots: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
+    """``heaping`` from slot counts."""
     keys = list(keys)
-    groups = slot_counts(long, keys).groupBy(*keys).agg(
+    groups = slots.groupBy(*keys).agg(
         F.sum("n").alias("Total_n"),
         F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("_slots"),
     )
@@ -157,9 +174,9 @@ def heaping_daily(long: DataFrame) -> DataFrame:
     return heaping(long, BY_DAY).drop("Int_pref_n")
 
 
-def int_summary(long: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
-    """Integer part of the heaping table: groups that hold integer values."""
-    return heaping(long, keys).filter("Int_Preferred_Digits IS NOT NULL").select(
+def int_summary(table: DataFrame, keys: Sequence[str] = BY_DAY) -> DataFrame:
+    """Integer part of a ``heaping`` table: groups that hold integer values."""
+    return table.filter("Int_Preferred_Digits IS NOT NULL").select(
         *keys, "Int_Preferred_Digits", "Int_Preferred_Digits_Prop", "Int_pref_n",
         "Int_Max_Last_Digit_Prop")
 
@@ -196,7 +213,13 @@ def heaping_pivot(
     labels: DataFrame, average: str = "ratio", fill: str | None = "-",
     days: Sequence[dt.date] | None = None,
 ) -> DataFrame:
-    """Variables by dates, and an average row: both pivoted in one go."""
+    """Variables by dates, and an average row: both pivoted in one go.
+
+    Without ``days`` the labels (days by variables) are stored first, because listing the
+    days and pivoting would otherwise each start from the visits.
+    """
+    if days is None:
+        labels = stored(labels, "labels")
     rows = union_frames(
         labels.select("Tanggal", "Variabel", "label"), average_labels(labels, average)
     )
@@ -213,15 +236,17 @@ def heaping_trend(
     kept = exclude_dates(kept, exclude)
     if without_sundays:
         kept = drop_sundays(kept)
+    # A day holds one row per variable, so averages are windows over the short table.
+    day = Window.partitionBy("Tanggal")
     if average == "mean":
-        days = mean_pct(kept)
+        value = F.avg("Total_Preferred_Prop").over(day)
+    elif average in ("ratio", "ratio_nonzero"):
+        counted = F.col("Total_pref_n") > (0 if average == "ratio_nonzero" else -1)
+        num, den = (F.sum(F.when(counted, F.col(c))).over(day) for c in ("Total_pref_n", "Total_n"))
+        value = F.lit(100.0) * num / den
     else:
-        days = ratio_total(
-            kept, num="Total_pref_n", den="Total_n", skip_zero=average == "ratio_nonzero"
-        ).select("Tanggal", (F.lit(100.0) * F.col("Total_pref_n") / F.col("Total_n"))
-                 .alias("Average_Prop"))
-    # One row per day on the right; AQE broadcasts it when it is small.
-    return kept.select("Tanggal", "Variabel", "Total_Preferred_Prop").join(days, "Tanggal", "left")
+        raise ValueError(f"unknown average {average}")
+    return kept.select("Tanggal", "Variabel", "Total_Preferred_Prop", value.alias("Average_Prop"))
 
 
 def na_scan(df: DataFrame, variables: Sequence[str], parser: Parser = parse_strip) -> DataFrame:
@@ -249,21 +274,26 @@ def heaping_steps(
     variable: str | None = None, day: dt.date | None = None, latest_only: bool = False,
     staff: str = "Perawat / Bidan / Nutrisionist / Sanitarian",
 ) -> dict[str, DataFrame]:
-    """All step tables of the heaping report by name, lazily."""
+    """All step tables of the heaping report by name.
+
+    The slot counts (at most 21 rows per day and variable) are stored once; six of the nine
+    tables are made of them and do not read the visits again.
+    """
     ids = ["Tanggal", *[c for c in (staff,) if c in df.columns]]
     long = focus_variable(heaping_long(df, variables, ids=ids[1:]), variable)
     long = focus_date(long, day)
-    ints, decs = heaping_counts(long)
-    daily = heaping_daily(long)
+    slots = stored(slot_counts(long, BY_DAY), "slots")
+    ints, decs = split_buckets(buckets_of(slots))
+    daily = heaping_of(slots)
     labels = heaping_labels(daily, latest_only)
     return {
         "Step1_NA_Summary": na_scan(df, variables),
         "Step1_Audit": parse_audit(df, variables, ids),
         "Step2_df_long": with_digits(long),
         "Step3_int_counts": ints,
-        "Step3_int_full": int_summary(long),
+        "Step3_int_full": int_summary(daily),
         "Step4_dec_counts": decs,
-        "Step5_Combined": daily,
+        "Step5_Combined": daily.drop("Int_pref_n"),
         "Step6_preferred_raw": labels,
         "Step6_pivot_with_avg": heaping_pivot(labels, average, fill),
     }

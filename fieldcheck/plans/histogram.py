@@ -102,9 +102,10 @@ def _binned(
     shown = counts.join(grid, "Variable").filter(x.between(F.col("lo"), F.col("hi")))
     index = F.floor((x - start) / w + F.lit(_FUZZ))
     index = F.least(F.greatest(index, F.lit(0)), F.col("bins") - 1)
-    filled = shown.groupBy(*keys, index.alias("bin")).agg(F.sum("n").alias("count"))
-    sums = shown.groupBy(*keys).agg(
-        F.sum("n").alias("N"), (F.sum(x * F.col("n")) / F.sum("n")).alias("mean"))
+    filled = shown.groupBy(*keys, index.alias("bin")).agg(
+        F.sum("n").alias("count"), F.sum(x * F.col("n")).alias("_sum"))
+    sums = filled.groupBy(*keys).agg(
+        F.sum("count").alias("N"), (F.sum("_sum") / F.sum("count")).alias("mean"))
     # Groups are the variables, times two when windows are compared.
     bound = len(variables) * (2 if len(keys) > 1 else 1)
     middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -22,11 +21,6 @@ from fieldcheck.sources import readers as R, sinks as S
 from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
 
 
-def run_folder(spark, name: str) -> str:
-    """A new folder of its own for a run, below the shared work folder."""
-    return f"{S.work_folder(spark)}/fieldcheck-{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("a1_load_parquet", "SELECT * FROM customer")
 def _(spark, sf):
     return R.load_dataset(spark, f"{sf}/customer.parquet")
@@ -35,7 +29,7 @@ def _(spark, sf):
 @query("a1_load_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf):
     customer = table(spark, sf, "customer")
-    path = f"{run_folder(spark, 'csv')}/customer.csv"
+    path = f"{S.run_folder(spark, 'csv')}/customer.csv"
     S.export_csv(customer, path)
     return R.load_dataset(spark, path, schema=customer.schema)
 
@@ -47,7 +41,7 @@ def _(spark, sf):
     df = table(spark, sf, "events")
     made = df.groupBy(F.col("event_type").alias("Variable")).agg(
         (F.min("value") + 10).alias("min_ok"), (F.max("value") - 100).alias("max_ok"))
-    rules = R.load_rules(spark, S.export_csv(made, f"{run_folder(spark, 'rules')}/rules.csv"))
+    rules = R.load_rules(spark, S.export_csv(made, f"{S.run_folder(spark, 'rules')}/rules.csv"))
     out = (F.col("value") < F.col("min_ok")) | (F.col("value") > F.col("max_ok"))
     return E.with_rules(df.withColumnRenamed("event_type", "Variable"), rules).groupBy(
         "Variable", "min_ok", "max_ok").agg(F.count_if(out).alias("n_out"))
@@ -57,7 +51,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Written twice with every row repeated: one copy of each row remains."""
     df = events(spark, sf).select("event_id", "user_id", "event_type", "value", "day")
-    path = run_folder(spark, "cache")
+    path = S.run_folder(spark, "cache")
     S.write_cache(df.unionByName(df), path)
     S.write_cache(df, path)
     return spark.read.parquet(path)
@@ -66,7 +60,7 @@ def _(spark, sf):
 @query("a5_export_csv", pivot_sql("ratio", "-"))
 def _(spark, sf):
     labels = H.heaping_labels(H.heaping_daily(events_long(spark, sf)))
-    path = f"{run_folder(spark, 'export')}/{S.export_name('heaping_step6', '20240131')}"
+    path = f"{S.run_folder(spark, 'export')}/{S.export_name('heaping_step6', '20240131')}"
     return R.load_dataset(spark, S.export_csv(H.heaping_pivot(labels), path))
 
 
@@ -85,7 +79,7 @@ UNION ALL SELECT 'Step6_pivot_with_avg', count(DISTINCT "Variabel") + 1 FROM hea
 def _(spark, sf):
     steps = H.heaping_steps(apply_schema(core(spark, sf)), CLINICAL_VARS)
     counts = None
-    for path in S.export_steps(steps, run_folder(spark, "steps")):
+    for path in S.export_steps(steps, S.run_folder(spark, "steps")):
         step = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
         step = step.select(F.lit(path.rsplit("/", 1)[-1]).alias("step"), "n")
         counts = step if counts is None else counts.unionByName(step)
@@ -106,7 +100,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-28') GROUP BY ALL""")
 def _(spark, sf):
     """First the days to the 20th, then to the 28th with repeated uploads, then once more."""
-    source, path = visits(spark, sf), run_folder(spark, "refresh")
+    source, path = visits(spark, sf), S.run_folder(spark, "refresh")
     start = dt.date(2024, 1, 1)
     incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 20), start)
     twice = source.unionByName(source)
@@ -120,7 +114,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-25' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16')) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads of one unit arrive late: five reloaded days admit theirs, older ones stay out."""
-    source, path = visits(spark, sf), run_folder(spark, "reload")
+    source, path = visits(spark, sf), S.run_folder(spark, "reload")
     start = dt.date(2024, 1, 1)
     early = source.filter("poliruangan <> 'view'")
     incremental_refresh(spark, early, path, SALTS, dt.date(2024, 1, 20), start)
@@ -133,7 +127,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day IS NOT NULL) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads arrive as files, every one twice; the stream runs after each arrival."""
-    source, folder = visits(spark, sf), run_folder(spark, "stream")
+    source, folder = visits(spark, sf), S.run_folder(spark, "stream")
     inbox, cache = f"{folder}/inbox", f"{folder}/cache"
     for _ in range(2):
         source.write.mode("append").parquet(inbox)

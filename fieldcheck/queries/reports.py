@@ -348,7 +348,7 @@ for _average in ("ratio", "ratio_nonzero", "mean"):
 
     @query(f"l13_heaping_pivot_{_average}", pivot_sql(_average, _fill))
     def _(spark, sf, average=_average, fill=_fill):
-        return H.heaping_pivot(_labels(spark, sf), average, fill)
+        return H.heaping_pivot(_labels(spark, sf), average, fill, DAYS if average == "mean" else None)
 
 
 @query("l14_heaping_trend", f"""WITH {DAILY_SQL}, kept AS (SELECT * FROM heap WHERE "Variabel" = 'purchase'

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,22 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="fieldcheck-")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own below the work folder."""
+    return f"{work_folder(spark)}/fieldcheck-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the work folder and read back.
+
+    For small tables that several results are made of: their inputs are then read once, and
+    a lost executor does not bring the whole history back.
+    """
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_day(df: DataFrame, day: str = "day") -> DataFrame:
     """Rows of a day together for writing, big days split and small ones merged.
 
