@@ -80,6 +80,33 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     )
 
 
+def bin_ranges(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranks ``_from`` (included) to ``_to`` (not included) of every order bin of a group.
+
+    ``bins`` has ``_bin`` and its number of rows ``_bin_n``. There are far fewer bins than
+    rows, and their number is bounded whatever the data.
+    """
+    in_order = Window.partitionBy(*keys).orderBy("_bin")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        bins.withColumn("_to", F.sum("_bin_n").over(upto))
+        .withColumn("_total", F.sum("_bin_n").over(Window.partitionBy(*keys)))
+        .withColumn("_from", F.col("_to") - F.col("_bin_n"))
+    )
+
+
+def join_bins(
+    rows: DataFrame, bins: DataFrame, keys: Sequence[str], max_rows: int | None = None
+) -> DataFrame:
+    """Rows with ``_from`` and ``_total`` of their bin; NULL keys match NULL keys."""
+    side = bins.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_from", "_total")
+    same = F.col("_bin") == F.col("_k_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(small_side(side, max_rows), same)
+
+
 def quantiles(
     counts: DataFrame, keys: Sequence[str], probs: Sequence[float] = FIVE_NUMBERS,
     names: Sequence[str] = ("q_min", "q1", "median", "q3", "q_max"),
@@ -98,14 +125,7 @@ def quantiles(
     keys = list(keys)
     binned = counts.select(
         *keys, "value", "n", F.coalesce(order_bin("value"), F.lit(0)).alias("_bin"))
-    in_order = Window.partitionBy(*keys).orderBy("_bin")
-    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = (
-        binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n"))
-        .withColumn("_to", F.sum("_bin_n").over(upto))
-        .withColumn("_total", F.sum("_bin_n").over(Window.partitionBy(*keys)))
-        .withColumn("_from", F.col("_to") - F.col("_bin_n"))
-    )
+    bins = bin_ranges(binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n")), keys)
 
     def position(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(p))
@@ -123,16 +143,10 @@ def quantiles(
     hit = F.lit(False)
     for rank in wanted:
         hit = hit | holds(rank, F.col("_from"), F.col("_to"))
-    chosen = bins.filter(hit).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_from", "_total")
     bound = None if max_groups is None else max_groups * len(wanted)
-    same = F.col("_bin") == F.col("_k_bin")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-
     in_bin = Window.partitionBy(*keys, "_bin").orderBy("value")
     ranked = (
-        binned.join(small_side(chosen, bound), same)
+        join_bins(binned, bins.filter(hit), keys, bound)
         .withColumn("_end", F.col("_from") + F.sum("n").over(
             in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_start", F.col("_end") - F.col("n"))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldcheck.operators.aggregates import max_file_time
+from fieldcheck.functions.numbers import order_bin
+from fieldcheck.operators.aggregates import bin_ranges, join_bins, max_file_time
 from fieldcheck.operators.filters import filter_days
 
 
@@ -49,10 +50,20 @@ def with_row_id(df: DataFrame, keys: Sequence[str], name: str = "row_id") -> Dat
     return df.withColumn(name, F.sha2(F.concat_ws("\u001f", *parts), 256))
 
 
-def with_row_number(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Running number inside each ``group`` in a stated order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("row_id", F.row_number().over(w).cast("bigint"))
+def with_row_number(
+    df: DataFrame, group: Sequence[str], order: str, name: str = "row_id"
+) -> DataFrame:
+    """Running number inside each ``group`` in the order of a unique numeric column.
+
+    Rows are numbered within order bins and moved up by the rows of the bins before, so a
+    group that holds a third of the table is numbered by many tasks.
+    """
+    group = list(group)
+    binned = df.withColumn("_bin", F.coalesce(order_bin(F.col(order).cast("double")), F.lit(0)))
+    sizes = binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_bin_n"))
+    placed = join_bins(binned, bin_ranges(sizes, group), group)
+    inside = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(order))
+    return placed.select(*df.columns, (F.col("_from") + inside).alias(name))
 
 
 def top_bins(hist: DataFrame, n: int, keys: Sequence[str] = ("Variable",)) -> DataFrame:

@@ -161,17 +161,17 @@ def top_bins_report(
     return top.select(*keys, "rank", "left", "right", "count", "percent", text.alias("text"))
 
 
-def period_label(df: DataFrame, day: str = "day") -> DataFrame:
-    """First and last day as text, one day when they are the same, NULL without days."""
+def period_label(day: str = "day") -> Column:
+    """Aggregate: first and last day as text, one day when they are the same, NULL without."""
     d = F.col(day).cast("date")
     first, last = F.date_format(F.min(d), "yyyy-MM-dd"), F.date_format(F.max(d), "yyyy-MM-dd")
-    label = F.when(first == last, first).otherwise(F.concat(first, F.lit(" – "), last))
-    return df.agg(label.alias("period_label"))
+    return F.when(first == last, first).otherwise(F.concat(first, F.lit(" – "), last))
 
 
-def facility_label(df: DataFrame, column: str = "puskesmas_name") -> DataFrame:
-    """The only facility, or ``Multiple``; NULL without any. Lowest and highest name suffice."""
-    name = quoted(column)
-    label = F.when(F.min(name) == F.max(name), F.min(name)).when(
-        F.min(name).isNotNull(), F.lit("Multiple"))
-    return df.agg(label.alias("facility_label"))
+def facility_label(column: str = "puskesmas_name") -> Column:
+    """Aggregate: the only facility, or ``Multiple``; NULL without any.
+
+    The lowest and the highest name tell; nothing distinct is collected.
+    """
+    lowest, highest = F.min(quoted(column)), F.max(quoted(column))
+    return F.when(lowest == highest, lowest).when(lowest.isNotNull(), F.lit("Multiple"))

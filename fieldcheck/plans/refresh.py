@@ -51,12 +51,17 @@ def fetch(
 def unseen_rows(
     fresh: DataFrame, cache: DataFrame | None, keys: Sequence[str] | None = None
 ) -> DataFrame:
-    """Distinct fresh rows that the cache does not hold, compared whole or by ``keys``."""
+    """Distinct fresh rows that the cache does not hold, compared whole or by ``keys``.
+
+    Copies are removed first, task by task, so that many copies of one row never meet in the
+    join.
+    """
+    distinct = distinct_rows(fresh, keys)
     if cache is None:
-        return distinct_rows(fresh, keys)
+        return distinct
     if keys:
-        return distinct_rows(fresh, keys).join(cache.select(*keys), list(keys), "left_anti")
-    return fresh.subtract(cache.select(*fresh.columns))
+        return distinct.join(cache.select(*keys), list(keys), "left_anti")
+    return distinct.subtract(cache.select(*fresh.columns))
 
 
 def incremental_refresh(

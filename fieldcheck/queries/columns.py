@@ -200,9 +200,8 @@ SELECT strftime(min(day), '%Y-%m-%d') || ' – ' || strftime(max(day), '%Y-%m-%d
        CASE WHEN count(DISTINCT "PKM") > 1 THEN 'Multiple' ELSE min("PKM") END AS facility_label
 FROM core""")
 def _(spark, sf):
-    df = core(spark, sf)
-    period = period_label(df).withColumn("_k", F.lit(1))  # one row each
-    return period.join(facility_label(df, "PKM").withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return core(spark, sf).agg(
+        period_label("day").alias("period_label"), facility_label("PKM").alias("facility_label"))
 
 
 @query("c24_digits_run", r"SELECT doc_id, regexp_matches(text, '\d{10,}') AS digit_run FROM documents")

@@ -97,21 +97,21 @@ def _refreshed(cache):
 
 @query("l23_incremental_refresh", f"""WITH {SAFE_SQL}
 SELECT {_STORED_SQL}, count(*) AS copies FROM (
-  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-28') GROUP BY ALL""")
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') GROUP BY ALL""")
 def _(spark, sf):
-    """First the days to the 20th, then to the 28th with repeated uploads, then once more."""
+    """First the days to the 20th, then to the 31st with repeated uploads, then once more."""
     source, path = visits(spark, sf), S.run_folder(spark, "refresh")
     start = dt.date(2024, 1, 1)
     incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 20), start)
     twice = source.unionByName(source)
-    incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 28), start)
-    return _refreshed(incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 28), start))
+    incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 31), start)
+    return _refreshed(incremental_refresh(spark, twice, path, SALTS, dt.date(2024, 1, 31), start))
 
 
 @query("m2_refresh_reload_days", f"""WITH {SAFE_SQL}
 SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe
-  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-25' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16')) GROUP BY ALL""")
+  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16')) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads of one unit arrive late: five reloaded days admit theirs, older ones stay out."""
     source, path = visits(spark, sf), S.run_folder(spark, "reload")
@@ -119,7 +119,7 @@ def _(spark, sf):
     early = source.filter("poliruangan <> 'view'")
     incremental_refresh(spark, early, path, SALTS, dt.date(2024, 1, 20), start)
     return _refreshed(incremental_refresh(
-        spark, source, path, SALTS, dt.date(2024, 1, 25), start, reload_days=5))
+        spark, source, path, SALTS, dt.date(2024, 1, 31), start, reload_days=5))
 
 
 @query("m1_refresh_stream", f"""WITH {SAFE_SQL}

@@ -547,7 +547,7 @@ def _(spark, sf):
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS row_id FROM events""")
 def _(spark, sf):
     df = table(spark, sf, "events").select("event_id", "user_id")
-    return G.with_row_number(df, ["user_id"], ["event_id"])
+    return G.with_row_number(df, ["user_id"], "event_id")
 
 
 @query("g4_top_bins", """WITH b AS (
