@@ -84,8 +84,8 @@ _PARTS = [
 _VISIT = [
     ("event_id", "id_kunjungan"),
     ("event_type", "poliruangan"),
-    ("case user_id % 5 when 0 then 'Gunung Sari' when 1 then '  Gúnung Sarí ' "
-     "when 2 then 'Narmada' when 3 then 'KEDIRI' else 'Lingsar ' end", "puskesmas_name"),
+    ("case user_id % 5 when 0 then 'Taman Asri' when 1 then '  Táman Asrí ' "
+     "when 2 then 'Mekar' when 3 then 'SENTOSA' else 'Bahagia ' end", "puskesmas_name"),
     ("concat('P', user_id % 5)", "puskesmas_id"),
     ("case when event_id % 97 = 0 then 'junk' "
      "when event_id % 4 = 0 then concat(d, ' ', hh, ':', mi, ':', ss) "

@@ -533,9 +533,9 @@ def _(spark, sf):
 
 @query("l24_facility_core", f"""WITH {CORE_SQL}
 SELECT id_kunjungan, "PKM", "PKM_norm", day, {utc_ms_sql('file_ts')} AS file_ms, {utc_ms_sql('tanggal_ts')} AS visit_ms,
-       {utc_ms_sql('file_ts_fallback')} AS order_ms FROM core WHERE "PKM_norm" = 'gunungsari'""")
+       {utc_ms_sql('file_ts_fallback')} AS order_ms FROM core WHERE "PKM_norm" = 'tamanasri'""")
 def _(spark, sf):
-    df = FC.facility_core(visits(spark, sf), "Gunung Sari")
+    df = FC.facility_core(visits(spark, sf), "Taman Asri")
     return df.select("id_kunjungan", "PKM", "PKM_norm", "day", *[
         F.unix_millis(c).alias(n) for c, n in
         (("file_ts", "file_ms"), ("tanggal_ts", "visit_ms"), ("file_ts_fallback", "order_ms"))])

@@ -132,9 +132,9 @@ def _(spark, sf):
 
 
 @query("d1_filter_facility", f"""WITH {VISITS_SQL}
-SELECT id_kunjungan, puskesmas_name FROM visits WHERE {norm_sql('puskesmas_name')} = 'gunungsari'""")
+SELECT id_kunjungan, puskesmas_name FROM visits WHERE {norm_sql('puskesmas_name')} = 'tamanasri'""")
 def _(spark, sf):
-    return D.filter_facility(visits(spark, sf), "GÚNUNG-sari", "puskesmas_name").select(
+    return D.filter_facility(visits(spark, sf), "TÁMAN-asri", "puskesmas_name").select(
         "id_kunjungan", "puskesmas_name")
 
 

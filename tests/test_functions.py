@@ -46,9 +46,9 @@ def test_order_bin_never_decreases(spark):
 
 
 def test_keys_fold_accents_on_both_sides(spark):
-    names = ["Gúnung Sarí", "GUNUNG-SARI", "Straße Œuvre", "Đà Nẵng", None]
+    names = ["Táman Asrí", "TAMAN-ASRI", "Straße Œuvre", "Đà Nẵng", None]
     got = apply(spark, names, X.norm_key)
-    assert got == ["gunungsari", "gunungsari", "strasseoeuvre", "danang", None]
+    assert got == ["tamanasri", "tamanasri", "strasseoeuvre", "danang", None]
     assert [X.norm_key_text(n) for n in names[:4]] == got[:4]
 
 
