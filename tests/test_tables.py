@@ -159,9 +159,9 @@ def test_filters(spark):
 
 def test_facilities(spark):
     df = spark.createDataFrame(
-        [(" Taman Asri ", "2025-09-01", "f 2025-09-01 10_00_00.000.xlsx"), ("Gúnung Sari", "2025-09-02 08:00", "g"),
+        [(" Taman Asri ", "2025-09-01", "f 2025-09-01 10_00_00.000.xlsx"), ("Táman Asri", "2025-09-02 08:00", "g"),
          ("", "x", "h"), ("Mekar", "2025-09-02", "i")], "puskesmas_name string, tanggal string, file_name string")
-    assert [r[0] for r in facility_list(df).collect()] == ["Taman Asri", "Gúnung Sari", "Mekar"]
+    assert [r[0] for r in facility_list(df).collect()] == ["Mekar", "Taman Asri", "Táman Asri"]
     core = facility_core(df, "taman asri").orderBy("day")
     assert [r["day"] for r in core.collect()] == [DAY(2025, 9, 1), DAY(2025, 9, 2)]
     ms = [r[0] for r in core.select(F.unix_millis("file_ts_fallback")).collect()]
