@@ -18,6 +18,12 @@ from fieldcheck.operators.schema import (
 )
 
 
+SUMMARY_SCHEMA = (
+    "Variable string, `Valid min` double, `Valid max` double, Rows bigint, Non_missing bigint, "
+    "Outliers bigint, `Outlier %` string"
+)
+
+
 def guardrail_summary(
     df: DataFrame, rules: DataFrame, variables: Sequence[str],
     parser: Parser = parse_first_number,
@@ -28,6 +34,8 @@ def guardrail_summary(
     which therefore carries one row per variable and task.
     """
     present = [v for v in variables if v in df.columns]
+    if not present:
+        return df.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
     long = to_long(df, [], present, "Variable", "value", parser)
     v = F.col("value")
     low, high = F.col("min_ok"), F.col("max_ok")
@@ -53,6 +61,15 @@ def log_ids(df: DataFrame, ids: Sequence[str] | None = None) -> list[str]:
     return [c for c in (LOG_ID_CANDIDATES if ids is None else ids) if c in df.columns]
 
 
+def _empty_log(df: DataFrame, row_id: str, ids: Sequence[str]) -> DataFrame:
+    """The log of a table without any variable to check."""
+    text = F.lit(None).cast("string")
+    return df.select(
+        quoted(row_id).alias("row_id"), *[quoted(i) for i in ids], text.alias("Variable"),
+        text.alias("raw_value"),
+    ).filter(F.lit(False))
+
+
 def outlier_log(
     df: DataFrame, rules: DataFrame, variables: Sequence[str], row_id: str,
     ids: Sequence[str] | None = None, parser: Parser = parse_first_number,
@@ -63,6 +80,8 @@ def outlier_log(
     """
     ids = log_ids(df, ids)
     present = [v for v in variables if v in df.columns]
+    if not present:
+        return _empty_log(df, row_id, ids)
     types = dtypes_of(df)
     cells = F.array(*[
         F.struct(F.lit(v).alias("Variable"), quoted(v).cast("string").alias("raw_value"),
@@ -95,7 +114,7 @@ def strict_drop_log(
         rules = rules_by_variable(rules, present)
     ruled = [v for v in present if v in rules]
     if not ruled:
-        raise ValueError("no variable has a rule")
+        return _empty_log(df, row_id, ids)
     raw = df.withColumns({f"raw_{v}": quoted(v).cast("string") for v in ruled})
     flagged = clip_to_null(raw, {v: rules[v] for v in ruled}, parser)
     dropped = flagged.filter(any_flag([f"out_{v}" for v in ruled]))

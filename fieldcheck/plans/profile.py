@@ -24,6 +24,14 @@ from fieldcheck.operators.schema import apply_schema, clip_to_null, dtypes_of, q
     rules_by_variable
 
 NUMBERS = ("Min", "Q1", "Median", "Q3", "Max")
+SCHEMA = T.StructType(
+    [T.StructField(n, T.LongType() if n in (
+        "Rows", "Missing", "Non_missing", "Distinct (non-missing)", "Invalid (non-missing)",
+    ) else T.StringType()) for n in (
+        "Variable", "Rows", "Missing", "Missing %", "Non_missing", "Non_missing %",
+        "Distinct (non-missing)", "Invalid (non-missing)", "Rule")]
+    + [T.StructField(n, T.DoubleType()) for n in NUMBERS]
+)
 _STATS = ("q_min", "q1", "median", "q3", "q_max")
 
 
@@ -104,6 +112,8 @@ def profile(
     taken from that table, so texts are parsed once per different text, not per row.
     """
     variables = [v for v in variables if v in df.columns]
+    if not variables:
+        return df.sparkSession.createDataFrame([], SCHEMA)
     types = dtypes_of(df)
     kinds = {v: (kinds or {}).get(v, infer_type(v)) for v in variables}
     if stage == "clipped":

@@ -113,6 +113,18 @@ def test_guardrail_and_logs(spark, temperatures):
     assert rows(O.outlier_counts(log)) == [("Suhu", 2)]
 
 
+def test_tables_without_known_variables_give_empty_reports(spark, temperatures):
+    rules, df = default_rules(spark), temperatures
+    full = PR.profile(df, ["Suhu"], rules, DAY)
+    none = PR.profile(df, ["Tinggi"], rules, DAY)
+    assert none.count() == 0 and none.dtypes == full.dtypes
+    none = O.guardrail_summary(df, rules, ["Tinggi"])
+    assert none.count() == 0 and none.dtypes == O.guardrail_summary(df, rules, ["Suhu"]).dtypes
+    for log in (O.outlier_log, O.strict_drop_log):
+        assert log(df, rules, ["Tinggi"], "id", []).count() == 0
+        assert log(df, rules, ["Tinggi"], "id", []).dtypes == log(df, rules, ["Suhu"], "id", []).dtypes
+
+
 @pytest.mark.parametrize("stage,expected", [
     ("raw", (1, 2, 29.9, 30.0, 36.5, 43.0, 43.1)), ("clipped", (3, 0, 30.0, 33.25, 36.5, 39.75, 43.0))])
 def test_profile_of_numbers(spark, temperatures, stage, expected):
