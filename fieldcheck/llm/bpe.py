@@ -147,7 +147,7 @@ def chunk_encoder(pairs: BytePairs):
     """Encodes chunks: pre-tokens by the pattern, ids by the pair index; special tokens stand apart."""
     piece = regex.compile(PATTERN)
     apart = regex.compile("|".join(map(regex.escape, sorted(pairs.special, key=len, reverse=True)))) if pairs.special else None
-    special = min(pairs.special, key=len)[:2] if pairs.special else "\n"
+    special = tuple(pairs.special)
 
     def encode(new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         flags = [plain(c, special) for c in new]
@@ -227,7 +227,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = BytePairs(tokenizer)
-        enc, texts = Encoder(chunk_encoder(pairs)), Pool(pairs.bytes_of)
+        enc, texts = Encoder(chunk_encoder(pairs), tuple(pairs.special)), Pool(pairs.bytes_of)
         numbers = Pool([b"%d," % i for i in range(pairs.base)])
         for b in slices(batches, size=ENCODE_BYTES):
             ids, at = enc(b.column("text"))
@@ -251,7 +251,7 @@ def token_column(docs: DataFrame, tokenizer: str, name: str = "token_ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = BytePairs(tokenizer)
-        enc, texts = Encoder(chunk_encoder(pairs)), Pool(pairs.bytes_of)
+        enc, texts = Encoder(chunk_encoder(pairs), tuple(pairs.special)), Pool(pairs.bytes_of)
         for b in slices(batches):
             ids, at = enc(b.column("text"))
             back = [x.decode("utf-8", "replace") for d, e in blocks(at) for x in texts.join(ids[at[d]:at[e]], at[d:e + 1] - at[d])]

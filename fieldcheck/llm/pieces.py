@@ -9,6 +9,7 @@ white space beyond ASCII is no cut.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,8 +29,11 @@ _KIND = bytes((i not in _NOT_OPEN) + 2 * (i in _ALNUM) + 4 * (i in _VISIBLE - _A
               + 16 * (i == 32) + 32 * (i == 10) for i in range(256))
 
 
-def chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The chunks of all texts, and the number of chunks before each text (and in all)."""
+def chunks(text: pa.Array, special: tuple[str, ...] = ()) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts, and the number of chunks before each text (and in all).
+
+    A special token is never cut.
+    """
     text = pc.fill_null(text.cast(pa.large_string()), "")
     if not len(text):
         return pa.array([], pa.large_string()), np.zeros(1, np.int64)
@@ -46,6 +50,9 @@ def chunks(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
         line = (kind[1:-1] & 32 != 0) & (kind[:-2] & 8 != 0) & (kind[2:] & 1 != 0)
         cut[1:len(raw) - 1] |= line
         cut[2:len(raw)] |= line
+    for token in special:
+        for m in re.finditer(re.escape(token.encode()), raw.tobytes()):
+            cut[m.start() + 1:m.end()] = False
     cut[starts] = True
     cut[-1] = True
     edges = np.flatnonzero(cut).astype(np.int64)
@@ -59,8 +66,9 @@ class Encoder:
     ``encode(new chunks)`` returns the chunks in an order of its own, all their ids, and their sizes.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]],
+                 special: tuple[str, ...] = ()):
+        self.encode, self.special = encode, special
         self.clear()
 
     def clear(self) -> None:
@@ -72,7 +80,7 @@ class Encoder:
         """All ids one after another, and the number of ids before each text (and in all)."""
         if len(self.known) > MEMORY:
             self.clear()
-        own, docs = chunks(text)
+        own, docs = chunks(text, self.special)
         coded = own.dictionary_encode()
         values = coded.dictionary.to_pylist()
         new = [v for v in values if v not in self.known]
@@ -89,7 +97,8 @@ class Encoder:
         return self.pool[ragged(self.first[which], sizes)], np.concatenate([[0], np.cumsum(sizes)])[docs]
 
 
-def plain(chunk: str, special: str) -> bool:
-    """Whether the chunk has no white space but one leading blank, so that line ends may separate such chunks."""
+def plain(chunk: str, special: tuple[str, ...]) -> bool:
+    """Whether the chunk has no special token and no white space but one leading blank, so that line ends
+    may separate such chunks."""
     core = chunk[1:] if chunk[0] == " " else chunk
-    return core.split() == [core] and special not in core
+    return core.split() == [core] and not any(s in core for s in special)

@@ -119,18 +119,19 @@ class Reader:
         return self.ids(int(self.first[d]), int(self.size[d]))
 
 
-def library_encoder(path: str):
-    """Encodes chunks with the tokenizers library; plain ones in long runs between line ends."""
+def library_encoder(path: str) -> Encoder:
+    """Encodes texts by chunks with the tokenizers library; plain ones in long runs between line ends."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
     line = tok.encode("a\nb", add_special_tokens=False).ids[1]
 
     def encode(new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        flags = [plain(c, "<|") for c in new]
+        flags = [plain(c, special) for c in new]
         run = [c for c, f in zip(new, flags) if f]
         rest = [c for c, f in zip(new, flags) if not f]
         done, ids, sizes = [], [], []
@@ -149,7 +150,7 @@ def library_encoder(path: str):
             sizes.append(np.array([len(e.ids)]))
         return done + rest, np.concatenate(ids), np.concatenate(sizes)
 
-    return encode
+    return Encoder(encode, special)
 
 
 def vocabulary(path: str) -> int:
@@ -177,7 +178,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     bits, fs_folder = bits_for(vocabulary(tokenizer)), f"{folder}/ids-{uuid.uuid4().hex}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(library_encoder(tokenizer))
+        enc = library_encoder(tokenizer)
         for b in slices(batches):
             ids, at = with_end(*enc(b.column("text")), end_id)
             raw = ids.astype("<u2" if bits <= 16 else "<u4").view(np.uint8)
