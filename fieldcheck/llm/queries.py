@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcheck.llm import bpe, decontam, exact, pii, tokenids
+from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, pii, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def op1_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.languages(docs, langid.fitted(langid.labelled(docs)))
+
+
 def op4_token_ids(spark, sf_dir):
     return tokenids.token_files(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -33,6 +38,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -41,7 +50,7 @@ def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op4_token_ids, op6_exact_dedup, op8_bpe, op9_decontamination)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
