@@ -82,21 +82,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                   .mapInArrow(_local, _LOCAL), "rows")
     reps = rows.where("copies > 0")
-    # The first run of bytes needs neither the texts nor a group.
-    active = reps.select("rid", F.lit(-1).cast("long").alias("gid"), F.col("head").alias("run"))
-    length, taken, ended = FIRST, 0, []
+    # The first run of bytes needs no text; the rows that go on then carry theirs, ever shorter.
+    active = reps.select("rid", F.lit(-1).cast("long").alias("gid"), F.col("head").alias("run"), F.lit(None).cast("binary").alias("body"))
+    length, ended = FIRST, []
     while True:
-        heads = active.groupBy("gid", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("next"))
-        kept = active.join(heads.where("n > 1"), ["gid", "run"])
-        kept = stored(kept.select("rid", F.col("next").alias("gid"),
-                                  (F.octet_length("run") < length).alias("over")), "split")
+        heads = active.groupBy("gid", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("next")).where("n > 1")
+        kept = active.hint("merge").join(heads, ["gid", "run"]).select(
+            "rid", F.col("next").alias("gid"), (F.octet_length("run") < length).alias("over"), "body")
+        kept = stored(kept, "split")
         ended.append(kept.where("over").select("rid", "gid"))
-        going = kept.where("NOT over").select("rid", "gid")
+        going = kept.where("NOT over").select("rid", "gid", "body")
         if going.isEmpty():
             break
-        length, taken = length * GROWTH, taken + length
-        active = going.join(reps.select("rid", "body"), "rid").select(
-            "rid", "gid", F.substring("body", taken - FIRST + 1, length).alias("run"))
+        if length == FIRST:
+            going = stored(going.drop("body").hint("merge").join(reps.select("rid", "body"), "rid"), "rest")
+        length *= GROWTH
+        active = going.select("rid", "gid", F.substring("body", 1, length).alias("run"),
+                              F.expr(f"substring(body, {length + 1})").alias("body"))
     groups = ended[0]
     for e in ended[1:]:
         groups = groups.union(e)
@@ -110,6 +112,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     reply = alone.join(by_rep, "rep", "left").select(
         "rep", F.when(F.col("g_rid").isNull(), F.col("rep_id")).otherwise(F.col("g_id")).alias("keep_id"),
         F.coalesce("g_rid", "rep").alias("keep_rid"), F.coalesce("group_size", "copies").alias("group_size"))
-    return (rows.select("rid", "doc_id", "text_sha256", "rep").join(reply, "rep")
+    return (rows.select("rid", "doc_id", "text_sha256", "rep").hint("merge").join(reply, "rep")
             .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"),
                     "text_sha256"))
