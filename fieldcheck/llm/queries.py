@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, pii, tokenids
+from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, pii, substring, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +50,11 @@ def op9_decontamination(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination)}
+def op10_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+QUERIES |= {f.__name__: f for f in (op1_pii, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
@@ -83,3 +87,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+ORACLES["op10_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS k FROM x),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE k > 1),
+k AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS kept, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) t
+  ANTI JOIN g ON g.doc_id = t.doc_id AND g.p = t.p GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
