@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, pii, substring, tokenids
+from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, lm, pii, substring, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,10 @@ def op1_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.languages(docs, langid.fitted(langid.labelled(docs)))
@@ -54,7 +58,7 @@ def op10_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
