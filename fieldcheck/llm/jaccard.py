@@ -12,9 +12,13 @@ Answers are derived in two steps. First each list compares its sets with one piv
 neighbours in size only; verified links give preliminary groups. Then all remaining pairs of a list are
 taken, but a set inherits the answers of the group it is already in: a pair within one group needs no
 comparison. A list whose sets are all in one group is skipped as a whole, so a list of near copies costs
-about as many comparisons as it has sets. Every candidate is verified on the full sets; no link between
-different groups can be missed, because every pair that passes the filters and lies in different groups
-is compared.
+about as many comparisons as it has sets. No link between different groups can be missed, because every pair that
+passes the filters and lies in different groups is compared.
+
+A candidate is first compared on 16-bit marks of its first grams: linked sets must share a number of them
+that follows from their sizes, and marks can only overstate what is shared. What is left is verified on
+the full sets, which are made anew from the texts of the sets concerned; a bit table of fixed size keeps
+the other texts out of that shuffle.
 
 Hot grams are split over several tasks in the first step, by the counts of the table. In the second step
 lists of more than ``LONG`` sets are joined by Spark itself, which splits them over tasks.
@@ -43,6 +47,9 @@ from fieldcheck.llm.common import (
 SLOTS = 1 << 20
 #: The table travels in so many pieces.
 PIECES = 16
+#: Bits of the table that tells which texts are needed again: 2 MB, whatever the corpus. A full table
+#: would let more texts through than needed, never fewer.
+BITS = 1 << 24
 #: Entries of a hot gram that one task takes in the first step.
 SHARE = 20_000
 #: Longer lists are left to a Spark join in the second step.
@@ -105,6 +112,11 @@ class Threshold:
         """Grams of a set of ``n`` that may meet a set at least as large."""
         return n - -(-2 * self.num * n // (self.num + self.den)) + 1
 
+    def shared(self, n, m):
+        """Grams that linked sets of these sizes share among the first ``prefix`` of both."""
+        need = self.overlap(n, m)
+        return need - np.maximum(n - self.prefix(n), m - self.prefix(m))
+
     def overlap(self, n, m):
         """Least overlap of linked sets of these sizes."""
         return -(-self.num * (n + m) // (self.num + self.den))
@@ -252,7 +264,7 @@ class NearJoin:
         k, t, share = self.k, self.t, self.partitions
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            level = levels(counts.value)
+            level, names = levels(counts.value), ["part", "entries", "sid", "n", "marks"]
             for b in slices(batches):
                 values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
                 sid, n = signature(values, at, 1), np.diff(at)
@@ -269,6 +281,10 @@ class NearJoin:
                     src[done:done + m] = at[d] + o[np.argsort(own[o])]
                     done += m
                 e["gram"] = keys[src]
+                marks, ends = (mix(e["gram"]) >> U64(48)).astype("<u2"), np.concatenate([[0], np.cumsum(take)])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((sid[one] % U64(share)).astype(np.int32)), pa.nulls(len(one), pa.binary()), signed(sid[one]), pa.array(n[one]),
+                    pa.array([marks[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary())], names)
                 e["sid"], e["n"] = np.repeat(sid[one], take), np.repeat(n[one], take)
                 e["pos"] = ragged(np.zeros(len(one), np.int64), take)
                 # The counts of a hot gram say over how many tasks its list is spread.
@@ -278,10 +294,16 @@ class NearJoin:
                 cuts = np.searchsorted(part[order], np.arange(share + 1, dtype=U64))
                 e = e[order]
                 some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cuts[p]:cuts[p + 1]].tobytes() for p in some], pa.binary())], ["part", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([e[cuts[p]:cuts[p + 1]].tobytes() for p in some], pa.binary()),
+                                                  pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary())], names)
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blobs = [x.as_py() for b in batches for x in b.column("entries")]
+            names, blobs = ["gram", "sid", "n", "pos", "a", "b", "marks"], []
+            for b in batches:
+                blobs += [x.as_py() for x in b.column("entries") if x.is_valid]
+                b = b.filter(b.column("marks").is_valid())
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, b.column("sid"), b.column("n"), none, none, none, b.column("marks")], names)
             e = np.frombuffer(b"".join(blobs), ENTRY)
             del blobs
             order = np.argsort(e["gram"])
@@ -294,31 +316,71 @@ class NearJoin:
                 e = e[np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (e["sid"][1:] != e["sid"][:-1])])]
                 e = e[np.lexsort((e["pos"], e["n"], e["gram"]))]
             p = pairs_of(e, None, t, False)
-            names = ["gram", "sid", "n", "pos", "a", "b"]
             for at in range(0, len(e), 100_000):
                 x = e[at:at + 100_000]
                 none = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([signed(x["gram"]), signed(x["sid"]), pa.array(x["n"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), none, none], names)
+                yield pa.RecordBatch.from_arrays([signed(x["gram"]), signed(x["sid"]), pa.array(x["n"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), none, none, pa.nulls(len(x), pa.binary())], names)
             none = pa.nulls(len(p), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, signed(p[:, 0]), signed(p[:, 1])], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, signed(p[:, 0]), signed(p[:, 1]), pa.nulls(len(p), pa.binary())], names)
+
+        blobs = self.rows.select("text").mapInArrow(emit, "part int, entries binary, sid long, n long, marks binary")
+        return stored(blobs.repartition(self.partitions, "part").mapInArrow(merge, "gram long, sid long, n long, pos long, a long, b long, marks binary"), "lists")
+
+    def _likely(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        """The pairs that share enough of their first grams, by their marks."""
+        t = self.t
+        marks = lists.where("marks IS NOT NULL").select("sid", "n", "marks").dropDuplicates(["sid"])
+        x = marks.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("marks").alias("x"))
+        y = marks.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("marks").alias("y"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                need = t.shared(b.column("nx").to_numpy(), b.column("ny").to_numpy())
+                keep = np.zeros(b.num_rows, bool)
+                for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"))):
+                    x, y = np.sort(np.frombuffer(x.as_buffer(), "<u2")), np.sort(np.frombuffer(y.as_buffer(), "<u2"))
+                    keep[i] = (np.searchsorted(y, x, "right") > np.searchsorted(y, x)).sum() >= need[i]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-        blobs = self.rows.select("text").mapInArrow(emit, "part int, entries binary")
-        return stored(blobs.repartition(self.partitions, "part").mapInArrow(merge, "gram long, sid long, n long, pos long, a long, b long"), "lists")
+        met = pairs.distinct().hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
+        return stored(met.mapInArrow(run, "a long, b long"), "pairs")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
+    def _needed(self, rids: DataFrame) -> np.ndarray:
+        """The bit table of row ids: ``PIECES`` rows come to the driver, 2 MB in all."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for p, at in zip(b.column("piece").to_pylist(), b.column("at").to_pylist()):
+                    total.setdefault(p, np.zeros(BITS // PIECES, bool))[at] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(x).tobytes() for x in total.values()], pa.binary())], ["piece", "bits"])
+
+        spot = F.pmod(F.xxhash64("rid"), F.lit(BITS)).cast("int")
+        spots = rids.select((spot % PIECES).alias("piece"), F.floor(spot / PIECES).cast("int").alias("at")).distinct()
+        out = np.zeros((BITS // PIECES, PIECES), bool)
+        for r in spots.repartition(PIECES, "piece").mapInArrow(add, "piece int, bits binary").collect():
+            out[:, r.piece] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)).astype(bool)
+        return np.packbits(out.ravel())
+
+    def _verify(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
         """The pairs that link, compared on their full sets."""
         k, t = self.k, self.t
-        pairs = stored(pairs.distinct(), "pairs")
+        pairs = self._likely(pairs, lists)
         nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-        first = self.sets.join(nodes, "sid").groupBy("sid").agg(F.min("rid").alias("rid"))
+        first = stored(self.sets.select("sid", "rid").hint("merge").join(nodes, "sid").groupBy("sid").agg(F.min("rid").alias("rid")), "nodes")
+        needed = self.spark.sparkContext.broadcast(self._needed(first))
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
-                data = [values[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(data, pa.binary())], ["sid", "grams"])
+            for b in batches:
+                at = b.column("at").to_numpy()
+                bits = needed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                for x in slices([b.filter(pa.array(bits.astype(bool)))]):
+                    values, ends = gram_sets(words(x.column("text"), SPACED, lower=True), k)
+                    data = [values[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])]
+                    yield pa.RecordBatch.from_arrays([x.column("rid"), pa.array(data, pa.binary())], ["rid", "grams"])
 
-        full = stored(self.rows.select("rid", "text").join(first, "rid").select("sid", "text").mapInArrow(grams, "sid long, grams binary"), "grams")
+        texts = self.rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(BITS)).cast("int").alias("at"))
+        full = stored(texts.mapInArrow(grams, "rid long, grams binary").hint("merge").join(first, "rid").select("sid", "grams"), "grams")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -330,8 +392,8 @@ class NearJoin:
                     keep[i] = t.links(both, len(m) - both)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-        met = (pairs.join(full.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
-               .join(full.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b"))
+        met = (pairs.hint("merge").join(full.select(F.col("sid").alias("a"), F.col("grams").alias("x")), "a")
+               .hint("merge").join(full.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b"))
         return stored(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
     def _rest(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -368,8 +430,8 @@ class NearJoin:
     def groups(self) -> DataFrame:
         """(rid, doc_id, n_shingles, component_id)."""
         lists = self._lists()
-        links = self._verify(lists.where("a IS NOT NULL").select("a", "b"))
-        more = self._verify(self._rest(lists, components(links)))
+        links = self._verify(lists.where("a IS NOT NULL").select("a", "b"), lists)
+        more = self._verify(self._rest(lists, components(links)), lists)
         labels = components(links.union(more))
         own = (self.sets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")))
