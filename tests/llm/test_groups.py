@@ -139,3 +139,19 @@ def test_all_pairs_of_lists():
             both = len(np.intersect1d(sets[i], sets[j]))
             if t.links(both, len(sets[i]) + len(sets[j]) - both):
                 assert (i, j) in got
+
+
+def test_shared_marks_bound():
+    """Linked sets always share as many of their first grams as the filter asks for."""
+    rng = np.random.default_rng(6)
+    t = jaccard.Threshold(80)
+    for _ in range(300):
+        base = rng.choice(10**6, rng.integers(1, 200), replace=False)
+        cut = rng.integers(0, len(base) // 8 + 1)
+        x, y = np.sort(base), np.sort(np.concatenate([base[cut:], rng.choice(10**6, rng.integers(0, 12)) + 10**6]))
+        if rng.random() < 0.5:
+            x, y = 2 * 10**6 - x[::-1], 2 * 10**6 - y[::-1]
+        both = len(np.intersect1d(x, y))
+        if t.links(both, len(x) + len(y) - both):
+            px, py = x[:t.prefix(len(x))], y[:t.prefix(len(y))]
+            assert len(np.intersect1d(px, py)) >= t.shared(len(x), len(y))
