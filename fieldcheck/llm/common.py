@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; longer documents form a slice of their own.
@@ -41,7 +41,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut of its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing lazy reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_path).getParent()
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, xxhash64 of the text) is in ``kept``, once each, with their own columns."""
+    own = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"),
+                      F.xxhash64("text").alias("th"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th"))
+    one = Window.partitionBy("id", "th").orderBy(F.lit(1))
+    return (own.hint("merge").join(kept, same, "left_semi").withColumn("k", F.row_number().over(one)).where("k = 1").select("own.*"))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
@@ -225,12 +245,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low")))
-        step = labels.join(near, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        step = stored(step, "step")
+        step = stored(labels.join(near, "node", "left").select(
+            "node", F.col("label").alias("old"), F.least("label", "low").alias("label")), "step")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = stored(step.join(jump, "label", "left").select(
+        labels = stored(step.join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "jump")
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
+        if labels.where("old <> label").isEmpty():
             return labels

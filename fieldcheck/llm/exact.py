@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import SPACED, slices, stored, text_bytes, through
+from fieldcheck.llm.common import SPACED, forget, only, slices, stored, text_bytes, through
 
 FIRST = 64
 GROWTH = 8
 
-_LOCAL = ("rid long, doc_id long, n_points long, text_sha256 string, rep long, copies long, "
+_LOCAL = ("rid long, doc_id long, th long, n_points long, text_sha256 string, rep long, copies long, "
           "head binary, body binary")
 
 
@@ -70,32 +70,43 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = [t[:FIRST] if c else None for t, c in zip(texts, copies)]
         body = [t[FIRST:] if c else None for t, c in zip(texts, copies)]
         yield pa.RecordBatch.from_arrays([
-            pa.array(np.arange(rid, rid + len(texts))), ids.cast(pa.int64()), pa.array(points, pa.int64()),
+            pa.array(np.arange(rid, rid + len(texts))), ids, b.column("th"), pa.array(points, pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(rep), pa.array(copies),
             pa.array(head, pa.binary()), pa.array(body, pa.binary()),
-        ], names=["rid", "doc_id", "n_points", "text_sha256", "rep", "copies", "head", "body"])
+        ], names=["rid", "doc_id", "th", "n_points", "text_sha256", "rep", "copies", "head", "body"])
         rid += len(texts)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with its own columns, one row of every group of equal texts."""
+    return only(docs, _groups(docs).where("kept"))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
                   .mapInArrow(_local, _LOCAL), "rows")
     reps = rows.where("copies > 0")
     # The first run of bytes needs no text; the rows that go on then carry theirs, ever shorter.
     active = reps.select("rid", F.lit(-1).cast("long").alias("gid"), F.col("head").alias("run"), F.lit(None).cast("binary").alias("body"))
-    length, ended = FIRST, []
+    length, ended, done = FIRST, [], []
     while True:
         heads = active.groupBy("gid", "run").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("next")).where("n > 1")
         kept = active.hint("merge").join(heads, ["gid", "run"]).select(
             "rid", F.col("next").alias("gid"), (F.octet_length("run") < length).alias("over"), "body")
         kept = stored(kept, "split")
+        done.append(kept)
         ended.append(kept.where("over").select("rid", "gid"))
         going = kept.where("NOT over").select("rid", "gid", "body")
         if going.isEmpty():
             break
         if length == FIRST:
             going = stored(going.drop("body").hint("merge").join(reps.select("rid", "body"), "rid"), "rest")
+            done.append(going)
         length *= GROWTH
         active = going.select("rid", "gid", F.substring("body", 1, length).alias("run"),
                               F.expr(f"substring(body, {length + 1})").alias("body"))
@@ -112,6 +123,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     reply = alone.join(by_rep, "rep", "left").select(
         "rep", F.when(F.col("g_rid").isNull(), F.col("rep_id")).otherwise(F.col("g_id")).alias("keep_id"),
         F.coalesce("g_rid", "rep").alias("keep_rid"), F.coalesce("group_size", "copies").alias("group_size"))
-    return (rows.select("rid", "doc_id", "text_sha256", "rep").hint("merge").join(reply, "rep")
-            .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"),
-                    "text_sha256"))
+    out = stored(rows.select("rid", "doc_id", "th", "text_sha256", "rep").hint("merge").join(reply, "rep")
+                 .select("doc_id", "th", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"), "groups")
+    forget(rows, *done)
+    return out

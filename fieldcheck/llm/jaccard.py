@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcheck.llm.common import (
-    SPACED, U64, Words, chain, components, gram_hashes, mix, parts, ragged, slices, stored, windows, words,
+    SPACED, U64, Words, chain, components, forget, gram_hashes, mix, only, parts, ragged, slices, stored, windows, words,
 )
 
 #: Slots of the table of counts: 4 MB, whatever the corpus.
@@ -74,9 +74,9 @@ def gram_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
-def signature(values: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+def signature(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """An order-free 64-bit hash of each set."""
-    ends = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values + U64(seed)), dtype=U64)])
+    ends = np.concatenate([np.zeros(1, U64), np.cumsum(mix(values + U64(1)), dtype=U64)])
     return mix((ends[at[1:]] - ends[at[:-1]]) ^ (at[1:] - at[:-1]).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -214,9 +214,10 @@ class NearJoin:
         self.spark, self.k, self.t = docs.sparkSession, k, t
         self.partitions = parts(docs)
         plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                            F.col("text").cast("string").alias("text"))
+                            F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th"))
         self.rows = stored(plain.withColumn("rid", F.monotonically_increasing_id()), "docs")
-        both = stored(self.rows.mapInArrow(self._describe(), "rid long, doc_id long, n long, sid long, sid2 long, piece int, counts binary"), "sets")
+        both = stored(self.rows.mapInArrow(self._describe(), "rid long, doc_id long, th long, n long, sid long, piece int, counts binary"), "sets")
+        self.scratch = [self.rows, both]
         self.sets = both.where("counts IS NULL").drop("piece", "counts")
         self.counts = self._table(both.where("counts IS NOT NULL").select("piece", "counts"))
 
@@ -225,14 +226,13 @@ class NearJoin:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(SLOTS, np.int64)
-            names = ["rid", "doc_id", "n", "sid", "sid2", "piece", "counts"]
+            names = ["rid", "doc_id", "th", "n", "sid", "piece", "counts"]
             for b in slices(batches):
                 values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
                 counts += np.bincount(slot(values), minlength=SLOTS)
                 none = pa.nulls(b.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    b.column("rid"), b.column("doc_id"), pa.array(np.diff(at)), signed(signature(values, at, 1)),
-                    signed(signature(values, at, 2)), none, pa.nulls(b.num_rows, pa.binary())], names)
+                    b.column("rid"), b.column("doc_id"), b.column("th"), pa.array(np.diff(at)), signed(signature(values, at)), none, pa.nulls(b.num_rows, pa.binary())], names)
             if counts.any():
                 blobs = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.split(counts, PIECES)]
                 none = pa.nulls(PIECES, pa.int64())
@@ -267,7 +267,7 @@ class NearJoin:
             level, names = levels(counts.value), ["part", "entries", "sid", "n", "marks"]
             for b in slices(batches):
                 values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
-                sid, n = signature(values, at, 1), np.diff(at)
+                sid, n = signature(values, at), np.diff(at)
                 _, one = np.unique(sid, return_index=True)  # copies within the slice count once
                 one = one[n[one] > 0]
                 keys = order_keys(values, level)
@@ -343,7 +343,8 @@ class NearJoin:
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
         met = pairs.distinct().hint("merge").join(x, "a").hint("merge").join(y, "b").select("a", "b", "nx", "ny", "x", "y")
-        return stored(met.mapInArrow(run, "a long, b long"), "pairs")
+        self.scratch.append(out := stored(met.mapInArrow(run, "a long, b long"), "pairs"))
+        return out
 
     def _needed(self, rids: DataFrame) -> np.ndarray:
         """The bit table of row ids: ``PIECES`` rows come to the driver, 2 MB in all."""
@@ -368,6 +369,7 @@ class NearJoin:
         pairs = self._likely(pairs, lists)
         nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         first = stored(self.sets.select("sid", "rid").hint("merge").join(nodes, "sid").groupBy("sid").agg(F.min("rid").alias("rid")), "nodes")
+        self.scratch.append(first)
         needed = self.spark.sparkContext.broadcast(self._needed(first))
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,6 +383,7 @@ class NearJoin:
 
         texts = self.rows.select("rid", "text", F.pmod(F.xxhash64("rid"), F.lit(BITS)).cast("int").alias("at"))
         full = stored(texts.mapInArrow(grams, "rid long, grams binary").hint("merge").join(first, "rid").select("sid", "grams"), "grams")
+        self.scratch.append(full)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -402,7 +405,7 @@ class NearJoin:
         e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos")
              .join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
              .withColumn("label", F.coalesce("label", "sid")))
-        e = stored(e, "labelled")
+        self.scratch.append(e := stored(e, "labelled"))
         mixed = e.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
         e = e.join(mixed.select("gram", "m"), "gram")
 
@@ -428,17 +431,20 @@ class NearJoin:
         return usual.union(far)
 
     def groups(self) -> DataFrame:
-        """(rid, doc_id, n_shingles, component_id)."""
+        """(rid, doc_id, th, n_shingles, component_id, component_rid)."""
         lists = self._lists()
+        self.scratch.append(lists)
         links = self._verify(lists.where("a IS NOT NULL").select("a", "b"), lists)
         more = self._verify(self._rest(lists, components(links)), lists)
+        self.scratch += [links, more]
         labels = components(links.union(more))
         own = (self.sets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")))
-        own = stored(own.select("rid", "doc_id", "n", "label"), "own")
+        own = stored(own.select("rid", "doc_id", "th", "n", "label"), "own")
+        forget(*self.scratch)
         least = own.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("q"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("k"))
         return own.join(least, "label", "left").select(
-            "rid", "doc_id", F.col("n").alias("n_shingles"),
+            "rid", "doc_id", "th", F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("k.d")).otherwise(F.col("doc_id")).alias("component_id"),
             F.when(F.col("n") > 0, F.col("k.r")).otherwise(F.col("rid")).alias("component_rid"))
 
@@ -446,3 +452,8 @@ class NearJoin:
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     return NearJoin(docs, k, Threshold(percent)).groups().select("doc_id", "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with its own columns, the row with the smallest doc_id of every group."""
+    return only(docs, NearJoin(docs, k, Threshold(percent)).groups().where("rid = component_rid"))

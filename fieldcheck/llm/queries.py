@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, lm, pii, substring, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +59,11 @@ def op10_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup, pipeline)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
