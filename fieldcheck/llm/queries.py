@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, lm, pii, substring, tokenids
+from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, licenses, lm, pii, substring, tokenids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,10 @@ def op4_token_ids(spark, sf_dir):
     return tokenids.token_files(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup, pipeline)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op5_license_scan, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup, pipeline)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
