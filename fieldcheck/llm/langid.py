@@ -33,6 +33,8 @@ LONGEST = 24
 HIDDEN = 8
 EMBED = 8
 EPOCHS = 6
+#: Small samples are gone through more often, until so many steps are made.
+LEAST_STEPS = 240
 BATCH = 512
 UNKNOWN = "und"
 
@@ -123,14 +125,15 @@ class ByteGRU:
         rng, slot = np.random.default_rng(seed), {}
         steps = 0
         length = mask.sum(0)
-        for epoch in range(EPOCHS):
+        epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(length) // BATCH)))
+        for epoch in range(epochs):
             order = np.argsort(length + rng.random(len(length)) * 4, kind="stable")
             batches = np.array_split(order, max(1, -(-len(order) // BATCH)))
             for k in rng.permutation(len(batches)):
                 rows = batches[k]
                 steps += 1
                 top = max(1, int(length[rows].max()))
-                rate = 6e-3 * (1 - epoch / EPOCHS) + 5e-4
+                rate = 6e-3 * (1 - epoch / epochs) + 5e-4
                 for p, g in self._gradients(x[:top, rows], mask[:top, rows], target[rows], weight[rows]):
                     m, v = slot.setdefault(id(p), (np.zeros_like(p), np.zeros_like(p)))
                     m += 0.1 * (g - m)

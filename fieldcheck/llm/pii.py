@@ -74,7 +74,7 @@ KINDS = [
          0.7, re.compile(r"phone|call|tel|mobile|fax", re.I), needs="+"),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
          lambda s: 15 <= len(s.replace(" ", "")) <= 34 and mod97(s), 0.8, re.compile(r"iban|account|bank|konto|cuenta|compte", re.I), added=True),
-    Kind("card15", re.compile(r"(?<![0-9\x20-])[0-9](?:[\x20-]?[0-9]){14}(?![\x20-]?[0-9])"), lambda s: luhn(_digits(s)),
+    Kind("card15", re.compile(r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){14}(?![\x20-]?[0-9])"), lambda s: luhn(_digits(s)),
          0.5, re.compile(r"card|amex|credit|karte|tarjeta|carte", re.I), added=True),
 ]
 
