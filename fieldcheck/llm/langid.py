@@ -290,10 +290,13 @@ def train(texts: list[str], labels: list[str]) -> ByteGRU | None:
 def sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     """(lang, text): about ``per_lang`` labelled documents of each language, by the hash of their text."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each language comes to the driver, so that rows are picked where they are read.
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return known.select("lang", "text")
     # A share of the hash range first, so that no language is ever ordered as a whole.
-    bound = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")) * float(1 << 62)
-    near = (known.join(counts, "lang").where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) <= bound))
+    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * per_lang / n))])
+    near = known.where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) <= share[F.col("lang")] * float(1 << 62))
     top = Window.partitionBy("lang").orderBy("h", "text")
     return near.withColumn("k", F.row_number().over(top)).where(F.col("k") <= per_lang).select("lang", "text")
 
