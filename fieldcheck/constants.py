@@ -55,11 +55,6 @@ ADMIN_MAP = {
     "Alamat": [],
 }
 CLINICAL_VARS = list(CLINICAL_MAP)
-ADMIN_VARS = [
-    "NIK", "Nama Pasien", "No Telp", "Tgl.Lahir", "Alamat",
-    "Dokter / Tenaga Medis", "Diagnosa 1",
-    "Perawat / Bidan / Nutrisionist / Sanitarian",
-]
 NUMERIC_VARS = [*CLINICAL_VARS, "Umur Tahun"]
 FACILITY_CANDIDATES = [
     "PKM", "puskesmas_name", "puskesmas", "nama_puskesmas", "faskes", "faskes_name",

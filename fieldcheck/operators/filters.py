@@ -54,9 +54,9 @@ def parse_date_list(text: str | None) -> list[dt.date]:
 def exclude_dates(
     df: DataFrame, dates: str | Iterable[dt.date], day: str = "Tanggal"
 ) -> DataFrame:
-    """Rows of all days but the listed ones."""
+    """Rows of all days but the listed ones; rows without a day stay."""
     listed = parse_date_list(dates) if isinstance(dates, str) else list(dates)
-    return df.filter(~F.col(day).isin(listed)) if listed else df
+    return df.filter(F.col(day).isNull() | ~F.col(day).isin(listed)) if listed else df
 
 
 def focus_variable(
@@ -67,12 +67,14 @@ def focus_variable(
 
 
 def focus_date(df: DataFrame, day: dt.date | str | None, column: str = "Tanggal") -> DataFrame:
-    """Rows of one day when the data has that day, else all rows."""
+    """Rows of one day when the data has that day, else all rows.
+
+    One look at that day alone decides, so that the day stays a plain filter which prunes.
+    """
     if day is None:
         return df
-    day = _date(day)
-    present = df.agg(F.coalesce(F.bool_or(F.col(column) == day), F.lit(False))).scalar()
-    return df.filter((F.col(column) == day) | ~present)
+    one = df.filter(F.col(column) == _date(day))
+    return df if one.isEmpty() else one
 
 
 def latest_date_only(df: DataFrame, day: str = "Tanggal") -> DataFrame:

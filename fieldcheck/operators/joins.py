@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fieldcheck.operators.schema import unique_rules
+
 # A side is broadcast only when its row count is proven not to exceed this.
 BROADCAST_ROWS = 100_000
 
@@ -59,11 +61,12 @@ def with_rules(
     """Long values with the rule of their variable.
 
     Given the list of variables, at most that many rules are left and broadcast; for an
-    open set of variables the join is left to AQE.
+    open set of variables the join is left to AQE. The first rule of a variable counts.
     """
+    rules = unique_rules(rules)
     if variables is not None:
         rules = rules.filter(F.col("Variable").isin(list(variables)))
-    rules = rules.dropDuplicates(["Variable"]).withColumnRenamed("Variable", variable)
+    rules = rules.withColumnRenamed("Variable", variable)
     rules = small_side(rules, len(variables) if variables is not None else None)
     return long.join(rules, variable, "left")
 

@@ -30,9 +30,18 @@ def to_long(
     df: DataFrame, ids: Sequence[str], variables: Sequence[str],
     variable: str = "Variabel", value: str = "Value", parser: Parser | None = parse_strip,
 ) -> DataFrame:
-    """One row per record and variable. Values are parsed; as text with ``parser=None``."""
+    """One row per record and variable. Values are parsed; as text with ``parser=None``.
+
+    Without variables there are no rows.
+    """
     types = dtypes_of(df)
     ids = list(ids)
+    if not variables:
+        kind = "string" if parser is None else "double"
+        return df.select(
+            *[quoted(i) for i in ids], F.lit(None).cast("string").alias(variable),
+            F.lit(None).cast(kind).alias(value),
+        ).filter(F.lit(False))
     if parser is None:
         cells = [quoted(v).cast("string").alias(v) for v in variables]
     else:

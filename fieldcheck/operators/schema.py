@@ -57,12 +57,17 @@ def add_alias_cols(df: DataFrame, resolved: Mapping[str, str]) -> DataFrame:
     return df.withColumns(fresh) if fresh else df
 
 
-def apply_schema(df: DataFrame, parser: Parser = parse_strip) -> DataFrame:
-    """Friendly columns: ``Tanggal`` from ``day``, both maps, numbers parsed."""
+def friendly_columns(df: DataFrame) -> DataFrame:
+    """Friendly columns as they were written: ``Tanggal`` from ``day``, and both maps."""
     if "day" in df.columns and "Tanggal" not in df.columns:
         df = df.withColumn("Tanggal", F.col("day").cast("date"))
     df = add_alias_cols(df, resolve_columns(df.columns, CLINICAL_MAP))
-    df = add_alias_cols(df, resolve_columns(df.columns, ADMIN_MAP))
+    return add_alias_cols(df, resolve_columns(df.columns, ADMIN_MAP))
+
+
+def apply_schema(df: DataFrame, parser: Parser = parse_strip) -> DataFrame:
+    """Friendly columns with numbers parsed."""
+    df = friendly_columns(df)
     types = dtypes_of(df)
     numbers = {v: number_of(quoted(v), types[v], parser) for v in NUMERIC_VARS if v in types}
     return df.withColumns(numbers) if numbers else df
@@ -109,14 +114,11 @@ def numeric_like_columns(
     return counts.select(F.inline(rows)).filter("n_parsed > 0")
 
 
-def has_digit_columns(
-    df: DataFrame, n: int, keys: Sequence[str], columns: Sequence[str] | None = None
-) -> DataFrame:
-    """Variant of ``numeric_like_columns``: a digit in the first ``n`` rows ordered by ``keys``."""
+def has_digit_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Variant of ``numeric_like_columns``: columns with a digit in any row, one pass."""
     types = dtypes_of(df)
     columns = list(columns or df.columns)
-    head = df.select(*{*columns, *keys}).orderBy(*keys).limit(n)
-    hits = head.agg(*[
+    hits = df.agg(*[
         (F.lit(True) if is_numeric_type(types[c])
          else F.coalesce(F.bool_or(quoted(c).cast("string").rlike(r"\d")), F.lit(False)))
         .alias(f"_{i}")
@@ -164,11 +166,22 @@ def describe_columns(df: DataFrame, rsd: float = 0.05) -> DataFrame:
     )
 
 
-def project_safe(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Only the columns that may be stored, and the caller's ``keep``, none of them raw PII."""
-    if set(keep) & set(PII_COLUMNS):
-        raise ValueError("raw identifiers cannot be kept")
-    return df.select(*SAFE_COLUMNS, *keep)
+def project_safe(
+    df: DataFrame, keep: Sequence[str] = (), refused: Iterable[str] = ()
+) -> DataFrame:
+    """Only the columns that may be stored, and the caller's ``keep``.
+
+    Spark ignores the case of names, and friendly names spell the same column in another way, so
+    raw identifiers and ``refused`` are recognized by their normalized names.
+    """
+    raw = {norm_name(c) for c in (*PII_COLUMNS, *refused)}
+    safe = {c.lower() for c in SAFE_COLUMNS}
+    for c in keep:
+        if norm_name(c) in raw:
+            raise ValueError(f"raw identifiers cannot be kept: {c}")
+        if c.lower() in safe or sum(c.lower() == k.lower() for k in keep) > 1:
+            raise ValueError(f"column is kept already: {c}")
+    return df.select(*SAFE_COLUMNS, *[quoted(c) for c in keep])
 
 
 def rename_for_print(df: DataFrame, labels: Mapping[str, str] = PRINT_LABELS) -> DataFrame:
@@ -176,14 +189,17 @@ def rename_for_print(df: DataFrame, labels: Mapping[str, str] = PRINT_LABELS) ->
     return df.withColumnsRenamed({c: labels[c] for c in df.columns if c in labels})
 
 
-def clip_value(x: Column, low: float, high: float) -> tuple[Column, Column]:
-    """The value inside the rule or NULL, and the flag that it was outside."""
-    out = F.coalesce((x < low) | (x > high), F.lit(False))
+Rule = tuple[float | None, float | None]
+
+
+def clip_value(x: Column, low: float | None, high: float | None) -> tuple[Column, Column]:
+    """The value inside the rule or NULL, and the flag that it was outside; an end may be open."""
+    out = F.coalesce((x < F.lit(low)) | (x > F.lit(high)), F.lit(False))
     return F.when(~out, x), out
 
 
 def clip_to_null(
-    df: DataFrame, rules: Mapping[str, tuple[float, float]],
+    df: DataFrame, rules: Mapping[str, Rule],
     parser: Parser = parse_first_number, flag_prefix: str = "out_",
 ) -> DataFrame:
     """Numbers outside their rule become NULL and set ``out_<variable>``; non-numbers too."""
@@ -196,20 +212,45 @@ def clip_to_null(
     return df.withColumns(new) if new else df
 
 
-def rules_by_variable(
-    rules: DataFrame, variables: Sequence[str]
-) -> dict[str, tuple[float, float]]:
-    """Rules of the given variables on the driver: at most one row for each of them."""
+def unique_rules(rules: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One rule per variable: the first by ``order_col``, else the first in the table's order."""
+    if order_col is None:
+        rules, order_col = rules.withColumn("_order", F.monotonically_increasing_id()), "_order"
+    best = F.min_by(F.struct("min_ok", "max_ok"), F.col(order_col))
+    return (
+        rules.filter(F.col("Variable").isNotNull())
+        .groupBy("Variable").agg(best.alias("_rule"))
+        .select("Variable", "_rule.min_ok", "_rule.max_ok")
+    )
+
+
+def rules_by_variable(rules: DataFrame, variables: Sequence[str]) -> dict[str, Rule]:
+    """Rules of the given variables on the driver: at most one row for each of them.
+
+    The first rule of a variable counts, with one end open if it has only the other.
+    """
     rows = (
-        rules.filter(F.col("Variable").isin(list(variables)))
-        .filter("min_ok IS NOT NULL AND max_ok IS NOT NULL")
-        .dropDuplicates(["Variable"]).limit(len(variables)).collect()
+        unique_rules(rules).filter(F.col("Variable").isin(list(variables)))
+        .filter("min_ok IS NOT NULL OR max_ok IS NOT NULL").collect()
     )
     found = {r["Variable"]: (r["min_ok"], r["max_ok"]) for r in rows}
     return {v: found[v] for v in variables if v in found}
 
 
-def clean(df: DataFrame, rules: DataFrame | Mapping[str, tuple[float, float]]) -> DataFrame:
+def at_stage(
+    df: DataFrame, stage: str, rules: DataFrame | Mapping[str, Rule] | None
+) -> DataFrame:
+    """The table as it is (``raw``), or with values outside the rules removed (``clipped``)."""
+    if stage == "raw":
+        return df
+    if stage != "clipped" or rules is None:
+        raise ValueError(f"stage must be raw, or clipped with rules: {stage}")
+    if isinstance(rules, DataFrame):
+        rules = rules_by_variable(rules, df.columns)
+    return clip_to_null(df, rules)
+
+
+def clean(df: DataFrame, rules: DataFrame | Mapping[str, Rule]) -> DataFrame:
     """Friendly columns with values outside the rules removed and flagged."""
     df = apply_schema(df)
     if isinstance(rules, DataFrame):

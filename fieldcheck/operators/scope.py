@@ -39,8 +39,17 @@ def resolve_day(df: DataFrame, selected: dt.date) -> DataFrame:
 
 
 def resolved_date(df: DataFrame, selected: dt.date) -> dt.date | None:
-    """``resolve_day`` as a value, so that later scans can prune partitions by it."""
-    return resolve_day(df, selected).first()["resolved_day"]
+    """``resolve_day`` as a value, so that later scans can prune partitions by it.
+
+    The selected day is looked at first, then a month to both sides, and all days only when
+    those hold nothing: the nearest day of a window that reaches as far on both sides is the
+    nearest of all.
+    """
+    if not filter_days(df, selected, selected).isEmpty():
+        return selected
+    near = filter_days(df, selected - 31 * ONE_DAY, selected + 31 * ONE_DAY)
+    found = resolve_day(near, selected).first()["resolved_day"]
+    return found or resolve_day(df, selected).first()["resolved_day"]
 
 
 def range_window(a: dt.date, b: dt.date) -> Window:
@@ -119,6 +128,8 @@ class Scope:
 
 def scope_frame(df: DataFrame, scope: Scope) -> DataFrame:
     """The visits of a scope; only this scope is built, the others are never computed."""
+    if scope.kind not in ("day", "week", "month", "range", "range_pair"):
+        raise ValueError(f"unknown scope {scope.kind}")
     if scope.kind == "range":
         return window_frame(df, scope.range())
     if scope.kind == "range_pair":
@@ -132,9 +143,7 @@ def scope_frame(df: DataFrame, scope: Scope) -> DataFrame:
         return day_frame(df, day)
     if scope.kind == "week":
         return window_frame(df, week_window(day))
-    if scope.kind == "month":
-        return window_frame(df, month_window(day))
-    raise ValueError(f"unknown scope {scope.kind}")
+    return window_frame(df, month_window(day))
 
 
 def scope_label(scope: Scope, resolved: dt.date | None = None) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,8 +19,10 @@ from fieldcheck.operators.filters import (
 )
 from fieldcheck.operators.joins import with_denominator
 from fieldcheck.operators.reshape import distinct_rows, to_long, to_wide, union_frames
-from fieldcheck.operators.schema import Parser, dtypes_of, quoted
-from fieldcheck.sources.sinks import stored
+from fieldcheck.operators.schema import (
+    Parser, Rule, apply_schema, at_stage, dtypes_of, friendly_columns, guess_date_col,
+    numeric_like_columns, quoted,
+)
 
 BY_DAY = ("Tanggal", "Variabel")
 BY_VARIABLE = ("Variabel",)
@@ -31,16 +33,44 @@ AVERAGE_ROW = "Average"
 _FIRST_TENTH = 10
 
 
+def choose_variables(
+    df: DataFrame, variables: Sequence[str], exclude: Sequence[str] = HEAPING_EXCLUDED,
+    parser: Parser = parse_strip,
+) -> list[str]:
+    """The wanted variables that exist; when there are none, the numeric-like columns.
+
+    Only the fallback looks at the data, in one aggregate over all rows.
+    """
+    present = [v for v in variables if v in df.columns and v not in exclude]
+    if present:
+        return present
+    found = {r["column"] for r in numeric_like_columns(df, df.columns, parser).collect()}
+    return [c for c in df.columns if c in found and c not in exclude]
+
+
+def dated(df: DataFrame, day: str = "Tanggal") -> DataFrame:
+    """The table with its date column as ``day``, guessed from the names where it is absent."""
+    if day in df.columns:
+        return df.withColumn(day, F.col(day).cast("date"))
+    guess = guess_date_col(df.columns)
+    return df.withColumn(day, quoted(guess).cast("date") if guess else F.lit(None).cast("date"))
+
+
 def heaping_long(
     df: DataFrame, variables: Sequence[str], day: str | None = "Tanggal",
     exclude: Sequence[str] = HEAPING_EXCLUDED, parser: Parser = parse_strip,
-    ids: Sequence[str] = (),
+    ids: Sequence[str] = (), stage: str = "raw",
+    rules: DataFrame | Mapping[str, Rule] | None = None,
 ) -> DataFrame:
-    """Parsed values in long form without empty ones and without the excluded variables."""
+    """Parsed values in long form without empty ones and without the excluded variables.
+
+    ``stage="clipped"`` leaves out values outside ``rules``. Absent variables give no rows.
+    """
+    df = at_stage(df, stage, rules)
     used = [v for v in variables if v in df.columns and v not in exclude]
     keys = [*([day] if day else []), *[i for i in ids if i in df.columns]]
     if day:
-        df = df.withColumn(day, F.col(day).cast("date")).filter(F.col(day).isNotNull())
+        df = dated(df, day).filter(F.col(day).isNotNull())
     long = to_long(df, keys, used, parser=parser)
     return long.filter(F.col("Value").isNotNull() & ~F.isnan("Value"))
 
@@ -189,7 +219,11 @@ def heaping_labels(daily: DataFrame, latest_only: bool = False) -> DataFrame:
         F.col("Total_Preferred_Prop").alias("pct"),
         F.col("Total_pref_n").alias("num"), F.col("Total_n").alias("den"),
     )
-    return latest_date_only(labels) if latest_only else labels
+    if not latest_only:
+        return labels
+    # Labels are days by variables: a short table, of which the last day is kept in one pass.
+    last = F.max("Tanggal").over(Window.partitionBy(F.lit(1)))
+    return labels.withColumn("_last", last).filter("Tanggal = _last").drop("_last")
 
 
 def average_labels(labels: DataFrame, average: str = "ratio") -> DataFrame:
@@ -209,21 +243,38 @@ def average_labels(labels: DataFrame, average: str = "ratio") -> DataFrame:
     return rows.select("Tanggal", F.lit(AVERAGE_ROW).alias("Variabel"), label.alias("label"))
 
 
+def with_average(labels: DataFrame, average: str = "ratio") -> DataFrame:
+    """Labels and ``average_labels`` as one table, from windows over the short label table."""
+    day = Window.partitionBy("Tanggal")
+    if average == "mean":
+        pct = r_round(F.avg("pct").over(day), 2)
+        label = F.coalesce(F.format_string("%.2f%%", pct), F.lit("-"))
+    elif average in ("ratio", "ratio_nonzero"):
+        skip = average == "ratio_nonzero"
+        counted = (F.col("num") > 0) & (F.col("den") > 0) if skip else F.lit(True)
+        num, den = (F.sum(F.when(counted, F.col(c))).over(day) for c in ("num", "den"))
+        share = F.when(den > 0, r_round(F.lit(100.0) * num / den, 2))
+        label = F.when(F.count_if(counted).over(day) > 0, fmt_share_label(share, num, den))
+    else:
+        raise ValueError(f"unknown average {average}")
+    first = F.row_number().over(day.orderBy("Variabel")) == 1
+    rows = labels.withColumns({"_average": label, "_first": first})
+    own = F.struct(F.col("Variabel"), F.col("label"))
+    mean = F.struct(F.lit(AVERAGE_ROW).alias("Variabel"), F.col("_average").alias("label"))
+    both = F.when(F.col("_first") & F.col("_average").isNotNull(), F.array(own, mean))
+    return rows.select("Tanggal", F.inline(F.coalesce(both, F.array(own))))
+
+
 def heaping_pivot(
     labels: DataFrame, average: str = "ratio", fill: str | None = "-",
     days: Sequence[dt.date] | None = None,
 ) -> DataFrame:
-    """Variables by dates, and an average row: both pivoted in one go.
+    """Variables by dates, and an average row: both pivoted from one pass over the labels.
 
-    Without ``days`` the labels (days by variables) are stored first, because listing the
-    days and pivoting would otherwise each start from the visits.
+    Give the ``days`` of the scope's window where they are known; without them Spark lists the
+    days first, which reads the labels' source once more.
     """
-    if days is None:
-        labels = stored(labels, "labels")
-    rows = union_frames(
-        labels.select("Tanggal", "Variabel", "label"), average_labels(labels, average)
-    )
-    wide = to_wide(rows, days, fill)
+    wide = to_wide(with_average(labels, average), days, fill)
     return wide.orderBy((F.col("Variabel") == AVERAGE_ROW), "Variabel")
 
 
@@ -249,12 +300,18 @@ def heaping_trend(
     return kept.select("Tanggal", "Variabel", "Total_Preferred_Prop", value.alias("Average_Prop"))
 
 
+NA_SCHEMA = (
+    "Variabel string, n bigint, n_nonNA bigint, n_NA bigint, prop_NA double, min double, max double"
+)
+
+
 def na_scan(df: DataFrame, variables: Sequence[str], parser: Parser = parse_strip) -> DataFrame:
     """Rows, filled, empty, percent empty and extremes of the parsed variables."""
     types = dtypes_of(df)
-    parsed = df.select(*[
-        number_of(quoted(v), types[v], parser).alias(v) for v in variables if v in types
-    ])
+    present = [v for v in variables if v in types]
+    if not present:
+        return df.sparkSession.createDataFrame([], NA_SCHEMA)
+    parsed = df.select(*[number_of(quoted(v), types[v], parser).alias(v) for v in present])
     return null_counts(parsed, parsed.columns)
 
 
@@ -264,7 +321,8 @@ def parse_audit(
 ) -> DataFrame:
     """Different written values that are no number, with the identifiers they occur under."""
     ids = [i for i in ids if i in df.columns]
-    long = to_long(df, ids, variables, value="Original", parser=None)
+    present = [v for v in variables if v in df.columns]
+    long = to_long(df, ids, present, value="Original", parser=None)
     failed = parse_failures(long.withColumn("Parsed", parser("Original")))
     return distinct_rows(failed.select(*ids, "Variabel", "Original"))
 
@@ -274,21 +332,24 @@ def heaping_steps(
     variable: str | None = None, day: dt.date | None = None, latest_only: bool = False,
     staff: str = "Perawat / Bidan / Nutrisionist / Sanitarian",
 ) -> dict[str, DataFrame]:
-    """All step tables of the heaping report by name.
+    """All step tables of the heaping report by name, from a table as it was read.
 
-    The slot counts (at most 21 rows per day and variable) are stored once; six of the nine
-    tables are made of them and do not read the visits again.
+    Friendly columns are resolved here: the audit sees what was written, the other steps what
+    was parsed. Without any of the variables the numeric-like columns are used. Nothing is
+    written; six of the nine tables come from slot counts (at most 21 rows per day and variable).
     """
-    ids = ["Tanggal", *[c for c in (staff,) if c in df.columns]]
-    long = focus_variable(heaping_long(df, variables, ids=ids[1:]), variable)
+    written, parsed = dated(friendly_columns(df)), dated(apply_schema(df))
+    variables = choose_variables(parsed, variables, ())
+    ids = ["Tanggal", *[c for c in (staff,) if c in parsed.columns]]
+    long = focus_variable(heaping_long(parsed, variables, ids=ids[1:]), variable)
     long = focus_date(long, day)
-    slots = stored(slot_counts(long, BY_DAY), "slots")
+    slots = slot_counts(long, BY_DAY)
     ints, decs = split_buckets(buckets_of(slots))
     daily = heaping_of(slots)
     labels = heaping_labels(daily, latest_only)
     return {
-        "Step1_NA_Summary": na_scan(df, variables),
-        "Step1_Audit": parse_audit(df, variables, ids),
+        "Step1_NA_Summary": na_scan(parsed, variables),
+        "Step1_Audit": parse_audit(written, variables, ids),
         "Step2_df_long": with_digits(long),
         "Step3_int_counts": ints,
         "Step3_int_full": int_summary(daily),

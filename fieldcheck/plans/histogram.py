@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldcheck.constants import BIN_PADDING
 from fieldcheck.functions.numbers import number_of, parse_first_number, r_round, round2
 from fieldcheck.operators.aggregates import quantiles, value_counts
 from fieldcheck.operators.joins import small_side, with_rules
 from fieldcheck.operators.ranking import shared_max, top_bins
-from fieldcheck.operators.schema import Parser, dtypes_of, quoted
+from fieldcheck.operators.schema import Parser, at_stage, dtypes_of, quoted
 
 # A value this close below a break belongs to the bin above it, as a share of the width.
 _FUZZ = 1e-7
+# Bins that are made from one row, and such rows that are made from one row before.
+_BLOCK = 256
+_BLOCKS = 65_536
+
+HISTOGRAM_SCHEMA = T.StructType([
+    T.StructField("Variable", T.StringType()), T.StructField("bin", T.LongType()),
+    T.StructField("left", T.DoubleType()), T.StructField("right", T.DoubleType()),
+    T.StructField("count", T.LongType()), T.StructField("percent", T.DoubleType()),
+    T.StructField("N", T.LongType()), T.StructField("median", T.DoubleType()),
+    T.StructField("mean", T.DoubleType()), T.StructField("binwidth", T.DoubleType()),
+])
 
 
 def numbers_long(
@@ -92,7 +103,11 @@ def _binned(
     counts: DataFrame, keys: Sequence[str], variables: Sequence[str], binwidth: float | None,
     clamp: str, probs: tuple[float, float], rules: DataFrame | None,
 ) -> DataFrame:
-    """All bins of every group, empty ones too, with count, group size, median and mean."""
+    """All bins of every group, empty ones too, with count, group size, median and mean.
+
+    One far value can stretch a histogram over billions of bins. They are made in blocks that
+    are spread over tasks; the filled bins of a block (``_BLOCK`` at most) travel with it.
+    """
     keys = list(keys)
     ends = limits(counts, variables, clamp, probs, rules)
     # One row per variable.
@@ -110,27 +125,46 @@ def _binned(
     bound = len(variables) * (2 if len(keys) > 1 else 1)
     middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)
     groups = sums.join(small_side(middle, bound), keys).join(grid, "Variable")
-    frame = groups.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)))
+    held = filled.groupBy(*keys, F.floor(F.col("bin") / _BLOCK).alias("_block")).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_held"))
+    blocks = _upto(_upto(groups, F.ceil(F.col("bins") / (_BLOCK * _BLOCKS)), "_outer", 0),
+                   F.ceil(F.col("bins") / _BLOCK), "_block", F.col("_outer") * _BLOCKS, _BLOCKS)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(tasks, *keys, "_block").join(held, [*keys, "_block"], "left")
+    frame = _upto(blocks, F.col("bins"), "bin", F.col("_block") * _BLOCK, _BLOCK)
     left = (F.col("first") + F.col("bin")) * w
-    return frame.join(filled, [*keys, "bin"], "left").select(
-        *keys, "bin", left.alias("left"), (left + w).alias("right"),
-        F.coalesce(F.col("count"), F.lit(0)).alias("count"),
-        (F.lit(100.0) * F.coalesce(F.col("count"), F.lit(0)) / F.col("N")).alias("percent"),
+    count = F.coalesce(F.try_element_at("_held", F.col("bin")), F.lit(0))
+    return frame.select(
+        *keys, "bin", left.alias("left"), (left + w).alias("right"), count.alias("count"),
+        (F.lit(100.0) * count / F.col("N")).alias("percent"),
         "N", round2("median").alias("median"), round2("mean").alias("mean"), "binwidth",
     )
 
 
+def _upto(df: DataFrame, end: Column, name: str, start: Column | int, most: int | None = None) -> DataFrame:
+    """A row for each number from ``start`` below ``end``, ``most`` of them at the highest."""
+    start = F.lit(start).cast("bigint")
+    last = end.cast("bigint") - 1
+    if most is not None:
+        last = F.least(last, start + (most - 1))
+    return df.withColumn(name, F.explode(F.sequence(start, last)))
+
+
 def histogram(
     df: DataFrame, variables: Sequence[str], binwidth: float | None = None,
     clamp: str = "data", probs: tuple[float, float] = (0.01, 0.99),
-    rules: DataFrame | None = None, parser: Parser = parse_first_number,
+    rules: DataFrame | None = None, parser: Parser = parse_first_number, stage: str = "raw",
 ) -> DataFrame:
     """Bins of each variable, left-closed, breaks at multiples of the bin width.
 
     Without a positive ``binwidth`` it is chosen per variable. Values are counted once per
-    different value; window, bins, median and mean all come from those counts.
+    different value; window, bins, median and mean all come from those counts. With
+    ``stage="clipped"`` values outside ``rules`` are left out. Absent variables give no rows.
     """
     variables = [v for v in variables if v in df.columns]
+    if not variables:
+        return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
+    df = at_stage(df, stage, rules)
     counts = value_counts(numbers_long(df, variables, parser), ["Variable"])
     return _binned(counts, ["Variable"], variables, binwidth, clamp, probs, rules)
 
@@ -138,17 +172,37 @@ def histogram(
 def histogram_compare(
     current: DataFrame, previous: DataFrame, variable: str, binwidth: float = 1.0,
     clamp: str = "data", probs: tuple[float, float] = (0.01, 0.99),
-    rules: DataFrame | None = None, parser: Parser = parse_first_number,
+    rules: DataFrame | None = None, parser: Parser = parse_first_number, stage: str = "raw",
 ) -> DataFrame:
     """Histograms of two windows on the same bins, with the fullest bin of both."""
-    both = numbers_long(current, [variable], parser).withColumn("period", F.lit("Current"))
-    before = numbers_long(previous, [variable], parser).withColumn("period", F.lit("Previous"))
-    counts = value_counts(both.unionByName(before), ["period", "Variable"])
+    if variable not in current.columns or variable not in previous.columns:
+        return _no_periods(current)
+    keep = [quoted(variable)]
+    both = current.select(*keep, F.lit("Current").alias("period")).unionByName(
+        previous.select(*keep, F.lit("Previous").alias("period")))
+    return histogram_periods(both, variable, binwidth, clamp, probs, rules, parser, stage)
+
+
+def histogram_periods(
+    df: DataFrame, variable: str, binwidth: float = 1.0, clamp: str = "data",
+    probs: tuple[float, float] = (0.01, 0.99), rules: DataFrame | None = None,
+    parser: Parser = parse_first_number, stage: str = "raw", period: str = "period",
+) -> DataFrame:
+    """``histogram_compare`` of one table with a period column, such as a ``range_pair`` scope: one scan."""
+    if variable not in df.columns:
+        return _no_periods(df)
+    df = at_stage(df, stage, rules)
+    counts = value_counts(numbers_long(df, [variable], parser, period), ["period", "Variable"])
     width = binwidth if binwidth and binwidth > 0 else 1.0
     bins = _binned(counts, ["period", "Variable"], [variable], width, clamp, probs, rules)
     return shared_max(bins)
 
 
+def _no_periods(df: DataFrame) -> DataFrame:
+    fields = [T.StructField("period", T.StringType()), *HISTOGRAM_SCHEMA.fields]
+    return shared_max(df.sparkSession.createDataFrame([], T.StructType(fields)))
+
+
 def top_bins_report(
     hist: DataFrame, n: int, digits: int = 1, keys: Sequence[str] = ("Variable",)
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from fieldcheck.operators.joins import with_rules
 from fieldcheck.operators.ranking import order_desc
 from fieldcheck.operators.reshape import to_long
 from fieldcheck.operators.schema import (
-    Parser, clip_to_null, dtypes_of, quoted, rules_by_variable,
+    Parser, Rule, clip_to_null, dtypes_of, quoted, rules_by_variable,
 )
 
 
@@ -100,7 +100,7 @@ def outlier_counts(log: DataFrame, unit: str = "poliruangan") -> DataFrame:
 
 
 def strict_drop_log(
-    df: DataFrame, rules: DataFrame | Mapping[str, tuple[float, float]],
+    df: DataFrame, rules: DataFrame | Mapping[str, Rule],
     variables: Sequence[str], row_id: str, ids: Sequence[str] | None = None,
     parser: Parser = parse_first_number,
 ) -> DataFrame:

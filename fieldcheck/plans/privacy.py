@@ -13,7 +13,7 @@ from fieldcheck.constants import (
 )
 from fieldcheck.functions.text import (
     digits_only, has_digit_run, id_length_ok, is_present, mask_tail, matches_or_null,
-    normalize_person, normalize_phone, phone_length_ok, pseudonym, salted_hash,
+    norm_name, normalize_person, normalize_phone, phone_length_ok, pseudonym, salted_hash,
 )
 from fieldcheck.operators.filters import any_present
 from fieldcheck.operators.ranking import preview
@@ -34,6 +34,10 @@ class Salts:
             raise ValueError("every salt must be set")
 
 
+#: Cleaned identifiers, which never leave ``anonymize``.
+HELPERS = ("_nik", "_phone", "_doctor", "_staff")
+
+
 def _filled(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
@@ -74,7 +78,7 @@ def anonymize(
     ``keep`` names further columns without personal data to carry along.
     """
     cleaned = ensure_columns(df).withColumns(cleaned_identifiers(map_country_code))
-    return project_safe(cleaned.withColumns(safe_identifiers(salts)), keep)
+    return project_safe(cleaned.withColumns(safe_identifiers(salts)), keep, HELPERS)
 
 
 FORMATS = {
@@ -87,11 +91,15 @@ FORMATS = {
 }
 
 
-def format_ok(column: str) -> Column:
-    """The column's text has one of its allowed forms; NULL passes."""
+#: Masked column whose printed name is a spelling of the raw column.
+FRIENDLY_MASKS = {"nik": "nik_masked", "no_telp": "phone_masked"}
+
+
+def format_ok(column: str, name: str | None = None) -> Column:
+    """The text of ``name`` (else of the column) has one of the column's allowed forms; NULL passes."""
     ok = F.lit(False)
     for pattern in FORMATS[column]:
-        ok = ok | matches_or_null(quoted(column), pattern)
+        ok = ok | matches_or_null(quoted(name or column).cast("string"), pattern)
     return ok
 
 
@@ -101,8 +109,10 @@ def pii_audit(
 ) -> DataFrame:
     """``check, column, violations, ok``: forbidden and required columns, formats, digit runs.
 
-    Column presence is known from the schema; all row checks are one aggregate. Hash columns
-    are left out of the digit-run check as far as their values are well-formed hashes.
+    Column presence is known from the schema; all row checks are one aggregate. Forbidden names
+    are met in any spelling (``Nama Pasien``, ``nama_pasien``); a friendly name of a masked column,
+    such as ``NIK``, is allowed as far as its values are masked. Hash columns are left out of the
+    digit-run check as far as their values are well-formed hashes.
     """
     rows, aggs = [], []
 
@@ -111,7 +121,12 @@ def pii_audit(
         aggs.append(violations.cast("bigint").alias(rows[-1][2]))
 
     for c in forbidden:
-        add("forbidden_absent", c, F.max(F.lit(1 if c in df.columns else 0)))
+        met = [d for d in df.columns if norm_name(d) == norm_name(c)]
+        masked = FRIENDLY_MASKS.get(c)
+        if masked and met and c not in [d.lower() for d in met if d == d.lower()]:
+            add("forbidden_absent", c, sum((F.count_if(~format_ok(masked, d)) for d in met), F.lit(0)))
+        else:
+            add("forbidden_absent", c, F.max(F.lit(len(met))))
     for c in required:
         add("required_present", c, F.max(F.lit(0 if c in df.columns else 1)))
     for c in FORMATS:

@@ -6,12 +6,12 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldcheck.constants import SOURCE_ZONE, WANTED_COLUMNS
-from fieldcheck.operators.aggregates import max_day
 from fieldcheck.operators.filters import filter_days
 from fieldcheck.operators.reshape import distinct_rows
+from fieldcheck.operators.schema import quoted
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts, anonymize
 from fieldcheck.sources.readers import scan_minimal
@@ -20,65 +20,102 @@ from fieldcheck.sources.sinks import append_cache
 FIRST_DAY = dt.date(2025, 9, 1)
 
 
+#: What Spark says of a folder that does not exist, or that holds no file yet.
+NOT_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The cached table, or None before the first refresh."""
+    """The cached table, or None before the first refresh. Any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in NOT_YET:
+            raise
         return None
 
 
-def new_start(
-    cache: DataFrame | None, start: dt.date, reload_days: int = 0
-) -> dt.date:
-    """First day to fetch: the day after the last cached one, ``reload_days`` earlier."""
-    if cache is None:
-        return start
-    last = max_day(cache).first()["max_day"]
-    if last is None or last < start:
-        return start
-    return max(start, last + dt.timedelta(days=1 - reload_days))
+def cached_days(spark: SparkSession, path: str) -> list[dt.date]:
+    """The days of the cache, ascending, from the names of its partition folders: no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    days = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("day="):
+            try:
+                days.append(dt.date.fromisoformat(name.removeprefix("day=")))
+            except ValueError:
+                continue
+    return sorted(days)
+
+
+def days_to_fetch(
+    cached: Sequence[dt.date], start: dt.date, today: dt.date, reload_days: int = 1
+) -> list[dt.date]:
+    """Every day that the cache lacks, and the last ``reload_days`` calendar days up to its last one.
+
+    A facility that uploads a late day early does not lock the others out: days without a
+    partition are fetched whatever the last cached day is.
+    """
+    held = {d for d in cached if start <= d <= today}
+    days = [start + dt.timedelta(days=i) for i in range((today - start).days + 1)]
+    again = max(held) - dt.timedelta(days=reload_days) if held else None
+    return [d for d in days if d not in held or (d > again and d <= max(held))]
 
 
 def fetch(
-    source: DataFrame, start: dt.date, end: dt.date, salts: Salts, zone: str = SOURCE_ZONE
+    source: DataFrame, days: Sequence[dt.date], salts: Salts, zone: str = SOURCE_ZONE
 ) -> DataFrame:
-    """Anonymized visits of the days from start to end."""
-    visits = filter_days(with_times(scan_minimal(source, WANTED_COLUMNS, ()), zone), start, end)
+    """Anonymized visits of the days."""
+    visits = with_times(scan_minimal(source, WANTED_COLUMNS, ()), zone)
+    visits = filter_days(visits, min(days), max(days)).filter(F.col("day").isin(list(days)))
     return anonymize(visits, salts)
 
 
+def fingerprint(columns: Sequence[str]) -> Column:
+    """A digest of a whole row; NULL and text are told apart."""
+    return F.sha2(F.concat_ws("\u001f", *[
+        F.coalesce(F.concat(F.lit("v"), quoted(c).cast("string")), F.lit("n")) for c in columns]), 256)
+
+
 def unseen_rows(
     fresh: DataFrame, cache: DataFrame | None, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Distinct fresh rows that the cache does not hold, compared whole or by ``keys``.
 
-    Copies are removed first, task by task, so that many copies of one row never meet in the
-    join.
+    Whole rows are compared by day and fingerprint. Copies are removed first, task by task, so
+    that many copies of one row never meet in the join, which reuses their partitioning; of the
+    stored rows only day and fingerprint are shuffled.
     """
-    distinct = distinct_rows(fresh, keys)
-    if cache is None:
-        return distinct
     if keys:
-        return distinct.join(cache.select(*keys), list(keys), "left_anti")
-    return distinct.subtract(cache.select(*fresh.columns))
+        distinct = distinct_rows(fresh, keys)
+        return distinct if cache is None else distinct.join(cache.select(*keys), list(keys), "left_anti")
+    same = fingerprint(fresh.columns).alias("_row")
+    distinct = fresh.select("*", same).dropDuplicates(["day", "_row"])
+    if cache is not None:
+        distinct = distinct.join(cache.select("day", same), ["day", "_row"], "left_anti")
+    return distinct.drop("_row")
 
 
 def incremental_refresh(
     spark: SparkSession, source: DataFrame, path: str, salts: Salts, today: dt.date,
-    start: dt.date = FIRST_DAY, reload_days: int = 0, keys: Sequence[str] | None = None,
+    start: dt.date = FIRST_DAY, reload_days: int = 1, keys: Sequence[str] | None = None,
     zone: str = SOURCE_ZONE,
 ) -> DataFrame:
     """Fetch the days the cache lacks, anonymize, append what is new; returns the cache.
 
-    Only days from the new start on are compared with the cache, which prunes its other
+    Days without a partition are fetched whatever the last cached day is; ``reload_days`` says
+    how many days up to the last cached one are looked at again, to admit rows that came late
+    (1: the last day itself). Only these are compared with the cache, which prunes its other
     partitions. Rows already stored are never appended again, so a rerun changes nothing.
-    ``reload_days`` also looks at the last cached days, to admit rows that came late.
     """
-    cache = read_cache(spark, path)
-    first = new_start(cache, start, reload_days)
-    if first <= today:
-        fresh = fetch(source, first, today, salts, zone)
-        seen = None if cache is None else filter_days(cache, first, today)
-        append_cache(unseen_rows(fresh, seen, keys), path)
+    held = cached_days(spark, path)
+    days = days_to_fetch(held, start, today, reload_days)
+    if days:
+        again = [d for d in days if d in set(held)]
+        cache = read_cache(spark, path) if again else None
+        seen = None if cache is None else cache.filter(F.col("day").isin(again))
+        append_cache(unseen_rows(fetch(source, days, salts, zone), seen, keys), path)
     return spark.read.parquet(path)

@@ -209,22 +209,24 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.has_digit_run("text").alias("digit_run"))
 
 
-@query("c25_format_tests", f"""WITH {VISITS_SQL}, d AS (
-  SELECT id_kunjungan, nullif({digits_sql('nik')}, '') AS nik, nullif({digits_sql('no_telp')}, '') AS phone,
-         nullif({person_sql('dokter_tenaga_medis')}, '') AS doctor FROM visits)
-SELECT id_kunjungan, true AS nik_masked, true AS phone_masked, true AS nik_hash, true AS phone_hash,
-       true AS dokter_pseudo, true AS staff_pseudo,
-       (nik IS NULL OR regexp_matches(nik, '^•+\\d{{4}}$')) AS raw_nik,
-       (doctor IS NULL OR regexp_matches(doctor, '^[DS]-[0-9a-f]{{8}}$')) AS raw_doctor FROM d""")
-def _(spark, sf):
-    raw = core(spark, sf).withColumns({
-        "raw_nik": X.matches_or_null(F.nullif(X.digits_only("nik"), F.lit("")), r"^•+\d{4}$"),
-        "raw_doctor": X.matches_or_null(
-            F.nullif(X.normalize_person("dokter_tenaga_medis"), F.lit("")), r"^[DS]-[0-9a-f]{8}$"),
-    })
-    kept = ["id_kunjungan", "raw_nik", "raw_doctor"]
-    safe = anonymize(raw, SALTS, keep=kept)
-    return safe.select(*kept, *[format_ok(c).alias(c) for c in FORMATS])
+_shapes = {"nik_masked": "nik", "phone_masked": "no_telp", "nik_hash": "nama_pasien", "phone_hash": "file_name",
+           "dokter_pseudo": "dokter_tenaga_medis", "staff_pseudo": "diagnosa_1"}
+_shape_sql = {"nik_masked": "^(•+\\d{4}|•+)$", "phone_masked": "^(•+\\d{3}|•+)$", "nik_hash": "^[0-9a-f]{64}$",
+              "phone_hash": "^[0-9a-f]{64}$", "dokter_pseudo": "^[DS]-[0-9a-f]{8}$", "staff_pseudo": "^[DS]-[0-9a-f]{8}$"}
+_made = {"nik_masked": "CASE WHEN {g} THEN '••••' || right({c}, 4) ELSE {c} END", "phone_masked": "CASE WHEN {g} THEN '•••••' || right({c}, 3) ELSE {c} END",
+         "nik_hash": "CASE WHEN {g} THEN sha256({c}) ELSE upper(sha256({c})) END", "phone_hash": "CASE WHEN {g} THEN sha256({c}) ELSE {c} END",
+         "dokter_pseudo": "CASE WHEN {g} THEN 'D-' || left(sha256({c}), 8) ELSE {c} END", "staff_pseudo": "CASE WHEN {g} THEN 'S-' || left(sha256({c}), 8) ELSE 'S-' || left(sha256({c}), 9) END"}
+
+
+@query("c25_format_tests", f"WITH {VISITS_SQL}, d AS (SELECT id_kunjungan, " + ", ".join(
+    f"{_made[s].format(c=c, g='id_kunjungan % 3 = 0')} AS {s}" for s, c in _shapes.items())
+    + " FROM visits) SELECT id_kunjungan, " + ", ".join(
+    f"({s} IS NULL OR regexp_matches({s}, '{_shape_sql[s]}')) AS {s}" for s in _shapes) + " FROM d")
+def _(spark, sf):
+    """A third of the values is in the stored form, the others are not."""
+    spell = lambda s, c: F.expr(_made[s].format(c=c, g="id_kunjungan % 3 = 0").replace("sha256(" + c + ")", f"sha2({c}, 256)"))
+    made = visits(spark, sf).select("id_kunjungan", *[spell(s, c).alias(s) for s, c in _shapes.items()])
+    return made.select("id_kunjungan", *[format_ok(c).alias(c) for c in FORMATS])
 
 
 @query("c26_clip_to_null", f"""WITH {VISITS_SQL}, p AS (

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import tempfile
 
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import CLINICAL_VARS, SAFE_COLUMNS
 from fieldcheck.operators import aggregates as A, joins as E
-from fieldcheck.operators.schema import apply_schema
 from fieldcheck.plans import heaping as H
 from fieldcheck.plans.refresh import incremental_refresh
 from fieldcheck.queries.base import (
@@ -21,6 +22,13 @@ from fieldcheck.sources import readers as R, sinks as S
 from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
 
 
+def new_folder(spark, name):
+    """A new folder below the shared one; a session on one machine that names none gets its own."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fieldcheck-"))
+    return S.run_folder(spark, name)
+
+
 @query("a1_load_parquet", "SELECT * FROM customer")
 def _(spark, sf):
     return R.load_dataset(spark, f"{sf}/customer.parquet")
@@ -29,7 +37,7 @@ def _(spark, sf):
 @query("a1_load_csv", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(spark, sf):
     customer = table(spark, sf, "customer")
-    path = f"{S.run_folder(spark, 'csv')}/customer.csv"
+    path = f"{new_folder(spark, 'csv')}/customer.csv"
     S.export_csv(customer, path)
     return R.load_dataset(spark, path, schema=customer.schema)
 
@@ -41,7 +49,7 @@ def _(spark, sf):
     df = table(spark, sf, "events")
     made = df.groupBy(F.col("event_type").alias("Variable")).agg(
         (F.min("value") + 10).alias("min_ok"), (F.max("value") - 100).alias("max_ok"))
-    rules = R.load_rules(spark, S.export_csv(made, f"{S.run_folder(spark, 'rules')}/rules.csv"))
+    rules = R.load_rules(spark, S.export_csv(made, f"{new_folder(spark, 'rules')}/rules.csv"))
     out = (F.col("value") < F.col("min_ok")) | (F.col("value") > F.col("max_ok"))
     return E.with_rules(df.withColumnRenamed("event_type", "Variable"), rules).groupBy(
         "Variable", "min_ok", "max_ok").agg(F.count_if(out).alias("n_out"))
@@ -51,7 +59,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Written twice with every row repeated: one copy of each row remains."""
     df = events(spark, sf).select("event_id", "user_id", "event_type", "value", "day")
-    path = S.run_folder(spark, "cache")
+    path = new_folder(spark, "cache")
     S.write_cache(df.unionByName(df), path)
     S.write_cache(df, path)
     return spark.read.parquet(path)
@@ -60,26 +68,30 @@ def _(spark, sf):
 @query("a5_export_csv", pivot_sql("ratio", "-"))
 def _(spark, sf):
     labels = H.heaping_labels(H.heaping_daily(events_long(spark, sf)))
-    path = f"{S.run_folder(spark, 'export')}/{S.export_name('heaping_step6', '20240131')}"
+    path = f"{new_folder(spark, 'export')}/{S.export_name('heaping_step6', '20240131')}"
     return R.load_dataset(spark, S.export_csv(H.heaping_pivot(labels), path))
 
 
 _vars = {f: strip_sql(c) for f, c in FRIENDLY.items()}
 _kept = {f: e for f, e in _vars.items() if f not in ("Nafas", "Suhu")}
+_written = " UNION ALL ".join(
+    f"SELECT day, '{f}' AS v, {c} AS x FROM core WHERE {c} <> '' AND {strip_sql(c)} IS NULL"
+    for f, c in FRIENDLY.items())
 
 
 @query("a6_export_steps", f"""WITH {CORE_SQL},
 long AS (SELECT * FROM ({unpivot_sql('core', ['day AS "Tanggal"'], _kept)}) WHERE "Value" IS NOT NULL AND "Tanggal" IS NOT NULL),
 {heaping_sql('long', BY_DAY)}
-SELECT 'Step1_NA_Summary' AS step, 8::BIGINT AS n UNION ALL SELECT 'Step1_Audit', 0
+SELECT 'Step1_NA_Summary' AS step, count(DISTINCT "Variabel") AS n FROM ({unpivot_sql('core', [], _vars)})
+UNION ALL SELECT 'Step1_Audit', count(*) FROM (SELECT DISTINCT * FROM ({_written}))
 UNION ALL SELECT 'Step2_df_long', count(*) FROM long UNION ALL SELECT 'Step3_int_counts', count(*) FROM ic
 UNION ALL SELECT 'Step3_int_full', count(*) FROM inf UNION ALL SELECT 'Step4_dec_counts', count(*) FROM dc
 UNION ALL SELECT 'Step5_Combined', count(*) FROM heap UNION ALL SELECT 'Step6_preferred_raw', count(*) FROM heap
 UNION ALL SELECT 'Step6_pivot_with_avg', count(DISTINCT "Variabel") + 1 FROM heap""")
 def _(spark, sf):
-    steps = H.heaping_steps(apply_schema(core(spark, sf)), CLINICAL_VARS)
+    steps = H.heaping_steps(core(spark, sf), CLINICAL_VARS)
     counts = None
-    for path in S.export_steps(steps, S.run_folder(spark, "steps")):
+    for path in S.export_steps(steps, new_folder(spark, "steps")):
         step = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
         step = step.select(F.lit(path.rsplit("/", 1)[-1]).alias("step"), "n")
         counts = step if counts is None else counts.unionByName(step)
@@ -100,7 +112,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') GROUP BY ALL""")
 def _(spark, sf):
     """First the days to the 20th, then to the 31st with repeated uploads, then once more."""
-    source, path = visits(spark, sf), S.run_folder(spark, "refresh")
+    source, path = visits(spark, sf), new_folder(spark, "refresh")
     start = dt.date(2024, 1, 1)
     incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 20), start)
     twice = source.unionByName(source)
@@ -111,10 +123,11 @@ def _(spark, sf):
 @query("m2_refresh_reload_days", f"""WITH {SAFE_SQL}
 SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe
-  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16')) GROUP BY ALL""")
+  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND NOT (poliruangan = 'view' AND day < DATE '2024-01-16'
+    AND day IN (SELECT day FROM safe WHERE poliruangan <> 'view'))) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads of one unit arrive late: five reloaded days admit theirs, older ones stay out."""
-    source, path = visits(spark, sf), S.run_folder(spark, "reload")
+    source, path = visits(spark, sf), new_folder(spark, "reload")
     start = dt.date(2024, 1, 1)
     early = source.filter("poliruangan <> 'view'")
     incremental_refresh(spark, early, path, SALTS, dt.date(2024, 1, 20), start)
@@ -122,12 +135,25 @@ def _(spark, sf):
         spark, source, path, SALTS, dt.date(2024, 1, 31), start, reload_days=5))
 
 
+@query("l23_refresh_gap", f"""WITH {SAFE_SQL}
+SELECT {_STORED_SQL}, count(*) AS copies FROM (
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') GROUP BY ALL""")
+def _(spark, sf):
+    """One visit of the newest day is cached early: the days between and the rest of that day still follow."""
+    source, path = visits(spark, sf), new_folder(spark, "gap")
+    start, end = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
+    incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 4), start)
+    newest = source.filter("tanggal LIKE '2024-01-31%' OR tanggal LIKE '31-01-2024%'").orderBy("id_kunjungan").limit(1)
+    incremental_refresh(spark, newest, path, SALTS, end, start)
+    return _refreshed(incremental_refresh(spark, source, path, SALTS, end, start))
+
+
 @query("m1_refresh_stream", f"""WITH {SAFE_SQL}
 SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day IS NOT NULL) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads arrive as files, every one twice; the stream runs after each arrival."""
-    source, folder = visits(spark, sf), S.run_folder(spark, "stream")
+    source, folder = visits(spark, sf), new_folder(spark, "stream")
     inbox, cache = f"{folder}/inbox", f"{folder}/cache"
     for _ in range(2):
         source.write.mode("append").parquet(inbox)

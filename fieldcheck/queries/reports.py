@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import (
-    CLINICAL_MAP, CLINICAL_VARS, DEFAULT_RULES, PRINT_LABELS, SAFE_REQUIRED,
+    CLINICAL_MAP, CLINICAL_VARS, DEFAULT_RULES, PRINT_LABELS, SAFE_COLUMNS, SAFE_REQUIRED,
 )
 from fieldcheck.functions.numbers import r_round
-from fieldcheck.operators import aggregates as A, reshape as J, schema as B, scope as K
+from fieldcheck.operators import aggregates as A, ranking as G, reshape as J, schema as B, scope as K
 from fieldcheck.plans import (
     facility as FC, heaping as H, histogram as HI, outliers as O, privacy as PV, profile as PR,
 )
@@ -436,11 +436,74 @@ _windows = """src AS (SELECT 'value' AS "Variable", value AS x,
 @query("l18_histogram_compare", f"""WITH {_windows}, {histogram_sql('src', 20.0, period='period')}
 SELECT *, max(count) OVER () AS shared_max FROM hist""")
 def _(spark, sf):
-    df = table(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
     now = (dt.date(2024, 1, 16), dt.date(2024, 1, 30))
-    before = K.previous_window(*now)
-    current, previous = (df.filter(F.col("day").between(*w)) for w in (now, before))
-    return HI.histogram_compare(current, previous, "value", 20.0)
+    df = table(spark, sf, "events").withColumn("day", F.col("ts").cast("date"))
+    df = df.filter(F.col("day").between(K.previous_window(*now)[0], now[1]))
+    period = F.when(F.col("day") >= now[0], "Current").otherwise("Previous")
+    return HI.histogram_periods(df.withColumn("period", period), "value", 20.0)
+
+
+# Rules that repeat, and rules with one end: the first rule of a variable counts everywhere.
+MIXED_RULES = [("l_quantity", 5.0, None), ("l_quantity", 40.0, 45.0), ("l_tax", None, 0.06), ("l_tax", 0.0, 0.01),
+               ("l_discount", 0.01, 0.09), ("l_extendedprice", None, None)]
+_MIXED_OUT = {"l_quantity": "l_quantity < 5", "l_tax": "l_tax > 0.06", "l_discount": "l_discount < 0.01 OR l_discount > 0.09"}
+
+
+@query("e5_first_rule_everywhere", " UNION ALL ".join(
+    f"SELECT '{v}' AS \"Variable\", count(*) FILTER ({out}) AS summary, count(*) FILTER ({out}) AS logged, "
+    f"count(*) FILTER ({out}) AS dropped, count(*) FILTER ({out}) AS clipped FROM lineitem" for v, out in _MIXED_OUT.items()))
+def _(spark, sf):
+    """Summary, log, strict drops and clipping agree on repeated and one-sided rules."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    df = G.with_row_id(table(spark, sf, "lineitem"), keys)
+    rules = spark.createDataFrame(MIXED_RULES, "Variable string, min_ok double, max_ok double").coalesce(1)
+    summary = O.guardrail_summary(df, rules, LINEITEM_VARS).select("Variable", F.col("Outliers").alias("summary"))
+    logged, dropped = (A.count_by(f(df, rules, LINEITEM_VARS, "row_id", []), ["Variable"], n) for f, n in
+                       ((O.outlier_log, "logged"), (O.strict_drop_log, "dropped")))
+    clipped = B.clip_to_null(df, B.rules_by_variable(rules, LINEITEM_VARS)).agg(*[
+        F.count_if(f"out_{v}").alias(v) for v in _MIXED_OUT]).unpivot([], list(_MIXED_OUT), "Variable", "clipped")
+    return summary.join(logged, "Variable").join(dropped, "Variable").join(clipped, "Variable")
+
+
+_far = "src AS (SELECT 'price' AS \"Variable\", CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 8e10 ELSE l_extendedprice END AS x FROM lineitem)"
+
+
+@query("l15_histogram_far_value", f"""WITH {_far}, lim AS (
+  SELECT min(x) - (max(x) - min(x)) * 0.03 AS lo, max(x) + (max(x) - min(x)) * 0.03 AS hi, count(*) AS n FROM src)
+SELECT CAST(ceil(hi / 8000) - floor(lo / 8000) + 1 AS BIGINT) AS bins, n AS total, floor(lo / 8000) * 8000.0 AS first_edge,
+  ceil(hi / 8000) * 8000.0 + 8000.0 AS last_edge, (SELECT count(DISTINCT floor(x / 8000.0 + 1e-7)) FROM src) AS filled FROM lim""")
+def _(spark, sf):
+    """One far value stretches the histogram over more than ten million bins."""
+    price = F.when((F.col("l_orderkey") == 1) & (F.col("l_linenumber") == 1), F.lit(8e10)).otherwise(F.col("l_extendedprice"))
+    hist = HI.histogram(table(spark, sf, "lineitem").select(price.alias("price")), ["price"], 8000.0)
+    return hist.agg(F.count(F.lit(1)).alias("bins"), F.sum("count").alias("total"), F.min("left").alias("first_edge"),
+                    F.max("right").alias("last_edge"), F.count_if(F.col("count") > 0).alias("filled"))
+
+
+@query("l15_histogram_clipped", f"""WITH {CORE_SQL}, src AS (SELECT 'Sistole' AS "Variable", x FROM (SELECT {strip_sql('sistole')} AS x FROM core)
+  WHERE x BETWEEN 50 AND 260), {histogram_sql('src', 10.0)} SELECT * FROM hist""")
+def _(spark, sf):
+    return HI.histogram(applied(spark, sf), ["Sistole"], 10.0, rules=default_rules(spark), stage="clipped")
+
+
+def _heaping_clipped(keys: str, id_col: str) -> str:
+    parts = " UNION ALL ".join(f"""SELECT {id_col}'{f}' AS "Variabel", "{f}" AS "Value" FROM num
+      WHERE "{f}" BETWEEN {RULE_OF[f][0]} AND {RULE_OF[f][1]}""" for f in FRIENDLY if f not in ("Nafas", "Suhu"))
+    return f"WITH {CLEAN_SQL}, long AS ({parts}), {heaping_sql('long', keys)} SELECT * FROM heap"
+
+
+@query("l9_heaping_clipped", _heaping_clipped('"Variabel"', ""))
+def _(spark, sf):
+    long = H.heaping_long(applied(spark, sf), CLINICAL_VARS, day=None, stage="clipped", rules=default_rules(spark))
+    return H.heaping_window(long)
+
+
+@query("l10_heaping_clipped", _heaping_clipped(BY_DAY, 'day AS "Tanggal", ').replace("long AS (", 'long AS (SELECT * FROM (', 1).replace(
+    f"), {heaping_sql('long', BY_DAY)}", f') WHERE "Tanggal" IS NOT NULL), {heaping_sql("long", BY_DAY)}', 1))
+def _(spark, sf):
+    """The date column is guessed from its name."""
+    df = applied(spark, sf).drop("Tanggal")
+    return H.heaping_daily(H.heaping_long(df, CLINICAL_VARS, stage="clipped", rules=default_rules(spark)))
 
 
 # --- scans and audits --------------------------------------------------------------------------
@@ -503,14 +566,39 @@ def _(spark, sf):
     return PV.pii_audit(df)
 
 
-@query("l22_pii_audit_safe", f"""WITH {SAFE_SQL} SELECT count(*) AS n_checks, true AS all_formats_ok,
-  (SELECT count(*) FROM safe WHERE regexp_matches(puskesmas_name, '\\d{{10,}}')) AS name_runs
-FROM range(48)""")
+_FORMAT_SQL = {"nik_masked": "^(•+\\d{4}|•+)$", "phone_masked": "^(•+\\d{3}|•+)$", "nik_hash": "^[0-9a-f]{64}$",
+               "phone_hash": "^[0-9a-f]{64}$", "dokter_pseudo": "^[DS]-[0-9a-f]{8}$", "staff_pseudo": "^[DS]-[0-9a-f]{8}$"}
+
+
+@query("l22_pii_audit_safe", f"WITH {SAFE_SQL}, a AS (" + " UNION ALL ".join(
+    f"SELECT 'format' AS \"check\", '{c}' AS \"column\", count(*) FILTER (NOT regexp_matches({c}, '{p}')) AS violations FROM safe"
+    for c, p in _FORMAT_SQL.items()) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'digit_run', '{c}', count(*) FILTER (regexp_matches({c}, '\\d{{10,}}')) FROM safe"
+    for c in ("puskesmas_name", "diagnosa_1", "file_name", "nik_masked")) + ') SELECT *, violations = 0 AS ok FROM a')
 def _(spark, sf):
     audit = PV.pii_audit(PV.anonymize(core(spark, sf), SALTS))
-    runs = F.sum(F.when(F.col("column") == "puskesmas_name", F.col("violations")).otherwise(0))
-    return audit.agg(F.count(F.lit(1)).alias("n_checks"), F.bool_and(F.col("ok")).alias("all_formats_ok"),
-                     runs.alias("name_runs"))
+    runs = F.col("column").isin("puskesmas_name", "diagnosa_1", "file_name", "nik_masked") & (F.col("check") == "digit_run")
+    return audit.filter((F.col("check") == "format") | runs)
+
+
+@query("l22_forbidden_names", """SELECT f AS "column", CASE f WHEN 'nama_pasien' THEN 1 WHEN 'alamat' THEN 1
+  WHEN 'nik' THEN (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) ELSE 0 END::BIGINT AS violations FROM (SELECT unnest(
+  ['nik','no_telp','nama_pasien','alamat','tgllahir','dokter_tenaga_medis','perawat_bidan_nutrisionist_sanitarian']) AS f)""")
+def _(spark, sf):
+    """Forbidden names in other spellings; a printed ``NIK`` is allowed where it is masked."""
+    masked = F.when(F.col("c_custkey") % 4 == 0, F.lit("••••1234")).otherwise(F.col("c_name"))
+    df = table(spark, sf, "customer").select(
+        F.col("c_name").alias("Nama_Pasien"), F.col("c_name").alias("ALAMAT"), masked.alias("NIK"))
+    audit = PV.pii_audit(df, required=[])
+    return audit.filter("check = 'forbidden_absent'").select("column", "violations")
+
+
+@query("b9_project_safe", f"WITH {SAFE_SQL} SELECT " + ", ".join(
+    f"{utc_ms_sql(c)} AS {c}" if c in ("file_ts", "tanggal_ts") else f'"{c}"' for c in SAFE_COLUMNS) + " FROM safe")
+def _(spark, sf):
+    """All columns that may be stored."""
+    safe = PV.anonymize(core(spark, sf), SALTS)
+    return safe.withColumns({c: F.unix_millis(c) for c in ("file_ts", "tanggal_ts")})
 
 
 @query("l22_digit_runs_documents", r"""SELECT 'digit_run' AS "check", 'text' AS "column",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import (
-    ADMIN_MAP, CLINICAL_MAP, CLINICAL_VARS, LIVE_COLUMNS, SAFE_COLUMNS,
+    ADMIN_MAP, CLINICAL_MAP, CLINICAL_VARS, LIVE_COLUMNS,
 )
 from fieldcheck.functions.numbers import (
     parse_first_number, parse_strip, r_round, round2,
@@ -17,13 +17,12 @@ from fieldcheck.functions.text import blank_to_null
 from fieldcheck.operators import (
     aggregates as A, filters as D, joins as E, ranking as G, reshape as J, schema as B, scope as K,
 )
-from fieldcheck.plans.heaping import bucket_counts, slot_counts
+from fieldcheck.plans.heaping import bucket_counts, choose_variables, heaping_long, slot_counts
 from fieldcheck.plans.histogram import histogram
 from fieldcheck.plans.outliers import outlier_log
 from fieldcheck.plans.profile import profile
-from fieldcheck.plans.privacy import anonymize
 from fieldcheck.queries.base import (
-    CORE_SQL, DAYS, EVENTS_SQL, LINEITEM_RULES, LINEITEM_VARS, LONG_SQL, SALTS, VISITS_SQL, core,
+    CORE_SQL, DAYS, EVENTS_SQL, LINEITEM_RULES, LINEITEM_VARS, LONG_SQL, VISITS_SQL, core,
     day_sql, events, events_long, filled_sql, first_number_sql, norm_sql, query, rr, rr2,
     sql_list, strip_sql, table, visits,
 )
@@ -94,12 +93,23 @@ def _(spark, sf):
     return B.numeric_like_columns(visits(spark, sf), _liked)
 
 
-@query("b7_has_digit_columns", f"WITH {VISITS_SQL}, head AS (SELECT * FROM visits ORDER BY id_kunjungan LIMIT 100) "
-       "SELECT \"column\" FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", bool_or(regexp_matches({c}, '\\d')) AS hit FROM head" for c in _liked)
+@query("b7_has_digit_columns", f"WITH {VISITS_SQL} SELECT \"column\" FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", bool_or(regexp_matches({c}, '\\d')) AS hit FROM visits" for c in _liked)
     + ") WHERE hit")
 def _(spark, sf):
-    return B.has_digit_columns(visits(spark, sf), 100, ["id_kunjungan"], _liked)
+    return B.has_digit_columns(visits(spark, sf), _liked)
+
+
+_scanned = ["l_orderkey", "l_quantity", "l_returnflag", "l_tax", "l_linestatus"]
+
+
+@query("b7_heaping_fallback", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"Variabel\", count(try_cast({c} AS DOUBLE)) AS n FROM lineitem" for c in _scanned) + ") WHERE n > 0")
+def _(spark, sf):
+    """Heaping of a table without any wanted variable takes its numeric-like columns."""
+    df = table(spark, sf, "lineitem").select(*_scanned)
+    used = choose_variables(df, ["Suhu", "Sistole"])
+    return A.count_by(heaping_long(df, used, day=None), ["Variabel"])
 
 
 _described = [("event_id", "Event Id", "numeric"), ("ts", "Ts", "datetime"),
@@ -109,23 +119,15 @@ _described = [("event_id", "Event Id", "numeric"), ("ts", "Ts", "datetime"),
 
 @query("b8_describe_columns", " UNION ALL ".join(
     f"SELECT {i}::BIGINT AS \"index\", '{c}' AS \"column\", '{n}' AS name, '{t}' AS type, "
-    f"count({c}) AS non_null, abs(approx_count_distinct({c}) - count(DISTINCT {c})) <= 0.3 * count(DISTINCT {c}) + 5 AS distinct_close FROM events"
+    f"count({c}) AS non_null, count(DISTINCT {c}) AS distinct_n, "
+    f"abs(approx_count_distinct({c}) - count(DISTINCT {c})) <= 0.3 * count(DISTINCT {c}) + 5 AS distinct_close FROM events"
     for i, (c, n, t) in enumerate(_described, 1)))
 def _(spark, sf):
     df = table(spark, sf, "events")
     exact = A.distinct_nonmissing(df, df.columns, "column")
     close = F.abs(F.col("approx_distinct") - F.col("distinct_n")) <= 0.3 * F.col("distinct_n") + 5
     return B.describe_columns(df).join(exact, "column").select(
-        "index", "column", "name", "type", "non_null", close.alias("distinct_close"))
-
-
-@query("b9_project_safe", f"""WITH {CORE_SQL}
-SELECT "PKM_norm", count(*) AS n, 32::BIGINT AS n_columns FROM core GROUP BY 1""")
-def _(spark, sf):
-    safe = anonymize(core(spark, sf), SALTS)
-    assert safe.columns == SAFE_COLUMNS
-    return safe.groupBy("PKM_norm").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(len(safe.columns)).cast("bigint").alias("n_columns"))
+        "index", "column", "name", "type", "non_null", "distinct_n", close.alias("distinct_close"))
 
 
 # --- D: filters ------------------------------------------------------------------------------
@@ -437,14 +439,17 @@ def _(spark, sf):
 
 
 @query("f7_quantiles_approx", f"""WITH {LINE_LONG_SQL}
-SELECT DISTINCT "Variabel", true AS rank_close FROM line_long""")
+SELECT "Variabel", {rr2('lo')} AS lo, {rr2('hi')} AS hi, med BETWEEN lo AND hi AS rank_close FROM (
+  SELECT "Variabel", quantile_cont("Value", 0.49) AS lo, quantile_cont("Value", 0.51) AS hi,
+         quantile_disc("Value", 0.5) AS med FROM line_long GROUP BY 1)""")
 def _(spark, sf):
     """The sketch's median must lie between the exact 0.49 and 0.51 quantiles."""
     long = J.to_long(table(spark, sf, "lineitem"), [], LINEITEM_VARS)
     approx = A.quantiles_approx(long, ["Variabel"], "Value", (0.5,), ("median",))
     exact = A.quantiles(A.value_counts(long, ["Variabel"], "Value"), ["Variabel"], (0.49, 0.51), ("lo", "hi"))
     return approx.join(exact, "Variabel").select(
-        "Variabel", F.col("median").between(F.col("lo"), F.col("hi")).alias("rank_close"))
+        "Variabel", round2("lo").alias("lo"), round2("hi").alias("hi"),
+        F.col("median").between(F.col("lo"), F.col("hi")).alias("rank_close"))
 
 
 @query("f8_basic_stats", f"""WITH {LINE_LONG_SQL}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from fieldcheck.constants import (
     ADMIN_MAP, CLINICAL_MAP, DEFAULT_RULES, LIVE_COLUMNS,
 )
+from fieldcheck.operators.schema import unique_rules
 
 RULES_SCHEMA = T.StructType([
     T.StructField("Variable", T.StringType()),
@@ -79,9 +80,4 @@ def load_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def first_rule(rules: DataFrame, order_col: str) -> DataFrame:
     """One rule per variable, the lowest ``order_col`` first."""
-    best = F.min_by(F.struct("min_ok", "max_ok"), F.col(order_col))
-    return (
-        rules.filter(F.col("Variable").isNotNull())
-        .groupBy("Variable").agg(best.alias("_rule"))
-        .select("Variable", "_rule.min_ok", "_rule.max_ok")
-    )
+    return unique_rules(rules, order_col)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -10,18 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets a temporary folder.
-    """
+    """The folder that all executors share: ``spark.checkpoint.dir``, which must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="fieldcheck-")
+    return folder.rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -29,17 +23,6 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/fieldcheck-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the work folder and read back.
-
-    For small tables that several results are made of: their inputs are then read once, and
-    a lost executor does not bring the whole history back.
-    """
-    path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_day(df: DataFrame, day: str = "day") -> DataFrame:
     """Rows of a day together for writing, big days split and small ones merged.
 

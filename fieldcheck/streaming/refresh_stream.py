@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from fieldcheck.constants import SOURCE_ZONE
-from fieldcheck.operators.filters import filter_days
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts, anonymize
-from fieldcheck.plans.refresh import read_cache, unseen_rows
+from fieldcheck.plans.refresh import cached_days, read_cache, unseen_rows
 from fieldcheck.sources.sinks import append_cache
 
 
@@ -30,16 +29,21 @@ def store_batch(
 ) -> None:
     """Append the rows of a micro-batch that the cache does not hold yet.
 
-    A replayed batch finds its rows stored and appends nothing. Only the days that the batch
-    spans are read back.
+    A replayed batch finds its rows stored and appends nothing. Only the batch's own days are
+    read back, so a junk date costs one more partition. The batch is computed once and kept for
+    its two uses; a lost executor's part of it is computed again.
     """
-    fresh = anonymize(with_times(batch, zone), salts).filter("day IS NOT NULL")
-    span = fresh.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-    if span["first"] is None:
-        return
-    cache = read_cache(batch.sparkSession, path)
-    seen = None if cache is None else filter_days(cache, span["first"], span["last"])
-    append_cache(unseen_rows(fresh, seen, keys), path)
+    fresh = anonymize(with_times(batch, zone), salts).filter("day IS NOT NULL").persist()
+    try:
+        # One row per day of a micro-batch.
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]
+        held = set(cached_days(batch.sparkSession, path)) & set(days)
+        cache = read_cache(batch.sparkSession, path) if held else None
+        seen = None if cache is None else cache.filter(F.col("day").isin(sorted(held)))
+        if days:
+            append_cache(unseen_rows(fresh, seen, keys), path)
+    finally:
+        fresh.unpersist()
 
 
 def refresh_stream(

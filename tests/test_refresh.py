@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.constants import WANTED_COLUMNS
 from fieldcheck.plans.privacy import Salts
-from fieldcheck.plans.refresh import incremental_refresh, new_start
+from fieldcheck.plans.refresh import cached_days, days_to_fetch, incremental_refresh, read_cache
 from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
 
 SALTS = Salts("a", "b", "c", "d")
@@ -47,12 +47,44 @@ def test_keys_keep_equal_visits_apart(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
-def test_first_day_to_fetch(spark):
-    cache = spark.createDataFrame([(dt.date(2025, 9, 3),)], "day date")
-    assert new_start(None, START) == START
-    assert new_start(cache, START) == dt.date(2025, 9, 4)
-    assert new_start(cache, START, 2) == dt.date(2025, 9, 2)
-    assert new_start(cache, START, 30) == START
+def test_days_to_fetch():
+    def days(cached, **more):
+        return [d.day for d in days_to_fetch([dt.date(2025, 9, d) for d in cached], START, TODAY, **more)]
+
+    assert days([]) == [1, 2, 3, 4, 5]
+    assert days([1, 2, 3]) == [3, 4, 5] and days([1, 2, 3], reload_days=0) == [4, 5]
+    assert days([1, 2, 3], reload_days=2) == [2, 3, 4, 5] and days([1, 2, 3], reload_days=30) == [1, 2, 3, 4, 5]
+    assert days([1, 5]) == [2, 3, 4, 5] and days([1, 5], reload_days=0) == [2, 3, 4]
+
+
+def test_an_early_day_locks_nothing_out(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    source = uploads(spark, [1, 2, 3, 4, 5]).union(uploads(spark, [5], "more"))
+    incremental_refresh(spark, uploads(spark, [1]), path, SALTS, dt.date(2025, 9, 1), START)
+    incremental_refresh(spark, uploads(spark, [5]), path, SALTS, TODAY, START)
+    incremental_refresh(spark, source, path, SALTS, TODAY, START)
+    assert stored(spark, path) == ["more5", "x1", "x2", "x3", "x4", "x5"]
+    assert [d.day for d in cached_days(spark, path)] == [1, 2, 3, 4, 5]
+
+
+def test_only_an_absent_cache_is_no_cache(spark, tmp_path):
+    assert read_cache(spark, str(tmp_path / "none")) is None and cached_days(spark, str(tmp_path / "none")) == []
+    with pytest.raises(Exception):
+        read_cache(spark, "nosuchscheme://x/y")
+
+
+def test_refresh_shuffles_wide_rows_once(spark, tmp_path):
+    from fieldcheck.plans.refresh import unseen_rows
+
+    df = spark.range(10).selectExpr("date'2025-09-01' AS day", "id AS a", "id AS b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = unseen_rows(df, df.limit(5))
+        out.collect()
+        text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.count() == 5 and text.count("Exchange hashpartitioning(day") <= 2
 
 
 def test_stream_stores_each_row_once(spark, tmp_path):

@@ -151,7 +151,7 @@ def test_windows():
 def test_filters(spark):
     df = spark.createDataFrame([(DAY(2025, 9, d),) for d in range(1, 8)], "Tanggal date")
     assert D.drop_sundays(df).count() == 6
-    assert D.exclude_dates(df, "2025-09-01;2025-09-02, x 2025-09-03").count() == 4
+    assert D.exclude_dates(df, "2025-09-01;2025-09-02, x 2025-09-03").count() == 4 + df.filter("Tanggal IS NULL").count()
     assert D.latest_date_only(df).first()[0] == DAY(2025, 9, 7)
     assert D.focus_date(df, DAY(2025, 9, 2)).count() == 1
     assert D.focus_date(df, DAY(2030, 9, 2)).count() == 7
