@@ -243,12 +243,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                     .select("node", F.least("node", "low").alias("label")), "labels")
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        near = (both.hint("merge").join(labels.select(F.col("node").alias("b"), "label"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low")))
-        step = stored(labels.join(near, "node", "left").select(
+        step = stored(labels.hint("merge").join(near, "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", "low").alias("label")), "step")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = stored(step.join(jump, "label", "left").select(
+        labels = stored(step.hint("merge").join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "jump")
         if labels.where("old <> label").isEmpty():
             return labels

@@ -8,11 +8,11 @@ link share a gram among the first few of each (prefix filter), so those alone ar
 Lists are blocks of sets of equal size, sorted by position. For a set and a block the positions that can
 still reach the needed overlap are one contiguous run; the rest of the block is skipped unseen.
 
-Answers are derived in two steps. First each list compares its sets with one pivot and with their
-neighbours in size only; verified links give preliminary groups. Then all remaining pairs of a list are
-taken, but a set inherits the answers of the group it is already in: a pair within one group needs no
-comparison. A list whose sets are all in one group is skipped as a whole, so a list of near copies costs
-about as many comparisons as it has sets. No link between different groups can be missed, because every pair that
+Answers are derived in steps. First each list compares its sets with one pivot and with their
+neighbours in size only; verified links give preliminary groups. While that joins groups, each set is
+compared with its nearest sets of another group. Then all remaining pairs of a list are taken, but a set
+inherits the answers of the group it is already in: a pair within one group needs no comparison. A list
+whose sets are all in one group is skipped as a whole, so a list of near copies costs about as many comparisons as it has sets. No link between different groups can be missed, because every pair that
 passes the filters and lies in different groups is compared.
 
 A candidate is first compared on 16-bit marks of its first grams: linked sets must share a number of them
@@ -20,7 +20,7 @@ that follows from their sizes, and marks can only overstate what is shared. What
 the full sets, which are made anew from the texts of the sets concerned; a bit table of fixed size keeps
 the other texts out of that shuffle.
 
-Hot grams are split over several tasks in the first step, by the counts of the table. In the second step
+Hot grams are split over several tasks in the first step, by the counts of the table. In the last step
 lists of more than ``LONG`` sets are joined by Spark itself, which splits them over tasks.
 
 Defined results: null or blank texts have no grams and link with nothing; texts with fewer words than a
@@ -43,8 +43,8 @@ from fieldcheck.llm.common import (
     SPACED, U64, Words, chain, components, forget, gram_hashes, mix, only, parts, ragged, slices, stored, windows, words,
 )
 
-#: Slots of the table of counts: 4 MB, whatever the corpus.
-SLOTS = 1 << 20
+#: Slots of the table of counts, whatever the corpus: 16 MB in a task, 32 MB at the driver.
+SLOTS = 1 << 22
 #: The table travels in so many pieces.
 PIECES = 16
 #: Bits of the table that tells which texts are needed again: 2 MB, whatever the corpus. A full table
@@ -90,9 +90,12 @@ def slot(values: np.ndarray) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for ordinary slots, then one more with each doubling beyond twice the mean."""
+    """0 for ordinary slots, then one more with each doubling of what a slot has beyond the usual.
+
+    Rare grams fill the slots evenly, up to chance; what exceeds three deviations is a frequent gram.
+    """
     mean = max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 31).astype(np.uint8)
+    return np.clip(np.floor(np.log2(np.maximum(counts - mean, 1) / (3 * np.sqrt(mean)))) + 1, 0, 31).astype(np.uint8)
 
 
 class Threshold:
@@ -125,6 +128,22 @@ class Threshold:
 ENTRY = np.dtype([("gram", "<u8"), ("sid", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
+def nearest_of(e: np.ndarray, label: np.ndarray, t: Threshold) -> np.ndarray:
+    """Each set of a sorted list with the next sets of another label on both sides."""
+    if not len(e):
+        return np.zeros((0, 2), U64)
+    new = np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (label[1:] != label[:-1])])
+    run = np.cumsum(new) - 1
+    first = np.append(np.flatnonzero(new), len(e))
+    i = np.arange(len(e))
+    i, j = np.concatenate([i, i]), np.concatenate([first[run + 1], first[run] - 1])
+    ok = (j >= 0) & (j < len(e))
+    i, j = i[ok], j[ok]
+    ok = e["gram"][i] == e["gram"][j]
+    i, j = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+    return _filtered(e, e["n"].astype(np.int64), e["pos"].astype(np.int64), i, j, t)
+
+
 def pairs_of(e: np.ndarray, label: np.ndarray | None, t: Threshold, every: bool) -> np.ndarray:
     """Candidate pairs (smaller set id first) of lists sorted by gram, size and position.
 
@@ -399,15 +418,15 @@ class NearJoin:
                .hint("merge").join(full.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b"))
         return stored(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
-    def _rest(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """Step two: all pairs of a list whose sets are in different groups so far."""
+    def _rest(self, lists: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+        """Pairs of a list whose sets are in different groups so far: the nearest, or all."""
         t = self.t
-        e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos")
+        e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos").hint("merge")
              .join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
              .withColumn("label", F.coalesce("label", "sid")))
         self.scratch.append(e := stored(e, "labelled"))
         mixed = e.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        e = e.join(mixed.select("gram", "m"), "gram")
+        e = e.hint("merge").join(mixed.select("gram", "m"), "gram")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)
@@ -418,10 +437,13 @@ class NearJoin:
             x["gram"], x["sid"] = got["gram"].to_numpy().view(U64), got["sid"].to_numpy().view(U64)
             x["n"], x["pos"] = got["n"].to_numpy(), got["pos"].to_numpy()
             order = np.lexsort((x["pos"], x["n"], x["gram"]))
-            p = pairs_of(x[order], got["label"].to_numpy()[order], t, True)
+            label = got["label"].to_numpy()[order]
+            p = pairs_of(x[order], label, t, True) if every else nearest_of(x[order], label, t)
             yield pa.RecordBatch.from_arrays([signed(p[:, 0]), signed(p[:, 1])], ["a", "b"])
 
-        usual = (e.where(F.col("m") <= LONG).repartition(self.partitions, "gram").mapInArrow(run, "a long, b long"))
+        usual = e.where((F.col("m") <= LONG) | F.lit(not every)).repartition(self.partitions, "gram").mapInArrow(run, "a long, b long")
+        if not every:
+            return usual
         x, y = (e.where(F.col("m") > LONG).select("gram", *(F.col(c).alias(c + s) for c in ("sid", "n", "pos", "label"))) for s in "xy")
         need = F.ceil(F.lit(t.num) * (F.col("nx") + F.col("ny")) / F.lit(t.num + t.den))
         most = F.least("posx", "posy") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
@@ -435,15 +457,25 @@ class NearJoin:
         lists = self._lists()
         self.scratch.append(lists)
         links = self._verify(lists.where("a IS NOT NULL").select("a", "b"), lists)
-        more = self._verify(self._rest(lists, components(links)), lists)
-        self.scratch += [links, more]
-        labels = components(links.union(more))
-        own = (self.sets.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
+        self.scratch.append(links)
+        labels, every = components(links), False
+        while True:
+            more = self._verify(self._rest(lists, labels, every), lists)
+            self.scratch.append(more)
+            found, known = more.count(), links.count()
+            if found:
+                links = links.union(more)
+                labels = components(links)
+            if every:
+                break
+            # Once few groups are joined this way, all pairs that are left are compared.
+            every = 20 * found <= known
+        own = (self.sets.hint("merge").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")))
         own = stored(own.select("rid", "doc_id", "th", "n", "label"), "own")
         forget(*self.scratch)
         least = own.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("q"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))).alias("k"))
-        return own.join(least, "label", "left").select(
+        return own.hint("merge").join(least, "label", "left").select(
             "rid", "doc_id", "th", F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("k.d")).otherwise(F.col("doc_id")).alias("component_id"),
             F.when(F.col("n") > 0, F.col("k.r")).otherwise(F.col("rid")).alias("component_rid"))
