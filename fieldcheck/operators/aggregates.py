@@ -80,13 +80,23 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     )
 
 
-def bin_ranges(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Parts into which an order bin is cut, evenly between its lowest and its highest value.
+CUTS = 4096
+
+
+def cut_of(value: Column, low: Column, high: Column) -> Column:
+    """Part of an order bin that the value lies in; it never decreases with the value."""
+    share = (value - low) / F.nullif(high - low, F.lit(0.0))
+    return F.coalesce(F.least(F.floor(share * CUTS), F.lit(CUTS - 1)), F.lit(0)).cast("bigint")
+
+
+def bin_ranges(bins: DataFrame, keys: Sequence[str], order: Sequence[str] = ("_bin",)) -> DataFrame:
     """Ranks ``_from`` (included) to ``_to`` (not included) of every order bin of a group.
 
     ``bins`` has ``_bin`` and its number of rows ``_bin_n``. There are far fewer bins than
     rows, and their number is bounded whatever the data.
     """
-    in_order = Window.partitionBy(*keys).orderBy("_bin")
+    in_order = Window.partitionBy(*keys).orderBy(*order)
     upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         bins.withColumn("_to", F.sum("_bin_n").over(upto))
@@ -96,15 +106,19 @@ def bin_ranges(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_bins(
-    rows: DataFrame, bins: DataFrame, keys: Sequence[str], max_rows: int | None = None
+    rows: DataFrame, bins: DataFrame, keys: Sequence[str], max_rows: int | None = None,
+    by: Sequence[str] = ("_bin",), take: Sequence[str] = ("_from", "_total"),
 ) -> DataFrame:
-    """Rows with ``_from`` and ``_total`` of their bin; NULL keys match NULL keys."""
+    """Rows with the columns ``take`` of their bin; NULL keys match NULL keys."""
     side = bins.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_from", "_total")
-    same = F.col("_bin") == F.col("_k_bin")
+        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(b).alias(f"_k{b}") for b in by], *take)
+    same = F.lit(True)
+    for b in by:
+        same = same & (F.col(b) == F.col(f"_k{b}"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return rows.join(small_side(side, max_rows), same)
+    drop = [f"_k_{k}" for k in keys] + [f"_k{b}" for b in by]
+    return rows.join(small_side(side, max_rows), same).drop(*drop)
 
 
 def quantiles(
@@ -115,9 +129,11 @@ def quantiles(
     """Exact quantiles per group, linear interpolation between ranks.
 
     ``counts`` comes from ``value_counts``. No group is ever sorted as a whole: counts per
-    order bin tell in which bins the wanted ranks lie, and only the values of those bins are
-    ranked. The bins of a group are bounded in number, whatever the number of its rows.
-    ``max_groups`` is the known bound of groups, if there is one.
+    order bin tell in which bins the wanted ranks lie. Values close to each other (times, running
+    numbers) may all be in one or two of these, so the bins are cut into parts between their own
+    extremes, and only the parts with a wanted rank are ranked. Bins and parts of a group are
+    bounded in number, whatever the number of its rows. ``max_groups`` is the known bound of
+    groups, if there is one.
 
     Both uses of ``counts`` have the same columns and no filter of their own (the join is
     null-safe for that reason), so Spark shuffles it once and reads the shuffle twice.
@@ -125,7 +141,8 @@ def quantiles(
     keys = list(keys)
     binned = counts.select(
         *keys, "value", "n", F.coalesce(order_bin("value"), F.lit(0)).alias("_bin"))
-    bins = bin_ranges(binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n")), keys)
+    bins = bin_ranges(binned.groupBy(*keys, "_bin").agg(
+        F.sum("n").alias("_bin_n"), F.min("value").alias("_low"), F.max("value").alias("_high")), keys)
 
     def position(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(p))
@@ -144,9 +161,19 @@ def quantiles(
     for rank in wanted:
         hit = hit | holds(rank, F.col("_from"), F.col("_to"))
     bound = None if max_groups is None else max_groups * len(wanted)
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("value")
+    near = join_bins(binned, bins.filter(hit), keys, bound, take=("_from", "_total", "_low", "_high"))
+    near = near.withColumn("_cut", cut_of(F.col("value"), F.col("_low"), F.col("_high")))
+    sizes = near.groupBy(*keys, "_bin", "_cut").agg(
+        F.sum("n").alias("_cut_n"), F.max("_from").alias("_base"), F.max("_total").alias("_total"))
+    upto = Window.partitionBy(*keys, "_bin").orderBy("_cut").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    cuts = (
+        sizes.withColumn("_to", F.col("_base") + F.sum("_cut_n").over(upto))
+        .withColumn("_from", F.col("_to") - F.col("_cut_n"))
+    )
+    in_bin = Window.partitionBy(*keys, "_bin", "_cut").orderBy("value")
     ranked = (
-        join_bins(binned, bins.filter(hit), keys, bound)
+        join_bins(near.drop("_from", "_total"), cuts.filter(hit), keys, bound, ("_bin", "_cut"))
         .withColumn("_end", F.col("_from") + F.sum("n").over(
             in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .withColumn("_start", F.col("_end") - F.col("n"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldcheck.functions.numbers import order_bin
-from fieldcheck.operators.aggregates import bin_ranges, join_bins, max_file_time
+from fieldcheck.operators.aggregates import bin_ranges, cut_of, join_bins, max_file_time
 from fieldcheck.operators.filters import filter_days
 
 
@@ -55,14 +55,19 @@ def with_row_number(
 ) -> DataFrame:
     """Running number inside each ``group`` in the order of a unique numeric column.
 
-    Rows are numbered within order bins and moved up by the rows of the bins before, so a
-    group that holds a third of the table is numbered by many tasks.
+    Rows are numbered within parts of order bins and moved up by the rows before, so a group that
+    holds a third of the table is numbered by many tasks, also where its values are close to
+    each other: every bin is cut evenly between its own extremes.
     """
     group = list(group)
-    binned = df.withColumn("_bin", F.coalesce(order_bin(F.col(order).cast("double")), F.lit(0)))
-    sizes = binned.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_bin_n"))
-    placed = join_bins(binned, bin_ranges(sizes, group), group)
-    inside = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(order))
+    value = F.col(order).cast("double")
+    binned = df.withColumn("_bin", F.coalesce(order_bin(value), F.lit(0)))
+    spans = binned.groupBy(*group, "_bin").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    binned = join_bins(binned, spans, group, take=("_low", "_high"))
+    binned = binned.withColumn("_cut", cut_of(value, F.col("_low"), F.col("_high")))
+    sizes = binned.groupBy(*group, "_bin", "_cut").agg(F.count(F.lit(1)).alias("_bin_n"))
+    placed = join_bins(binned, bin_ranges(sizes, group, ("_bin", "_cut")), group, by=("_bin", "_cut"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_bin", "_cut").orderBy(order))
     return placed.select(*df.columns, (F.col("_from") + inside).alias(name))
 
 

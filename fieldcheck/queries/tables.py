@@ -438,6 +438,25 @@ def _(spark, sf):
     return found.select(*keys, *[round2(c).alias(c) for c in ("q_min", "q1", "median", "q3", "q_max")])
 
 
+_EPOCH_MS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts) div 1000"
+
+
+@query("f7_quantiles_narrow", """SELECT event_type AS "Variabel", """ + ", ".join(
+    f"quantile_cont((epoch_us(ts) // 1000)::DOUBLE, {p}) AS {n}" for n, p in (("q_min", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("q_max", 1)))
+    + " FROM events GROUP BY 1")
+def _(spark, sf):
+    """Times lie so close to each other that a few order bins hold them all."""
+    long = table(spark, sf, "events").select(F.col("event_type").alias("Variabel"), F.expr(_EPOCH_MS).cast("double").alias("value"))
+    return A.quantiles(A.value_counts(long, ["Variabel"]), ["Variabel"])
+
+
+@query("g3_row_number_epoch", """SELECT event_id, event_type,
+  row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000 * 1000000 + event_id) AS row_id FROM events""")
+def _(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "event_type", (F.expr(_EPOCH_MS) * 1000000 + F.col("event_id")).alias("t"))
+    return G.with_row_number(df, ["event_type"], "t").select("event_id", "event_type", "row_id")
+
+
 @query("f7_quantiles_approx", f"""WITH {LINE_LONG_SQL}
 SELECT "Variabel", {rr2('lo')} AS lo, {rr2('hi')} AS hi, med BETWEEN lo AND hi AS rank_close FROM (
   SELECT "Variabel", quantile_cont("Value", 0.49) AS lo, quantile_cont("Value", 0.51) AS hi,

@@ -51,3 +51,31 @@ def test_sketch_is_close(spark):
     df = spark.range(10001).selectExpr("'a' AS k", "CAST(id AS double) AS value")
     r = A.quantiles_approx(df, ["k"]).first()
     assert [abs(r[n] - e) <= 2 for n, e in zip(NAMES, (0, 2500, 5000, 7500, 10000))] == [True] * 5
+
+
+def test_values_close_to_each_other(spark):
+    """200,000 different epoch milliseconds: exact, and spread over many parts."""
+    from pyspark.sql import functions as F
+
+    from fieldcheck.functions.numbers import order_bin
+
+    df = spark.range(200_000).selectExpr("'a' AS k", "CAST(1757000000000 + id * 7 % 150001 + id AS double) AS value")
+    df = df.dropDuplicates(["value"])
+    counts = A.value_counts(df, ["k"])
+    got = A.quantiles(counts, ["k"]).first()
+    values = np.array([r[0] for r in df.select("value").collect()])
+    np.testing.assert_allclose([got[n] for n in NAMES], np.quantile(values, A.FIVE_NUMBERS), rtol=1e-15)
+    ends = df.withColumn("b", order_bin("value")).groupBy("b").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    cut = df.withColumn("b", order_bin("value")).join(ends, "b").groupBy("b", A.cut_of(F.col("value"), F.col("lo"), F.col("hi"))).count()
+    assert cut.count() >= 100 and cut.agg(F.max("count")).first()[0] < len(values) / 50
+
+
+def test_row_numbers_of_close_values(spark):
+    from pyspark.sql import functions as F
+
+    from fieldcheck.operators.ranking import with_row_number
+
+    df = spark.range(5000).selectExpr("id % 2 AS g", "1757000000000 + id * 13 AS t").repartition(4)
+    out = with_row_number(df, ["g"], "t")
+    bad = out.filter(F.col("row_id") != F.floor((F.col("t") - 1757000000000) / 26) + 1)
+    assert out.columns == ["g", "t", "row_id"] and out.count() == 5000 and bad.isEmpty()
