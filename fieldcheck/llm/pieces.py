@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from fieldcheck.llm.common import ragged, through
 
-#: Distinct chunks that a task remembers; beyond it the memory starts anew, which only costs time.
-MEMORY = 1_000_000
+#: Distinct chunks that an encoder remembers; beyond it the memory starts anew, which only costs time.
+MEMORY = 500_000
 
 _NOT_OPEN = {*range(33), 127, 0xC2, 0xE1, 0xE2, 0xE3}
 _ALNUM = {*range(48, 58), *range(65, 91), *range(97, 123)}

@@ -1,7 +1,7 @@
 """Token ids in files of fixed-width bit packing, with block offsets for random access.
 
-Texts are encoded with the tokenizers library, ordered by doc_id across the cluster, and written by one
-task per key range. Every id takes ``bits`` bits, the fewest that hold the vocabulary. A file holds the
+Texts are ordered by doc_id across the cluster, then encoded with the tokenizers library and written by
+one task per key range. Every id takes ``bits`` bits, the fewest that hold the vocabulary. A file holds the
 packed blocks (``BLOCK`` ids each), then doc_ids, token counts, block offsets and a fixed-size trailer.
 Blocks start at whole bytes; unpacking reads one unaligned 64-bit word per id, so any id is found from
 its number alone. Only files named by successful tasks are read, so retries and lost executors are safe.
@@ -153,6 +153,16 @@ def library_encoder(path: str) -> Encoder:
     return Encoder(encode, special)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, with the chunks it remembers from earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = library_encoder(path)
+    return _ENCODERS[path]
+
+
 def vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -177,29 +187,18 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
     """
     bits, fs_folder = bits_for(vocabulary(tokenizer)), f"{folder}/ids-{uuid.uuid4().hex}"
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = library_encoder(tokenizer)
-        for b in slices(batches):
-            ids, at = with_end(*enc(b.column("text")), end_id)
-            raw = ids.astype("<u2" if bits <= 16 else "<u4").view(np.uint8)
-            step = 2 if bits <= 16 else 4
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * step).astype(np.int64)), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), data.cast(pa.binary())], ["doc_id", "tie", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(fs_folder)
         path, out, w = f"{root}/{ctx.partitionId():06d}-{ctx.taskAttemptId()}.ids", None, None
-        for b in slices(batches, "ids"):
+        enc = shared_encoder(tokenizer)
+        for b in slices(batches):
             if out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path)
                 w = Writer(out, bits)
-            data = b.column("ids").cast(pa.large_binary())
-            at = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1]
-            step = 2 if bits <= 16 else 4
-            raw = np.frombuffer(data.buffers()[2], np.uint8)[at[0]:at[-1]].view("<u2" if step == 2 else "<u4")
-            w.add(b.column("doc_id").fill_null(NULL_ID).to_numpy(), np.diff(at) // step, raw.astype(np.uint32))
+            ids, at = with_end(*enc(b.column("text")), end_id)
+            w.add(b.column("doc_id").fill_null(NULL_ID).to_numpy(), np.diff(at), ids)
         if out is not None:
             n, total = w.close()
             out.close()
@@ -207,9 +206,10 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
                                               pa.array([n], pa.int64()), pa.array([total], pa.int64())],
                                              ["shard", "file", "docs", "ids"])
 
-    coded = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "doc_id long, tie long, ids binary"))
-    files = (coded.repartitionByRange(partitions or parts(docs), F.asc_nulls_first("doc_id"), "tie")
+    # The ranges are found by a look at the ids; texts are encoded once, where they are written.
+    keyed = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+             .withColumn("tie", F.xxhash64("text")))
+    files = (keyed.repartitionByRange(partitions or parts(docs), F.asc_nulls_first("doc_id"), "tie")
              .sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
              .mapInArrow(write, "shard int, file string, docs long, ids long").collect())
     return [(r.shard, f"{fs_folder}/{r.file}", r.docs, r.ids) for r in sorted(files)]
