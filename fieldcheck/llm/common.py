@@ -26,14 +26,19 @@ U64 = np.uint64
 _C1, _C2, _C3 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x9E3779B97F4A7C15)
 
 
+#: The folder of a local session that names none.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local session may go without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="fieldcheck-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="fieldcheck-"))
+        root = _OWN[0]
     return root if ":/" in root else "file://" + root
 
 
@@ -195,8 +200,13 @@ def windows(w: Words, k: int) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the ``k`` words from each of ``at``."""
-    return chain([h[at + i] for i in range(k)])
+    """Hashes of the ``k`` words from each of ``at``: ``chain`` without holding all words at once."""
+    out = np.full(len(at), _C3)
+    for i in range(k):
+        out *= _C3
+        out += h[at + i]
+        out = mix(out)
+    return out
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

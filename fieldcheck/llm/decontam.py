@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import ALNUM, Words, chain, slices, stored, windows, words
+from fieldcheck.llm.common import ALNUM, Words, chain, gram_hashes, slices, stored, windows, words
 
 NGRAM = 10
 #: Text of the test set that may be broadcast (its index takes a few times as much).
@@ -64,7 +64,7 @@ class NgramIndex:
             at = windows(w, size)
             if not len(at):
                 continue
-            got = chain([h[at + i] for i in range(size)])
+            got = gram_hashes(h, at, size)
             low = np.searchsorted(known, got)
             low[low == len(known)] = 0
             for i in np.flatnonzero(known[low] == got):

@@ -47,6 +47,9 @@ PIECES = 16
 TIMES = 16
 MANY = 4096
 
+#: Bytes of text whose windows are worked on at once.
+SLICE = 4 << 20
+
 RUN = np.dtype([("prefix", "<u8"), ("doc", "<i8"), ("tie", "<i4"), ("pos", "<u4"), ("n", "u1")])
 
 
@@ -95,7 +98,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     """(dk, tie, spans): for documents with windows to remove, their runs of first words as (begin, end) pairs
     of little-endian 32-bit numbers."""
     spark = docs.sparkSession
-    n_parts = parts(docs)
+    n_parts = parts(docs, 4.0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -131,7 +134,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "runs", "leaves", "dk", "tie", "spans"]
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             w = words(b.column("text"), SPACED)
             at, whole, place = suffixes(w, window, prefix)
             if not len(at):
