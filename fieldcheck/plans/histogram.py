@@ -15,9 +15,9 @@ from fieldcheck.operators.schema import Parser, at_stage, dtypes_of, quoted
 
 # A value this close below a break belongs to the bin above it, as a share of the width.
 _FUZZ = 1e-7
-# Bins that are made from one row, and such rows that are made from one row before.
+# Bins of a block, and blocks of a stretch.
 _BLOCK = 256
-_BLOCKS = 65_536
+_BLOCKS = 256
 
 HISTOGRAM_SCHEMA = T.StructType([
     T.StructField("Variable", T.StringType()), T.StructField("bin", T.LongType()),
@@ -105,8 +105,8 @@ def _binned(
 ) -> DataFrame:
     """All bins of every group, empty ones too, with count, group size, median and mean.
 
-    One far value can stretch a histogram over billions of bins. They are made in blocks that
-    are spread over tasks; the filled bins of a block (``_BLOCK`` at most) travel with it.
+    One far value can extend a histogram over billions of bins. They are made from stretches that
+    are spread over tasks; the filled bins of a stretch (65,536 at most) travel with it.
     """
     keys = list(keys)
     ends = limits(counts, variables, clamp, probs, rules)
@@ -125,12 +125,16 @@ def _binned(
     bound = len(variables) * (2 if len(keys) > 1 else 1)
     middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)
     groups = sums.join(small_side(middle, bound), keys).join(grid, "Variable")
-    held = filled.groupBy(*keys, F.floor(F.col("bin") / _BLOCK).alias("_block")).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_held"))
-    blocks = _upto(_upto(groups, F.ceil(F.col("bins") / (_BLOCK * _BLOCKS)), "_outer", 0),
-                   F.ceil(F.col("bins") / _BLOCK), "_block", F.col("_outer") * _BLOCKS, _BLOCKS)
+    block = F.floor(F.col("bin") / _BLOCK)
+    held = filled.groupBy(*keys, F.floor(block / _BLOCKS).alias("_stretch"), block.alias("_block")).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_bins"))
+    held = held.groupBy(*keys, "_stretch").agg(
+        F.map_from_entries(F.collect_list(F.struct("_block", "_bins"))).alias("_held"))
+    stretches = _upto(groups, F.ceil(F.col("bins") / (_BLOCK * _BLOCKS)), "_stretch", 0)
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks.repartition(tasks, *keys, "_block").join(held, [*keys, "_block"], "left")
+    stretches = stretches.repartition(tasks, *keys, "_stretch").join(held, [*keys, "_stretch"], "left")
+    blocks = _upto(stretches, F.ceil(F.col("bins") / _BLOCK), "_block", F.col("_stretch") * _BLOCKS, _BLOCKS)
+    blocks = blocks.withColumn("_held", F.try_element_at("_held", F.col("_block")))
     frame = _upto(blocks, F.col("bins"), "bin", F.col("_block") * _BLOCK, _BLOCK)
     left = (F.col("first") + F.col("bin")) * w
     count = F.coalesce(F.try_element_at("_held", F.col("bin")), F.lit(0))

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldcheck.constants import BLANKS
-from fieldcheck.functions.text import MULTI_LETTERS, accent_map
 from fieldcheck.functions.times import usable_file_time
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts
@@ -189,11 +188,17 @@ def first_number_sql(x: str, comma_decimal: bool = True) -> str:
     return f"TRY_CAST(nullif(replace({hit}, ',', ''), '') AS DOUBLE)"
 
 
+# Lower-case letters that the database's own accent folding leaves as they are.
+_UNFOLDED = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ø": "o", "đ": "d", "ð": "d", "ħ": "h",
+    "ı": "i", "ł": "l", "ŧ": "t", "ŋ": "n",
+}
+
+
 def fold_sql(x: str) -> str:
-    for letter, plain in MULTI_LETTERS.items():
+    for letter, plain in _UNFOLDED.items():
         x = f"replace({x}, '{letter}', '{plain}')"
-    accented, plain = accent_map()
-    return f"regexp_replace(translate({x}, '{accented}', '{plain}'), '[\\x{{0300}}-\\x{{036f}}]', '', 'g')"
+    return f"regexp_replace(strip_accents({x}), '[\\x{{0300}}-\\x{{036f}}]', '', 'g')"
 
 
 def norm_sql(x: str) -> str:

@@ -24,9 +24,9 @@ from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
 
 def new_folder(spark, name):
     """A new folder below the shared one; a session on one machine that names none gets its own."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fieldcheck-"))
-    return S.run_folder(spark, name)
+    if spark.conf.get("spark.checkpoint.dir", None) or not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return S.run_folder(spark, name)
+    return f"{tempfile.mkdtemp(prefix='fieldcheck-')}/{name}"
 
 
 @query("a1_load_parquet", "SELECT * FROM customer")
