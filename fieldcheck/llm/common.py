@@ -242,14 +242,37 @@ def parts(df: DataFrame, mb_each: float = 8.0) -> int:
     return max(least, min(100_000, int(mb / mb_each) + 1)) if mb < 1e9 else least
 
 
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the smallest node of each of its components."""
+    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not got:
+        return
+    nodes, ends = np.unique(np.concatenate([x for pair in got for x in pair]), return_inverse=True)
+    cuts = np.cumsum([len(x) for pair in got for x in pair])[:-1]
+    parts_of = np.split(ends, cuts)
+    a, b = np.concatenate(parts_of[::2]), np.concatenate(parts_of[1::2])
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == label[b]).all():
+            break
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node reachable.
 
-    Every round moves a node to the smallest label among its neighbours and then to that label's
-    own label, so a path of n nodes ends after about log n rounds. Counts alone come to the driver.
+    Every partition first replaces its edges by stars, so few and flat edges are left. Every round
+    then moves a node to the smallest label among its neighbours and to that label's own label, so a
+    path of n nodes ends after about log n rounds. Counts alone come to the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                  .where("a <> b").distinct(), "edges")
+    stars = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    both = stored(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    done = [both]
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                     .select("node", F.least("node", "low").alias("label")), "labels")
     while True:
@@ -258,7 +281,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = stored(labels.hint("merge").join(near, "node", "left").select(
             "node", F.col("label").alias("old"), F.least("label", "low").alias("label")), "step")
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        done += [labels, step]
         labels = stored(step.hint("merge").join(jump, "label", "left").select(
             "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "jump")
         if labels.where("old <> label").isEmpty():
+            forget(*done)
             return labels

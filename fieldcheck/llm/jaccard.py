@@ -469,7 +469,7 @@ class NearJoin:
             if every:
                 break
             # Once few groups are joined this way, all pairs that are left are compared.
-            every = 20 * found <= known
+            every = 10 * found <= known
         own = (self.sets.hint("merge").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")))
         own = stored(own.select("rid", "doc_id", "th", "n", "label"), "own")

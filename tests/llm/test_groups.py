@@ -155,3 +155,26 @@ def test_shared_marks_bound():
         if t.links(both, len(x) + len(y) - both):
             px, py = x[:t.prefix(len(x))], y[:t.prefix(len(y))]
             assert len(np.intersect1d(px, py)) >= t.shared(len(x), len(y))
+
+
+def test_components(spark):
+    from fieldcheck.llm.common import components
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5), (7, 3)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in list(parent)}
+    for n in (1, 7):
+        got = components(spark.createDataFrame(edges, "a long, b long").repartition(n)).collect()
+        assert {r.node: r.label for r in got} == want
+    assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
