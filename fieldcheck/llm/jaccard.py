@@ -9,8 +9,8 @@ Lists are blocks of sets of equal size, sorted by position. For a set and a bloc
 still reach the needed overlap are one contiguous run; the rest of the block is skipped unseen.
 
 Answers are derived in steps. First each list compares its sets with one pivot and with their
-neighbours in size only; verified links give preliminary groups. While that joins groups, each set is
-compared with its nearest sets of another group. Then all remaining pairs of a list are taken, but a set
+neighbours in size only; verified links give preliminary groups. While that joins groups, each set of a
+long list is compared with its nearest sets of another group. Then all remaining pairs of a list are taken, but a set
 inherits the answers of the group it is already in: a pair within one group needs no comparison. A list
 whose sets are all in one group is skipped as a whole, so a list of near copies costs about as many comparisons as it has sets. No link between different groups can be missed, because every pair that
 passes the filters and lies in different groups is compared.
@@ -52,7 +52,9 @@ PIECES = 16
 BITS = 1 << 24
 #: Entries of a hot gram that one task takes in the first step.
 SHARE = 20_000
-#: Longer lists are left to a Spark join in the second step.
+#: Lists of at most so many sets go straight to the last step.
+SHORT = 16
+#: Longer lists are left to a Spark join in the last step.
 LONG = 20_000
 
 
@@ -238,7 +240,8 @@ class NearJoin:
         both = stored(self.rows.mapInArrow(self._describe(), "rid long, doc_id long, th long, n long, sid long, piece int, counts binary"), "sets")
         self.scratch = [self.rows, both]
         self.sets = both.where("counts IS NULL").drop("piece", "counts")
-        self.counts = self._table(both.where("counts IS NOT NULL").select("piece", "counts"))
+        counts = self._table(both.where("counts IS NOT NULL").select("piece", "counts"))
+        self.level, self.split = levels(counts), np.minimum(counts // SHARE + 1, 65_535).astype(np.uint16)
 
     def _describe(self):
         k = self.k
@@ -279,11 +282,11 @@ class NearJoin:
 
     def _lists(self) -> DataFrame:
         """Step one: (gram, sid, n, pos) of lists with several sets, and first candidates (gram null)."""
-        counts = self.spark.sparkContext.broadcast(self.counts)
+        steer = self.spark.sparkContext.broadcast((self.level, self.split))  # 12 MB
         k, t, share = self.k, self.t, self.partitions
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            level, names = levels(counts.value), ["part", "entries", "sid", "n", "marks"]
+            (level, split_of), names = steer.value, ["part", "entries", "sid", "n", "marks"]
             for b in slices(batches):
                 values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
                 sid, n = signature(values, at), np.diff(at)
@@ -307,8 +310,8 @@ class NearJoin:
                 e["sid"], e["n"] = np.repeat(sid[one], take), np.repeat(n[one], take)
                 e["pos"] = ragged(np.zeros(len(one), np.int64), take)
                 # The counts of a hot gram say over how many tasks its list is spread.
-                split = counts.value[slot(values[src])] // SHARE + 1
-                part = mix(e["gram"] + U64(7) * (e["sid"] % split.astype(U64))) % U64(share)
+                split = split_of[slot(values[src])].astype(U64)
+                part = mix(e["gram"] + U64(7) * (e["sid"] % split)) % U64(share)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(share + 1, dtype=U64))
                 e = e[order]
@@ -458,9 +461,12 @@ class NearJoin:
         self.scratch.append(lists)
         links = self._verify(lists.where("a IS NOT NULL").select("a", "b"), lists)
         self.scratch.append(links)
-        labels, every = components(links), False
+        entries = lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos")
+        long = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("gram")
+        self.scratch.append(long := stored(entries.hint("merge").join(long, "gram"), "long"))
+        labels, every = components(links), long.isEmpty()
         while True:
-            more = self._verify(self._rest(lists, labels, every), lists)
+            more = self._verify(self._rest(lists if every else long, labels, every), lists)
             self.scratch.append(more)
             found, known = more.count(), links.count()
             if found:
