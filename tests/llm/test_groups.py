@@ -99,8 +99,9 @@ def planted(seed, n_groups, group):
     return rows
 
 
-@pytest.mark.parametrize("k, percent, share, long", [(4, 85, 20_000, 20_000), (5, 80, 7, 20_000), (3, 60, 20_000, 5)])
-def test_near_planted(spark, monkeypatch, k, percent, share, long):
+@pytest.mark.parametrize("k, percent, share, long, short", [(4, 85, 20_000, 20_000, 16), (5, 80, 7, 20_000, 2), (3, 60, 20_000, 5, 4)])
+def test_near_planted(spark, monkeypatch, k, percent, share, long, short):
+    monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "SHARE", share)
     monkeypatch.setattr(jaccard, "LONG", long)
     rows = planted(percent, 12, 14)
