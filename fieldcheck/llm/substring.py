@@ -95,8 +95,7 @@ def _doc_columns(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """(dk, tie, spans): for documents with windows to remove, their runs of first words as (begin, end) pairs
-    of little-endian 32-bit numbers."""
+    """(dk, tie, found): documents with words to remove, as (begin, end) pairs of little-endian 32-bit numbers."""
     spark = docs.sparkSession
     n_parts = parts(docs, 4.0)
 
@@ -133,7 +132,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     frequent = spark.sparkContext.broadcast(hot)  # one megabyte
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "runs", "leaves", "dk", "tie", "spans"]
+        names = ["part", "runs", "leaves", "bucket", "spans"]
         for b in slices(batches, size=SLICE):
             w = words(b.column("text"), SPACED)
             at, whole, place = suffixes(w, window, prefix)
@@ -146,7 +145,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             later = ~((dk[doc[many]] == dk[doc[first]]) & (tie[doc[many]] == tie[doc[first]]) & (pos[many] == pos[first]))
             gone = many[later]
             if len(gone):
-                yield from _as_spans(dk, tie, doc[gone], pos[gone], window, names)
+                found = list(_packed(dk, tie, doc[gone], pos[gone], window, n_parts))
+                bucket, none = pa.array([x for x, _ in found], pa.int32()), pa.nulls(len(found), pa.binary())
+                yield pa.RecordBatch.from_arrays([bucket, none, none, bucket, pa.array([x for _, x in found], pa.binary())], names)
             keep = np.ones(len(at), bool)
             keep[many[many != first]] = False
             i = np.flatnonzero(keep)
@@ -169,18 +170,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             ends = np.concatenate([[0], np.cumsum(size)])
             r = r[order]
             some = np.flatnonzero(np.diff(cuts))
-            none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 pa.array(some, pa.int32()),
                 pa.array([b"".join(np.ascontiguousarray(r[cuts[p]:cuts[p + 1]][f]).tobytes() for f in RUN.names) for p in some], pa.binary()),
                 pa.array([leaf[ends[cuts[p]]:ends[cuts[p + 1]]].tobytes() for p in some], pa.binary()),
-                none, pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], names)
+                pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary())], names)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, leaves = [], []
         for b in batches:
             ready = b.column("spans").is_valid()
-            yield b.select(["dk", "tie", "spans"]).filter(ready)
+            yield b.select(["bucket", "spans"]).filter(ready)
             b = b.filter(b.column("runs").is_valid())
             for x, y in zip(b.column("runs"), b.column("leaves")):
                 runs.append(_columns(x.as_py()))
@@ -203,10 +203,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             d, t = r["doc"][owner[gone]], r["tie"][owner[gone]]
             new = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
             head = np.flatnonzero(new)
-            yield from _as_spans(d[head], t[head], np.cumsum(new) - 1, pos[gone], window, ["dk", "tie", "spans"])
+            found = list(_packed(d[head], t[head], np.cumsum(new) - 1, pos[gone], window, n_parts))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "spans"])
 
-    sent = text.select("dk", "tie", "text").mapInArrow(emit, "part int, runs binary, leaves binary, dk long, tie int, spans binary")
-    return sent.repartition(n_parts, "part").mapInArrow(grow, "dk long, tie int, spans binary")
+    sent = text.select("dk", "tie", "text").mapInArrow(emit, "part int, runs binary, leaves binary, bucket int, spans binary")
+    grown = sent.repartition(n_parts, "part").mapInArrow(grow, "bucket int, spans binary")
+    return grown.repartition(n_parts, "bucket").mapInArrow(_gather, "dk long, tie int, found binary")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -217,10 +219,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
             w = words(b.column("text"), SPACED)
             edge = np.zeros(len(w) + 1, np.int64)
             for base, found in zip(w.first.tolist(), b.column("found")):
-                for x in found.as_py() or ():
-                    span = np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) + base
-                    edge[span[:, 0]] += 1
-                    edge[span[:, 1]] -= 1
+                if found.is_valid:
+                    span = np.frombuffer(found.as_py(), "<u4").reshape(-1, 2).astype(np.int64) + base
+                    np.add.at(edge, span[:, 0], 1)
+                    np.add.at(edge, span[:, 1], -1)
             gone = np.cumsum(edge[:-1]) > 0
             before = np.concatenate([[0], np.cumsum(gone)])[w.first]
             kept, ends = joined(w, ~gone)
@@ -230,7 +232,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
                 pa.array([hashlib.sha256(kept[a:max(a, e - 1)]).hexdigest() for a, e in zip(ends[:-1], ends[1:])], pa.string()),
                 pa.array(removed, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"])
 
-    found = repeats(docs, window, prefix).groupBy("dk", "tie").agg(F.collect_set("spans").alias("found"))
+    found = repeats(docs, window, prefix)
     return (keyed(docs).hint("merge").join(found, ["dk", "tie"], "left").select("doc_id", "text", "found")
             .mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed string"))
 
@@ -262,8 +264,8 @@ def _columns(data: bytes) -> np.ndarray:
     return out
 
 
-def _as_spans(dk, tie, doc, pos, window, names) -> Iterator[pa.RecordBatch]:
-    """One row per document with the runs of words that its windows cover."""
+def _packed(dk, tie, doc, pos, window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """The words that windows cover, as spans of documents, packed by buckets of documents."""
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     new = np.ones(len(doc), bool)
@@ -272,13 +274,39 @@ def _as_spans(dk, tie, doc, pos, window, names) -> Iterator[pa.RecordBatch]:
     last = np.concatenate([head[1:], [len(doc)]]) - 1
     span = np.stack([pos[head], pos[last] + window], 1).astype("<u4")
     d = doc[head]
-    docs = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    ends = np.concatenate([docs[1:], [len(d)]])
-    blobs = pa.array([span[a:b].tobytes() for a, b in zip(docs, ends)], pa.binary())
-    ids = d[docs]
-    cols = {"dk": pa.array(dk[ids].astype(np.int64)), "tie": pa.array(tie[ids].astype(np.int32)), "spans": blobs,
-            "part": pa.array(dk[ids].astype(np.int64) & 0xFFFF, pa.int32()), "runs": pa.nulls(len(ids), pa.binary()), "leaves": pa.nulls(len(ids), pa.binary())}
-    yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    n = np.diff(first, append=len(d))
+    ids, ties = dk[d[first]].astype("<i8"), tie[d[first]].astype("<i4")
+    bucket = (mix(ids.view(U64) ^ ties.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cuts):
+        spans = span[ragged(first[part], n[part])]
+        yield int(bucket[part[0]]), b"".join(x.tobytes() for x in (np.array([len(part)], "<i8"), ids[part], ties[part], n[part].astype("<u4"), spans))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of the buckets of this task, with all its spans."""
+    got = []
+    for b in batches:
+        for x in b.column("spans"):
+            x = x.as_py()
+            n = int(np.frombuffer(x, "<i8", 1)[0])
+            got.append((np.frombuffer(x, "<i8", n, 8), np.frombuffer(x, "<i4", n, 8 + 8 * n), np.frombuffer(x, "<u4", n, 8 + 12 * n),
+                        np.frombuffer(x, "<u4", -1, 8 + 16 * n).reshape(-1, 2)))
+    if not got:
+        return
+    dk, tie, n, span = (np.concatenate(x) for x in zip(*got))
+    n = n.astype(np.int64)
+    first = np.cumsum(n) - n
+    order = np.lexsort((tie, dk))
+    dk, tie, n, span = dk[order], tie[order], n[order], span[ragged(first[order], n[order])]
+    ends = np.cumsum(n)
+    docs = np.flatnonzero(np.concatenate([[True], (dk[1:] != dk[:-1]) | (tie[1:] != tie[:-1])]))
+    stop = ends[np.concatenate([docs[1:], [len(dk)]]) - 1]
+    start = np.concatenate([[0], stop[:-1]])
+    yield pa.RecordBatch.from_arrays([pa.array(dk[docs]), pa.array(tie[docs]), pa.array([span[a:b].tobytes() for a, b in zip(start, stop)], pa.binary())],
+                                     ["dk", "tie", "found"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
