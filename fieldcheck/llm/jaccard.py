@@ -20,8 +20,8 @@ that follows from their sizes, and marks can only overstate what is shared. What
 the full sets, which are made anew from the texts of the sets concerned; a bit table of fixed size keeps
 the other texts out of that shuffle.
 
-Hot grams are split over several tasks in the first step, by the counts of the table. In the last step
-lists of more than ``LONG`` sets are joined by Spark itself, which splits them over tasks.
+Hot grams are split over several tasks in the first step, by the counts of the table. What is alone in
+its task may have company in another one, so entries of split grams are all kept. In the last step lists of more than ``LONG`` sets are joined by Spark itself, which splits them over tasks.
 
 Defined results: null or blank texts have no grams and link with nothing; texts with fewer words than a
 gram are one gram as a whole; equal sets always link (they become one node before the join, so copies are
@@ -52,6 +52,8 @@ PIECES = 16
 BITS = 1 << 24
 #: Entries of a hot gram that one task takes in the first step.
 SHARE = 20_000
+#: Set in the position of an entry whose gram is dealt to several tasks, on its way there.
+SHARED = np.uint32(1 << 31)
 #: Lists of at most so many sets go straight to the last step.
 SHORT = 16
 #: Longer lists are left to a Spark join in the last step.
@@ -311,6 +313,7 @@ class NearJoin:
                 e["pos"] = ragged(np.zeros(len(one), np.int64), take)
                 # The counts of a hot gram say over how many tasks its list is spread.
                 split = split_of[slot(values[src])].astype(U64)
+                e["pos"][split > 1] |= SHARED
                 part = mix(e["gram"] + U64(7) * (e["sid"] % split)) % U64(share)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(share + 1, dtype=U64))
@@ -332,7 +335,8 @@ class NearJoin:
             g = e["gram"][order]
             twice = np.zeros(len(g) + 1, bool)
             twice[1:-1] = g[1:] == g[:-1]
-            e = e[order[twice[1:] | twice[:-1]]]
+            e = e[order[twice[1:] | twice[:-1] | (e["pos"][order] >= SHARED)]]
+            e["pos"] &= ~SHARED
             e = e[np.lexsort((e["pos"], e["sid"], e["n"], e["gram"]))]
             if len(e):
                 e = e[np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (e["sid"][1:] != e["sid"][:-1])])]

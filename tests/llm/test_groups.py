@@ -111,6 +111,19 @@ def test_near_planted(spark, monkeypatch, k, percent, share, long, short):
     assert sorted([tuple(r) for r in out], key=str) == brute_near(rows, k, percent)
 
 
+def test_near_copies_of_hot_texts(spark, monkeypatch):
+    """A text with more copies than a task's share still links with its one near copy."""
+    monkeypatch.setattr(jaccard, "SHARE", 2)
+    monkeypatch.setattr(jaccard, "parts", lambda docs: 200)
+    rows = []
+    for g in range(6):
+        base = [f"t{g}w{i}" for i in range(40)]
+        rows += [(len(rows) + i, " ".join(base)) for i in range(60)]
+        rows.append((len(rows), " ".join([*base, "more"])))
+    out = jaccard.near_groups(frame(spark, rows).coalesce(2), 5, 80).collect()
+    assert sorted([tuple(r) for r in out], key=str) == brute_near(rows, 5, 80)
+
+
 def test_near_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     out = jaccard.near_groups(spark.read.parquet(f"{SF}/documents.parquet"), 4, 85).collect()
