@@ -8,7 +8,9 @@ and equal words next to an anchor join it. Coverage is the share of a template's
 A window of the text is scanned around every place where ``SEED`` consecutive words of a template occur;
 a template with fewer words is its own seed. Seeds are found for whole slices at once from hashes, so the
 alignment runs on the few places that can have one. Windows reach as far as the template could on both
-sides and are joined where they touch, so each place of a long text is aligned once, in bounded memory.
+sides and are joined where they touch, in bounded memory. A window that holds a notice twice has no unique
+words, so each copy is aligned by itself as well: a copy ends where the seeds step back in the template, and
+its window ends where the seeds of its neighbours begin.
 
 Defined results: null texts and texts without words have no licenses; each template is reported at most
 once a document, with its best window (the earliest of equals); rows are independent. Extra columns are
@@ -133,7 +135,7 @@ class Templates:
         """(document, template, coverage, first word, end word) of every template that is covered enough."""
         w = words(text, ALNUM, lower=True)
         h = w.hashes()
-        spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        spots: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for size, known in self.probe.items():
             at = windows(w, size)
             if not len(at):
@@ -145,19 +147,54 @@ class Templates:
                 first = int(at[i])
                 doc = int(np.searchsorted(w.first, first, "right")) - 1
                 for t, j in self.seeds[size][int(got[i])]:
-                    n = len(self.hashes[t])
-                    spots.setdefault((doc, t), []).append((first - j - (REACH - 1) * n, first - j + REACH * n))
-        for (doc, t), ranges in sorted(spots.items()):
+                    spots.setdefault((doc, t), []).append((first, j, size))
+        for (doc, t), seeds in sorted(spots.items()):
+            begin, end, n = int(w.first[doc]), int(w.first[doc + 1]), len(self.hashes[t])
             best = (0.0, 0, 0)
-            begin, end = int(w.first[doc]), int(w.first[doc + 1])
-            for a, b in _joined(ranges, 4 * REACH * len(self.hashes[t])):
+            for a, b in _ranges(seeds, n):
                 a, b = max(a, begin), min(b, end)
+                if best[0] == 1 and a > best[1]:
+                    break
                 met = align(h[a:b].tolist(), self.hashes[t])
-                share = len(met) / len(self.hashes[t])
-                if share > best[0]:
-                    best = (share, a + met[0][0] - begin, a + met[-1][0] + 1 - begin)
+                if met:
+                    best = min(best, (len(met) / n, a + met[0][0], a + met[-1][0] + 1), key=lambda x: (-x[0], x[1], x[2]))
             if best[0] >= COVERAGE:
-                yield doc, t, *best
+                yield doc, t, best[0], best[1] - begin, best[2] - begin
+
+
+def _ranges(seeds: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
+    """Ranges of words to be aligned with a template of ``n`` words, from (word, template word, size) of seeds."""
+    seeds = sorted(seeds)
+    out = set(_joined([(p - j - (REACH - 1) * n, p - j + REACH * n) for p, j, _ in seeds], 4 * REACH * n))
+    copies = _copies(seeds, n)
+    for k, (p, j, _) in enumerate(copies):
+        low, high = p - j - (REACH - 1) * n, p - j + REACH * n
+        if k:
+            low = max(low, copies[k - 1][2])
+        if k + 1 < len(copies):
+            high = min(high, copies[k + 1][0])
+        out.add((low, max(high, copies[k][2])))
+    # A stray seed within a notice cuts it in two, so the plain length from every start is taken too.
+    out.update((p - j, p - j + n) for p, j, _ in seeds)
+    out.update((p - j, p - j + REACH * n) for p, j, _ in copies)
+    return sorted(out)
+
+
+def _copies(seeds: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
+    """First word, its place in the template and end of each run of sorted seeds that goes forward in the template."""
+    at: dict[int, list[tuple[int, int]]] = {}
+    for p, j, size in seeds:
+        at.setdefault(p, []).append((j, size))
+    out: list[list[int]] = []
+    last = -1
+    for p, found in at.items():
+        # Of several places of a run of words the next one is the likeliest.
+        ahead = [x for x in found if out and x[0] > last and p - out[-1][0] < REACH * n]
+        j, size = min(ahead or found)
+        if not ahead:
+            out.append([p, j, p])
+        last, out[-1][2] = j, p + size
+    return [(p, j, e) for p, j, e in out]
 
 
 def _joined(ranges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:

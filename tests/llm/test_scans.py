@@ -230,6 +230,28 @@ def test_licenses(spark):
     assert licenses.license_scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_notices():
+    """A notice that stands more than once close together is reported with its first best place."""
+    found = licenses.Templates(licenses.TEMPLATES)
+
+    def scan(text):
+        return [(found.names[t], round(share, 3), a, b) for _, t, share, a, b in found.scan(pa.array([text]))]
+
+    assert scan("Foo. All rights reserved. X All rights reserved. Bar") == [("reserved", 1.0, 1, 4)]
+    assert scan("x Released under the MIT License y Released under the MIT License z") == [("mit", 1.0, 1, 6)]
+    notice = licenses.TEMPLATES["mit-notice"].split()
+    n = len(words(pa.array([" ".join(notice)]), ALNUM).begin)
+    broken = [w for i, w in enumerate(notice) if i % 9]
+    long = [x for i, w in enumerate(notice) for x in ([w, "foreign"] if i % 5 == 0 else [w])]
+    for gap in (0, 1, n // 2, n, 2 * n):
+        assert scan(" ".join([*notice, *["int"] * gap, *notice, "tail"])) == [("mit-notice", 1.0, 0, n)]
+        assert scan(" ".join(["x", *broken, *["int"] * gap, *notice, *["int"] * gap, *broken])) == [
+            ("mit-notice", 1.0, 1 + gap + len(words(pa.array([" ".join(broken)]), ALNUM).begin), 1 + gap + len(words(pa.array([" ".join(broken)]), ALNUM).begin) + n)]
+        for copy, least in ((broken, 0.8), (long, 1.0)):
+            (name, share, a, _), = scan(" ".join([*copy, *["int"] * gap, *copy, *["int"] * gap, *copy]))
+            assert name == "mit-notice" and share >= least and a <= 1
+
+
 def test_license_query(spark):
     """Every document with a one-line notice has it reported."""
     rows = {r.doc_id: r.licenses for r in op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
