@@ -4,7 +4,7 @@ The network reads a word's bytes in both directions, labels every position with
 and a document pools the log-probabilities of all its positions. White space ends a sequence, so equal
 words give equal outputs: every distinct word of a slice is read once and weighted by its occurrences,
 and all words of the whole text count. Training is backpropagation through time with Adam, in one task,
-on a sample of at most ``SAMPLE`` labelled documents of each language (the lowest hashes of their text).
+on a sample of at most ``SAMPLE`` distinct labelled texts of each language (those with the lowest hashes).
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; without any labelled
 document everything is ``und``; rows with null lang are not learned from; equal texts always get the same
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldcheck.llm.common import SPACED, Words, crc32_mod, slices, words
 
-#: Labelled documents of each language that the classifier is fitted on.
+#: Distinct labelled texts of each language that the classifier is fitted on.
 SAMPLE = 400
 #: Distinct words of the sample, the most frequent ones, that training sees.
 TRAIN_WORDS = 40_000
@@ -288,17 +288,17 @@ def train(texts: list[str], labels: list[str]) -> ByteGRU | None:
 
 
 def sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
-    """(lang, text): about ``per_lang`` labelled documents of each language, by the hash of their text."""
+    """(lang, text): the ``per_lang`` labelled texts of each language with the lowest hashes, copies once."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    # Hashes alone are ordered, and every task sends no more than ``per_lang`` of a language.
+    low = Window.partitionBy("lang").orderBy("h")
+    lowest = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(low)).where(F.col("k") <= per_lang)
     # One row for each language comes to the driver, so that rows are picked where they are read.
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    last = {r.lang: r.h for r in lowest.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
         return known.select("lang", "text")
-    # A share of the hash range first, so that no language is ever ordered as a whole.
-    share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 2.0 * per_lang / n))])
-    near = known.where(F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) <= share[F.col("lang")] * float(1 << 62))
-    top = Window.partitionBy("lang").orderBy("h", "text")
-    return near.withColumn("k", F.row_number().over(top)).where(F.col("k") <= per_lang).select("lang", "text")
+    bound = F.create_map(*[F.lit(x) for k, h in sorted(last.items()) for x in (k, h)])
+    return known.where(F.col("h") <= bound[F.col("lang")]).select("lang", "text").distinct()
 
 
 def fitted(docs: DataFrame, per_lang: int = SAMPLE) -> bytes | None:

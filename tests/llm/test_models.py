@@ -130,6 +130,18 @@ def test_language_edges(spark):
     assert langid.languages(df.limit(0), model).count() == 0
 
 
+def test_sample_of_copies(spark):
+    """Copies take no places in the sample, and a language of few texts in many rows is learned."""
+    rows = [(i, f"text {g} {i % d}", g, "s", 1) for g, d, n in (("aa", 5, 4000), ("bb", 30, 3000), ("cc", 3, 3), ("dd", 900, 1000)) for i in range(n)]
+    rows += [(i, "one text", "dd", "s", 1) for i in range(2000)]
+    df = frame(spark, rows)
+    for most in (20, 400):
+        got = collections.Counter(langid.sample(df.select("lang", "text"), most).collect())
+        assert max(got.values()) == 1
+        n = collections.Counter(r.lang for r in got)
+        assert n == {"aa": 5, "bb": min(30, most), "cc": 3, "dd": most}
+
+
 def test_predictions_remembered():
     model = langid.train(["aa bb", "cc dd"] * 5, ["x", "y"] * 5)
     text = pa.array(["aa cc", "bb " * 9, "dd"])
