@@ -1,4 +1,4 @@
-"""Substring de-duplication by prefix-partitioned suffix trees over words.
+"""Substring de-duplication by hashes of word windows, dealt by prefixes.
 
 Which word windows occur earlier is read off the suffix tree of all documents: a window of ``WINDOW``
 words repeats exactly if it ends below an internal node of at least that depth. The tree is never built
@@ -9,14 +9,13 @@ it (its minimum hash). Windows in a row share this run, so one entry holds many
 Prefixes have variable length. A run that is frequent across the corpus (a fixed-size table of counts
 over all documents tells) is extended to the whole window, which splits its suffixes over many groups;
 the others stay at ``PREFIX`` words. Groups are packed into partitions that fit in memory. A task builds
-the lower parts of the subtrees of its prefixes: below a prefix, the edges are hashes of the words of a
-whole window, and every node with several leaves is a deep internal node. Its first leaf is the earliest
-occurrence; all others are windows to remove. Neighbouring windows join into maximal repeats.
+no tree and sorts no suffixes: it groups the windows of its prefixes by one hash, which says what a node of
+the window's depth would. The first window of a group is the earliest occurrence; all others are to be removed. Neighbouring windows join into maximal repeats.
 
 A task keeps only the earliest of equal windows of a slice before anything is sent, so a passage that a
 third of all documents share arrives once from each slice. Suffixes are never shipped word by word: one
-entry takes 20 bytes and 4 for each of its windows. Nodes are told apart by 96 bits (64 of the prefix,
-32 of the window) or by 64 bits (extended prefixes).
+entry takes 20 bytes and 4 for each of its windows. Windows are told apart by 64 bits,
+made of the 64 of the prefix and the 32 of the window; their words are not compared.
 
 Defined results: null texts have no words; documents of fewer words than a window lose nothing; "earlier"
 is by doc_id (null first), then by the hash of the text, then by position; rows with equal doc_id and
