@@ -189,6 +189,13 @@ def words(text: pa.Array, table: bytes = SPACED, lower: bool = False) -> Words:
     return Words(data, begin, end, np.searchsorted(begin, at))
 
 
+def word_strings(w: Words, table: bytes) -> pa.LargeStringArray:
+    """The words as one string array; ``table`` is the one they were found with."""
+    ends = np.concatenate([[0], np.cumsum(w.end - w.begin)]).astype(np.int64)
+    inside = w.data[through(w.data, table).view(bool)]
+    return pa.LargeStringArray.from_buffers(len(w), pa.py_buffer(ends), pa.py_buffer(inside))
+
+
 def windows(w: Words, k: int) -> np.ndarray:
     """First words of all runs of ``k`` words of one document."""
     ok = np.ones(max(len(w) - k + 1, 0), bool)

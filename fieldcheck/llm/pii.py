@@ -66,7 +66,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 KINDS = [
     Kind("email", _DOMAIN, None, 0.9, re.compile(r"mail|contact|write", re.I), needs="@"),
     # No match can begin within a run of digits, so runs are entered at their first digit only.
-    Kind("ip", re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), lambda s: all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in s.split(".")),
+    Kind("ip", re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), lambda s: all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in s.split(".")),
          0.7, re.compile(r"\bip\b|address|host|server", re.I), needs="."),
     Kind("card", re.compile(r"[0-9](?:[\x20-]?[0-9])+"), lambda s: 16 <= len(d := _digits(s)) <= 19 and luhn(d),
          0.8, re.compile(r"card|visa|master|credit|karte|tarjeta|carte", re.I)),

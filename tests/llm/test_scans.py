@@ -46,6 +46,15 @@ PII = ["a.b@c-d.example.com, x@y a@b@c.de.f @x.y", "1.2.3.4.5.6.7.8 256.1.1.1 01
        "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013001", "card 3782 822463 10005 x 378282246310005 "]
 
 
+def test_pii_long_digit_runs():
+    for n in (4300, 4301, 10**6):
+        run = "0" * n
+        for t in (f"{run}.1.1.1", f"1.{run}.1.1", f"1.1.{run}.1", f"1.1.1.{run}", f"{run}.{run}.{run}.{run}"):
+            assert base_of(t)[0] == ("ip", 0, len(t))
+        assert base_of(f"{run}256.1.1.1") == [] and base_of("9" * n + ".1.1.1") == []
+        assert base_of("+" + "9" * n) == base_of("4" * n) == [] and base_of("9" * n + "@b.c")[0] == ("email", 0, n + 4)
+
+
 def base_of(t):
     return [(k, a, b) for k, a, b, _, own in pii.spans(t) if own]
 
