@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from fieldcheck.llm import bpe, decontam, exact, jaccard, langid, licenses, lm, pii, substring, tokenids
+from fieldcheck.llm import (
+    bpe, decontam, divergence, exact, jaccard, langid, licenses, lm, pii, ranking, sentences, substring, tokenids,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,11 +65,24 @@ def op10_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return ranking.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentence_pieces(spark, sf_dir):
+    return sentences.encode_decode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op5_license_scan, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup, pipeline)}
+QUERIES |= {f.__name__: f for f in (op1_pii, op2_lm_scores, op3_language_id, op4_token_ids, op5_license_scan, op6_exact_dedup, op7_jaccard_join, op8_bpe, op9_decontamination, op10_substring_dedup,
+                                   op11_source_divergence, op12_lexical_search, op13_sentence_pieces, pipeline)}
 
 ORACLES["op6_exact_dedup"] = r"""
 WITH t AS (
@@ -116,3 +131,53 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n_kept, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_source_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+a AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 2)) // (coalesce(a.total, 0) + 2 * v.v) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN a ON a.lang = g.lang AND a.source = g.source),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (CAST(n AS HUGEINT) + 2)) // (total + 2 * v) AS q
+  FROM (SELECT lang, term, n, sum(n) OVER (PARTITION BY lang) AS total FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)) JOIN v USING (lang)),
+s AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (
+  SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_parts AS (
+  SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM both_parts
+WINDOW w AS (PARTITION BY part, lang, source ORDER BY value DESC, item) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLES["op12_lexical_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+f AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+x AS (
+  SELECT item_id, r, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM t JOIN q USING (term) JOIN f USING (term)
+  JOIN (SELECT r, 100 - 50 + (50 * len(w) * nd) // l AS m FROM d, s WHERE len(w) > 0) USING (r) GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM x JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 50
+"""
