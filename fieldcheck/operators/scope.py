@@ -94,22 +94,22 @@ def month_of(day):
     return F.trunc(day, "month"), F.last_day(day)
 
 
-def window_frame(df: DataFrame, window: Window) -> DataFrame:
+def window_frame(df: DataFrame, window: Window, index: DataFrame | None = None) -> DataFrame:
     """Visits of the latest file of every day in the window.
 
     At most one file per day: the chosen files are as many as the window has days.
     """
     start, end = window
-    latest = latest_file_per_day(df, start, end)
+    latest = latest_file_per_day(df if index is None else index, start, end)
     days = (end - start).days + 1
     return semi_latest_files(filter_days(df, start, end), latest, max_rows=days)
 
 
-def day_frame(df: DataFrame, day: dt.date | None) -> DataFrame:
+def day_frame(df: DataFrame, day: dt.date | None, index: DataFrame | None = None) -> DataFrame:
     """Visits of the latest file of one day; none when the day or its file is missing."""
     if day is None:
         return df.filter(F.lit(False))
-    file = latest_file_for_day(df, day).first()
+    file = latest_file_for_day(df if index is None else index, day).first()
     return filter_day_file(df, day, file["file_name"] if file else None)
 
 
@@ -126,24 +126,28 @@ class Scope:
         return range_window(self.start or self.selected, self.end or self.selected)
 
 
-def scope_frame(df: DataFrame, scope: Scope) -> DataFrame:
-    """The visits of a scope; only this scope is built, the others are never computed."""
+def scope_frame(df: DataFrame, scope: Scope, index: DataFrame | None = None) -> DataFrame:
+    """The visits of a scope; only this scope is built, the others are never computed.
+
+    ``index`` is a kept table of the same visits' files (``day, file_name, file_ts_fallback``). Days and
+    files are then chosen from it, and visits are read once, for the chosen files.
+    """
     if scope.kind not in ("day", "week", "month", "range", "range_pair"):
         raise ValueError(f"unknown scope {scope.kind}")
     if scope.kind == "range":
-        return window_frame(df, scope.range())
+        return window_frame(df, scope.range(), index)
     if scope.kind == "range_pair":
         # The windows adjoin and every day has its own latest file, so both are one window.
         start, end = scope.range()
-        both = window_frame(df, (previous_window(start, end)[0], end))
+        both = window_frame(df, (previous_window(start, end)[0], end), index)
         period = F.when(F.col("day") >= F.lit(start), "Current").otherwise("Previous")
         return both.withColumn("period", period)
-    day = resolved_date(df, scope.selected)
+    day = resolved_date(df if index is None else index, scope.selected)
     if day is None or scope.kind == "day":
-        return day_frame(df, day)
+        return day_frame(df, day, index)
     if scope.kind == "week":
-        return window_frame(df, week_window(day))
-    return window_frame(df, month_window(day))
+        return window_frame(df, week_window(day), index)
+    return window_frame(df, month_window(day), index)
 
 
 def scope_label(scope: Scope, resolved: dt.date | None = None) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from fieldcheck.constants import (
     FULL_MASK_PATTERN, HASH_PATTERN, ID_MASK_PATTERN, ID_TAIL, PHONE_MASK_PATTERN, PHONE_TAIL,
@@ -114,6 +114,19 @@ def pii_audit(
     such as ``NIK``, is allowed as far as its values are masked. Hash columns are left out of the
     digit-run check as far as their values are well-formed hashes.
     """
+    rows, aggs = audit_checks(df, forbidden, required)
+    table = F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"),
+                 F.coalesce(F.col(agg), F.lit(0)).alias("violations"))
+        for check, column, agg in rows
+    ])
+    return df.agg(*aggs).select(F.inline(table)).withColumn("ok", F.col("violations") == 0)
+
+
+def audit_checks(
+    df: DataFrame, forbidden: Sequence[str] = PII_COLUMNS, required: Sequence[str] = SAFE_REQUIRED,
+) -> tuple[list[tuple[str, str, str]], list[Column]]:
+    """The checks of ``pii_audit`` as (check, column, name of its aggregate), and the aggregates."""
     rows, aggs = [], []
 
     def add(check: str, column: str, violations: Column) -> None:
@@ -139,12 +152,38 @@ def pii_audit(
             if FORMATS.get(field.name) == [HASH_PATTERN]:
                 leak = leak & ~c.rlike(HASH_PATTERN)
             add("digit_run", field.name, F.count_if(leak))
-    table = F.array(*[
-        F.struct(F.lit(check).alias("check"), F.lit(column).alias("column"),
-                 F.coalesce(F.col(agg), F.lit(0)).alias("violations"))
-        for check, column, agg in rows
-    ])
-    return df.agg(*aggs).select(F.inline(table)).withColumn("ok", F.col("violations") == 0)
+    return rows, aggs
+
+
+class Leak(Exception):
+    """What was about to be published failed the audit; ``violations`` lists (check, column, rows)."""
+
+    def __init__(self, violations: list[tuple[str, str, int]]):
+        super().__init__(", ".join(f"{check} {column}: {n}" for check, column, n in violations))
+        self.violations = violations
+
+
+class Audited:
+    """A table whose audit is counted while it is written, without a scan of its own.
+
+    Write ``self.df``, then ask ``violations``. A retried stage may count a row twice, which
+    never turns a violation into none.
+    """
+
+    def __init__(self, df: DataFrame, forbidden: Sequence[str] = PII_COLUMNS, required: Sequence[str] = SAFE_REQUIRED):
+        self._rows, aggs = audit_checks(df, forbidden, required)
+        self._seen = Observation()
+        self.df = df.observe(self._seen, *aggs)
+
+    def counts(self) -> list[tuple[str, str, int]]:
+        found = self._seen.get
+        return [(check, column, found[name] or 0) for check, column, name in self._rows]
+
+    def require_clean(self) -> None:
+        """Raises ``Leak`` if any check counted a row."""
+        bad = [x for x in self.counts() if x[2]]
+        if bad:
+            raise Leak(bad)
 
 
 def audit_preview(df: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldcheck.constants import SOURCE_ZONE, WANTED_COLUMNS
@@ -13,56 +13,50 @@ from fieldcheck.operators.filters import filter_days
 from fieldcheck.operators.reshape import distinct_rows
 from fieldcheck.operators.schema import quoted
 from fieldcheck.plans.facility import with_times
-from fieldcheck.plans.privacy import Salts, anonymize
+from fieldcheck.plans.privacy import Audited, Leak, Salts, anonymize
+from fieldcheck.plans.summaries import SUMMARIES
 from fieldcheck.sources.readers import scan_minimal
-from fieldcheck.sources.sinks import append_cache
+from fieldcheck.sources.versions import VISITS, Conflict, Fetched, Version, VersionedTables, new_run
 
 FIRST_DAY = dt.date(2025, 9, 1)
 
 
-#: What Spark says of a folder that does not exist, or that holds no file yet.
-NOT_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """The cached table, or None before the first refresh. Any other failure is raised."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in NOT_YET:
-            raise
-        return None
+    """The published visits, or None before the first refresh. Any other failure is raised."""
+    return VersionedTables(spark, path).read(VISITS)
 
 
 def cached_days(spark: SparkSession, path: str) -> list[dt.date]:
-    """The days of the cache, ascending, from the names of its partition folders: no file is opened."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    days = []
-    for status in fs.listStatus(folder):
-        name = status.getPath().getName()
-        if status.isDirectory() and name.startswith("day="):
-            try:
-                days.append(dt.date.fromisoformat(name.removeprefix("day=")))
-            except ValueError:
-                continue
-    return sorted(days)
+    """The days that hold visits, ascending, from the manifest: no folder is listed, no file opened."""
+    return VersionedTables(spark, path).version().days(VISITS)
+
+
+def source_version(source: DataFrame) -> str:
+    """A text that changes with the source: its plan and the names of its files.
+
+    Only the plan is looked at, no row is read. Files that are rewritten under their old names are not
+    noticed, and sources without files differ from session to session; a warehouse's own snapshot id is
+    better where there is one.
+    """
+    files = sorted(source.inputFiles())
+    own = "" if files else source.sparkSession.sparkContext.applicationId
+    return hashlib.sha256("\n".join([own, str(source.semanticHash()), *files]).encode()).hexdigest()
 
 
 def days_to_fetch(
-    cached: Sequence[dt.date], start: dt.date, today: dt.date, reload_days: int = 1
+    cached: Iterable[dt.date], start: dt.date, today: dt.date, reload_days: int = 1,
+    seen: Iterable[dt.date] = (),
 ) -> list[dt.date]:
     """Every day that the cache lacks, and the last ``reload_days`` calendar days up to its last one.
 
-    A facility that uploads a late day early does not lock the others out: days without a
-    partition are fetched whatever the last cached day is.
+    A facility that uploads a late day early does not lock the others out: days without
+    visits are fetched whatever the last cached day is. ``seen`` are the days that were already fetched
+    from this very version of the source, with or without visits: they cannot hold anything new.
     """
-    held = {d for d in cached if start <= d <= today}
+    held, seen = {d for d in cached if start <= d <= today}, set(seen)
     days = [start + dt.timedelta(days=i) for i in range((today - start).days + 1)]
     again = max(held) - dt.timedelta(days=reload_days) if held else None
-    return [d for d in days if d not in held or (d > again and d <= max(held))]
+    return [d for d in days if d not in seen and (d not in held or (d > again and d <= max(held)))]
 
 
 def fetch(
@@ -99,23 +93,67 @@ def unseen_rows(
     return distinct.drop("_row")
 
 
+def add_visits(
+    store: VersionedTables, base: Version, fresh: DataFrame, summaries: Mapping[str, Callable[[DataFrame], DataFrame]],
+    fetched: Sequence[dt.date] = (), source: str = "", batches: Mapping[str, int] | None = None,
+) -> Version:
+    """Stages visits and the summaries of what was added, and publishes both with the ledger.
+
+    The audit is counted while the visits are written; on a violation they are deleted and ``Leak`` is raised.
+    Readers see all of the new version or the old one.
+    """
+    run, at = new_run(), dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    audited = Audited(fresh)
+    try:
+        added = store.stage(audited.df, run)
+        audited.require_clean()
+        schemas, parts = {VISITS: fresh.schema}, list(added)
+        for table, part_of in summaries.items():
+            part = part_of(store.rows_of(added, VISITS, fresh.schema))
+            schemas[table] = part.schema
+            parts += store.stage(part, run, table) if added else []
+        rows: dict[dt.date, int] = {}
+        for p in [*base.of(VISITS, fetched), *added]:
+            rows[p.day] = rows.get(p.day, 0) + p.rows
+        entries = {d: Fetched(at, rows.get(d, 0), source) for d in fetched}
+        return store.publish(base, parts, schemas, entries, batches)
+    except (Leak, Conflict):
+        store.discard(run)
+        raise
+
+
 def incremental_refresh(
     spark: SparkSession, source: DataFrame, path: str, salts: Salts, today: dt.date,
     start: dt.date = FIRST_DAY, reload_days: int = 1, keys: Sequence[str] | None = None,
-    zone: str = SOURCE_ZONE,
+    zone: str = SOURCE_ZONE, version: str | None = None,
+    summaries: Mapping[str, Callable[[DataFrame], DataFrame]] = SUMMARIES, attempts: int = 10,
 ) -> DataFrame:
-    """Fetch the days the cache lacks, anonymize, append what is new; returns the cache.
+    """Fetch the days the cache lacks, anonymize, publish what is new; returns the cache.
 
-    Days without a partition are fetched whatever the last cached day is; ``reload_days`` says
+    Days without visits are fetched whatever the last cached day is; ``reload_days`` says
     how many days up to the last cached one are looked at again, to admit rows that came late
-    (1: the last day itself). Only these are compared with the cache, which prunes its other
-    partitions. Rows already stored are never appended again, so a rerun changes nothing.
+    (1: the last day itself). Only these are compared with the cache, whose other days are not
+    listed. Rows already stored are never stored again, so a rerun changes nothing.
+
+    The ledger says which days were fetched from which ``version`` of the source (by default
+    ``source_version``). A day is not asked for twice of one version, so a second run over an unchanged
+    source reads no row of it, whether its days are empty or not.
+
+    If another refresh publishes in between, this one starts again from what that one stored: two
+    refreshes at once leave one copy of each row.
     """
-    held = cached_days(spark, path)
-    days = days_to_fetch(held, start, today, reload_days)
-    if days:
-        again = [d for d in days if d in set(held)]
-        cache = read_cache(spark, path) if again else None
-        seen = None if cache is None else cache.filter(F.col("day").isin(again))
-        append_cache(unseen_rows(fetch(source, days, salts, zone), seen, keys), path)
-    return spark.read.parquet(path)
+    store, version = VersionedTables(spark, path), version or source_version(source)
+    for _ in range(attempts):
+        base = store.version()
+        seen = [d for d, f in base.fetched.items() if f.source == version]
+        days = days_to_fetch(base.days(VISITS), start, today, reload_days, seen)
+        if not days:
+            return store.read(VISITS, version=base)
+        again = sorted(set(days) & set(base.days(VISITS)))
+        held = store.read(VISITS, again, base) if again else None
+        try:
+            new = add_visits(store, base, unseen_rows(fetch(source, days, salts, zone), held, keys), summaries, days, version)
+            return store.read(VISITS, version=new)
+        except Conflict:
+            continue
+    raise Conflict(path)

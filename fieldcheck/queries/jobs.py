@@ -9,16 +9,19 @@ import tempfile
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import CLINICAL_VARS, SAFE_COLUMNS
-from fieldcheck.operators import aggregates as A, joins as E
-from fieldcheck.plans import heaping as H
-from fieldcheck.plans.refresh import incremental_refresh
+from fieldcheck.functions.times import usable_file_time
+from fieldcheck.operators import aggregates as A, joins as E, scope as K
+from fieldcheck.plans import heaping as H, privacy as PV
+from fieldcheck.plans.refresh import incremental_refresh, read_cache
+from fieldcheck.plans.summaries import SKETCHED, Summaries
 from fieldcheck.queries.base import (
-    CORE_SQL, SALTS, core, events, events_long, query, strip_sql, table, visits,
+    CORE_SQL, SALTS, core, events, events_long, filled_sql, query, strip_sql, table, visits,
 )
 from fieldcheck.queries.reports import (
-    BY_DAY, FRIENDLY, SAFE_SQL, heaping_sql, pivot_sql, unpivot_sql,
+    AUDIT_SQL, BY_DAY, FRIENDLY, SAFE_SQL, audited_rows, heaping_sql, pivot_sql, unpivot_sql,
 )
 from fieldcheck.sources import readers as R, sinks as S
+from fieldcheck.sources.versions import VersionedTables, ledger
 from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
 
 
@@ -62,7 +65,7 @@ def _(spark, sf):
     path = new_folder(spark, "cache")
     S.write_cache(df.unionByName(df), path)
     S.write_cache(df, path)
-    return spark.read.parquet(path)
+    return read_cache(spark, path)
 
 
 @query("a5_export_csv", pivot_sql("ratio", "-"))
@@ -159,4 +162,96 @@ def _(spark, sf):
         source.write.mode("append").parquet(inbox)
         stream = upload_stream(spark, inbox, source.schema, max_files=4)
         refresh_stream(stream, cache, f"{folder}/checkpoint", SALTS).start().awaitTermination()
-    return _refreshed(spark.read.parquet(cache))
+    return _refreshed(read_cache(spark, cache))
+
+
+@query("m1_refresh_stream_state", f"""WITH {SAFE_SQL}
+SELECT {_STORED_SQL}, count(*) AS copies FROM (
+  SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day IS NOT NULL) GROUP BY ALL""")
+def _(spark, sf):
+    """The same arrivals; copies are told by keyed state, and no stored visit is read."""
+    source, folder = visits(spark, sf), new_folder(spark, "stream")
+    inbox, cache = f"{folder}/inbox", f"{folder}/cache"
+    for _ in range(2):
+        source.write.mode("append").parquet(inbox)
+        stream = upload_stream(spark, inbox, source.schema, max_files=4)
+        refresh_stream(stream, cache, f"{folder}/checkpoint", SALTS, horizon="60 days", summaries={}).start().awaitTermination()
+    return _refreshed(read_cache(spark, cache))
+
+
+@query("l23_refresh_ledger", f"""WITH {SAFE_SQL},
+d AS (SELECT CAST(unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day),
+n AS (SELECT day, count(*) AS n FROM (SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe) GROUP BY day)
+SELECT d.day, coalesce(n, 0) AS rows FROM d LEFT JOIN n USING (day)""")
+def _(spark, sf):
+    """Every day that was asked for, with its visits; days before and after the uploads stay empty."""
+    source, path = visits(spark, sf), new_folder(spark, "ledger")
+    for today in (dt.date(2024, 1, 20), dt.date(2024, 2, 5)):
+        incremental_refresh(spark, source, path, SALTS, today, dt.date(2023, 12, 25), summaries={})
+    return ledger(spark, path).select("day", "rows")
+
+
+def _summaries(spark, sf):
+    """A cache and its summaries after an insert, a reload that admits late rows, and a rerun."""
+    source, path = visits(spark, sf), new_folder(spark, "kept")
+    start = dt.date(2024, 1, 1)
+    incremental_refresh(spark, source.filter("poliruangan <> 'view'"), path, SALTS, dt.date(2024, 1, 20), start)
+    for _ in range(2):
+        incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 31), start, reload_days=31)
+    return read_cache(spark, path), Summaries(VersionedTables(spark, path))
+
+
+_KEPT_SQL = f"""{SAFE_SQL},
+cache AS (SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'),
+long AS (SELECT * FROM ({unpivot_sql('cache', ['day AS "Tanggal"', 'file_name'], _kept)}) WHERE "Value" IS NOT NULL)"""
+
+
+@query("l10_heaping_from_counts", f"""WITH {_KEPT_SQL}, {heaping_sql('long', BY_DAY)} SELECT * FROM heap""")
+def _(spark, sf):
+    return _summaries(spark, sf)[1].heaping_daily()
+
+
+@query("l9_heaping_from_counts", f"""WITH {_KEPT_SQL}, {heaping_sql('long', '"Variabel"')} SELECT * FROM heap""")
+def _(spark, sf):
+    return _summaries(spark, sf)[1].heaping_window()
+
+
+def _files_sql(keys: str) -> str:
+    return f"""files AS (SELECT {keys}, file_name, visits FROM (
+  SELECT {keys}, file_name, count(*) AS visits, row_number() OVER (
+    PARTITION BY {keys} ORDER BY max(coalesce(file_ts, tanggal_ts)) DESC NULLS LAST, file_name) AS r FROM cache GROUP BY {keys}, file_name) WHERE r = 1)"""
+
+
+@query("g1_latest_from_index", f"""WITH {_KEPT_SQL}, {_files_sql('"PKM_norm", day')} SELECT "PKM_norm", day, file_name FROM files""")
+def _(spark, sf):
+    """The latest file of every site and day, from the kept index alone."""
+    _, tables = _summaries(spark, sf)
+    return tables.latest_files(dt.date(2024, 1, 1), dt.date(2024, 1, 31), ["PKM_norm"]).select("PKM_norm", "day", "file_name")
+
+
+@query("k7_scope_from_index", f"""WITH {_KEPT_SQL}, {_files_sql('day')} SELECT day, file_name, visits FROM files""")
+def _(spark, sf):
+    """Days and files of a month are chosen from the index; visits are read once, for these files."""
+    cache, tables = _summaries(spark, sf)
+    cache = cache.withColumn("file_ts_fallback", usable_file_time("file_ts", "tanggal_ts"))
+    frame = K.scope_frame(cache, K.Scope("month", dt.date(2024, 1, 9)), index=tables.files())
+    return A.count_by(frame, ["day", "file_name"], "visits")
+
+
+@query("f6_distinct_from_sketches", f"WITH {_KEPT_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"Variable\", count(DISTINCT {filled_sql(c)}) AS distinct_n, true AS near FROM cache" for c in SKETCHED))
+def _(spark, sf):
+    """Exact numbers of different texts, and whether the union of the daily sketches is within 6 % (about 4 errors)."""
+    cache, tables = _summaries(spark, sf)
+    both = A.distinct_nonmissing(cache, SKETCHED).join(tables.distinct().withColumnRenamed("distinct_n", "about"), "Variable")
+    near = F.abs(F.col("about") - F.col("distinct_n")) <= F.lit(0.06) * F.col("distinct_n")
+    return both.select("Variable", "distinct_n", near.alias("near"))
+
+
+@query("l22_observed_audit", AUDIT_SQL)
+def _(spark, sf):
+    """The audit as counted while the table is written."""
+    audited = PV.Audited(PV.anonymize(core(spark, sf), SALTS))
+    audited.df.write.parquet(new_folder(spark, "audited"))
+    found = spark.createDataFrame(audited.counts(), "check string, column string, violations bigint")
+    return audited_rows(found.withColumn("ok", F.col("violations") == 0))

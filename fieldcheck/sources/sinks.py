@@ -1,4 +1,4 @@
-"""Partitioned cache, CSV export and step exports."""
+"""Cache by day, CSV export and step exports."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldcheck.sources.versions import replace_days
+
 
 def work_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, which must be set."""
@@ -23,26 +25,9 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{work_folder(spark)}/fieldcheck-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def by_day(df: DataFrame, day: str = "day") -> DataFrame:
-    """Rows of a day together for writing, big days split and small ones merged.
-
-    Rebalancing is adaptive: a day that holds a third of all rows becomes many tasks.
-    """
-    return df.hint("rebalance", day)
-
-
-def write_cache(df: DataFrame, path: str, day: str = "day") -> None:
-    """Save distinct rows by day; days in ``df`` replace the same days of the cache."""
-    (
-        by_day(df.dropDuplicates(), day)
-        .write.partitionBy(day).mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
-
-
-def append_cache(df: DataFrame, path: str, day: str = "day") -> None:
-    by_day(df, day).write.partitionBy(day).mode("append").parquet(path)
+def write_cache(df: DataFrame, path: str) -> None:
+    """Save distinct rows by day; days in ``df`` replace the same days of the cache, all at once."""
+    replace_days(df, path)
 
 
 def export_name(base: str, stamp: str, latest_only: bool = False) -> str:

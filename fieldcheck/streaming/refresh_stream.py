@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from fieldcheck.constants import SOURCE_ZONE
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts, anonymize
-from fieldcheck.plans.refresh import cached_days, read_cache, unseen_rows
-from fieldcheck.sources.sinks import append_cache
+from fieldcheck.plans.refresh import add_visits, fingerprint, unseen_rows
+from fieldcheck.plans.summaries import SUMMARIES
+from fieldcheck.sources.versions import VISITS, Conflict, VersionedTables
+
+Summaries = Mapping[str, Callable[[DataFrame], DataFrame]]
 
 
 def upload_stream(
@@ -24,41 +27,89 @@ def upload_stream(
 
 
 def store_batch(
-    batch: DataFrame, path: str, salts: Salts, keys: Sequence[str] | None = None,
-    zone: str = SOURCE_ZONE,
+    batch: DataFrame, path: str, stream: str, number: int, keys: Sequence[str] | None = None,
+    compare: bool = True, summaries: Summaries = SUMMARIES, attempts: int = 10,
 ) -> None:
-    """Append the rows of a micro-batch that the cache does not hold yet.
+    """Publish the anonymized visits of a micro-batch, as one version of the cache.
 
-    A replayed batch finds its rows stored and appends nothing. Only the batch's own days are
-    read back, so a junk date costs one more partition. The batch is computed once and kept for
-    its two uses; a lost executor's part of it is computed again.
+    The version records the batch's number, so a batch that is replayed after a failure finds itself
+    published and does nothing. With ``compare`` the rows that the cache holds already are left out; only
+    the batch's own days are read back. The batch is computed once and kept for its two uses; a lost
+    executor's part of it is computed again.
     """
-    fresh = anonymize(with_times(batch, zone), salts).filter("day IS NOT NULL").persist()
+    store = VersionedTables(batch.sparkSession, path)
+    if compare:
+        batch.persist()
     try:
         # One row per day of a micro-batch.
-        days = [r["day"] for r in fresh.select("day").distinct().collect()]
-        held = set(cached_days(batch.sparkSession, path)) & set(days)
-        cache = read_cache(batch.sparkSession, path) if held else None
-        seen = None if cache is None else cache.filter(F.col("day").isin(sorted(held)))
-        if days:
-            append_cache(unseen_rows(fresh, seen, keys), path)
+        days = {r["day"] for r in batch.select("day").distinct().collect()} if compare else set()
+        for _ in range(attempts):
+            base = store.version()
+            if base.batches.get(stream, -1) >= number:
+                return
+            held = days & set(base.days(VISITS))
+            seen = store.read(VISITS, held, base) if held else None
+            try:
+                add_visits(store, base, unseen_rows(batch, seen, keys) if compare else batch, summaries, batches={stream: number})
+                return
+            except Conflict:
+                continue
+        raise Conflict(path)
     finally:
-        fresh.unpersist()
+        if compare:
+            batch.unpersist()
+
+
+def without_copies(fresh: DataFrame, horizon: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Streaming rows, each once, remembered in the state store for ``horizon``.
+
+    Time is that of the visit, but never later than now: a junk date far ahead must not make every other
+    row late. A row's key (its ``keys``, or a digest of all of it) leaves the state once the watermark,
+    the latest visit less ``horizon``, has passed it; the state is bounded by the rows of that span.
+    """
+    seen = F.coalesce("tanggal_ts", F.col("day").cast("timestamp"))
+    timed = fresh.withColumn("_seen_at", F.least(seen, F.current_timestamp()))
+    if not keys:
+        timed = timed.withColumn("_row", fingerprint(fresh.columns))
+    kept = timed.withWatermark("_seen_at", horizon).dropDuplicatesWithinWatermark(list(keys or ["_row"]))
+    return kept.drop("_seen_at", "_row")
 
 
 def refresh_stream(
     stream: DataFrame, path: str, checkpoint: str, salts: Salts,
-    keys: Sequence[str] | None = None, zone: str = SOURCE_ZONE,
+    keys: Sequence[str] | None = None, zone: str = SOURCE_ZONE, horizon: str | None = None,
+    summaries: Summaries = SUMMARIES,
 ) -> DataStreamWriter:
     """Writer that anonymizes every micro-batch into the cache and stops when caught up.
 
-    Late days need no watermark: rows are compared with the stored day they belong to, so no
-    state grows with the stream.
+    Without ``horizon`` rows are compared with the stored day they belong to: late days need no watermark
+    and no state grows with the stream, but stored days are read for every micro-batch.
+
+    With ``horizon`` (such as ``"7 days"``) copies are told by keyed state and no stored row is read. A row
+    whose visit is older than the watermark is late: it is not stored by the stream, as its key may have
+    been forgotten, and ``late_rows`` counts it. The daily ``incremental_refresh`` with as many
+    ``reload_days`` admits it. Copies of one row further apart than ``horizon`` are late as well, so no
+    row is ever stored twice. Use this mode for a cache that the stream alone, or the stream and such
+    a refresh, writes to.
     """
-    def store(batch: DataFrame, _batch_id: int) -> None:
-        store_batch(batch, path, salts, keys, zone)
+    fresh = anonymize(with_times(stream, zone), salts).filter("day IS NOT NULL")
+    fresh = without_copies(fresh, horizon, keys) if horizon else fresh
+
+    def store(batch: DataFrame, number: int) -> None:
+        store_batch(batch, path, checkpoint, number, keys, not horizon, summaries)
 
     return (
-        stream.writeStream.foreachBatch(store)
+        fresh.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's recent batches found older than the watermark."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Keys in the state after the last batch."""
+    last = query.lastProgress
+    return sum(s["numRowsTotal"] for s in last["stateOperators"]) if last else 0

@@ -10,7 +10,9 @@ from fieldcheck.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 WRITING = {
     "a1_load_csv", "a3_load_rules", "a4_write_cache", "a5_export_csv", "a6_export_steps", "l23_incremental_refresh",
-    "l23_refresh_gap", "m1_refresh_stream", "m2_refresh_reload_days",
+    "l23_refresh_gap", "m1_refresh_stream", "m2_refresh_reload_days", "m1_refresh_stream_state", "l23_refresh_ledger",
+    "l9_heaping_from_counts", "l10_heaping_from_counts", "g1_latest_from_index", "k7_scope_from_index",
+    "f6_distinct_from_sketches", "l22_observed_audit",
 }
 
 
@@ -69,11 +71,12 @@ def test_cached_days_are_pruned(spark, tmp_path):
     import datetime as dt
 
     from fieldcheck.operators.filters import filter_days
+    from fieldcheck.plans.refresh import read_cache
     from fieldcheck.sources.sinks import write_cache
 
     days = spark.sql("SELECT explode(sequence(date'2025-09-01', date'2025-09-09')) AS day, 1 AS x")
     write_cache(days, str(tmp_path / "c"))
-    df = filter_days(spark.read.parquet(str(tmp_path / "c")), dt.date(2025, 9, 2), dt.date(2025, 9, 3))
+    df = filter_days(read_cache(spark, str(tmp_path / "c")), dt.date(2025, 9, 2), dt.date(2025, 9, 3))
     text = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*day", text) and df.count() == 2
 

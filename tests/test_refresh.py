@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import WANTED_COLUMNS
-from fieldcheck.plans.privacy import Salts
+from fieldcheck.plans.facility import with_times
+from fieldcheck.plans.privacy import Salts, anonymize
 from fieldcheck.plans.refresh import cached_days, days_to_fetch, incremental_refresh, read_cache
-from fieldcheck.streaming.refresh_stream import refresh_stream, upload_stream
+from fieldcheck.streaming.refresh_stream import late_rows, refresh_stream, state_rows, store_batch, upload_stream
 
 SALTS = Salts("a", "b", "c", "d")
 START, TODAY = dt.date(2025, 9, 1), dt.date(2025, 9, 5)
@@ -19,7 +20,7 @@ def uploads(spark, days, tag="x"):
 
 
 def stored(spark, path):
-    return sorted(r["diagnosa_1"] for r in spark.read.parquet(path).collect())
+    return sorted(r["diagnosa_1"] for r in read_cache(spark, path).collect())
 
 
 def test_refresh_adds_new_days_once(spark, tmp_path):
@@ -44,7 +45,7 @@ def test_keys_keep_equal_visits_apart(spark, tmp_path):
     path = str(tmp_path / "cache")
     source = uploads(spark, [1]).union(uploads(spark, [1], "y"))
     incremental_refresh(spark, source, path, SALTS, TODAY, START, keys=["tanggal"])
-    assert spark.read.parquet(path).count() == 1
+    assert read_cache(spark, path).count() == 1
 
 
 def test_days_to_fetch():
@@ -54,6 +55,7 @@ def test_days_to_fetch():
     assert days([]) == [1, 2, 3, 4, 5]
     assert days([1, 2, 3]) == [3, 4, 5] and days([1, 2, 3], reload_days=0) == [4, 5]
     assert days([1, 2, 3], reload_days=2) == [2, 3, 4, 5] and days([1, 2, 3], reload_days=30) == [1, 2, 3, 4, 5]
+    assert days([1, 2, 3], seen=[dt.date(2025, 9, 4)]) == [3, 5]
     assert days([1, 5]) == [2, 3, 4, 5] and days([1, 5], reload_days=0) == [2, 3, 4]
 
 
@@ -96,3 +98,57 @@ def test_stream_stores_each_row_once(spark, tmp_path):
     assert stored(spark, path) == ["late1", "x1", "x2", "x3"]
     with pytest.raises(Exception):
         Salts("", "", "", "")
+
+
+def stream_once(spark, inbox, path, checkpoint, batch, **more):
+    batch.coalesce(1).write.mode("append").parquet(inbox)
+    query = refresh_stream(upload_stream(spark, inbox, batch.schema), path, checkpoint, SALTS, **more).start()
+    query.awaitTermination()
+    return query
+
+
+def test_stream_with_state_survives_restarts(spark, tmp_path, monkeypatch):
+    """Copies in one batch, in later batches and after a restart are told without reading the cache."""
+    from fieldcheck.sources.versions import VersionedTables
+
+    inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTables, "read", lambda *_: pytest.fail("stored visits were read"))
+        for batch in (uploads(spark, [1, 2, 2]), uploads(spark, [2, 3]), uploads(spark, [1], "other")):
+            query = stream_once(spark, inbox, path, ck, batch, horizon="10 days", summaries={})
+    assert stored(spark, path) == ["other1", "x1", "x2", "x3"] and state_rows(query) == 4
+    assert late_rows(query) == 0
+
+
+def test_stream_state_expires_and_late_rows_wait_for_the_reload(spark, tmp_path):
+    inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
+    days = {"horizon": "3 days", "summaries": {}}
+    stream_once(spark, inbox, path, ck, uploads(spark, [1, 2]), **days)
+    query = stream_once(spark, inbox, path, ck, uploads(spark, [20, 21]), **days)
+    assert state_rows(query) == 2  # days 1 and 2 are behind the watermark (18) and forgotten
+    query = stream_once(spark, inbox, path, ck, uploads(spark, [1, 19, 20]).union(uploads(spark, [2], "late")), **days)
+    assert late_rows(query) == 2  # a forgotten copy and a new row: neither is stored by the stream
+    assert stored(spark, path) == ["x1", "x19", "x2", "x20", "x21"]
+    source = spark.read.parquet(inbox)
+    incremental_refresh(spark, source, path, SALTS, dt.date(2025, 9, 21), START, reload_days=30, summaries={})
+    assert stored(spark, path) == ["late2", "x1", "x19", "x2", "x20", "x21"]
+
+
+def test_a_day_far_ahead_makes_no_row_late(spark, tmp_path):
+    inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
+    now = dt.datetime.now(dt.timezone.utc)
+    ahead = uploads(spark, [1]).withColumn("tanggal", F.lit("2999-01-01 08:00:00"))
+    stream_once(spark, inbox, path, ck, ahead, horizon=f"{(now.date() - START).days + 5} days", summaries={})
+    query = stream_once(spark, inbox, path, ck, uploads(spark, [2]), horizon=f"{(now.date() - START).days + 5} days", summaries={})
+    assert late_rows(query) == 0 and stored(spark, path) == ["x1", "x2"]
+
+
+def test_a_replayed_batch_is_not_stored_again(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    fresh = anonymize(with_times(uploads(spark, [1, 2])), SALTS)
+    for _ in range(2):
+        for number in (0, 1):
+            store_batch(fresh.filter(F.dayofmonth("day") == number + 1), path, "s", number, compare=False, summaries={})
+    assert stored(spark, path) == ["x1", "x2"]
+    store_batch(fresh, path, "other stream", 0, summaries={})
+    assert stored(spark, path) == ["x1", "x2"]
