@@ -121,6 +121,29 @@ def join_bins(
     return rows.join(small_side(side, max_rows), same).drop(*drop)
 
 
+#: A sketch cuts the values of a group into so many runs and one; a power of two less one.
+PIVOTS = 255
+#: Rank error of the sketch: below 1/ACCURACY of a group's different values.
+ACCURACY = 10_000
+#: Groups of fewer different values are one run.
+FEW = 4 * PIVOTS
+
+
+def run_of(value: str, pivots: str) -> Column:
+    """How many of the ascending pivots the value reaches, by bisection; it never decreases with the value."""
+    steps = ", ".join(str((PIVOTS + 1) >> i) for i in range(1, (PIVOTS + 1).bit_length()))
+    return F.expr(f"aggregate(array({steps}), 0, (done, step) -> if(get({pivots}, done + step - 1) <= {value}, done + step, done))")
+
+
+def sketched(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group ascending ``_pivots`` that cut its different values into even runs; none for few values."""
+    # As a text: so many literals one by one would take longer than the sketch.
+    shares = ", ".join(f"{i / (PIVOTS + 1)}D" for i in range(1, PIVOTS + 1))
+    cuts = F.expr(f"percentile_approx(value, array({shares}), {ACCURACY})")
+    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), cuts.alias("_pivots")).select(
+        *keys, F.expr(f"if(_m > {FEW}, _pivots, CAST(array() AS array<double>))").alias("_pivots"))
+
+
 def quantiles(
     counts: DataFrame, keys: Sequence[str], probs: Sequence[float] = FIVE_NUMBERS,
     names: Sequence[str] = ("q_min", "q1", "median", "q3", "q_max"),
@@ -128,21 +151,25 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, linear interpolation between ranks.
 
-    ``counts`` comes from ``value_counts``. No group is ever sorted as a whole: counts per
-    order bin tell in which bins the wanted ranks lie. Values close to each other (times, running
-    numbers) may all be in one or two of these, so the bins are cut into parts between their own
-    extremes, and only the parts with a wanted rank are ranked. Bins and parts of a group are
-    bounded in number, whatever the number of its rows. ``max_groups`` is the known bound of
-    groups, if there is one.
+    ``counts`` comes from ``value_counts``. No group is ever sorted as a whole: a mergeable sketch of a
+    group's different values, one aggregate, gives pivots that cut them into even runs (a 256th each),
+    wherever the values lie. The rows counted per run tell in which runs the wanted ranks are,
+    and only the values of these are ranked. The sketch steers the work, the result is exact whatever its
+    error. ``max_groups`` is the known bound of groups, if there is one.
 
-    Both uses of ``counts`` have the same columns and no filter of their own (the join is
-    null-safe for that reason), so Spark shuffles it once and reads the shuffle twice.
+    All uses of ``counts`` have the same columns and no filter of their own (the joins are
+    null-safe for that reason), so Spark shuffles it once and reads the shuffle again. Besides it, only
+    sketches, counts of runs and the values of the wanted runs are exchanged.
     """
     keys = list(keys)
-    binned = counts.select(
-        *keys, "value", "n", F.coalesce(order_bin("value"), F.lit(0)).alias("_bin"))
-    bins = bin_ranges(binned.groupBy(*keys, "_bin").agg(
-        F.sum("n").alias("_bin_n"), F.min("value").alias("_low"), F.max("value").alias("_high")), keys)
+    if not keys:
+        return quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, names, 1).drop("_all")
+    counts = counts.select(*keys, "value", "n")
+    # Pivots weigh as much as so many rows of a small table.
+    weight = None if max_groups is None else max_groups * PIVOTS
+    cut = join_bins(counts, sketched(counts, keys), keys, weight, by=(), take=("_pivots",))
+    binned = cut.select(*keys, "value", "n", run_of("value", "_pivots").alias("_bin"))
+    bins = bin_ranges(binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_bin_n")), keys)
 
     def position(p: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(p))
@@ -161,21 +188,11 @@ def quantiles(
     for rank in wanted:
         hit = hit | holds(rank, F.col("_from"), F.col("_to"))
     bound = None if max_groups is None else max_groups * len(wanted)
-    near = join_bins(binned, bins.filter(hit), keys, bound, take=("_from", "_total", "_low", "_high"))
-    near = near.withColumn("_cut", cut_of(F.col("value"), F.col("_low"), F.col("_high")))
-    sizes = near.groupBy(*keys, "_bin", "_cut").agg(
-        F.sum("n").alias("_cut_n"), F.max("_from").alias("_base"), F.max("_total").alias("_total"))
-    upto = Window.partitionBy(*keys, "_bin").orderBy("_cut").rowsBetween(
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    cuts = (
-        sizes.withColumn("_to", F.col("_base") + F.sum("_cut_n").over(upto))
-        .withColumn("_from", F.col("_to") - F.col("_cut_n"))
-    )
-    in_bin = Window.partitionBy(*keys, "_bin", "_cut").orderBy("value")
     ranked = (
-        join_bins(near.drop("_from", "_total"), cuts.filter(hit), keys, bound, ("_bin", "_cut"))
-        .withColumn("_end", F.col("_from") + F.sum("n").over(
-            in_bin.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        join_bins(binned, bins.filter(hit), keys, bound)
+        .withColumn("_end", F.col("_from") + F.sum("n").over(in_bin))
         .withColumn("_start", F.col("_end") - F.col("n"))
     )
 

@@ -14,7 +14,6 @@ from fieldcheck.operators.reshape import distinct_rows
 from fieldcheck.operators.schema import quoted
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Audited, Leak, Salts, anonymize
-from fieldcheck.plans.summaries import SUMMARIES
 from fieldcheck.sources.readers import scan_minimal
 from fieldcheck.sources.versions import VISITS, Conflict, Fetched, Version, VersionedTables, new_run
 
@@ -126,7 +125,7 @@ def incremental_refresh(
     spark: SparkSession, source: DataFrame, path: str, salts: Salts, today: dt.date,
     start: dt.date = FIRST_DAY, reload_days: int = 1, keys: Sequence[str] | None = None,
     zone: str = SOURCE_ZONE, version: str | None = None,
-    summaries: Mapping[str, Callable[[DataFrame], DataFrame]] = SUMMARIES, attempts: int = 10,
+    summaries: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, attempts: int = 10,
 ) -> DataFrame:
     """Fetch the days the cache lacks, anonymize, publish what is new; returns the cache.
 
@@ -139,6 +138,9 @@ def incremental_refresh(
     ``source_version``). A day is not asked for twice of one version, so a second run over an unchanged
     source reads no row of it, whether its days are empty or not.
 
+    ``summaries`` (such as ``summaries.SUMMARIES``) are kept next to the visits; a cache that starts with
+    them must be refreshed with them.
+
     If another refresh publishes in between, this one starts again from what that one stored: two
     refreshes at once leave one copy of each row.
     """
@@ -152,7 +154,7 @@ def incremental_refresh(
         again = sorted(set(days) & set(base.days(VISITS)))
         held = store.read(VISITS, again, base) if again else None
         try:
-            new = add_visits(store, base, unseen_rows(fetch(source, days, salts, zone), held, keys), summaries, days, version)
+            new = add_visits(store, base, unseen_rows(fetch(source, days, salts, zone), held, keys), summaries or {}, days, version)
             return store.read(VISITS, version=new)
         except Conflict:
             continue

@@ -13,7 +13,7 @@ from fieldcheck.functions.times import usable_file_time
 from fieldcheck.operators import aggregates as A, joins as E, scope as K
 from fieldcheck.plans import heaping as H, privacy as PV
 from fieldcheck.plans.refresh import incremental_refresh, read_cache
-from fieldcheck.plans.summaries import SKETCHED, Summaries
+from fieldcheck.plans.summaries import SKETCHED, SUMMARIES, Summaries
 from fieldcheck.queries.base import (
     CORE_SQL, SALTS, core, events, events_long, filled_sql, query, strip_sql, table, visits,
 )
@@ -175,7 +175,7 @@ def _(spark, sf):
     for _ in range(2):
         source.write.mode("append").parquet(inbox)
         stream = upload_stream(spark, inbox, source.schema, max_files=4)
-        refresh_stream(stream, cache, f"{folder}/checkpoint", SALTS, horizon="60 days", summaries={}).start().awaitTermination()
+        refresh_stream(stream, cache, f"{folder}/checkpoint", SALTS, horizon="60 days").start().awaitTermination()
     return _refreshed(read_cache(spark, cache))
 
 
@@ -187,7 +187,7 @@ def _(spark, sf):
     """Every day that was asked for, with its visits; days before and after the uploads stay empty."""
     source, path = visits(spark, sf), new_folder(spark, "ledger")
     for today in (dt.date(2024, 1, 20), dt.date(2024, 2, 5)):
-        incremental_refresh(spark, source, path, SALTS, today, dt.date(2023, 12, 25), summaries={})
+        incremental_refresh(spark, source, path, SALTS, today, dt.date(2023, 12, 25))
     return ledger(spark, path).select("day", "rows")
 
 
@@ -195,9 +195,9 @@ def _summaries(spark, sf):
     """A cache and its summaries after an insert, a reload that admits late rows, and a rerun."""
     source, path = visits(spark, sf), new_folder(spark, "kept")
     start = dt.date(2024, 1, 1)
-    incremental_refresh(spark, source.filter("poliruangan <> 'view'"), path, SALTS, dt.date(2024, 1, 20), start)
+    incremental_refresh(spark, source.filter("poliruangan <> 'view'"), path, SALTS, dt.date(2024, 1, 20), start, summaries=SUMMARIES)
     for _ in range(2):
-        incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 31), start, reload_days=31)
+        incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 31), start, reload_days=31, summaries=SUMMARIES)
     return read_cache(spark, path), Summaries(VersionedTables(spark, path))
 
 

@@ -11,7 +11,6 @@ from fieldcheck.constants import SOURCE_ZONE
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts, anonymize
 from fieldcheck.plans.refresh import add_visits, fingerprint, unseen_rows
-from fieldcheck.plans.summaries import SUMMARIES
 from fieldcheck.sources.versions import VISITS, Conflict, VersionedTables
 
 Summaries = Mapping[str, Callable[[DataFrame], DataFrame]]
@@ -28,7 +27,7 @@ def upload_stream(
 
 def store_batch(
     batch: DataFrame, path: str, stream: str, number: int, keys: Sequence[str] | None = None,
-    compare: bool = True, summaries: Summaries = SUMMARIES, attempts: int = 10,
+    compare: bool = True, summaries: Summaries | None = None, attempts: int = 10,
 ) -> None:
     """Publish the anonymized visits of a micro-batch, as one version of the cache.
 
@@ -50,7 +49,7 @@ def store_batch(
             held = days & set(base.days(VISITS))
             seen = store.read(VISITS, held, base) if held else None
             try:
-                add_visits(store, base, unseen_rows(batch, seen, keys) if compare else batch, summaries, batches={stream: number})
+                add_visits(store, base, unseen_rows(batch, seen, keys) if compare else batch, summaries or {}, batches={stream: number})
                 return
             except Conflict:
                 continue
@@ -78,7 +77,7 @@ def without_copies(fresh: DataFrame, horizon: str, keys: Sequence[str] | None =
 def refresh_stream(
     stream: DataFrame, path: str, checkpoint: str, salts: Salts,
     keys: Sequence[str] | None = None, zone: str = SOURCE_ZONE, horizon: str | None = None,
-    summaries: Summaries = SUMMARIES,
+    summaries: Summaries | None = None,
 ) -> DataStreamWriter:
     """Writer that anonymizes every micro-batch into the cache and stops when caught up.
 

@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from fieldcheck.operators import aggregates as A
 
@@ -54,20 +57,33 @@ def test_sketch_is_close(spark):
 
 
 def test_values_close_to_each_other(spark):
-    """200,000 different epoch milliseconds: exact, and spread over many parts."""
-    from pyspark.sql import functions as F
-
-    from fieldcheck.functions.numbers import order_bin
-
+    """200,000 different epoch milliseconds and two far values: exact, and spread over many runs."""
     df = spark.range(200_000).selectExpr("'a' AS k", "CAST(1757000000000 + id * 7 % 150001 + id AS double) AS value")
-    df = df.dropDuplicates(["value"])
+    df = df.union(spark.sql("SELECT 'a', CAST(x AS double) FROM VALUES (-1e300), (1e300) AS t(x)")).dropDuplicates(["value"])
     counts = A.value_counts(df, ["k"])
     got = A.quantiles(counts, ["k"]).first()
-    values = np.array([r[0] for r in df.select("value").collect()])
+    values = np.sort(np.array([r[0] for r in df.select("value").collect()]))
     np.testing.assert_allclose([got[n] for n in NAMES], np.quantile(values, A.FIVE_NUMBERS), rtol=1e-15)
-    ends = df.withColumn("b", order_bin("value")).groupBy("b").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    cut = df.withColumn("b", order_bin("value")).join(ends, "b").groupBy("b", A.cut_of(F.col("value"), F.col("lo"), F.col("hi"))).count()
-    assert cut.count() >= 100 and cut.agg(F.max("count")).first()[0] < len(values) / 50
+    runs = counts.join(A.sketched(counts, ["k"]), "k").groupBy(A.run_of("value", "_pivots").alias("r")).agg(
+        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("r").collect()
+    assert len(runs) > 0.9 * A.PIVOTS and max(r["n"] for r in runs) < 4 * len(values) / A.PIVOTS
+    assert all(x["hi"] < y["lo"] for x, y in zip(runs, runs[1:]))
+
+
+def test_a_value_that_fills_most_rows(spark):
+    df = spark.range(30_000).selectExpr("CAST(if(id % 3 = 0, id, 12345.5) AS double) AS value", "id % 2 AS k")
+    values = np.array([[r["value"], r["k"]] for r in df.collect()])
+    for by, groups in ((["k"], {0: values[values[:, 1] == 0, 0], 1: values[values[:, 1] == 1, 0]}), ([], {None: values[:, 0]})):
+        for r in A.quantiles(A.value_counts(df, by), by).collect():
+            np.testing.assert_allclose([r[n] for n in NAMES], np.quantile(groups[r["k"] if by else None], A.FIVE_NUMBERS), rtol=1e-12)
+
+
+def test_quantiles_exchange_little(spark):
+    """Besides the counted values themselves: sketches, counts of runs (twice) and wanted values (twice)."""
+    df = spark.range(5000).selectExpr("CAST(id AS double) AS value", "id % 2 AS k")
+    out = A.quantiles(A.value_counts(df, ["k"]), ["k"], max_groups=2)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\((\S+?)#\d+L?, (\S+?)#", text))) <= 4
 
 
 def test_row_numbers_of_close_values(spark):

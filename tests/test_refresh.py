@@ -115,14 +115,14 @@ def test_stream_with_state_survives_restarts(spark, tmp_path, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(VersionedTables, "read", lambda *_: pytest.fail("stored visits were read"))
         for batch in (uploads(spark, [1, 2, 2]), uploads(spark, [2, 3]), uploads(spark, [1], "other")):
-            query = stream_once(spark, inbox, path, ck, batch, horizon="10 days", summaries={})
+            query = stream_once(spark, inbox, path, ck, batch, horizon="10 days")
     assert stored(spark, path) == ["other1", "x1", "x2", "x3"] and state_rows(query) == 4
     assert late_rows(query) == 0
 
 
 def test_stream_state_expires_and_late_rows_wait_for_the_reload(spark, tmp_path):
     inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
-    days = {"horizon": "3 days", "summaries": {}}
+    days = {"horizon": "3 days"}
     stream_once(spark, inbox, path, ck, uploads(spark, [1, 2]), **days)
     query = stream_once(spark, inbox, path, ck, uploads(spark, [20, 21]), **days)
     assert state_rows(query) == 2  # days 1 and 2 are behind the watermark (18) and forgotten
@@ -130,7 +130,7 @@ def test_stream_state_expires_and_late_rows_wait_for_the_reload(spark, tmp_path)
     assert late_rows(query) == 2  # a forgotten copy and a new row: neither is stored by the stream
     assert stored(spark, path) == ["x1", "x19", "x2", "x20", "x21"]
     source = spark.read.parquet(inbox)
-    incremental_refresh(spark, source, path, SALTS, dt.date(2025, 9, 21), START, reload_days=30, summaries={})
+    incremental_refresh(spark, source, path, SALTS, dt.date(2025, 9, 21), START, reload_days=30)
     assert stored(spark, path) == ["late2", "x1", "x19", "x2", "x20", "x21"]
 
 
@@ -138,8 +138,8 @@ def test_a_day_far_ahead_makes_no_row_late(spark, tmp_path):
     inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
     now = dt.datetime.now(dt.timezone.utc)
     ahead = uploads(spark, [1]).withColumn("tanggal", F.lit("2999-01-01 08:00:00"))
-    stream_once(spark, inbox, path, ck, ahead, horizon=f"{(now.date() - START).days + 5} days", summaries={})
-    query = stream_once(spark, inbox, path, ck, uploads(spark, [2]), horizon=f"{(now.date() - START).days + 5} days", summaries={})
+    stream_once(spark, inbox, path, ck, ahead, horizon=f"{(now.date() - START).days + 5} days")
+    query = stream_once(spark, inbox, path, ck, uploads(spark, [2]), horizon=f"{(now.date() - START).days + 5} days")
     assert late_rows(query) == 0 and stored(spark, path) == ["x1", "x2"]
 
 
@@ -148,7 +148,7 @@ def test_a_replayed_batch_is_not_stored_again(spark, tmp_path):
     fresh = anonymize(with_times(uploads(spark, [1, 2])), SALTS)
     for _ in range(2):
         for number in (0, 1):
-            store_batch(fresh.filter(F.dayofmonth("day") == number + 1), path, "s", number, compare=False, summaries={})
+            store_batch(fresh.filter(F.dayofmonth("day") == number + 1), path, "s", number, compare=False)
     assert stored(spark, path) == ["x1", "x2"]
-    store_batch(fresh, path, "other stream", 0, summaries={})
+    store_batch(fresh, path, "other stream", 0)
     assert stored(spark, path) == ["x1", "x2"]

@@ -15,7 +15,7 @@ from fieldcheck.functions.times import usable_file_time
 from fieldcheck.plans import heaping as H, refresh as RF
 from fieldcheck.plans.privacy import Audited, Leak, Salts, pii_audit
 from fieldcheck.plans.refresh import cached_days, incremental_refresh, read_cache
-from fieldcheck.plans.summaries import Summaries
+from fieldcheck.plans.summaries import SUMMARIES, Summaries
 from fieldcheck.sources import versions as V
 from tests.conftest import rows
 
@@ -95,7 +95,7 @@ def test_source_version_follows_files_and_plan(spark, tmp_path):
 @pytest.mark.parametrize("at", ["stage", "publish", "_create"])
 def test_a_killed_refresh_leaves_the_old_cache(spark, tmp_path, monkeypatch, at):
     path = str(tmp_path / "cache")
-    incremental_refresh(spark, simple(spark, [1]), path, SALTS, day(1), START)
+    incremental_refresh(spark, simple(spark, [1]), path, SALTS, day(1), START, summaries=SUMMARIES)
     real = getattr(V.VersionedTables, at)
 
     def dies(self, *args, **kw):
@@ -105,7 +105,7 @@ def test_a_killed_refresh_leaves_the_old_cache(spark, tmp_path, monkeypatch, at)
 
     monkeypatch.setattr(V.VersionedTables, at, dies)
     with pytest.raises(KeyboardInterrupt):
-        incremental_refresh(spark, simple(spark, [1, 2]), path, SALTS, day(2), START)
+        incremental_refresh(spark, simple(spark, [1, 2]), path, SALTS, day(2), START, summaries=SUMMARIES)
     monkeypatch.setattr(V.VersionedTables, at, real)
     assert names(spark, path) == ["x1"] and [d.day for d in cached_days(spark, path)] == [1]
     assert Summaries(V.VersionedTables(spark, path)).files().count() == 1
@@ -197,9 +197,9 @@ def kept(spark, tmp_path_factory):
     """A cache after inserts, a reload of late rows and a rerun."""
     path = str(tmp_path_factory.mktemp("kept") / "cache")
     early = [x for i, x in enumerate(MANY) if i % 3]
-    incremental_refresh(spark, uploads(spark, early), path, SALTS, day(2), START)
+    incremental_refresh(spark, uploads(spark, early), path, SALTS, day(2), START, summaries=SUMMARIES)
     for _ in range(2):
-        incremental_refresh(spark, uploads(spark, [*MANY, *MANY]), path, SALTS, day(3), START, reload_days=9)
+        incremental_refresh(spark, uploads(spark, [*MANY, *MANY]), path, SALTS, day(3), START, reload_days=9, summaries=SUMMARIES)
     return path
 
 
@@ -252,7 +252,7 @@ def test_distinct_from_sketches(spark, kept, no_visits, monkeypatch):
 
 def test_summaries_are_optional(spark, tmp_path):
     path = str(tmp_path / "cache")
-    incremental_refresh(spark, simple(spark, [1]), path, SALTS, day(1), START, summaries={})
+    incremental_refresh(spark, simple(spark, [1]), path, SALTS, day(1), START)
     assert names(spark, path) == ["x1"]
     with pytest.raises(ValueError):
         Summaries(V.VersionedTables(spark, path)).files()
