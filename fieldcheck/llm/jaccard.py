@@ -9,16 +9,19 @@ Lists are blocks of sets of equal size, sorted by position. For a set and a bloc
 still reach the needed overlap are one contiguous run; the rest of the block is skipped unseen.
 
 Answers are derived in steps. First each list compares its sets with one pivot and with their
-neighbours in size only; verified links give preliminary groups. While that joins groups, each set of a
-long list is compared with its nearest sets of another group. Then all remaining pairs of a list are taken, but a set
-inherits the answers of the group it is already in: a pair within one group needs no comparison. A list
-whose sets are all in one group is skipped as a whole, so a list of near copies costs about as many comparisons as it has sets. No link between different groups can be missed, because every pair that
-passes the filters and lies in different groups is compared.
-
-A candidate is first compared on 16-bit marks of its first grams: linked sets must share a number of them
-that follows from their sizes, and marks can only overstate what is shared. What is left is verified on
-the full sets, which are made anew from the texts of the sets concerned; a bit table of fixed size keeps
-the other texts out of that shuffle.
+neighbours in size only; verified links give preliminary groups. A set inherits the answers of the group
+it is already in: a pair within one group needs no comparison, and a list whose sets are all in one
+group is skipped as a whole. While that joins groups, a task looks at the pairs of different groups in
+its long lists and keeps the likeliest of them that connect its groups, a forest with fewer edges than
+the task has groups; a verified edge settles all other pairs of the two groups. Then all remaining likely
+pairs of all lists are taken. No link between different groups can be missed, because every pair that
+passes the filters and lies in different groups is compared in the end.
+
+A pair is first compared on 16-bit marks of its first grams: linked sets must share a number of them
+that follows from their sizes, and marks can only overstate what is shared. The marks of a set travel
+once to each task that has it in a list, so unlikely pairs never leave the task that met them. What is
+left is verified on the full sets, which are made anew from the texts of the sets concerned; a bit table
+of fixed size keeps the other texts out of that shuffle.
 
 Hot grams are split over several tasks in the first step, by the counts of the table. What is alone in
 its task may have company in another one, so entries of split grams are all kept. In the last step lists of more than ``LONG`` sets are joined by Spark itself, which splits them over tasks.
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,20 +136,81 @@ class Threshold:
 ENTRY = np.dtype([("gram", "<u8"), ("sid", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-def nearest_of(e: np.ndarray, label: np.ndarray, t: Threshold) -> np.ndarray:
-    """Each set of a sorted list with the next sets of another label on both sides."""
-    if not len(e):
-        return np.zeros((0, 2), U64)
-    new = np.concatenate([[True], (e["gram"][1:] != e["gram"][:-1]) | (label[1:] != label[:-1])])
-    run = np.cumsum(new) - 1
-    first = np.append(np.flatnonzero(new), len(e))
-    i = np.arange(len(e))
-    i, j = np.concatenate([i, i]), np.concatenate([first[run + 1], first[run] - 1])
-    ok = (j >= 0) & (j < len(e))
-    i, j = i[ok], j[ok]
-    ok = e["gram"][i] == e["gram"][j]
-    i, j = np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
-    return _filtered(e, e["n"].astype(np.int64), e["pos"].astype(np.int64), i, j, t)
+#: Bits of a set's mark table in a task, elements of marks compared at once.
+FOLD, AT_ONCE = 1 << 13, 1 << 22
+
+
+class Marks:
+    """The marks of the sets of a task: how many of its first grams a set may share with another."""
+
+    def __init__(self, sids: np.ndarray, blobs: list[bytes]):
+        order = np.argsort(sids)
+        self.sids = sids[order]
+        own = [np.frombuffer(blobs[o], "<u2") for o in order]
+        self.size = np.fromiter(map(len, own), np.int64, len(own))
+        self.first = np.cumsum(self.size) - self.size
+        self.marks = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(own)), self.size)
+        self.keys = np.unique(of << 16 | self.marks)
+        folded = self.marks & (FOLD - 1)
+        self.bits = np.zeros((len(own), FOLD // 8), np.uint8)
+        np.bitwise_or.at(self.bits, (of, folded >> 3), (1 << (folded & 7)).astype(np.uint8))
+
+    def shared(self, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """At least what sets ``x`` share with sets ``y`` (numbers of sets); exact only where ``need`` is met."""
+        x, y = np.where(self.size[x] <= self.size[y], x, y), np.where(self.size[x] <= self.size[y], y, x)
+        out = np.zeros(len(x), np.int64)
+        ends = np.cumsum(self.size[x])
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            out[at:to] = self._met(x[at:to], y[at:to], False)
+            more = at + np.flatnonzero(out[at:to] >= need[at:to])
+            out[more] = self._met(x[more], y[more], True)
+            at = to
+        return out
+
+    def _met(self, x: np.ndarray, y: np.ndarray, whole: bool) -> np.ndarray:
+        size = self.size[x]
+        m, other = self.marks[ragged(self.first[x], size)], np.repeat(y, size)
+        if whole:
+            key = other << 16 | m
+            spot = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+            met = self.keys[spot] == key if len(self.keys) else np.zeros(0, bool)
+        else:
+            f = m & (FOLD - 1)
+            met = (self.bits[other, f >> 3] >> (f & 7).astype(np.uint8) & 1).astype(bool)
+        ends = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum(size)])]
+        return np.diff(ends)
+
+
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Edges of a heaviest forest over the nodes ``a``, ``b``: every node's best edge, then every tree's, and so on."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[:len(a)], ends[len(a):]
+    # Distinct ranks, so that no cycle can be chosen.
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((b, a, weight))] = np.arange(len(a))
+    tree, chosen = np.arange(len(nodes)), np.zeros(len(a), bool)
+    while True:
+        tx, ty = tree[x], tree[y]
+        open_ = np.flatnonzero(tx != ty)
+        if not len(open_):
+            return np.flatnonzero(chosen)
+        best = np.full(len(nodes), -1)
+        np.maximum.at(best, tx[open_], rank[open_])
+        np.maximum.at(best, ty[open_], rank[open_])
+        pick = open_[(best[tx[open_]] == rank[open_]) | (best[ty[open_]] == rank[open_])]
+        chosen[pick] = True
+        while True:
+            low = np.minimum(tree[x[pick]], tree[y[pick]])
+            new = tree.copy()
+            np.minimum.at(new, tree[x[pick]], low)
+            np.minimum.at(new, tree[y[pick]], low)
+            new = new[new[new]]
+            if (new[tree] == tree).all():
+                break
+            tree = new[tree]
 
 
 def pairs_of(e: np.ndarray, label: np.ndarray | None, t: Threshold, every: bool) -> np.ndarray:
@@ -167,6 +232,17 @@ def pairs_of(e: np.ndarray, label: np.ndarray | None, t: Threshold, every: bool)
         ok = (lists[i] == lists[j]) & (i != j)
         i, j = np.minimum(i, j)[ok], np.maximum(i, j)[ok]
         return _filtered(e, n, pos, i, j, t)
+    out = [np.stack(_sids(e, i, j), 1) for i, j in list_pairs(e, label, t)]
+    return _unique(np.concatenate(out)) if out else np.zeros((0, 2), U64)
+
+
+def list_pairs(e: np.ndarray, label: np.ndarray, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of entries of a list with different labels that the filters allow, in portions."""
+    if not len(e):
+        return
+    new = np.concatenate([[True], e["gram"][1:] != e["gram"][:-1]])
+    lists, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+    n, pos = e["n"].astype(np.int64), e["pos"].astype(np.int64)
     # Blocks of equal size within a list; a set meets the blocks of its own size and of larger ones.
     head = new | np.concatenate([[True], n[1:] != n[:-1]])
     block = np.cumsum(head) - 1
@@ -179,7 +255,7 @@ def pairs_of(e: np.ndarray, label: np.ndarray | None, t: Threshold, every: bool)
     stop = np.searchsorted(lists[first] * wide + size, lists * wide + reach, "right") - 1
     stop = np.minimum(stop, last_of_list)
     key = block * (int(pos.max()) + 2) + pos
-    step, out = 1 << 20, []
+    step = 1 << 20
     index_ok = np.flatnonzero(pos < t.index_prefix(n))
     work = np.cumsum(stop[index_ok] - block[index_ok] + 1)
     cuts = np.searchsorted(work, np.arange(0, work[-1] + step, step)) if len(work) else []
@@ -202,21 +278,28 @@ def pairs_of(e: np.ndarray, label: np.ndarray | None, t: Threshold, every: bool)
             to = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 22), "right")) - 1)
             x, y = np.repeat(i[at:to], m[at:to]), ragged(lo[at:to], m[at:to])
             differ = label[x] != label[y]
-            out.append(_filtered(e, n, pos, x[differ], y[differ], t))
+            yield _allowed(e, n, pos, x[differ], y[differ], t)
             at = to
-    return _unique(np.concatenate(out)) if out else np.zeros((0, 2), U64)
 
 
-def _filtered(e, n, pos, i, j, t: Threshold) -> np.ndarray:
-    """Distinct pairs that sizes, index prefix and positions allow; ``i`` is never the larger set."""
+def _allowed(e, n, pos, i, j, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that sizes, index prefix and positions allow."""
     i, j = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
     need = t.overlap(n[i], n[j])
     same = n[i] == n[j]
     inside = (pos[i] < t.index_prefix(n[i])) | same & (pos[j] < t.index_prefix(n[j]))
     most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
     ok = inside & (n[i] * t.den >= t.num * n[j]) & (most >= need) & (e["sid"][i] != e["sid"][j])
-    a, b = e["sid"][i[ok]], e["sid"][j[ok]]
-    return _unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return i[ok], j[ok]
+
+
+def _sids(e, i, j) -> tuple[np.ndarray, np.ndarray]:
+    a, b = e["sid"][i], e["sid"][j]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _filtered(e, n, pos, i, j, t: Threshold) -> np.ndarray:
+    return _unique(np.stack(_sids(e, *_allowed(e, n, pos, i, j, t)), 1))
 
 
 def _unique(p: np.ndarray) -> np.ndarray:
@@ -352,10 +435,9 @@ class NearJoin:
         blobs = self.rows.select("text").mapInArrow(emit, "part int, entries binary, sid long, n long, marks binary")
         return stored(blobs.repartition(self.partitions, "part").mapInArrow(merge, "gram long, sid long, n long, pos long, a long, b long, marks binary"), "lists")
 
-    def _likely(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    def _likely(self, pairs: DataFrame, marks: DataFrame) -> DataFrame:
         """The pairs that share enough of their first grams, by their marks."""
         t = self.t
-        marks = lists.where("marks IS NOT NULL").select("sid", "n", "marks").dropDuplicates(["sid"])
         x = marks.select(F.col("sid").alias("a"), F.col("n").alias("nx"), F.col("marks").alias("x"))
         y = marks.select(F.col("sid").alias("b"), F.col("n").alias("ny"), F.col("marks").alias("y"))
 
@@ -389,10 +471,9 @@ class NearJoin:
             out[:, r.piece] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)).astype(bool)
         return np.packbits(out.ravel())
 
-    def _verify(self, pairs: DataFrame, lists: DataFrame) -> DataFrame:
-        """The pairs that link, compared on their full sets."""
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """The (stored, likely) pairs that link, compared on their full sets."""
         k, t = self.k, self.t
-        pairs = self._likely(pairs, lists)
         nodes = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
         first = stored(self.sets.select("sid", "rid").hint("merge").join(nodes, "sid").groupBy("sid").agg(F.min("rid").alias("rid")), "nodes")
         self.scratch.append(first)
@@ -425,52 +506,82 @@ class NearJoin:
                .hint("merge").join(full.select(F.col("sid").alias("b"), F.col("grams").alias("y")), "b"))
         return stored(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
-    def _rest(self, lists: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
-        """Pairs of a list whose sets are in different groups so far: the nearest, or all."""
+    def _rest(self, lists: DataFrame, labels: DataFrame, every: bool, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Likely pairs of a list whose sets are in different groups so far, a forest of them or all.
+
+        Also all pairs of very long lists, which are not compared on marks yet.
+        """
         t = self.t
         e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos").hint("merge")
              .join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
              .withColumn("label", F.coalesce("label", "sid")))
         self.scratch.append(e := stored(e, "labelled"))
         mixed = e.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        e = e.hint("merge").join(mixed.select("gram", "m"), "gram")
+        self.scratch.append(e := stored(e.hint("merge").join(mixed.select("gram", "m"), "gram"), "mixed"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = list(batches)
             if not held:
                 return
             got = pa.Table.from_batches(held)
+            of_set = got["marks"].is_valid()
+            sets, got = got.filter(of_set), got.filter(pc.invert(of_set))
+            own = Marks(sets["sid"].to_numpy().view(U64), [x.as_py() for x in sets["marks"]])
             x = np.empty(got.num_rows, ENTRY)
             x["gram"], x["sid"] = got["gram"].to_numpy().view(U64), got["sid"].to_numpy().view(U64)
             x["n"], x["pos"] = got["n"].to_numpy(), got["pos"].to_numpy()
             order = np.lexsort((x["pos"], x["n"], x["gram"]))
-            label = got["label"].to_numpy()[order]
-            p = pairs_of(x[order], label, t, True) if every else nearest_of(x[order], label, t)
-            yield pa.RecordBatch.from_arrays([signed(p[:, 0]), signed(p[:, 1])], ["a", "b"])
-
-        usual = e.where((F.col("m") <= LONG) | F.lit(not every)).repartition(self.partitions, "gram").mapInArrow(run, "a long, b long")
-        if not every:
-            return usual
+            x, label = x[order], got["label"].to_numpy()[order]
+            number, n = np.searchsorted(own.sids, x["sid"]), x["n"].astype(np.int64)
+            best = np.zeros((0, 5), np.int64)
+            for i, j in list_pairs(x, label, t):
+                # A pair that meets in several lists is looked at once.
+                _, one = np.unique(number[i] * len(own.sids) + number[j], return_index=True)
+                i, j = i[one], j[one]
+                need = t.shared(n[i], n[j])
+                more = own.shared(number[i], number[j], need) - need
+                i, j, more = i[more >= 0], j[more >= 0], more[more >= 0]
+                a, b = (s.view(np.int64) for s in _sids(x, i, j))
+                if every:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    continue
+                best = np.concatenate([best, np.stack([label[i], label[j], more * 1000 // np.maximum(n[i], 1), a, b], 1)])
+                best = best[forest(*best.T[:3])]
+            yield pa.RecordBatch.from_arrays([pa.array(best[:, 3]), pa.array(best[:, 4])], ["a", "b"])
+
+        part = F.pmod(F.xxhash64("gram"), F.lit(self.partitions)).cast("int").alias("part")
+        usual = e.where((F.col("m") <= LONG) | F.lit(not every)).select(part, "gram", "sid", "n", "pos", "label")
+        of_sets = usual.select("part", "sid").distinct().hint("merge").join(marks.select("sid", "marks"), "sid")
+        none = [F.lit(None).cast("long").alias(c) for c in ("n", "pos", "label")]
+        both = usual.withColumn("marks", F.lit(None).cast("binary")).unionByName(
+            of_sets.select("part", F.lit(None).cast("long").alias("gram"), "sid", *none, "marks"))
+        usual = both.repartition(self.partitions, "part").select("gram", "sid", "n", "pos", "label", "marks").mapInArrow(run, "a long, b long").distinct()
+        self.scratch.append(usual := stored(usual, "likely"))
+        if not every or e.where(F.col("m") > LONG).isEmpty():
+            return usual, None
         x, y = (e.where(F.col("m") > LONG).select("gram", *(F.col(c).alias(c + s) for c in ("sid", "n", "pos", "label"))) for s in "xy")
         need = F.ceil(F.lit(t.num) * (F.col("nx") + F.col("ny")) / F.lit(t.num + t.den))
         most = F.least("posx", "posy") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
         far = (x.join(y, "gram").where((F.col("labelx") != F.col("labely")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("sidx") < F.col("sidy")))
                                       & (F.col("nx") * t.den >= F.col("ny") * t.num) & (most >= need))
                .select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b")))
-        return usual.union(far)
+        return usual, far
 
     def groups(self) -> DataFrame:
         """(rid, doc_id, th, n_shingles, component_id, component_rid)."""
         lists = self._lists()
         self.scratch.append(lists)
-        links = self._verify(lists.where("a IS NOT NULL").select("a", "b"), lists)
+        marks = stored(lists.where("marks IS NOT NULL").select("sid", "n", "marks").dropDuplicates(["sid"]), "marks")
+        self.scratch.append(marks)
+        links = self._verify(self._likely(lists.where("a IS NOT NULL").select("a", "b"), marks))
         self.scratch.append(links)
         entries = lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos")
         long = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SHORT).select("gram")
         self.scratch.append(long := stored(entries.hint("merge").join(long, "gram"), "long"))
         labels, every = components(links), long.isEmpty()
         while True:
-            more = self._verify(self._rest(lists if every else long, labels, every), lists)
+            likely, far = self._rest(lists if every else long, labels, every, marks)
+            more = self._verify(likely if far is None else likely.union(self._likely(far, marks)).distinct())
             self.scratch.append(more)
             found, known = more.count(), links.count()
             if found:

@@ -155,6 +155,70 @@ def test_all_pairs_of_lists():
                 assert (i, j) in got
 
 
+def test_marks_in_a_task(monkeypatch):
+    """The marks of a task count what two sets share at least; few bits at once change nothing."""
+    rng = np.random.default_rng(9)
+    own = [rng.integers(0, 300, rng.integers(0, 40)).astype("<u2") for _ in range(30)]
+    sids = rng.permutation(30).astype(np.uint64)
+    x, y = rng.integers(0, 30, (2, 200))
+    for at_once in (1, 1 << 20):
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        m = jaccard.Marks(sids, [o.tobytes() for o in own])
+        by_sid = [own[i] for i in np.argsort(sids)]
+        got = m.shared(x, y, np.zeros(200, np.int64))
+        for i, j, n in zip(x, y, got):
+            a, b = sorted((by_sid[i], by_sid[j]), key=len)
+            assert n == sum(v in set(b.tolist()) for v in a.tolist()) or len(a) == len(b)
+    assert len(jaccard.Marks(np.zeros(0, np.uint64), []).sids) == 0
+
+
+def test_forest():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 200):
+        a, b, w = rng.integers(0, 25, n), rng.integers(30, 60, n), rng.integers(0, 5, n)
+        got = jaccard.forest(a, b, w)
+        parent = list(range(60))
+
+        def find(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        best = 0
+        for i in sorted(range(n), key=lambda i: -w[i]):
+            p, q = find(int(a[i])), find(int(b[i]))
+            if p != q:
+                parent[p] = q
+                best += int(w[i])
+        whole = [find(v) for v in range(60)]
+        parent = list(range(60))
+        for i in got.tolist():
+            p, q = find(int(a[i])), find(int(b[i]))
+            assert p != q
+            parent[p] = q
+        assert int(w[got].sum()) == best
+        assert len({(x, find(v)) for v, x in enumerate(whole)}) == len(set(whole))
+
+
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """2,000 unlike texts with one passage: its lists hold them all, and hardly a pair leaves a task."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join([passage, *(f"v{rng.randrange(100000)}" for _ in range(16))])) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 40, 2)]
+    seen = []
+    real = jaccard.NearJoin._verify
+
+    def counted(self, pairs):
+        seen.append(pairs.count())
+        return real(self, pairs)
+
+    monkeypatch.setattr(jaccard.NearJoin, "_verify", counted)
+    out = jaccard.near_groups(frame(spark, rows), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in out if r.component_id != r.doc_id} == {5000 + i: i for i in range(0, 40, 2)}
+    assert sum(seen) < 6000
+
+
 def test_shared_marks_bound():
     """Linked sets always share as many of their first grams as the filter asks for."""
     rng = np.random.default_rng(6)
