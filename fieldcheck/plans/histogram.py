@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fieldcheck.constants import BIN_PADDING
 from fieldcheck.functions.numbers import number_of, parse_first_number, r_round, round2
@@ -15,9 +15,8 @@ from fieldcheck.operators.schema import Parser, at_stage, dtypes_of, quoted
 
 # A value this close below a break belongs to the bin above it, as a share of the width.
 _FUZZ = 1e-7
-# Bins of a block, and blocks of a stretch.
-_BLOCK = 256
-_BLOCKS = 256
+# Bins of a stretch.
+_BLOCK = 65_536
 
 HISTOGRAM_SCHEMA = T.StructType([
     T.StructField("Variable", T.StringType()), T.StructField("bin", T.LongType()),
@@ -99,14 +98,15 @@ def _grid(
     return grid.withColumns({"first": first, "bins": last - first + 1})
 
 
-def _binned(
+def _runs(
     counts: DataFrame, keys: Sequence[str], variables: Sequence[str], binwidth: float | None,
     clamp: str, probs: tuple[float, float], rules: DataFrame | None,
 ) -> DataFrame:
-    """All bins of every group, empty ones too, with count, group size, median and mean.
+    """Filled bins, and runs of empty ones between and around them, of every group.
 
-    One far value can extend a histogram over billions of bins. They are made from stretches that
-    are spread over tasks; the filled bins of a stretch (65,536 at most) travel with it.
+    One far value can extend a histogram over billions of bins: they are one run. There are at most
+    twice as many runs as filled bins and one more. Gaps are found within stretches of bins, which
+    are spread over tasks, and between the ends of the stretches.
     """
     keys = list(keys)
     ends = limits(counts, variables, clamp, probs, rules)
@@ -124,27 +124,51 @@ def _binned(
     # Groups are the variables, times two when windows are compared.
     bound = len(variables) * (2 if len(keys) > 1 else 1)
     middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)
-    groups = sums.join(small_side(middle, bound), keys).join(grid, "Variable")
-    block = F.floor(F.col("bin") / _BLOCK)
-    held = filled.groupBy(*keys, F.floor(block / _BLOCKS).alias("_stretch"), block.alias("_block")).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_bins"))
-    held = held.groupBy(*keys, "_stretch").agg(
-        F.map_from_entries(F.collect_list(F.struct("_block", "_bins"))).alias("_held"))
-    stretches = _upto(groups, F.ceil(F.col("bins") / (_BLOCK * _BLOCKS)), "_stretch", 0)
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretches = stretches.repartition(tasks, *keys, "_stretch").join(held, [*keys, "_stretch"], "left")
-    blocks = _upto(stretches, F.ceil(F.col("bins") / _BLOCK), "_block", F.col("_stretch") * _BLOCKS, _BLOCKS)
-    blocks = blocks.withColumn("_held", F.try_element_at("_held", F.col("_block")))
-    frame = _upto(blocks, F.col("bins"), "bin", F.col("_block") * _BLOCK, _BLOCK)
-    left = (F.col("first") + F.col("bin")) * w
-    count = F.coalesce(F.try_element_at("_held", F.col("bin")), F.lit(0))
-    return frame.select(
-        *keys, "bin", left.alias("left"), (left + w).alias("right"), count.alias("count"),
-        (F.lit(100.0) * count / F.col("N")).alias("percent"),
+    groups = small_side(sums.join(small_side(middle, bound), keys).join(grid, "Variable"), bound)
+
+    def run(first: Column, last: Column, count: Column | int) -> Column:
+        return F.struct(first.alias("bin"), last.alias("last_bin"), F.lit(count).cast("bigint").alias("count"))
+
+    def present(*runs: Column) -> Column:
+        return F.inline(F.filter(F.array(*runs), lambda r: r["bin"] <= r["last_bin"]))
+
+    at = F.col("bin")
+    stretch = filled.select(*keys, "bin", "count", F.floor(at / _BLOCK).alias("_stretch"))
+    following = F.lead("bin").over(Window.partitionBy(*keys, "_stretch").orderBy("bin"))
+    inside = stretch.withColumn("_next", following).select(
+        *keys, present(run(at, at, F.col("count")), run(at + 1, F.coalesce("_next", at) - 1, 0)))
+    edges = stretch.groupBy(*keys, "_stretch").agg(F.min("bin").alias("_low"), F.max("bin").alias("_high"))
+    in_order = Window.partitionBy(*keys).orderBy("_stretch")
+    edges = edges.withColumns({"_next": F.lead("_low").over(in_order), "_first": F.row_number().over(in_order) == 1})
+    between = edges.join(groups.select(*keys, "bins"), keys).select(*keys, present(
+        run(F.when(F.col("_first"), F.lit(0).cast("bigint")).otherwise(F.col("_low")), F.col("_low") - 1, 0),
+        run(F.col("_high") + 1, F.coalesce("_next", "bins") - 1, 0)))
+    return inside.unionByName(between).join(groups, keys).select(
+        *keys, "bin", "last_bin", "count", "N", "median", "mean", "binwidth", "first")
+
+
+def _shown_bins(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges, percents and rounded statistics of runs or bins."""
+    w = F.col("binwidth")
+    return runs.select(
+        *keys, "bin", "last_bin", ((F.col("first") + F.col("bin")) * w).alias("left"),
+        ((F.col("first") + F.col("last_bin") + 1) * w).alias("right"), "count",
+        (F.lit(100.0) * F.col("count") / F.col("N")).alias("percent"),
         "N", round2("median").alias("median"), round2("mean").alias("mean"), "binwidth",
     )
 
 
+def _binned(counts: DataFrame, keys: Sequence[str], *how) -> DataFrame:
+    """All bins of every group, empty ones too: ``_runs`` with long runs cut, dealt out and expanded."""
+    runs = _runs(counts, keys, *how)
+    pieces = _upto(runs, F.ceil((F.col("last_bin") - F.col("bin") + 1) / _BLOCK), "_piece", 0)
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.withColumn("_from", F.col("bin") + F.col("_piece") * _BLOCK).repartition(tasks, *keys, "_from")
+    bins = _upto(pieces, F.col("last_bin") + 1, "_bin", F.col("_from"), _BLOCK)
+    one = bins.withColumns({"bin": F.col("_bin"), "last_bin": F.col("_bin")})
+    return _shown_bins(one, keys).drop("last_bin").withColumn("right", F.col("left") + F.col("binwidth"))
+
+
 def _upto(df: DataFrame, end: Column, name: str, start: Column | int, most: int | None = None) -> DataFrame:
     """A row for each number from ``start`` below ``end``, ``most`` of them at the highest."""
     start = F.lit(start).cast("bigint")
@@ -173,6 +197,26 @@ def histogram(
     return _binned(counts, ["Variable"], variables, binwidth, clamp, probs, rules)
 
 
+def histogram_runs(
+    df: DataFrame, variables: Sequence[str], binwidth: float | None = None,
+    clamp: str = "data", probs: tuple[float, float] = (0.01, 0.99),
+    rules: DataFrame | None = None, parser: Parser = parse_first_number, stage: str = "raw",
+) -> DataFrame:
+    """``histogram`` with each run of empty bins as one row, from ``bin`` to ``last_bin``.
+
+    Its rows are bounded by the different values, however far these lie apart. ``top_bins`` takes it
+    as it is.
+    """
+    variables = [v for v in variables if v in df.columns]
+    if not variables:
+        fields = HISTOGRAM_SCHEMA.fields
+        at = [f.name for f in fields].index("bin") + 1
+        return df.sparkSession.createDataFrame([], T.StructType([*fields[:at], T.StructField("last_bin", T.LongType()), *fields[at:]]))
+    df = at_stage(df, stage, rules)
+    counts = value_counts(numbers_long(df, variables, parser), ["Variable"])
+    return _shown_bins(_runs(counts, ["Variable"], variables, binwidth, clamp, probs, rules), ["Variable"])
+
+
 def histogram_compare(
     current: DataFrame, previous: DataFrame, variable: str, binwidth: float = 1.0,
     clamp: str = "data", probs: tuple[float, float] = (0.01, 0.99),

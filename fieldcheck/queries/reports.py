@@ -480,6 +480,18 @@ def _(spark, sf):
                     F.max("right").alias("last_edge"), F.count_if(F.col("count") > 0).alias("filled"))
 
 
+@query("l15_histogram_runs", f"""WITH {_far}, lim AS (
+  SELECT floor(min(x) - (max(x) - min(x)) * 0.03) AS lo, ceil(max(x) + (max(x) - min(x)) * 0.03) AS hi FROM src),
+b AS (SELECT CAST(floor(x + 1e-7) - lo AS BIGINT) AS b, count(*) AS n FROM src, lim GROUP BY ALL),
+g AS (SELECT b, n, coalesce(lead(b) OVER (ORDER BY b), CAST(hi - lo + 1 AS BIGINT)) AS nx, row_number() OVER (ORDER BY b) AS k FROM b, lim)
+SELECT b AS bin, b AS last_bin, CAST(n AS BIGINT) AS "count" FROM g UNION ALL SELECT b + 1, nx - 1, 0 FROM g WHERE nx > b + 1
+UNION ALL SELECT 0, b - 1, 0 FROM g WHERE k = 1 AND b > 0""")
+def _(spark, sf):
+    """One far value and bins of width 1: more than eighty thousand million bins in few rows."""
+    price = F.when((F.col("l_orderkey") == 1) & (F.col("l_linenumber") == 1), F.lit(8e10)).otherwise(F.col("l_extendedprice"))
+    return HI.histogram_runs(table(spark, sf, "lineitem").select(price.alias("price")), ["price"], 1.0).select("bin", "last_bin", "count")
+
+
 @query("l15_histogram_clipped", f"""WITH {CORE_SQL}, src AS (SELECT 'Sistole' AS "Variable", x FROM (SELECT {strip_sql('sistole')} AS x FROM core)
   WHERE x BETWEEN 50 AND 260), {histogram_sql('src', 10.0)} SELECT * FROM hist""")
 def _(spark, sf):

@@ -123,6 +123,9 @@ def test_histogram_beyond_the_array_limit(spark):
     df = spark.createDataFrame([(60.0,), (70.0,), (81234567890.0,)], "a double")
     hist = HI.histogram(df, ["a"], 1.0)
     assert hist.limit(5).count() == 5
+    runs = sorted(tuple(r) for r in HI.histogram_runs(df, ["a"], 1.0).select("bin", "last_bin", "count").collect())
+    assert len(runs) == 7 and runs[0][0] == 0 and all(x[1] + 1 == y[0] for x, y in zip(runs, runs[1:])) and sum(r[2] for r in runs) == 3
+    assert HI.histogram_runs(df, ["zz"]).columns == HI.histogram_runs(df, ["a"]).columns
     wide = HI.histogram(df, ["a"], 40000.0).agg({"count": "sum", "bin": "count"}).first()
     assert set(wide) == {3, 2152718}
 
