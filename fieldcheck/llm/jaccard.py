@@ -136,53 +136,49 @@ class Threshold:
 ENTRY = np.dtype([("gram", "<u8"), ("sid", "<u8"), ("n", "<u4"), ("pos", "<u4")])
 
 
-#: Bits of a set's mark table in a task, elements of marks compared at once.
-FOLD, AT_ONCE = 1 << 13, 1 << 22
+#: Bits of a set's mark table in a task; marks, or pairs of a list, that are looked at together.
+FOLD, AT_ONCE = 1 << 13, 1 << 19
 
 
 class Marks:
     """The marks of the sets of a task: how many of its first grams a set may share with another."""
 
-    def __init__(self, sids: np.ndarray, blobs: list[bytes]):
+    def __init__(self, sids: np.ndarray, blobs: pa.ChunkedArray):
         order = np.argsort(sids)
         self.sids = sids[order]
-        own = [np.frombuffer(blobs[o], "<u2") for o in order]
-        self.size = np.fromiter(map(len, own), np.int64, len(own))
-        self.first = np.cumsum(self.size) - self.size
-        self.marks = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(own)), self.size)
-        self.keys = np.unique(of << 16 | self.marks)
-        folded = self.marks & (FOLD - 1)
-        self.bits = np.zeros((len(own), FOLD // 8), np.uint8)
-        np.bitwise_or.at(self.bits, (of, folded >> 3), (1 << (folded & 7)).astype(np.uint8))
+        self.marks, at = [], 0
+        blobs = blobs.combine_chunks()
+        self.bits = np.zeros((len(order), FOLD // 8), np.uint8)
+        for i, o in enumerate(order.tolist()):
+            m = np.sort(np.frombuffer(blobs[o].as_buffer(), "<u2"))
+            self.marks.append(m)
+            flags = np.zeros(FOLD, bool)
+            flags[m & (FOLD - 1)] = True
+            self.bits[i] = np.packbits(flags, bitorder="little")
+        self.size = np.fromiter(map(len, self.marks), np.int64, len(self.marks))
 
     def shared(self, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """At least what sets ``x`` share with sets ``y`` (numbers of sets); exact only where ``need`` is met."""
+        """At least what sets ``x`` share with sets ``y`` (numbers of sets); closely where ``need`` is met.
+
+        Bit tables come first; what they let through is compared mark by mark.
+        """
         x, y = np.where(self.size[x] <= self.size[y], x, y), np.where(self.size[x] <= self.size[y], y, x)
         out = np.zeros(len(x), np.int64)
-        ends = np.cumsum(self.size[x])
-        at = 0
-        while at < len(x):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
-            out[at:to] = self._met(x[at:to], y[at:to], False)
-            more = at + np.flatnonzero(out[at:to] >= need[at:to])
-            out[more] = self._met(x[more], y[more], True)
-            at = to
+        order = np.argsort(x, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else ():
+            own = self.marks[x[part[0]]]
+            f = (own & (FOLD - 1)).astype(np.int64)
+            step = max(1, AT_ONCE // max(len(own), 1))
+            for at in range(0, len(part), step):
+                some = part[at:at + step]
+                met = self.bits[y[some][:, None], f >> 3] >> (f & 7).astype(np.uint8) & 1
+                out[some] = met.sum(1, dtype=np.int64)
+            for i in part[out[part] >= need[part]].tolist():
+                other = self.marks[y[i]]
+                spot = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                out[i] = np.count_nonzero(other[spot] == own) if len(other) else 0
         return out
 
-    def _met(self, x: np.ndarray, y: np.ndarray, whole: bool) -> np.ndarray:
-        size = self.size[x]
-        m, other = self.marks[ragged(self.first[x], size)], np.repeat(y, size)
-        if whole:
-            key = other << 16 | m
-            spot = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-            met = self.keys[spot] == key if len(self.keys) else np.zeros(0, bool)
-        else:
-            f = m & (FOLD - 1)
-            met = (self.bits[other, f >> 3] >> (f & 7).astype(np.uint8) & 1).astype(bool)
-        ends = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum(size)])]
-        return np.diff(ends)
-
 
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Edges of a heaviest forest over the nodes ``a``, ``b``: every node's best edge, then every tree's, and so on."""
@@ -255,7 +251,7 @@ def list_pairs(e: np.ndarray, label: np.ndarray, t: Threshold) -> Iterator[tuple
     stop = np.searchsorted(lists[first] * wide + size, lists * wide + reach, "right") - 1
     stop = np.minimum(stop, last_of_list)
     key = block * (int(pos.max()) + 2) + pos
-    step = 1 << 20
+    step = AT_ONCE
     index_ok = np.flatnonzero(pos < t.index_prefix(n))
     work = np.cumsum(stop[index_ok] - block[index_ok] + 1)
     cuts = np.searchsorted(work, np.arange(0, work[-1] + step, step)) if len(work) else []
@@ -275,7 +271,7 @@ def list_pairs(e: np.ndarray, label: np.ndarray, t: Threshold) -> Iterator[tuple
         done = np.concatenate([[0], np.cumsum(m)])
         at = 0
         while at < len(m):
-            to = max(at + 1, int(np.searchsorted(done, done[at] + (1 << 22), "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(done, done[at] + AT_ONCE, "right")) - 1)
             x, y = np.repeat(i[at:to], m[at:to]), ragged(lo[at:to], m[at:to])
             differ = label[x] != label[y]
             yield _allowed(e, n, pos, x[differ], y[differ], t)
@@ -526,12 +522,14 @@ class NearJoin:
             got = pa.Table.from_batches(held)
             of_set = got["marks"].is_valid()
             sets, got = got.filter(of_set), got.filter(pc.invert(of_set))
-            own = Marks(sets["sid"].to_numpy().view(U64), [x.as_py() for x in sets["marks"]])
+            own = Marks(sets["sid"].to_numpy().view(U64), sets["marks"])
+            held = sets = None
             x = np.empty(got.num_rows, ENTRY)
             x["gram"], x["sid"] = got["gram"].to_numpy().view(U64), got["sid"].to_numpy().view(U64)
             x["n"], x["pos"] = got["n"].to_numpy(), got["pos"].to_numpy()
             order = np.lexsort((x["pos"], x["n"], x["gram"]))
             x, label = x[order], got["label"].to_numpy()[order]
+            got = None
             number, n = np.searchsorted(own.sids, x["sid"]), x["n"].astype(np.int64)
             best = np.zeros((0, 5), np.int64)
             for i, j in list_pairs(x, label, t):

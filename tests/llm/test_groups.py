@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldcheck.llm import exact, jaccard
@@ -163,13 +164,13 @@ def test_marks_in_a_task(monkeypatch):
     x, y = rng.integers(0, 30, (2, 200))
     for at_once in (1, 1 << 20):
         monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
-        m = jaccard.Marks(sids, [o.tobytes() for o in own])
+        m = jaccard.Marks(sids, pa.chunked_array([pa.array([o.tobytes() for o in own], pa.binary())]))
         by_sid = [own[i] for i in np.argsort(sids)]
         got = m.shared(x, y, np.zeros(200, np.int64))
         for i, j, n in zip(x, y, got):
             a, b = sorted((by_sid[i], by_sid[j]), key=len)
             assert n == sum(v in set(b.tolist()) for v in a.tolist()) or len(a) == len(b)
-    assert len(jaccard.Marks(np.zeros(0, np.uint64), []).sids) == 0
+    assert len(jaccard.Marks(np.zeros(0, np.uint64), pa.chunked_array([], pa.binary())).sids) == 0
 
 
 def test_forest():
