@@ -139,7 +139,8 @@ def sketched(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per group ascending ``_pivots`` that cut its different values into even runs; none for few values."""
     # As a text: so many literals one by one would take longer than the sketch.
     shares = ", ".join(f"{i / (PIVOTS + 1)}D" for i in range(1, PIVOTS + 1))
-    cuts = F.expr(f"percentile_approx(value, array({shares}), {ACCURACY})")
+    # Every value has rows; asking for them keeps the columns of `counts` as they are elsewhere.
+    cuts = F.expr(f"percentile_approx(if(n > 0, value, NULL), array({shares}), {ACCURACY})")
     return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"), cuts.alias("_pivots")).select(
         *keys, F.expr(f"if(_m > {FEW}, _pivots, CAST(array() AS array<double>))").alias("_pivots"))
 

@@ -37,7 +37,8 @@ def numbers_long(
         F.struct(F.lit(v).alias("Variable"), number_of(quoted(v), types[v], parser).alias("value"))
         for v in variables
     ])
-    keep = [quoted(period).alias("period")] if period else []
+    # No alias where the name is right: it would set this use of the source apart from copies of it.
+    keep = [] if not period else [F.col("period") if period == "period" else quoted(period).alias("period")]
     return df.select(*keep, F.inline(cells))
 
 
@@ -118,9 +119,11 @@ def _runs(
     index = F.floor((x - start) / w + F.lit(_FUZZ))
     index = F.least(F.greatest(index, F.lit(0)), F.col("bins") - 1)
     filled = shown.groupBy(*keys, index.alias("bin")).agg(
-        F.sum("n").alias("count"), F.sum(x * F.col("n")).alias("_sum"))
+        F.sum("n").alias("count"), F.sum(x * F.col("n")).alias("_sum"), F.max("bins").alias("bins"))
+    # Both uses of the filled bins ask for all columns, so that one shuffle serves them.
+    count = F.when((F.col("bins") > 0) & F.col("_sum").isNotNull(), F.col("count"))
     sums = filled.groupBy(*keys).agg(
-        F.sum("count").alias("N"), (F.sum("_sum") / F.sum("count")).alias("mean"))
+        F.sum(count).alias("N"), (F.sum("_sum") / F.sum(count)).alias("mean"))
     # Groups are the variables, times two when windows are compared.
     bound = len(variables) * (2 if len(keys) > 1 else 1)
     middle = quantiles(shown.select(*keys, "value", "n"), keys, (0.5,), ("median",), bound)
@@ -133,14 +136,16 @@ def _runs(
         return F.inline(F.filter(F.array(*runs), lambda r: r["bin"] <= r["last_bin"]))
 
     at = F.col("bin")
-    stretch = filled.select(*keys, "bin", "count", F.floor(at / _BLOCK).alias("_stretch"))
+    stretch = filled.select(*keys, "bin", count.alias("count"), "bins", F.floor(at / _BLOCK).alias("_stretch"))
     following = F.lead("bin").over(Window.partitionBy(*keys, "_stretch").orderBy("bin"))
     inside = stretch.withColumn("_next", following).select(
         *keys, present(run(at, at, F.col("count")), run(at + 1, F.coalesce("_next", at) - 1, 0)))
-    edges = stretch.groupBy(*keys, "_stretch").agg(F.min("bin").alias("_low"), F.max("bin").alias("_high"))
+    held = F.when(F.col("count") > 0, at)
+    edges = stretch.groupBy(*keys, "_stretch").agg(
+        F.min(held).alias("_low"), F.max(held).alias("_high"), F.max("bins").alias("bins"))
     in_order = Window.partitionBy(*keys).orderBy("_stretch")
     edges = edges.withColumns({"_next": F.lead("_low").over(in_order), "_first": F.row_number().over(in_order) == 1})
-    between = edges.join(groups.select(*keys, "bins"), keys).select(*keys, present(
+    between = edges.select(*keys, present(
         run(F.when(F.col("_first"), F.lit(0).cast("bigint")).otherwise(F.col("_low")), F.col("_low") - 1, 0),
         run(F.col("_high") + 1, F.coalesce("_next", "bins") - 1, 0)))
     return inside.unionByName(between).join(groups, keys).select(

@@ -24,11 +24,32 @@ def plan(spark, name, run=True):
     return text.split("== Initial Plan ==")[0]
 
 
+def scans(node, found=None):
+    """Rows read by each file scan of a plan that has run, each scan once however often its shuffle is reused."""
+    found = {} if found is None else found
+    kind = node.getClass().getSimpleName()
+    if kind == "FileSourceScanExec":
+        found[node.id()] = node.metrics().apply("numOutputRows").value()
+    elif kind == "AdaptiveSparkPlanExec":
+        scans(node.executedPlan(), found)
+    elif kind.endswith("QueryStageExec"):
+        scans(node.plan(), found)
+    elif kind == "ReusedExchangeExec":
+        scans(node.child(), found)
+    children = node.children()
+    for i in range(children.size()):
+        scans(children.apply(i), found)
+    return found
+
+
 @pytest.mark.parametrize("name", [
     "f7_quantiles", "f8_basic_stats", "l5_profile_clinical", "l5_profile_raw", "l9_heaping_window",
     "l10_heaping_daily", "l14_heaping_trend_all", "l12_heaping_labels_latest", "l18_histogram_compare", "l15_histogram", "l1_guardrail_lineitem", "l16_auto_binwidth"])
 def test_source_is_scanned_once(spark, name):
-    assert plan(spark, name).count("FileScan") == 1
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    found = scans(df._jdf.queryExecution().executedPlan())
+    assert [rows for rows in found.values() if rows] and len(found) == 1
 
 
 @pytest.mark.parametrize("name", ["l2_outlier_log", "l4_strict_drop_log", "l21_anonymize", "c26_clip_to_null"])
