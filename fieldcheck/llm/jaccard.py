@@ -503,9 +503,9 @@ class NearJoin:
         return stored(met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
     def _rest(self, lists: DataFrame, labels: DataFrame, every: bool, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Likely pairs of a list whose sets are in different groups so far, a forest of them or all.
+        """Likely pairs of long lists whose sets are in different groups so far, a forest of them or all.
 
-        Also all pairs of very long lists, which are not compared on marks yet.
+        With ``every`` also the pairs of short and of very long lists, which are not compared on marks yet.
         """
         t = self.t
         e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos").hint("merge")
@@ -548,22 +548,36 @@ class NearJoin:
             yield pa.RecordBatch.from_arrays([pa.array(best[:, 3]), pa.array(best[:, 4])], ["a", "b"])
 
         part = F.pmod(F.xxhash64("gram"), F.lit(self.partitions)).cast("int").alias("part")
-        usual = e.where((F.col("m") <= LONG) | F.lit(not every)).select(part, "gram", "sid", "n", "pos", "label")
+        usual = e.where((F.col("m") > SHORT) & ((F.col("m") <= LONG) | F.lit(not every))).select(part, "gram", "sid", "n", "pos", "label")
         of_sets = usual.select("part", "sid").distinct().hint("merge").join(marks.select("sid", "marks"), "sid")
         none = [F.lit(None).cast("long").alias(c) for c in ("n", "pos", "label")]
         both = usual.withColumn("marks", F.lit(None).cast("binary")).unionByName(
             of_sets.select("part", F.lit(None).cast("long").alias("gram"), "sid", *none, "marks"))
         usual = both.repartition(self.partitions, "part").select("gram", "sid", "n", "pos", "label", "marks").mapInArrow(run, "a long, b long").distinct()
         self.scratch.append(usual := stored(usual, "likely"))
-        if not every or e.where(F.col("m") > LONG).isEmpty():
+        if not every:
             return usual, None
+
+        def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [(b["gram"].to_numpy(), b["sid"].to_numpy(), b["n"].to_numpy(), b["pos"].to_numpy(), b["label"].to_numpy()) for b in batches]
+            if not held:
+                return
+            gram, sid, n, pos, label = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((pos, n, gram))
+            x = np.empty(len(order), ENTRY)
+            x["gram"], x["sid"], x["n"], x["pos"] = gram.view(U64)[order], sid.view(U64)[order], n[order], pos[order]
+            p = pairs_of(x, label[order], t, True)
+            yield pa.RecordBatch.from_arrays([signed(p[:, 0]), signed(p[:, 1])], ["a", "b"])
+
+        # Short lists have few pairs for each set: these meet the marks once, instead of the marks every list.
+        short = e.where(F.col("m") <= SHORT).select("gram", "sid", "n", "pos", "label").repartition(self.partitions, "gram").mapInArrow(few, "a long, b long")
         x, y = (e.where(F.col("m") > LONG).select("gram", *(F.col(c).alias(c + s) for c in ("sid", "n", "pos", "label"))) for s in "xy")
         need = F.ceil(F.lit(t.num) * (F.col("nx") + F.col("ny")) / F.lit(t.num + t.den))
         most = F.least("posx", "posy") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
         far = (x.join(y, "gram").where((F.col("labelx") != F.col("labely")) & ((F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("sidx") < F.col("sidy")))
                                       & (F.col("nx") * t.den >= F.col("ny") * t.num) & (most >= need))
                .select(F.least("sidx", "sidy").alias("a"), F.greatest("sidx", "sidy").alias("b")))
-        return usual, far
+        return usual, short.union(far)
 
     def groups(self) -> DataFrame:
         """(rid, doc_id, th, n_shingles, component_id, component_rid)."""
@@ -587,8 +601,8 @@ class NearJoin:
                 labels = components(links)
             if every:
                 break
-            # Once few groups are joined this way, all pairs that are left are compared.
-            every = 10 * found <= known
+            # Once fewer groups are joined this way, all likely pairs that are left are compared.
+            every = 2 * found <= known
         own = (self.sets.hint("merge").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
                .withColumn("label", F.coalesce("label", "sid")))
         own = stored(own.select("rid", "doc_id", "th", "n", "label"), "own")
