@@ -287,9 +287,10 @@ def any_flag(flags: Sequence[str]) -> Column:
         if len(flags) > 1 else F.coalesce(quoted(flags[0]), F.lit(False))
 
 
-def max_day(df: DataFrame, day: str = "day") -> DataFrame:
-    """Last day in the cache: the high-water mark."""
-    return df.agg(F.max(F.col(day).cast("date")).alias("max_day"))
+def max_day(df: DataFrame, day: str = "day", known: DataFrame | None = None) -> DataFrame:
+    """Last day in the cache: the high-water mark; from the ``known`` days (``day``) of ``df`` no row is read."""
+    days = df.select(F.col(day).cast("date").alias("day")) if known is None else known
+    return days.agg(F.max("day").alias("max_day"))
 
 
 def max_file_time(

@@ -77,9 +77,15 @@ def focus_date(df: DataFrame, day: dt.date | str | None, column: str = "Tanggal"
     return df if one.isEmpty() else one
 
 
-def latest_date_only(df: DataFrame, day: str = "Tanggal") -> DataFrame:
-    """Rows of the last day, found by a scalar subquery."""
-    return df.filter(F.col(day) == df.agg(F.max(day)).scalar())
+def latest_date_only(df: DataFrame, day: str = "Tanggal", known: DataFrame | None = None) -> DataFrame:
+    """Rows of the last day, found by a scalar subquery.
+
+    With the ``known`` days (``day``) of ``df`` the last one is looked up while the plan is built, so a
+    table that is partitioned by day is read for that day alone.
+    """
+    if known is None:
+        return df.filter(F.col(day) == df.agg(F.max(day)).scalar())
+    return df.filter(F.col(day) == F.lit(known.agg(F.max("day")).first()[0]).cast("date"))
 
 
 def drop_null_or_nonfinite(df: DataFrame, *columns: str, finite: str | None = None) -> DataFrame:

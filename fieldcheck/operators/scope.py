@@ -16,16 +16,18 @@ Window = tuple[dt.date, dt.date]
 ONE_DAY = dt.timedelta(days=1)
 
 
-def available_days(df: DataFrame) -> DataFrame:
-    """Days with visits, ascending."""
-    return distinct_values(df, "day")
+def available_days(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Days with visits, ascending; from the ``known`` days (``day``) of ``df`` no row is read."""
+    return distinct_values(df if known is None else known, "day")
 
 
-def resolve_day(df: DataFrame, selected: dt.date) -> DataFrame:
+def resolve_day(df: DataFrame, selected: dt.date, known: DataFrame | None = None) -> DataFrame:
     """One row: the selected day if present, else the nearest one, the earlier at a tie.
 
-    Two extremes in one aggregate; days are neither listed nor sorted.
+    Two extremes in one aggregate; days are neither listed nor sorted. From the ``known`` days (``day``)
+    of ``df`` no row is read.
     """
+    df = df if known is None else known
     day, sel = F.col("day"), F.lit(selected)
     ends = df.agg(
         F.max(F.when(day <= sel, day)).alias("before"),
@@ -38,13 +40,15 @@ def resolve_day(df: DataFrame, selected: dt.date) -> DataFrame:
     return ends.select(resolved.alias("resolved_day"))
 
 
-def resolved_date(df: DataFrame, selected: dt.date) -> dt.date | None:
+def resolved_date(df: DataFrame, selected: dt.date, known: DataFrame | None = None) -> dt.date | None:
     """``resolve_day`` as a value, so that later scans can prune partitions by it.
 
-    The selected day is looked at first, then a month to both sides, and all days only when
+    Of ``known`` days the nearest is looked up at once. Otherwise the selected day is looked at first, then a month to both sides, and all days only when
     those hold nothing: the nearest day of a window that reaches as far on both sides is the
     nearest of all.
     """
+    if known is not None:
+        return resolve_day(df, selected, known).first()["resolved_day"]
     if not filter_days(df, selected, selected).isEmpty():
         return selected
     near = filter_days(df, selected - 31 * ONE_DAY, selected + 31 * ONE_DAY)
@@ -126,11 +130,12 @@ class Scope:
         return range_window(self.start or self.selected, self.end or self.selected)
 
 
-def scope_frame(df: DataFrame, scope: Scope, index: DataFrame | None = None) -> DataFrame:
+def scope_frame(df: DataFrame, scope: Scope, index: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The visits of a scope; only this scope is built, the others are never computed.
 
     ``index`` is a kept table of the same visits' files (``day, file_name, file_ts_fallback``). Days and
-    files are then chosen from it, and visits are read once, for the chosen files.
+    files are then chosen from it, and visits are read once, for the chosen files. ``known`` are the days
+    (``day``) of the visits, as the manifest of a cache has them; the nearest day is then found without a scan.
     """
     if scope.kind not in ("day", "week", "month", "range", "range_pair"):
         raise ValueError(f"unknown scope {scope.kind}")
@@ -142,7 +147,7 @@ def scope_frame(df: DataFrame, scope: Scope, index: DataFrame | None = None) ->
         both = window_frame(df, (previous_window(start, end)[0], end), index)
         period = F.when(F.col("day") >= F.lit(start), "Current").otherwise("Previous")
         return both.withColumn("period", period)
-    day = resolved_date(df if index is None else index, scope.selected)
+    day = resolved_date(df if index is None else index, scope.selected, known)
     if day is None or scope.kind == "day":
         return day_frame(df, day, index)
     if scope.kind == "week":

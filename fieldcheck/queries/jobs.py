@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import re
 import tempfile
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from fieldcheck.constants import CLINICAL_VARS, SAFE_COLUMNS
 from fieldcheck.functions.times import usable_file_time
 from fieldcheck.operators import aggregates as A, joins as E, scope as K
+from fieldcheck.operators.filters import latest_date_only
 from fieldcheck.plans import heaping as H, privacy as PV
 from fieldcheck.plans.refresh import incremental_refresh, read_cache
 from fieldcheck.plans.summaries import SKETCHED, SUMMARIES, Summaries
@@ -238,6 +240,63 @@ def _(spark, sf):
     return A.count_by(frame, ["day", "file_name"], "visits")
 
 
+def _by_day(spark, sf):
+    """Visits by day as a published cache that was written twice; the second time January's late days only."""
+    path = new_folder(spark, "days")
+    df = core(spark, sf).select("id_kunjungan", "file_name", "file_ts_fallback", "day")
+    S.write_cache(df, path)
+    S.write_cache(df.filter("day >= DATE '2024-01-20'"), path)
+    return read_cache(spark, path), VersionedTables(spark, path).day_rows()
+
+
+_DAYS_SQL = f"{CORE_SQL}, held AS (SELECT DISTINCT id_kunjungan, file_name, file_ts_fallback, day FROM core)"
+
+
+@query("f13_max_day_known", f"WITH {CORE_SQL} SELECT max(day) AS max_day FROM core")
+def _(spark, sf):
+    cache, days = _by_day(spark, sf)
+    return A.max_day(cache, known=days)
+
+
+@query("k1_available_days_known", f"""WITH {_DAYS_SQL}
+SELECT day, count(*) AS rows FROM held WHERE day IS NOT NULL GROUP BY day""")
+def _(spark, sf):
+    """Days and their rows, from the manifest alone."""
+    cache, days = _by_day(spark, sf)
+    return K.available_days(cache, known=days).join(days, "day")
+
+
+_near = [dt.date(2023, 11, 5), dt.date(2024, 1, 10), dt.date(2024, 1, 28), dt.date(2030, 6, 1)]
+
+
+@query("k2_resolve_day_known", f"""WITH {CORE_SQL}, pick AS (SELECT * FROM (VALUES {', '.join(f"(DATE '{p}')" for p in _near)}) t(sel))
+SELECT sel, day AS resolved_day FROM (SELECT sel, day, row_number() OVER (PARTITION BY sel ORDER BY abs(day - sel), day) AS r
+  FROM pick, (SELECT DISTINCT day FROM core WHERE day IS NOT NULL)) WHERE r = 1""")
+def _(spark, sf):
+    cache, days = _by_day(spark, sf)
+    found = [K.resolve_day(cache, p, known=days).select(F.lit(p).alias("sel"), "resolved_day") for p in _near]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query("d8_latest_date_known", f"""WITH {_DAYS_SQL}
+SELECT id_kunjungan, file_name, day FROM held WHERE day = (SELECT max(day) FROM held)""")
+def _(spark, sf):
+    """The last day comes from the manifest, so the files of other days are not opened."""
+    cache, days = _by_day(spark, sf)
+    return latest_date_only(cache, "day", known=days).select("id_kunjungan", "file_name", "day")
+
+
+@query("k7_scope_known", f"""WITH {_DAYS_SQL}, near AS (SELECT day FROM held WHERE day IS NOT NULL ORDER BY abs(day - DATE '2031-05-05'), day LIMIT 1),
+file AS (SELECT file_name FROM held WHERE day = (SELECT day FROM near) AND file_name IS NOT NULL
+  GROUP BY 1 ORDER BY max(file_ts_fallback) DESC NULLS LAST, file_name LIMIT 1)
+SELECT day, file_name, count(*) AS visits FROM held WHERE day = (SELECT day FROM near) AND file_name = (SELECT file_name FROM file) GROUP BY ALL""")
+def _(spark, sf):
+    """The nearest day to one long after the uploads, found in the manifest, and the visits of its latest file."""
+    cache, days = _by_day(spark, sf)
+    frame = K.scope_frame(cache, K.Scope("day", dt.date(2031, 5, 5)), known=days)
+    return A.count_by(frame, ["day", "file_name"], "visits")
+
+
 @query("f6_distinct_from_sketches", f"WITH {_KEPT_SQL} " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"Variable\", count(DISTINCT {filled_sql(c)}) AS distinct_n, true AS near FROM cache" for c in SKETCHED))
 def _(spark, sf):

@@ -175,6 +175,20 @@ class VersionedTables:
         found = self.spark.read.schema(full).option("basePath", f"{self.path}/{table}").parquet(*paths)
         return found.select(*(F.col(f"`{n}`") for n in schema.names))
 
+    def day_rows(self, table: str = VISITS, version: Version | None = None) -> DataFrame:
+        """``day, rows``: the days of a version and their rows, ascending; rows without a day have no line.
+
+        All of it is in the manifest: no folder is listed and no data file is opened. The operators that
+        ask for days only (``max_day``, ``available_days``, ``resolve_day``, ``latest_date_only``,
+        ``scope_frame``) take it as ``known``. A line for each day, never more. Empty where the table was
+        never published.
+        """
+        rows: dict[dt.date, int] = {}
+        for p in (version or self.version()).of(table):
+            if p.day and p.rows:
+                rows[p.day] = rows.get(p.day, 0) + p.rows
+        return self.spark.createDataFrame(sorted(rows.items()), "day date, rows bigint")
+
     # --- writing --------------------------------------------------------------------------
 
     def stage(self, df: DataFrame, run: str, table: str = VISITS) -> list[Part]:

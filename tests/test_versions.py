@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from fieldcheck.constants import CLINICAL_VARS, WANTED_COLUMNS
 from fieldcheck.operators.ranking import latest_file_per_day
 from fieldcheck.operators.schema import apply_schema
-from fieldcheck.operators.scope import Scope, scope_frame
+from fieldcheck.operators.aggregates import max_day
+from fieldcheck.operators.filters import latest_date_only
+from fieldcheck.operators.scope import Scope, available_days, resolve_day, scope_frame
 from fieldcheck.functions.times import usable_file_time
 from fieldcheck.plans import heaping as H, refresh as RF
 from fieldcheck.plans.privacy import Audited, Leak, Salts, pii_audit
@@ -256,3 +258,48 @@ def test_summaries_are_optional(spark, tmp_path):
     assert names(spark, path) == ["x1"]
     with pytest.raises(ValueError):
         Summaries(V.VersionedTables(spark, path)).files()
+
+
+def _no_file(df):
+    """Whether a plan opens no file at all."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return "FileScan" not in text and not df.inputFiles()
+
+
+def test_known_days_open_no_file(spark, tmp_path):
+    path = str(tmp_path / "known")
+    df = spark.createDataFrame([(d, f"v{i}") for i, d in enumerate([day(1), day(1), day(4), day(9), None])], "day date, v string")
+    V.replace_days(df, path)
+    V.replace_days(spark.createDataFrame([(day(4), "a"), (day(4), "b"), (day(4), "c")], df.schema), path)
+    cache, days = read_cache(spark, path), V.VersionedTables(spark, path).day_rows()
+    assert rows(days.orderBy("day")) == [(day(1), 2), (day(4), 3), (day(9), 1)]
+    for got, same in [(max_day(cache, known=days), max_day(cache)), (available_days(cache, known=days), available_days(cache)),
+                      *((resolve_day(cache, x, days), resolve_day(cache, x)) for x in (day(2), day(4), day(7), dt.date(2031, 1, 1)))]:
+        assert _no_file(got) and not _no_file(same)
+        assert rows(got) == rows(same)
+
+
+def test_last_known_day_prunes_the_others(spark, tmp_path):
+    path = str(tmp_path / "last")
+    df = spark.createDataFrame([(day(d), f"{d}-{i}") for d in (1, 2, 3) for i in range(d)], "day date, v string")
+    V.replace_days(df, path)
+    cache, days = read_cache(spark, path), V.VersionedTables(spark, path).day_rows()
+    for d in (1, 2):  # any use of another day's file would fail
+        for root, _, files in os.walk(path):
+            if root.endswith(f"day={day(d)}"):
+                for f in files:
+                    open(os.path.join(root, f), "wb").close()
+    last = latest_date_only(cache, "day", known=days)
+    assert sorted(r["v"] for r in last.collect()) == ["3-0", "3-1", "3-2"]
+    assert "day#" in last._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
+
+
+def test_known_days_of_empty_tables(spark, tmp_path):
+    store = V.VersionedTables(spark, str(tmp_path / "none"))
+    days = store.day_rows()
+    assert rows(days) == []
+    df = spark.createDataFrame([], "day date, file_name string, file_ts_fallback timestamp")
+    assert rows(max_day(df, known=days)) == [(None,)]
+    assert rows(available_days(df, days)) == [] and rows(resolve_day(df, day(1), days)) == [(None,)]
+    assert rows(latest_date_only(df, "day", days)) == []
+    assert rows(scope_frame(df, Scope("week", day(1)), known=days)) == []
