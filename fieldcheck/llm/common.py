@@ -139,19 +139,19 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of every word, from eight bytes at a time."""
-        return span_hashes(self.data, self.begin, self.end)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of every word, from eight bytes at a time; seeds give independent ones."""
+        return span_hashes(self.data, self.begin, self.end, seed)
 
     def text(self, i: int) -> str:
         return self.data[self.begin[i]:self.end[i]].tobytes().decode()
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """``data`` must have eight spare bytes at its end."""
     length = end - begin
     lanes = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
-    h = length.astype(U64) * _C3
+    h = (length.astype(U64) + U64(seed)) * _C3
     todo, at = np.arange(len(begin)), begin
     left = length
     while len(todo):

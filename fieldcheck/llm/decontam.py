@@ -132,9 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Data
     return _plain(docs).mapInArrow(scan, _RESULT)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """The same by a shuffle join on the windows themselves, for test sets of any size."""
-    rows = stored(_plain(docs).withColumn("rid", F.monotonically_increasing_id()), "docs")
+def _met(rows: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """(rid, first, size, item): windows of the test set in ``rows`` (rid, text), by a shuffle join on the windows."""
     tests = stored(benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                                     F.col("text").cast("string").alias("text")), "tests")
 
@@ -160,20 +159,34 @@ def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                     pa.array(np.full(len(at), s, np.int32)), pa.array([" ".join(texts[i:i + s]) for i in at], pa.string()),
                 ], ["rid", "first", "size", "gram"])
 
-    found = rows.mapInArrow(of_docs, "rid long, first int, size int, gram string").join(grams, ["size", "gram"])
-    # Bounded by the words of a document and the items whose windows it holds.
-    per_doc = found.groupBy("rid").agg(F.collect_set(F.struct("first", "size")).alias("at"), F.collect_set("item").alias("items"))
+    return rows.select("rid", "text").mapInArrow(of_docs, "rid long, first int, size int, gram string").join(grams, ["size", "gram"])
+
+
+def _places():
+    """Bounded by the words of a document and the items whose windows it holds."""
+    return F.collect_set(F.struct("first", "size")).alias("at")
+
+
+def _hit_at(w: Words, places: pa.Array) -> np.ndarray:
+    """Which words are within the (first, size) of their document."""
+    edge = np.zeros(len(w) + 1, np.int64)
+    for base, at in zip(w.first, places.to_pylist()):
+        for x in at or ():
+            edge[base + x["first"]] += 1
+            edge[base + x["first"] + x["size"]] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The same by a shuffle join on the windows themselves, for test sets of any size."""
+    rows = stored(_plain(docs).withColumn("rid", F.monotonically_increasing_id()), "docs")
+    per_doc = _met(rows, benchmark, n).groupBy("rid").agg(_places(), F.collect_set("item").alias("items"))
 
     def report(batches):
         for b in slices(batches):
             w = words(b.column("text"), ALNUM, lower=True)
-            edge, items = np.zeros(len(w) + 1, np.int64), []
-            for base, at, names in zip(w.first, b.column("at").to_pylist(), b.column("items").to_pylist()):
-                items.append(set(names or ()))
-                for x in at or ():
-                    edge[base + x["first"]] += 1
-                    edge[base + x["first"] + x["size"]] -= 1
-            yield _report(b, w, np.cumsum(edge[:-1]) > 0, items)
+            items = [set(names or ()) for names in b.column("items").to_pylist()]
+            yield _report(b, w, _hit_at(w, b.column("at")), items)
 
     return rows.join(per_doc, "rid", "left").mapInArrow(report, _RESULT)
 
@@ -182,11 +195,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, remove:
     """``docs`` with its own columns, without contaminated documents or without the words that were hit.
 
     With ``remove="spans"`` the hit words of a text go, together with what stands between them.
-    Only for test sets within the broadcast bound.
     """
     index = _index(benchmark, n)
     if index is None:
-        raise ValueError(f"the test set holds more than {BROADCAST_BYTES} bytes; split it and apply each part")
+        return _joined_clean(docs, benchmark, n, remove)
     known = docs.sparkSession.sparkContext.broadcast(index)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +209,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, remove:
                 bad = np.diff(np.concatenate([[0], np.cumsum(hit)])[w.first]) > 0
                 yield b.filter(pa.array(~bad))
                 continue
-            texts = b.column("text").to_pylist()
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False) + 1)])
-            for d, (a, e) in enumerate(zip(w.first[:-1], w.first[1:])):
-                if hit[a:e].any():
-                    raw = texts[d].encode()
-                    for i, j in reversed(_runs(hit[a:e])):
-                        raw = raw[:w.begin[a + i] - ends[d]] + raw[w.end[a + j - 1] - ends[d]:]
-                    texts[d] = raw.decode()
-            at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield _without(b, w, hit)
 
     return docs.mapInArrow(clean, docs.schema)
 
 
+def _without(b: pa.RecordBatch, w: Words, hit: np.ndarray) -> pa.RecordBatch:
+    """The rows with their texts less the runs of hit words."""
+    texts = b.column("text").to_pylist()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False) + 1)])
+    for d, (a, e) in enumerate(zip(w.first[:-1], w.first[1:])):
+        if hit[a:e].any():
+            raw = texts[d].encode()
+            for i, j in reversed(_runs(hit[a:e])):
+                raw = raw[:w.begin[a + i] - ends[d]] + raw[w.end[a + j - 1] - ends[d]:]
+            texts[d] = raw.decode()
+    at = b.schema.get_field_index("text")
+    return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+
+def _joined_clean(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -> DataFrame:
+    """``decontaminate`` by a shuffle join, for test sets of any size; rows are told apart by a number of their own."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = stored(docs.select(own.alias("own"), F.col("text").cast("string").alias("text"),
+                              F.monotonically_increasing_id().alias("rid")), "docs")
+    met = _met(rows, benchmark, n)
+    if remove == "documents":
+        return rows.select("own", "rid").join(met.select("rid"), "rid", "left_anti").select("own.*")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            w = words(b.column("text"), ALNUM, lower=True)
+            inner = b.column("own")
+            yield _without(pa.RecordBatch.from_arrays(inner.flatten(), [f.name for f in inner.type]), w, _hit_at(w, b.column("at")))
+
+    per_doc = met.groupBy("rid").agg(_places())
+    return rows.join(per_doc, "rid", "left").select("own", "text", "at").mapInArrow(clean, docs.schema)
+
+
 __all__ = ["NGRAM", "NgramIndex", "contamination", "decontaminate", "item_windows"]

@@ -19,13 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import SPACED, Words, crc32_mod, slices, words
+from fieldcheck.llm.common import SPACED, Words, crc32_mod, forget, slices, stored, words
 
 #: Distinct labelled texts of each language that the classifier is fitted on.
 SAMPLE = 400
+#: Hashes are counted in so many (2 to this power) ranges before the lowest ones are ordered.
+RANGE_BITS = 12
 #: Distinct words of the sample, the most frequent ones, that training sees.
 TRAIN_WORDS = 40_000
 #: Longer words are read in pieces of so many bytes.
@@ -290,15 +292,25 @@ def train(texts: list[str], labels: list[str]) -> ByteGRU | None:
 def sample(docs: DataFrame, per_lang: int = SAMPLE) -> DataFrame:
     """(lang, text): the ``per_lang`` labelled texts of each language with the lowest hashes, copies once."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    # Hashes alone are ordered, and every task sends no more than ``per_lang`` of a language.
-    low = Window.partitionBy("lang").orderBy("h")
-    lowest = known.select("lang", "h").distinct().withColumn("k", F.row_number().over(low)).where(F.col("k") <= per_lang)
-    # One row for each language comes to the driver, so that rows are picked where they are read.
-    last = {r.lang: r.h for r in lowest.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not last:
+    hashes = stored(known.select("lang", "h").distinct().withColumn("range", F.shiftright("h", 64 - RANGE_BITS).cast("int")), "hashes")
+    # Counts of ranges of hashes tell up to which range a language's sample reaches; only these are ordered.
+    upto = Window.partitionBy("lang").orderBy("range")
+    sums = hashes.groupBy("lang", "range").count().withColumn("before", F.sum("count").over(upto) - F.col("count"))
+    reach = _by_lang(sums.where(F.col("before") < per_lang).groupBy("lang").agg(F.max("range").alias("x")))
+    if reach is None:
+        forget(hashes)
         return known.select("lang", "text")
-    bound = F.create_map(*[F.lit(x) for k, h in sorted(last.items()) for x in (k, h)])
-    return known.where(F.col("h") <= bound[F.col("lang")]).select("lang", "text").distinct()
+    low = Window.partitionBy("lang").orderBy("h")
+    lowest = hashes.where(F.col("range") <= reach).withColumn("k", F.row_number().over(low)).where(F.col("k") <= per_lang)
+    bound = _by_lang(lowest.groupBy("lang").agg(F.max("h").alias("x")))
+    forget(hashes)
+    return known.where(F.col("h") <= bound).select("lang", "text").distinct()
+
+
+def _by_lang(rows: DataFrame) -> Column | None:
+    """``x`` of a row's language; one row for each language comes to the driver, so that rows are picked where they are read."""
+    got = sorted((r.lang, r.x) for r in rows.collect())
+    return F.create_map(*[F.lit(v) for r in got for v in r])[F.col("lang")] if got else None
 
 
 def fitted(docs: DataFrame, per_lang: int = SAMPLE) -> bytes | None:
@@ -337,11 +349,18 @@ def languages(docs: DataFrame, model: bytes | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: bytes | None, least: float = 0.3) -> DataFrame:
-    """``docs`` with its own columns, without texts that have no letters or no likely language."""
+    """``docs`` with its own columns, without texts that have no letters or no likely language.
+
+    Where no language was learned none can be unlikely, so only texts without letters go; nor can a text be
+    unlikely among three languages or fewer, of which one always has a third.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Pooler(ByteGRU.load(model)) if model else None
         for b in slices(batches):
+            if net is None:
+                yield b.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in b.column("text").to_pylist()], pa.bool_()))
+                continue
             langs, scores = predict(net, b.column("text"))
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores)], pa.bool_()))
 

@@ -9,13 +9,14 @@ it (its minimum hash). Windows in a row share this run, so one entry holds many
 Prefixes have variable length. A run that is frequent across the corpus (a fixed-size table of counts
 over all documents tells) is extended to the whole window, which splits its suffixes over many groups;
 the others stay at ``PREFIX`` words. Groups are packed into partitions that fit in memory. A task builds
-no tree and sorts no suffixes: it groups the windows of its prefixes by one hash, which says what a node of
+no tree and sorts no suffixes: it groups the windows of its prefixes by hash, which says what a node of
 the window's depth would. The first window of a group is the earliest occurrence; all others are to be removed. Neighbouring windows join into maximal repeats.
 
 A task keeps only the earliest of equal windows of a slice before anything is sent, so a passage that a
 third of all documents share arrives once from each slice. Suffixes are never shipped word by word: one
-entry takes 20 bytes and 4 for each of its windows. Windows are told apart by 64 bits,
-made of the 64 of the prefix and the 32 of the window; their words are not compared.
+entry takes 21 bytes and 8 for each of its windows. Windows are told apart by 128 bits: the 64 of the
+prefix and 64 of the window from word hashes of another seed (within a task's slice: 64 of the window from
+each seed). Only the 64 of the window can fail between windows of one prefix. Their words are not compared.
 
 Defined results: null texts have no words; documents of fewer words than a window lose nothing; "earlier"
 is by doc_id (null first), then by the hash of the text, then by position; rows with equal doc_id and
@@ -42,6 +43,8 @@ PREFIX = 8
 #: Slots of the table of counts: 4 MB, whatever the corpus.
 SLOTS = 1 << 20
 PIECES = 16
+#: Of the second hash of a window.
+SEED = 0x5EED
 #: A prefix whose slot holds more entries than this many times the mean, and more than ``MANY``, is extended.
 TIMES = 16
 MANY = 4096
@@ -56,9 +59,9 @@ def slot(prefix: np.ndarray) -> np.ndarray:
     return (mix(prefix) & U64(SLOTS - 1)).astype(np.int64)
 
 
-def suffixes(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(w: Words, window: int, prefix: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word of every window, its hash, and the place of its minimum run of ``prefix`` words."""
-    h = w.hashes()
+    h = w.hashes() if h is None else h
     at = windows(w, window)
     if not len(at):
         return at, np.zeros(0, U64), at
@@ -75,8 +78,11 @@ def suffixes(w: Words, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray
     return at, whole, place
 
 
-def first_of(key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows whose key occurs more than once: their indices, and for each the index of the first of its key."""
+def first_of(key: np.ndarray, other: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows whose key occurs more than once: their indices, and for each the index of the first equal row.
+
+    Rows are equal if both ``key`` and ``other`` are; one that shares its key alone is its own first.
+    """
     o = np.argsort(key)
     k = key[o]
     same = np.zeros(len(k) + 1, bool)
@@ -84,8 +90,9 @@ def first_of(key: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarra
     many = o[same[1:] | same[:-1]]
     if not len(many):
         return many, many
-    many = many[np.lexsort((*(x[many] for x in reversed(order)), key[many]))]
-    new = np.concatenate([[True], key[many][1:] != key[many][:-1]])
+    many = many[np.lexsort((*(x[many] for x in reversed(order)), other[many], key[many]))]
+    k, o = key[many], other[many]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])
     return many, many[np.maximum.accumulate(np.where(new, np.arange(len(many)), 0))]
 
 
@@ -102,10 +109,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
         total = np.zeros(SLOTS, np.int64)
         for b in slices(batches):
             w = words(b.column("text"), SPACED)
-            at, _, place = suffixes(w, window, prefix)
+            h = w.hashes()
+            at, _, place = suffixes(w, window, prefix, h)
             if len(at):
                 new = np.concatenate([[True], place[1:] != place[:-1]])
-                total += np.bincount(slot(gram_hashes(w.hashes(), place[new], prefix)), minlength=SLOTS)
+                total += np.bincount(slot(gram_hashes(h, place[new], prefix)), minlength=SLOTS)
         if total.any():
             blobs = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.split(total, PIECES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(blobs, pa.binary())], ["piece", "counts"])
@@ -134,13 +142,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
         names = ["part", "runs", "leaves", "bucket", "spans"]
         for b in slices(batches, size=SLICE):
             w = words(b.column("text"), SPACED)
-            at, whole, place = suffixes(w, window, prefix)
+            h = w.hashes()
+            at, whole, place = suffixes(w, window, prefix, h)
             if not len(at):
                 continue
+            node = gram_hashes(w.hashes(SEED), at, window)
             dk, tie = _doc_columns(b)
             doc = w.doc()[at]
             pos = at - w.first[doc]
-            many, first = first_of(whole, dk[doc], tie[doc], pos)
+            many, first = first_of(whole, node, dk[doc], tie[doc], pos)
             later = ~((dk[doc[many]] == dk[doc[first]]) & (tie[doc[many]] == tie[doc[first]]) & (pos[many] == pos[first]))
             gone = many[later]
             if len(gone):
@@ -150,7 +160,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             keep = np.ones(len(at), bool)
             keep[many[many != first]] = False
             i = np.flatnonzero(keep)
-            run = gram_hashes(w.hashes(), place[i], prefix)
+            run = gram_hashes(h, place[i], prefix)
             long = frequent.value[slot(run)]
             # An extended prefix is the window itself, so its windows never share an entry.
             run[long] = whole[i][long]
@@ -160,7 +170,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             r = np.empty(len(head), RUN)
             r["prefix"], r["doc"], r["tie"] = run[head], dk[doc[i[head]]], tie[doc[i[head]]]
             r["pos"], r["n"] = pos[i[head]], np.diff(head, append=len(i))
-            leaf = (whole[i] >> U64(32)).astype("<u4")
+            leaf = node[i]
             part = mix(r["prefix"]) % U64(n_parts)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=U64))
@@ -183,7 +193,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
             b = b.filter(b.column("runs").is_valid())
             for x, y in zip(b.column("runs"), b.column("leaves")):
                 runs.append(_columns(x.as_py()))
-                leaves.append(np.frombuffer(y.as_py(), "<u4"))
+                leaves.append(np.frombuffer(y.as_py(), "<u8"))
         if not runs:
             return
         r, leaf = np.concatenate(runs), np.concatenate(leaves)
@@ -191,8 +201,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
         owner = np.repeat(np.arange(len(r)), n)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         pos = r["pos"].astype(np.int64)[owner] + step
-        node = mix(r["prefix"][owner] ^ mix(leaf.astype(U64) + U64(1)))
-        many, first = first_of(node, r["doc"][owner], r["tie"][owner], pos)
+        node = mix(r["prefix"][owner] ^ mix(leaf + U64(1)))
+        many, first = first_of(node, leaf, r["doc"][owner], r["tie"][owner], pos)
         x, y = owner[many], owner[first]
         later = ~((r["doc"][x] == r["doc"][y]) & (r["tie"][x] == r["tie"][y]) & (pos[many] == pos[first]))
         gone = many[later]

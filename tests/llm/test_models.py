@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldcheck.llm import langid, lm
@@ -127,6 +128,7 @@ def test_language_edges(spark):
     assert kept.columns == df.columns and kept.where("doc_id IN (100, 101, 102)").count() == 0
     none = frame(spark, [(1, "abc", None, "s", 1)])
     assert langid.fitted(none) is None and langid.languages(none, None).first().lang_pred == "und"
+    assert sorted(r.doc_id for r in langid.keep_known(df, None).collect() if r.doc_id and r.doc_id >= 100) == [103, 103]
     assert langid.languages(df.limit(0), model).count() == 0
 
 
@@ -140,6 +142,9 @@ def test_sample_of_copies(spark):
         assert max(got.values()) == 1
         n = collections.Counter(r.lang for r in got)
         assert n == {"aa": 5, "bb": min(30, most), "cc": 3, "dd": most}
+        hashes = {g: sorted({r.h for r in df.where(F.col("lang") == g).select(F.xxhash64("text").alias("h")).collect()}) for g in n}
+        chosen = df.sparkSession.createDataFrame([tuple(r) for r in got], "lang string, text string").select("lang", F.xxhash64("text").alias("h")).collect()
+        assert all(sorted(r.h for r in chosen if r.lang == g) == hashes[g][:most] for g in n)
 
 
 def test_predictions_remembered():

@@ -148,7 +148,15 @@ def test_contamination(spark, monkeypatch):
         [d for d in docs if not brute_contamination([d], items)[0][5]], key=str)
     cut = decontam.decontaminate(df, bench, remove="spans")
     assert cut.columns == df.columns and cut.count() == len(docs)
+    spans = sorted(map(tuple, cut.collect()), key=str)
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 10)
+    # Beyond the bound of the broadcast the rows are the same, whatever their columns are called.
+    wide = df.selectExpr("*", "doc_id AS rid", "'x' AS at", "text AS item", "1 AS size")
+    for how, same in (("documents", sorted(map(tuple, clean), key=str)), ("spans", spans)):
+        far = decontam.decontaminate(wide, bench, remove=how)
+        assert far.columns == wide.columns
+        assert sorted([tuple(r)[:len(df.columns)] for r in far.collect()], key=str) == same
+        assert decontam.decontaminate(wide.limit(0), bench, remove=how).count() == 0
     assert sorted([tuple(r)[:6] for r in decontam.contamination(df, bench).collect()], key=str) == want
     assert decontam.contamination(df.limit(0), bench).count() == 0
     monkeypatch.undo()
@@ -205,6 +213,13 @@ def test_substring(spark, monkeypatch, many):
     assert substring.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_equal_prefix_hash_is_no_repeat():
+    """Windows are equal only if both hashes are: one that shares a single hash stays its own first."""
+    key, other = np.array([7, 7, 7, 5, 7], np.uint64), np.array([1, 2, 1, 1, 3], np.uint64)
+    many, first = substring.first_of(key, other, np.array([9, 0, 3, 1, 2]))
+    assert dict(zip(many.tolist(), first.tolist())) == {0: 2, 2: 2, 1: 1, 4: 4}
+
+
 def test_substring_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in op10_substring_dedup(spark, SF).collect()], key=str) == brute_substring(docs, 20)
