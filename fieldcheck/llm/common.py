@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at once; longer documents form a slice of their own.
 SLICE_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
+#: Edges of a graph that one task takes at once, 4 MB.
+EDGES = 1 << 18
 
 U64 = np.uint64
 _C1, _C2, _C3 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x9E3779B97F4A7C15)
@@ -271,15 +273,20 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b): label is the smallest node reachable.
+    """(node, label) of every node of the stored ``edges`` (a, b): label is the smallest node reachable.
 
-    Every partition first replaces its edges by stars, so few and flat edges are left. Every round
-    then moves a node to the smallest label among its neighbours and to that label's own label, so a
-    path of n nodes ends after about log n rounds. Counts alone come to the driver.
+    Every task first replaces about ``EDGES`` edges by stars, so few and flat edges are left; where that is
+    one task, they are the answer. Otherwise every round moves a node to the smallest label among its
+    neighbours and to that label's own label, so a path of n nodes ends after about log n rounds. Counts
+    alone come to the driver.
     """
-    stars = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    tasks = edges.count() // EDGES + 1
+    stars = edges.select("a", "b").coalesce(tasks).mapInArrow(_forest, "a long, b long")
+    if tasks == 1:
+        return stored(stars.toDF("node", "label"), "labels")
+    stars = stored(stars, "stars")
     both = stored(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    done = [both]
+    done = [stars, both]
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
                     .select("node", F.least("node", "low").alias("label")), "labels")
     while True:

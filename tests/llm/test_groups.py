@@ -236,9 +236,12 @@ def test_shared_marks_bound():
             assert len(np.intersect1d(px, py)) >= t.shared(len(x), len(y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [20, 1 << 18])
+def test_components(spark, monkeypatch, at_once):
+    from fieldcheck.llm import common
     from fieldcheck.llm.common import components
 
+    monkeypatch.setattr(common, "EDGES", at_once)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5), (7, 3)]
     rng.shuffle(edges)
