@@ -5,12 +5,17 @@ to both sides are anchors; the longest increasing subsequence of their places ke
 gaps between kept anchors are aligned in the same way, where a word need only be unique within the gap,
 and equal words next to an anchor join it. Coverage is the share of a template's words that are aligned.
 
-A window of the text is scanned around every place where ``SEED`` consecutive words of a template occur;
-a template with fewer words is its own seed. Seeds are found for whole slices at once from hashes, so the
-alignment runs on the few places that can have one. Windows reach as far as the template could on both
-sides and are joined where they touch, in bounded memory. A window that holds a notice twice has no unique
-words, so each copy is aligned by itself as well: a copy ends where the seeds step back in the template, and
-its window ends where the seeds of its neighbours begin.
+Places are found for whole slices at once from word hashes, so the alignment runs on the few that can hold
+a template of ``n`` words, of which ``k`` are enough. Around every ``SEED`` consecutive words of a template
+a window reaches as far as the template could on both sides; windows are joined where they touch, in bounded
+memory. A window that holds a notice twice has no unique words, so each copy is aligned by itself as well: a
+copy ends where the seeds step back in the template, and its window ends where the seeds of its neighbours begin.
+
+A covered text need not hold such a run of words. So the ``n`` and the ``REACH * n`` words from every place are
+aligned too where that place can be the first match, which no word after the first ``n - k + 1`` of a template
+is, unless a count shows that they fall short: of the words a text must share ``k``, as often as the template
+has them at most, and of any ``m`` words of the template all but ``n - k``. The ``m`` are the rarest in the
+slice. These tests leave out only what cannot be covered.
 
 Defined results: null texts and texts without words have no licenses; each template is reported at most
 once a document, with its best window (the earliest of equals); rows are independent. Extra columns are
@@ -28,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import ALNUM, chain, slices, windows, words
+from fieldcheck.llm.common import ALNUM, Words, chain, slices, windows, words
 
+#: Words in a row that start the search of a window.
 SEED = 3
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.8
@@ -129,6 +135,8 @@ class Templates:
             for i in range(len(own) - size + 1) if size else ():
                 key = int(chain([np.array([x], np.uint64) for x in own[i:i + size]])[0])
                 self.seeds.setdefault(size, {}).setdefault(key, []).append((t, i))
+        self.vocabulary = np.unique(np.concatenate([np.array(x, np.uint64) for x in self.hashes] or [np.zeros(0, np.uint64)]))
+        self.codes = [np.searchsorted(self.vocabulary, np.array(x, np.uint64)) for x in self.hashes]
         self.probe = {s: np.sort(np.array(list(x), np.uint64)) for s, x in self.seeds.items()}
 
     def scan(self, text: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
@@ -148,7 +156,8 @@ class Templates:
                 doc = int(np.searchsorted(w.first, first, "right")) - 1
                 for t, j in self.seeds[size][int(got[i])]:
                     spots.setdefault((doc, t), []).append((first, j, size))
-        for (doc, t), seeds in sorted(spots.items()):
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for (doc, t), seeds in spots.items():
             begin, end, n = int(w.first[doc]), int(w.first[doc + 1]), len(self.hashes[t])
             best = (0.0, 0, 0)
             for a, b in _ranges(seeds, n):
@@ -158,8 +167,50 @@ class Templates:
                 met = align(h[a:b].tolist(), self.hashes[t])
                 if met:
                     best = min(best, (len(met) / n, a + met[0][0], a + met[-1][0] + 1), key=lambda x: (-x[0], x[1], x[2]))
-            if best[0] >= COVERAGE:
-                yield doc, t, best[0], best[1] - begin, best[2] - begin
+            found[doc, t] = best
+        for t, first, last in self._starts(w, h):
+            doc, n = int(np.searchsorted(w.first, first, "right")) - 1, len(self.hashes[t])
+            best = found.get((doc, t), (0.0, 0, 0))
+            for stop in {min(first + n, last), last} if best[0] < 1 else ():
+                met = align(h[first:stop].tolist(), self.hashes[t])
+                if met:
+                    best = min(best, (len(met) / n, first + met[0][0], first + met[-1][0] + 1), key=lambda x: (-x[0], x[1], x[2]))
+            found[doc, t] = best
+        for (doc, t), (share, first, last) in sorted(found.items()):
+            if share >= COVERAGE:
+                yield doc, t, share, first - int(w.first[doc]), last - int(w.first[doc])
+
+    def _starts(self, w: Words, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, first word, end word) of stretches whose first word may be the first match of a covered template."""
+        none = len(self.vocabulary)
+        if not none or not len(h):
+            return
+        code = np.searchsorted(self.vocabulary, h)
+        code[self.vocabulary[np.minimum(code, none - 1)] != h] = none
+        seen, until = np.bincount(code, minlength=none + 1), np.repeat(w.first[1:], w.counts)
+        for t, own in enumerate(self.codes):
+            n = len(own)
+            if not n:
+                continue
+            lost = n - next(k for k in range(n + 1) if k / n >= COVERAGE)
+            rare = own[np.argsort(seen[own], kind="stable")[:2 * lost + 1]]
+            first = np.flatnonzero(_among(own[:lost + 1], none)[code])
+            last = np.minimum(first + REACH * n, until[first])
+            for some, least in ((rare, len(rare) - lost), (own, n - lost)):
+                total = np.concatenate([[0], np.cumsum(_among(some, none)[code])])
+                ok = total[last] - total[first] >= least
+                first, last = first[ok], last[ok]
+            bag = np.bincount(own, minlength=none)
+            for a, b in zip(first.tolist(), last.tolist()):
+                if np.minimum(np.bincount(code[a:b], minlength=none + 1)[:none], bag).sum() >= n - lost:
+                    yield t, a, b
+
+
+def _among(codes: np.ndarray, none: int) -> np.ndarray:
+    """Which codes are among ``codes``; ``none`` is the code of all other words."""
+    out = np.zeros(none + 1, bool)
+    out[codes] = True
+    return out
 
 
 def _ranges(seeds: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:

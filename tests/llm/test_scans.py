@@ -276,6 +276,54 @@ def test_repeated_notices():
             assert name == "mit-notice" and share >= least and a <= 1
 
 
+@pytest.mark.parametrize("text, name, share", [
+    ("Released under our MIT License", "mit", 0.8), ("All rights are reserved", "reserved", 1.0),
+    ("the rights of all: All rights are reserved, all of them", "reserved", 1.0), ("released x under z the q mit s license", "mit", 1.0)])
+def test_no_words_in_a_row(text, name, share):
+    found = licenses.Templates(licenses.TEMPLATES)
+    got = {found.names[t]: s for _, t, s, _, _ in found.scan(pa.array(["x", "y z " * 40 + text + " w" * 50, None]))}
+    assert got.get(name) == share
+
+
+def common_words(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = max(row[j], row[j + 1], last + (x == y)), row[j + 1]
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_every_window(rnd):
+    """All stretches from all words are aligned: none that is covered enough is missed, and none is reported in vain."""
+    letters = "abcdefghijkl"
+    texts = {str(n): " ".join(rnd.choice(letters) for _ in range(n)) for n in (1, 2, 3, 5, 8, 15)} | {"": "", "?": "?!"}
+    docs = []
+    for _ in range(6):
+        doc = []
+        for _ in range(rnd.randrange(4)):
+            doc += [rnd.choice("xyzab") for _ in range(rnd.randrange(6))]
+            for w in rnd.choice([x for x in texts.values() if x != "?!"]).split():
+                doc += [] if rnd.random() < 0.1 else [w]
+                doc += [rnd.choice("xyzabc")] if rnd.random() < 0.3 else []
+        docs.append(doc)
+    found = licenses.Templates(texts)
+    got = {(d, found.names[t]): (share, a, e) for d, t, share, a, e in found.scan(pa.array([" ".join(d) for d in docs]))}
+    assert len(found.names) == len(texts)
+    for d, doc in enumerate(docs):
+        for name, text in texts.items():
+            own = [w for w in text.split() if w.isalnum()]
+            n = len(own)
+            lost = n - -(-n * 4 // 5)
+            best = max([len(licenses.align(doc[i:i + m], own)) / n for i in range(len(doc)) for m in (n, 2 * n) if doc[i] in own[:lost + 1]], default=0)
+            share, a, e = got.get((d, name), (0, 0, 0))
+            assert share >= best or best < licenses.COVERAGE
+            assert not share or licenses.COVERAGE <= share <= common_words(doc[a:e], own) / n
+
+
 def test_license_query(spark):
     """Every document with a one-line notice has it reported."""
     rows = {r.doc_id: r.licenses for r in op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
