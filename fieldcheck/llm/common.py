@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Bytes of text that a task works on at once; longer documents form a slice of their own.
 SLICE_BYTES = 8 << 20
@@ -62,15 +63,24 @@ def forget(*tables: DataFrame) -> None:
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, xxhash64 of the text) is in ``kept``, once each, with their own columns."""
+    """The rows of ``docs`` whose (doc_id, xxhash64 of the text) is in ``kept``, once each, with their own columns.
+
+    Of rows that repeat both, the one whose other columns have the lowest hash stays (maps and variants cannot
+    be hashed and do not count).
+    """
+    others = [f"`{f.name}`" for f in docs.schema if f.name.lower() not in ("doc_id", "text") and not _unhashable(f.dataType)]
     own = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"),
-                      F.xxhash64("text").alias("th"))
+                      F.xxhash64("text").alias("th"), (F.xxhash64(*others) if others else F.lit(0)).alias("rest"))
     kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th"))
-    one = Window.partitionBy("id", "th").orderBy(F.lit(1))
+    one = Window.partitionBy("id", "th").orderBy("rest")
     return (own.hint("merge").join(kept, same, "left_semi").withColumn("k", F.row_number().over(one)).where("k = 1").select("own.*"))
 
 
+def _unhashable(kind: DataType) -> bool:
+    return any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows again in order, cut so that a slice holds about ``size`` bytes of ``column``."""
