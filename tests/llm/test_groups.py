@@ -7,8 +7,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fieldcheck.llm import exact, jaccard
+from fieldcheck.llm.common import only
 
 SF = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -125,6 +127,16 @@ def test_near_copies_of_hot_texts(spark, monkeypatch):
     assert sorted([tuple(r) for r in out], key=str) == brute_near(rows, 5, 80)
 
 
+def test_one_of_repeated_rows(spark):
+    """Which of the rows with one doc_id and text stays does not depend on how they are dealt."""
+    rows = [(d, t, x, {"k": x}) for d, t in ((1, "a b"), (None, "a b"), (2, None)) for x in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rest int, m map<string,int>")
+    kept = df.select("doc_id", F.xxhash64("text").alias("th"))
+    got = [sorted(((r.doc_id, r.text, r.rest) for r in only(df.repartition(n).orderBy(F.rand(n)), kept).collect()), key=str) for n in (1, 3, 5)]
+    assert len(got[0]) == 3 and got[0] == got[1] == got[2]
+    assert only(df.select("doc_id", "text"), kept).count() == 3
+
+
 def test_near_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     out = jaccard.near_groups(spark.read.parquet(f"{SF}/documents.parquet"), 4, 85).collect()
