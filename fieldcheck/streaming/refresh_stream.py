@@ -91,7 +91,9 @@ def refresh_stream(
     row is ever stored twice. Use this mode for a cache that the stream alone, or the stream and such
     a refresh, writes to.
     """
-    fresh = anonymize(with_times(stream, zone), salts).filter("day IS NOT NULL")
+    # A micro-batch is a few files and so a few tasks; its raw rows are dealt to all cores before they are cleaned.
+    dealt = stream.repartition(stream.sparkSession.sparkContext.defaultParallelism)
+    fresh = anonymize(with_times(dealt, zone), salts).filter("day IS NOT NULL")
     fresh = without_copies(fresh, horizon, keys) if horizon else fresh
 
     def store(batch: DataFrame, number: int) -> None:

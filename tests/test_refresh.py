@@ -152,3 +152,25 @@ def test_a_replayed_batch_is_not_stored_again(spark, tmp_path):
     assert stored(spark, path) == ["x1", "x2"]
     store_batch(fresh, path, "other stream", 0)
     assert stored(spark, path) == ["x1", "x2"]
+
+
+def test_a_batch_of_copies_alone_stores_nothing(spark, tmp_path):
+    """As with a cache too large to be sent to every task: the join is a merge and leaves no row."""
+    inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            stream_once(spark, inbox, path, ck, uploads(spark, [1, 2]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert stored(spark, path) == ["x1", "x2"]
+
+
+def test_stored_rows_are_not_sent_to_every_task(spark):
+    from fieldcheck.plans.refresh import unseen_rows
+
+    df = spark.range(10).selectExpr("date'2025-09-01' AS day", "id AS a")
+    for keys in (None, ["a"]):
+        out = unseen_rows(df, df.limit(5), keys)
+        assert out.count() == 5
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
