@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 VISITS = "visits"
 #: How Spark names the folder of rows without a day.
 NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+#: Tasks, and so files, of one day where Spark does not adapt their number.
+DAY_TASKS = 8
 
 
 class Conflict(Exception):
@@ -90,9 +92,13 @@ class Version:
 def by_day(df: DataFrame, day: str = "day") -> DataFrame:
     """Rows of a day together for writing, big days split and small ones merged.
 
-    Rebalancing is adaptive: a day that holds a third of all rows becomes many tasks.
+    Rebalancing is adaptive: a day that holds a third of all rows becomes many tasks. Without adaptive
+    execution, as in a stream with state, the hint counts for nothing and every task would write a file for
+    every day; there each day goes to ``DAY_TASKS`` tasks.
     """
-    return df.hint("rebalance", day)
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled").lower() == "true":
+        return df.hint("rebalance", day)
+    return df.repartition(day, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(DAY_TASKS)))
 
 
 class VersionedTables:

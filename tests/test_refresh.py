@@ -174,3 +174,16 @@ def test_stored_rows_are_not_sent_to_every_task(spark):
         out = unseen_rows(df, df.limit(5), keys)
         assert out.count() == 5
         assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_with_state_writes_few_files_a_day(spark, tmp_path):
+    inbox, path, ck = (str(tmp_path / n) for n in ("inbox", "cache", "ck"))
+    many = uploads(spark, [1]).drop("diagnosa_1").crossJoin(spark.range(400).selectExpr("concat('x', id) AS diagnosa_1"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        stream_once(spark, inbox, path, ck, many, horizon="10 days")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert read_cache(spark, path).count() == 400
+    assert len(list((tmp_path / "cache" / "visits").rglob("*.parquet"))) <= 8
