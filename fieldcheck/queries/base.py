@@ -11,6 +11,7 @@ from fieldcheck.constants import BLANKS
 from fieldcheck.functions.times import usable_file_time
 from fieldcheck.plans.facility import with_times
 from fieldcheck.plans.privacy import Salts
+from fieldcheck.session import tuned
 from fieldcheck.sources.readers import load_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,15 +142,19 @@ def _exprs(parts) -> list[str]:
     return [e if a is None else f"{e} as {a}" for e, a in parts]
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "events").selectExpr(*_exprs(_PARTS)).selectExpr(*_exprs(_VISIT))
-    )
+def visits(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """The uploads, in a tuned session: their projections are too wide for one compiled method.
+
+    ``deal`` deals the narrow events to all cores before; a file of few row groups is read by as few tasks.
+    """
+    df = table(tuned(spark), sf_dir, "events")
+    df = df.repartition(4 * spark.sparkContext.defaultParallelism) if deal else df
+    return df.selectExpr(*_exprs(_PARTS)).selectExpr(*_exprs(_VISIT))
 
 
-def core(spark: SparkSession, sf_dir: str) -> DataFrame:
+def core(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     """Visits of all facilities with times, days and file order."""
-    return with_times(visits(spark, sf_dir)).withColumn(
+    return with_times(visits(spark, sf_dir, deal)).withColumn(
         "file_ts_fallback", usable_file_time("file_ts", "tanggal_ts"))
 
 

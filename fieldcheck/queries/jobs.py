@@ -117,7 +117,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') GROUP BY ALL""")
 def _(spark, sf):
     """First the days to the 20th, then to the 31st with repeated uploads, then once more."""
-    source, path = visits(spark, sf), new_folder(spark, "refresh")
+    source, path = visits(spark, sf, deal=True), new_folder(spark, "refresh")
     start = dt.date(2024, 1, 1)
     incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 20), start)
     twice = source.unionByName(source)
@@ -132,7 +132,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
     AND day IN (SELECT day FROM safe WHERE poliruangan <> 'view'))) GROUP BY ALL""")
 def _(spark, sf):
     """Uploads of one unit arrive late: five reloaded days admit theirs, older ones stay out."""
-    source, path = visits(spark, sf), new_folder(spark, "reload")
+    source, path = visits(spark, sf, deal=True), new_folder(spark, "reload")
     start = dt.date(2024, 1, 1)
     early = source.filter("poliruangan <> 'view'")
     incremental_refresh(spark, early, path, SALTS, dt.date(2024, 1, 20), start)
@@ -145,7 +145,7 @@ SELECT {_STORED_SQL}, count(*) AS copies FROM (
   SELECT DISTINCT {_STORED_SQL}, file_ts, tanggal_ts FROM safe WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31') GROUP BY ALL""")
 def _(spark, sf):
     """One visit of the newest day is cached early: the days between and the rest of that day still follow."""
-    source, path = visits(spark, sf), new_folder(spark, "gap")
+    source, path = visits(spark, sf, deal=True), new_folder(spark, "gap")
     start, end = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
     incremental_refresh(spark, source, path, SALTS, dt.date(2024, 1, 4), start)
     newest = source.filter("tanggal LIKE '2024-01-31%' OR tanggal LIKE '31-01-2024%'").orderBy("id_kunjungan").limit(1)
@@ -187,7 +187,7 @@ n AS (SELECT day, count(*) AS n FROM (SELECT DISTINCT {_STORED_SQL}, file_ts, ta
 SELECT d.day, coalesce(n, 0) AS rows FROM d LEFT JOIN n USING (day)""")
 def _(spark, sf):
     """Every day that was asked for, with its visits; days before and after the uploads stay empty."""
-    source, path = visits(spark, sf), new_folder(spark, "ledger")
+    source, path = visits(spark, sf, deal=True), new_folder(spark, "ledger")
     for today in (dt.date(2024, 1, 20), dt.date(2024, 2, 5)):
         incremental_refresh(spark, source, path, SALTS, today, dt.date(2023, 12, 25))
     return ledger(spark, path).select("day", "rows")
@@ -195,7 +195,7 @@ def _(spark, sf):
 
 def _summaries(spark, sf):
     """A cache and its summaries after an insert, a reload that admits late rows, and a rerun."""
-    source, path = visits(spark, sf), new_folder(spark, "kept")
+    source, path = visits(spark, sf, deal=True), new_folder(spark, "kept")
     start = dt.date(2024, 1, 1)
     incremental_refresh(spark, source.filter("poliruangan <> 'view'"), path, SALTS, dt.date(2024, 1, 20), start, summaries=SUMMARIES)
     for _ in range(2):
