@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -331,12 +331,15 @@ def heaping_steps(
     df: DataFrame, variables: Sequence[str], average: str = "ratio", fill: str | None = "-",
     variable: str | None = None, day: dt.date | None = None, latest_only: bool = False,
     staff: str = "Perawat / Bidan / Nutrisionist / Sanitarian",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """All step tables of the heaping report by name, from a table as it was read.
 
     Friendly columns are resolved here: the audit sees what was written, the other steps what
-    was parsed. Without any of the variables the numeric-like columns are used. Nothing is
-    written; six of the nine tables come from slot counts (at most 21 rows per day and variable).
+    was parsed. Without any of the variables the numeric-like columns are used. Six of the nine
+    tables come from slot counts (at most 21 rows per day and variable). Nothing is written, unless
+    ``keep`` (such as ``sinks.kept`` in a folder) stores these counts: then the table is read for them
+    once, not six times.
     """
     written, parsed = dated(friendly_columns(df)), dated(apply_schema(df))
     variables = choose_variables(parsed, variables, ())
@@ -344,6 +347,7 @@ def heaping_steps(
     long = focus_variable(heaping_long(parsed, variables, ids=ids[1:]), variable)
     long = focus_date(long, day)
     slots = slot_counts(long, BY_DAY)
+    slots = keep(slots) if keep else slots
     ints, decs = split_buckets(buckets_of(slots))
     daily = heaping_of(slots)
     labels = heaping_labels(daily, latest_only)

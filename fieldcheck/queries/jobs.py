@@ -94,9 +94,10 @@ UNION ALL SELECT 'Step3_int_full', count(*) FROM inf UNION ALL SELECT 'Step4_dec
 UNION ALL SELECT 'Step5_Combined', count(*) FROM heap UNION ALL SELECT 'Step6_preferred_raw', count(*) FROM heap
 UNION ALL SELECT 'Step6_pivot_with_avg', count(DISTINCT "Variabel") + 1 FROM heap""")
 def _(spark, sf):
-    steps = H.heaping_steps(core(spark, sf), CLINICAL_VARS)
+    folder = new_folder(spark, "steps")
+    steps = H.heaping_steps(core(spark, sf, deal=True), CLINICAL_VARS, keep=lambda slots: S.kept(slots, f"{folder}/slots"))
     counts = None
-    for path in S.export_steps(steps, new_folder(spark, "steps")):
+    for path in S.export_steps(steps, f"{folder}/tables"):
         step = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
         step = step.select(F.lit(path.rsplit("/", 1)[-1]).alias("step"), "n")
         counts = step if counts is None else counts.unionByName(step)

@@ -41,6 +41,12 @@ def export_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """A table that several results are made from, written once to a new folder and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_steps(steps: Mapping[str, DataFrame], folder: str) -> list[str]:
     """Save every step table under its name; returns the written paths."""
     paths = []

@@ -1,8 +1,11 @@
-"""Uploads are dealt to all cores in a tuned session."""
+"""Uploads are dealt to all cores in a tuned session, and the heaping steps read them once for six tables."""
 
 import datetime as dt
 
-from fieldcheck.queries.base import visits
+from fieldcheck.constants import CLINICAL_VARS
+from fieldcheck.plans.heaping import heaping_steps
+from fieldcheck.queries.base import core, visits
+from fieldcheck.sources.sinks import kept
 from tests.conftest import rows
 
 
@@ -20,3 +23,13 @@ def test_events_of_one_row_group_are_cleaned_by_all_cores(spark, tmp_path):
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
     assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert rows(dealt) == rows(visits(spark, sf))
+
+
+def test_steps_from_kept_counts_do_not_read_the_uploads(spark, tmp_path):
+    df = core(spark, event_table(spark, tmp_path))
+    plain = heaping_steps(df, CLINICAL_VARS)
+    steps = heaping_steps(df, CLINICAL_VARS, keep=lambda slots: kept(slots, str(tmp_path / "slots")))
+    for name, step in steps.items():
+        assert rows(step) == rows(plain[name])
+        if name not in ("Step1_NA_Summary", "Step1_Audit", "Step2_df_long"):
+            assert all("/slots/" in f for f in step.inputFiles())
