@@ -47,7 +47,7 @@ from fieldcheck.llm.common import (
     SPACED, U64, Words, chain, components, forget, gram_hashes, mix, only, parts, ragged, slices, stored, windows, words,
 )
 
-#: Slots of the table of counts, whatever the corpus: 16 MB in a task, 32 MB at the driver.
+#: Slots of the table of counts, whatever the corpus: 32 MB in a task, never whole at the driver.
 SLOTS = 1 << 22
 #: The table travels in so many pieces.
 PIECES = 16
@@ -97,15 +97,24 @@ def slot(values: np.ndarray) -> np.ndarray:
     return (values & U64(SLOTS - 1)).astype(np.int64)
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """0 for ordinary slots, then one more with each doubling of what a slot has beyond the usual.
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """0 for ordinary slots, then one more with each doubling of what a slot has beyond the usual ``mean``.
 
     Rare grams fill the slots evenly, up to chance; what exceeds three deviations is a frequent gram.
     """
-    mean = max(1.0, counts.mean())
+    mean = max(1.0, mean)
     return np.clip(np.floor(np.log2(np.maximum(counts - mean, 1) / (3 * np.sqrt(mean)))) + 1, 0, 31).astype(np.uint8)
 
 
+def unpacked(steer: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The level of every slot, and over how many tasks its list is spread, from the packed pieces."""
+    level, split = np.zeros(SLOTS, np.uint8), np.ones(SLOTS, np.uint16)
+    for p, a, b in steer:
+        level.reshape(PIECES, -1)[p] = np.frombuffer(zlib.decompress(a), np.uint8)
+        split.reshape(PIECES, -1)[p] = np.frombuffer(zlib.decompress(b), "<u2")
+    return level, split
+
+
 class Threshold:
     """Jaccard similarity of at least ``num / den``, in whole numbers."""
 
@@ -321,8 +330,7 @@ class NearJoin:
         both = stored(self.rows.mapInArrow(self._describe(), "rid long, doc_id long, th long, n long, sid long, piece int, counts binary"), "sets")
         self.scratch = [self.rows, both]
         self.sets = both.where("counts IS NULL").drop("piece", "counts")
-        counts = self._table(both.where("counts IS NOT NULL").select("piece", "counts"))
-        self.level, self.split = levels(counts), np.minimum(counts // SHARE + 1, 65_535).astype(np.uint16)
+        self.steer = self._table(both.where("counts IS NOT NULL").select("piece", "counts"))
 
     def _describe(self):
         k = self.k
@@ -344,8 +352,11 @@ class NearJoin:
 
         return run
 
-    def _table(self, rows: DataFrame) -> np.ndarray:
-        """The sum of all tasks' tables: ``PIECES`` rows come to the driver, 8 MB in all."""
+    def _table(self, rows: DataFrame) -> list[tuple[int, bytes, bytes]]:
+        """Levels and splits from the sum of all tasks' tables, made by the tasks that hold the sums.
+
+        ``PIECES`` rows come to the driver, packed: 12 MB at most and far less where most slots are ordinary.
+        """
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -353,21 +364,30 @@ class NearJoin:
                 for p, c in zip(b.column("piece").to_pylist(), b.column("counts")):
                     x = np.frombuffer(zlib.decompress(c.as_py()), "<u4").astype(np.int64)
                     total[p] = total[p] + x if p in total else x
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "counts"])
+            for p, x in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([int(x.sum())], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())],
+                                                 ["piece", "n", "counts"])
 
-        got = rows.repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary").collect()
-        out = np.zeros(SLOTS, np.int64)
-        for r in got:
-            out.reshape(PIECES, -1)[r.piece] = np.frombuffer(bytes(r.counts), np.int64)
-        return out
+        sums = stored(rows.repartition(PIECES, "piece").mapInArrow(add, "piece int, n long, counts binary"), "sums")
+        self.scratch.append(sums)
+        mean = (sums.agg(F.sum("n")).first()[0] or 0) / SLOTS
+
+        def steer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for p, c in zip(b.column("piece").to_pylist(), b.column("counts")):
+                    x = np.frombuffer(zlib.decompress(c.as_py()), np.int64)
+                    packed = (zlib.compress(y.tobytes()) for y in (levels(x, mean), np.minimum(x // SHARE + 1, 65_535).astype("<u2")))
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([y], pa.binary()) for y in packed)], ["piece", "level", "split"])
+
+        return [(r.piece, bytes(r.level), bytes(r.split)) for r in sums.mapInArrow(steer, "piece int, level binary, split binary").collect()]
 
     def _lists(self) -> DataFrame:
         """Step one: (gram, sid, n, pos) of lists with several sets, and first candidates (gram null)."""
-        steer = self.spark.sparkContext.broadcast((self.level, self.split))  # 12 MB
+        steer = self.spark.sparkContext.broadcast(self.steer)
         k, t, share = self.k, self.t, self.partitions
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (level, split_of), names = steer.value, ["part", "entries", "sid", "n", "marks"]
+            (level, split_of), names = unpacked(steer.value), ["part", "entries", "sid", "n", "marks"]
             for b in slices(batches):
                 values, at = gram_sets(words(b.column("text"), SPACED, lower=True), k)
                 sid, n = signature(values, at), np.diff(at)
@@ -462,10 +482,10 @@ class NearJoin:
 
         spot = F.pmod(F.xxhash64("rid"), F.lit(BITS)).cast("int")
         spots = rids.select((spot % PIECES).alias("piece"), F.floor(spot / PIECES).cast("int").alias("at")).distinct()
-        out = np.zeros((BITS // PIECES, PIECES), bool)
+        out = np.zeros((PIECES, BITS // PIECES // 8), np.uint8)
         for r in spots.repartition(PIECES, "piece").mapInArrow(add, "piece int, bits binary").collect():
-            out[:, r.piece] = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)).astype(bool)
-        return np.packbits(out.ravel())
+            out[r.piece] = np.frombuffer(bytes(r.bits), np.uint8)
+        return out.ravel()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The (stored, likely) pairs that link, compared on their full sets."""
@@ -478,6 +498,7 @@ class NearJoin:
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 at = b.column("at").to_numpy()
+                at = at % PIECES * (BITS // PIECES) + at // PIECES  # piece by piece
                 bits = needed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
                 for x in slices([b.filter(pa.array(bits.astype(bool)))]):
                     values, ends = gram_sets(words(x.column("text"), SPACED, lower=True), k)

@@ -232,6 +232,34 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
     assert sum(seen) < 6000
 
 
+def test_driver_holds_no_table_of_counts(spark):
+    """What steers the join comes to the driver packed: whole tables of counts took over 100 MB there."""
+    import tracemalloc
+
+    rows = [(i, f"{i} one {i % 7} two three four") for i in range(300)] + [(400 + i, "the same five words here again") for i in range(50)]
+    tracemalloc.start()
+    try:
+        join = jaccard.NearJoin(frame(spark, rows), 5, jaccard.Threshold(80))
+        groups = {r.rid: r.component_rid for r in join.groups().collect()}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6
+    assert len(set(groups.values())) == 301
+
+
+def test_levels_of_pieces():
+    """Packed pieces hold what the whole table gives; a piece that is missing has ordinary slots."""
+    counts = np.random.default_rng(3).poisson(3, jaccard.SLOTS)
+    counts[5::9973] = 70_000
+    counts[:jaccard.SLOTS // jaccard.PIECES] = 0
+    mean = counts.mean()
+    pieces = [(p, *(jaccard.zlib.compress(y.tobytes()) for y in (jaccard.levels(x, mean), (x // jaccard.SHARE + 1).astype("<u2"))))
+              for p, x in enumerate(np.split(counts, jaccard.PIECES)) if p]
+    level, split = jaccard.unpacked(pieces)
+    assert (level == jaccard.levels(counts, mean)).all() and (split == counts // jaccard.SHARE + 1).all() and split.max() == 4
+
+
 def test_shared_marks_bound():
     """Linked sets always share as many of their first grams as the filter asks for."""
     rng = np.random.default_rng(6)
