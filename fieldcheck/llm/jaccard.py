@@ -189,6 +189,19 @@ class Marks:
         return out
 
 
+def first_met(gram: np.ndarray, x: np.ndarray, y: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets share no gram of lower order than the one at which they were met.
+
+    ``own``: the sorted grams of every set by which it may be met.
+    """
+    out = np.empty(len(x), bool)
+    for k, (g, a, b) in enumerate(zip(gram, x.tolist(), y.tolist())):
+        a, b = own[a], own[b]
+        a, b = a[:np.searchsorted(a, g)], b[:np.searchsorted(b, g)]
+        out[k] = not len(a) or not len(b) or not (b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).any()
+    return out
+
+
 def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Edges of a heaviest forest over the nodes ``a``, ``b``: every node's best edge, then every tree's, and so on."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -526,7 +539,9 @@ class NearJoin:
     def _rest(self, lists: DataFrame, labels: DataFrame, every: bool, marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Likely pairs of long lists whose sets are in different groups so far, a forest of them or all.
 
-        With ``every`` also the pairs of short and of very long lists, which are not compared on marks yet.
+        With ``every`` also the pairs of short and of very long lists, which are not compared on marks yet; and a
+        pair leaves only the list of its first common gram. Sets that link pass all filters there, and sets of
+        different groups have every common gram of theirs in a mixed list.
         """
         t = self.t
         e = (lists.where("gram IS NOT NULL").select("gram", "sid", "n", "pos").hint("merge")
@@ -544,6 +559,10 @@ class NearJoin:
             of_set = got["marks"].is_valid()
             sets, got = got.filter(of_set), got.filter(pc.invert(of_set))
             own = Marks(sets["sid"].to_numpy().view(U64), sets["marks"])
+            if every:
+                grams = sets["grams"].combine_chunks()
+                ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(U64)
+                met = [np.sort(flat[ends[o]:ends[o + 1]]) for o in np.argsort(sets["sid"].to_numpy().view(U64)).tolist()]
             held = sets = None
             x = np.empty(got.num_rows, ENTRY)
             x["gram"], x["sid"] = got["gram"].to_numpy().view(U64), got["sid"].to_numpy().view(U64)
@@ -562,6 +581,8 @@ class NearJoin:
                 i, j, more = i[more >= 0], j[more >= 0], more[more >= 0]
                 a, b = (s.view(np.int64) for s in _sids(x, i, j))
                 if every:
+                    one = first_met(x["gram"][i], number[i], number[j], met)
+                    a, b = a[one], b[one]
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
                     continue
                 best = np.concatenate([best, np.stack([label[i], label[j], more * 1000 // np.maximum(n[i], 1), a, b], 1)])
@@ -571,10 +592,15 @@ class NearJoin:
         part = F.pmod(F.xxhash64("gram"), F.lit(self.partitions)).cast("int").alias("part")
         usual = e.where((F.col("m") > SHORT) & ((F.col("m") <= LONG) | F.lit(not every))).select(part, "gram", "sid", "n", "pos", "label")
         of_sets = usual.select("part", "sid").distinct().hint("merge").join(marks.select("sid", "marks"), "sid")
+        no_grams = F.lit(None).cast("array<long>").alias("grams")
+        if every:
+            of_sets = of_sets.hint("merge").join(e.groupBy("sid").agg(F.collect_list("gram").alias("grams")), "sid")
+        else:
+            of_sets = of_sets.withColumn("grams", no_grams)
         none = [F.lit(None).cast("long").alias(c) for c in ("n", "pos", "label")]
-        both = usual.withColumn("marks", F.lit(None).cast("binary")).unionByName(
-            of_sets.select("part", F.lit(None).cast("long").alias("gram"), "sid", *none, "marks"))
-        usual = both.repartition(self.partitions, "part").select("gram", "sid", "n", "pos", "label", "marks").mapInArrow(run, "a long, b long").distinct()
+        both = usual.withColumn("marks", F.lit(None).cast("binary")).withColumn("grams", no_grams).unionByName(
+            of_sets.select("part", F.lit(None).cast("long").alias("gram"), "sid", *none, "marks", "grams"))
+        usual = both.repartition(self.partitions, "part").select("gram", "sid", "n", "pos", "label", "marks", "grams").mapInArrow(run, "a long, b long").distinct()
         self.scratch.append(usual := stored(usual, "likely"))
         if not every:
             return usual, None

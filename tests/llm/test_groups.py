@@ -185,6 +185,18 @@ def test_marks_in_a_task(monkeypatch):
     assert len(jaccard.Marks(np.zeros(0, np.uint64), pa.chunked_array([], pa.binary())).sids) == 0
 
 
+def test_a_pair_leaves_one_list():
+    """Of all the lists in which two sets meet, that of their first common gram alone gives the pair."""
+    rng = np.random.default_rng(9)
+    own = [np.sort(rng.choice(40, rng.integers(1, 20), replace=False)).astype(np.uint64) + np.uint64(1 << 63) for _ in range(12)]
+    x, y = np.triu_indices(len(own), 1)
+    times = np.zeros(len(x), int)
+    for g in np.unique(np.concatenate(own)):
+        some = [k for k in range(len(x)) if g in own[x[k]] and g in own[y[k]]]
+        times[some] += jaccard.first_met(np.full(len(some), g), x[some], y[some], own)
+    assert times.tolist() == [int(len(np.intersect1d(own[a], own[b])) > 0) for a, b in zip(x, y)] and times.any()
+
+
 def test_forest():
     rng = np.random.default_rng(4)
     for n in (0, 1, 30, 200):
