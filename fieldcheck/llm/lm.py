@@ -1,31 +1,37 @@
 """Language-model scores from a hierarchical Pitman-Yor model with Chinese-restaurant seating.
 
-The model is P(word | previous word) = P(class | previous class) * P(word | class). Classes are the
-``CLASSES`` ranges of the word hash, so all restaurants together have a fixed size while every word, every
-document and every count of the corpus enters. Each class is the context restaurant of the class that
-follows; all context restaurants share one parent restaurant over the classes, whose own parent is
-uniform. Inside a class, words are as likely as their counts plus a half, with a half for all unknown words.
-
-Seating: the customers of a dish in a restaurant are taken out and seated again one by one, at an old
-table in proportion to (customers - d * tables), at a new one in proportion to (theta + d * all tables) *
-P_parent(dish). Every new table sends a customer to the parent. A sweep does so for all dishes of all
-restaurants, given the parent of the sweep before; the first sweeps are thrown away, and the predictive
-probabilities of the others are averaged. The first ``ONE_BY_ONE`` customers are drawn singly; beyond
-them the next customer who opens a table is drawn at once from the product of the probabilities before.
-Context restaurants are spread over tasks by blocks of rows; the parent has as many numbers as classes.
-
-Scoring: word counts are totalled by hash across the cluster, each batch of documents asks for the totals
-of its distinct words, and the replies come back to the batch. No vocabulary is ever in one place.
+Every word of the training texts is a context with a restaurant of its own, whose customers are the words that
+follow it; the end of a text is a word too, and as a context it stands before the first word. All context restaurants
+share one parent restaurant over the words, whose own parent is uniform over the words and one unknown word. Pairs
+(context, word) are counted over all batches; nothing of the model is of fixed size or ever in one place.
+
+Seating: both discounts are 1/2, where the number of ways to seat c customers of a dish at k tables is known in closed
+form. A sweep draws from exact conditionals, none of which waits for another pair or word:
+
+* a context's scale x from Gamma(strength / discount + its tables), which frees its dishes of one another;
+* the tables of a pair, k with weight S(c, k) * (discount * x * P_parent(word)) ** k (``tables``). All c customers of the dish
+  are seated anew at once; a pair that occurs once has one table. So a context may be split by dish among tasks;
+* the parent's tables in the same way, and from them its word probabilities: at discount 1/2 the parent is a normalised
+  inverse Gaussian process of random time ``zeta``, so a word's mass is Gamma(customers - tables / 2) plus inverse Gaussian
+  (``masses``). ``zeta`` and one rate ``u`` are drawn by the driver from sums.
+
+The predictive probability (customers - d * tables + (strength + d * all tables) * P_parent) / (strength + all customers) is
+averaged over the sweeps after the first ones.
+
+Moves: batches of documents send their distinct words to the owner of the hash range, and their distinct pairs to the
+owner of the context (a frequent context is split by word). Owners of pairs and of words exchange sums and masses in
+each sweep, by position in lists agreed once; in the end all replies come back to the batches.
 
 Defined results: a null text is empty and has the end token alone; without any training document all
-words are unknown; rows are independent, repeated rows count repeatedly. Extra columns are ignored.
+words are unknown; rows are independent, repeated rows count repeatedly. Extra columns are ignored. Words are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,53 +39,94 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import SPACED, U64, crc32_mod, forget, parts, slices, stored, words
+from fieldcheck.llm.common import SPACED, U64, chain, crc32_mod, distinct, forget, input_mb, mix, slices, stored, words
 
-CLASSES = 1024
-_SHIFT = U64(64 - 10)
-#: Rows of the context matrix that one task seats.
-BLOCK = 32
-#: The end of a text as a word of its own; its class is the last one.
+#: A context is split by word if it has more than ``HOT`` training tokens and more than one ``CLASSES``-th of them all
+#: (in large inputs, a quarter of a task's share).
+CLASSES, HOT = 1024, 1 << 14
+#: MB of input whose words and pairs one task owns.
+PART_MB = 8.0
+#: Every step is stored, so nothing reads the shuffle files of the steps before; this setting deletes them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The end of a text as a word of its own, and as the context of the first word.
 END = U64(0xFFFFFFFFFFFFFFFF)
-START = CLASSES
 BURN_IN, SAMPLES = 2, 3
-ONE_BY_ONE = 24
-DISCOUNT, STRENGTH = (0.6, 0.8), (20.0, 50.0)  # of the parent and of the contexts
+#: Up to this many customers the whole law of their tables is written out, beyond them 12 deviations about its mode.
+ONE_BY_ONE = 64
+DISCOUNT = 0.5
+STRENGTH = (20.0, 5.0)  # of the parent and of the contexts
+
+
+def _log_ways(most: int, d: float) -> np.ndarray:
+    """log S(c, k), the weights of c customers at k tables, by S(c + 1, k) = S(c, k - 1) + (c - d k) S(c, k)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    k = np.arange(1, most + 1)
+    for c in range(1, most):
+        with np.errstate(divide="ignore"):
+            stay = np.log(np.maximum(c - d * k, 0)) + out[c, 1:]
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.where(k <= c, stay, -np.inf))
+    return out
 
 
-def word_class(h: np.ndarray) -> np.ndarray:
-    return (h >> _SHIFT).astype(np.int64)
+def _pick(logs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One column of every row, drawn by its weights."""
+    p = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
+    return np.minimum((p < rng.random(len(p))[:, None] * p[:, -1:]).sum(1), logs.shape[1] - 1)
 
 
-def seat(c: np.ndarray, parent: np.ndarray, t: np.ndarray, d: float, theta: float,
-         rng: np.random.Generator) -> np.ndarray:
-    """New table counts of every dish (columns) of every restaurant (rows) with ``c`` customers.
+def tables(c: np.ndarray, y: np.ndarray, rng: np.random.Generator, d: float = DISCOUNT) -> np.ndarray:
+    """Numbers of tables k of ``c`` customers each, drawn with weights S(c, k) y ** k.
 
-    ``t``: the table counts so far, of which those of the other dishes stay in force.
+    The law is that of a sum of independent trials, so its deviation is at most the root of its mean, and what lies
+    beyond the window of large counts has no weight in double precision.
     """
+    out = np.minimum(c, 1).astype(np.int64)
+    whole = ONE_BY_ONE if d == DISCOUNT else int(c.max(initial=1))
+    order = np.argsort(c, kind="stable")
+    sizes, first = np.unique(c[order], return_index=True)
+    small = int(sizes[(sizes <= whole)].max(initial=1))
+    ways = _log_ways(small, d)
+    last = np.append(first[1:], len(c))
+    logy = np.log(np.maximum(y, 1e-300))
+    for n, a, b in zip(sizes.tolist(), first.tolist(), last.tolist()):
+        if 1 < n <= whole:
+            step = max(1, (1 << 20) // n)
+            for at in range(a, b, step):
+                i = order[at:min(at + step, b)]
+                out[i] = 1 + _pick(ways[n, 1:n + 1] + logy[i, None] * np.arange(1, n + 1), rng)
+    big = np.flatnonzero(c > max(whole, 1))
+    if len(big):
+        n, v = c[big].astype(float), y[big]
+        # S(c, k + 1) / S(c, k) = 4 (c - k) / (k (2 c - k - 1)) at d = 1/2: the mode is where y times this passes 1.
+        full = 2 * n - 1 + 4 * v
+        mode = np.clip(8 * v * n / (full + np.sqrt(np.maximum(full * full - 16 * v * n, 0))), 1, n)
+        wide = 12 * np.sqrt(mode) + 40
+        low, high = np.maximum(np.floor(mode - wide), 1), np.minimum(np.ceil(mode + wide), n)
+        by = np.argsort(high - low)
+        at = 0
+        while at < len(by):
+            to = at + 1
+            while to < len(by) and (to + 1 - at) * (high - low)[by[to]] < 1 << 20:
+                to += 1
+            i = by[at:to]
+            k = low[i, None] + np.arange(int((high - low)[i].max()) + 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.log(4 * (n[i, None] - k)) - np.log(k * (2 * n[i, None] - k - 1)) + logy[big[i], None]
+            logs = np.zeros(k.shape)
+            logs[:, 1:] = np.cumsum(np.where(k < high[i, None], ratio, 0), 1)[:, :-1]
+            out[big[i]] = low[i].astype(np.int64) + _pick(np.where(k <= high[i, None], logs, -np.inf), rng)
+            at = to
+    return out
+
+
+def seat(c: np.ndarray, parent: np.ndarray, t: np.ndarray, d: float, theta: float,
+         rng: np.random.Generator) -> np.ndarray:
+    """New table counts of every dish (columns) of every restaurant (rows) with ``c`` customers, ``t`` tables so far."""
+    x = rng.gamma(theta / d + t.sum(1))
     row, col = np.nonzero(c)
-    size = c[row, col].astype(np.float64)
-    others = (t.sum(1)[row] - t[row, col]).astype(np.float64)
-    h = parent[col]
-    tables, seated = np.ones(len(row)), np.ones(len(row))
-    live = np.flatnonzero(size > 1)
-    while len(live):
-        i, k = seated[live], tables[live]
-        new = (theta + d * (others[live] + k)) * h[live]
-        old = i - d * k
-        u = rng.random(len(live))
-        single = i < ONE_BY_ONE
-        opens = u * (new + old) < new
-        # The chance that nobody opens a table from i to j is about ((i - dk) / (j - dk)) ** new.
-        with np.errstate(over="ignore", divide="ignore"):
-            jump = np.floor(old * np.maximum(u, 1e-300) ** (-1 / new) + d * k)
-        at = np.where(single, i, np.maximum(jump, i))
-        opens = np.where(single, opens, at < size[live])
-        tables[live] = k + opens
-        seated[live] = np.minimum(at + 1, size[live])
-        live = live[seated[live] < size[live]]
     out = np.zeros(c.shape)
-    out[row, col] = tables
+    out[row, col] = tables(c[row, col], d * x[row] * parent[col], rng, d)
     return out
 
 
@@ -88,95 +135,94 @@ def predictive(c: np.ndarray, t: np.ndarray, parent: np.ndarray, d: float, theta
     return (np.maximum(c - d * t, 0) + (theta + d * all_tables) * parent) / (theta + total)
 
 
-@dataclass
-class Lexicon:
-    """What is known of the training words beyond single counts; its size is fixed."""
+def masses(c: np.ndarray, s: float, u: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and unnormalised masses of the parent's words with ``c`` customers, given its time a word ``s`` and rate ``u``."""
+    t = tables(c, np.full(len(c), s * np.sqrt(1 + u) / 2), rng)
+    rest = np.maximum(rng.wald(s / (2 * np.sqrt(1 + u)), s * s / 2, len(c)), s * s / 400)
+    return t, rest + np.where(c > 0, rng.gamma(np.maximum(c - DISCOUNT * t, 0.5)), 0) / (1 + u)
 
-    n: int
-    v: int
-    class_n: np.ndarray
-    class_v: np.ndarray
-    follow: np.ndarray  # P(class | previous class or start)
 
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
+def process_time(v: int, inverse: float, rng: np.random.Generator) -> float:
+    """``zeta`` given the sum of 1 / mass over ``v`` words and the unknown one."""
+    return float(np.sqrt(rng.gamma((v + 1) / 2 + STRENGTH[0]) / (inverse / (4 * (v + 1) ** 2))))
 
-    def inside(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return np.log10((c + 0.5) / (self.class_n[k] + 0.5 * (self.class_v[k] + 1)))
 
+def _pack(x: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
-def gibbs(blocks: DataFrame) -> np.ndarray:
-    """Averaged P(class | context) from (piece, counts) rows of the context matrix.
 
-    Each sweep is one Spark job over the blocks; a row of ``CLASSES`` numbers for every block and, in the end,
-    the averaged matrix (8 MB) come to the driver.
-    """
-    parent = np.full(CLASSES, 1 / CLASSES)
-    state, total = blocks.withColumn("tables", F.lit(None).cast("binary")), None
-    rng = np.random.default_rng(7)
-    for sweep in range(BURN_IN + SAMPLES):
-
-        def run(batches: Iterator[pa.RecordBatch], parent=parent, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for piece, counts, tables in zip(*(b.column(x).to_pylist() for x in ("piece", "counts", "tables"))):
-                    c = np.frombuffer(zlib.decompress(counts), "<i8").reshape(-1, CLASSES)
-                    t = (np.frombuffer(zlib.decompress(tables), "<f8").reshape(c.shape) if tables else np.minimum(c, 1).astype(float))
-                    t = seat(c, parent, t, DISCOUNT[1], STRENGTH[1], np.random.default_rng([11, sweep, piece]))
-                    yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([counts], pa.binary()),
-                                                      pa.array([zlib.compress(t.tobytes(), 1)], pa.binary()),
-                                                      pa.array([t.sum(0).tobytes()], pa.binary())],
-                                                     ["piece", "counts", "tables", "sent"])
-
-        state = stored(state.select("piece", "counts", "tables").mapInArrow(run, "piece int, counts binary, tables binary, sent binary"), f"sweep{sweep}")
-        sent = np.zeros(CLASSES)
-        for r in state.select("piece", "sent").collect():
-            sent += np.frombuffer(bytes(r.sent))
-        # The parent seats the customers that the tables sent.
-        c = sent[None, :]
-        uniform = np.full(CLASSES, 1 / CLASSES)
-        t = seat(c, uniform, np.minimum(c, 1), DISCOUNT[0], STRENGTH[0], rng)
-        parent = predictive(c, t, uniform, DISCOUNT[0], STRENGTH[0])[0]
-        if sweep >= BURN_IN:
-
-            def show(batches: Iterator[pa.RecordBatch], parent=parent) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    for piece, counts, tables in zip(*(b.column(x).to_pylist() for x in ("piece", "counts", "tables"))):
-                        c = np.frombuffer(zlib.decompress(counts), "<i8").reshape(-1, CLASSES)
-                        t = np.frombuffer(zlib.decompress(tables), "<f8").reshape(c.shape)
-                        p = predictive(c, t, parent, DISCOUNT[1], STRENGTH[1])
-                        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([p.astype("<f4").tobytes()], pa.binary())], ["piece", "p"])
-
-            if total is None:
-                # A context that no training text has: the parent itself.
-                total = np.zeros((CLASSES + 1, CLASSES))
-            seen = np.zeros(CLASSES + 1, bool)
-            for r in state.mapInArrow(show, "piece int, p binary").collect():
-                p = np.frombuffer(bytes(r.p), "<f4").reshape(-1, CLASSES)
-                total[r.piece * BLOCK:r.piece * BLOCK + len(p)] += p
-                seen[r.piece * BLOCK:r.piece * BLOCK + len(p)] = True
-            total[~seen] += parent
-    total /= SAMPLES
-    return (total / total.sum(1, keepdims=True)).astype(np.float32)
-
-
-_BATCH = ("batch long, docs binary, held binary, sizes binary, codes binary, hashes binary, counts binary, "
-          "piece int, follow binary")
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches as numbers: words by code, the hashes of the codes, their training counts; and class pairs."""
-    names = ["batch", "docs", "held", "sizes", "codes", "hashes", "counts", "piece", "follow"]
-    follow = np.zeros((CLASSES + 1) * CLASSES, np.int64)
+def _open(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+
+
+def _map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], names: dict[str, str]) -> DataFrame:
+    """``run`` over the batches of every task; its rows are sent on together, absent columns are null."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for r in run(batches):
+            rows.append(r)
+            size += 64 + sum(len(x) for x in r.values() if isinstance(x, bytes))
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in rows], _ARROW[k]) for c, k in names.items()], list(names))
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in rows], _ARROW[k]) for c, k in names.items()], list(names))
+
+    return df.mapInArrow(packed, ", ".join(f"{x} {k}" for x, k in names.items()))
+
+
+def _kind(n: int) -> str:
+    """The type of places in a list of ``n``."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def _small(x: np.ndarray, n: int) -> np.ndarray:
+    return x.astype(_kind(n))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(x).to_pylist() for x in names))
+
+
+def _fill(df: DataFrame, names: dict[str, str], *own: str) -> DataFrame:
+    """The columns ``own`` of ``df``, the others of ``names`` null."""
+    return df.selectExpr(*(x if x in own else f"CAST(NULL AS {k}) AS {x}" for x, k in names.items()))
+
+
+def _share(h: np.ndarray, n: int) -> np.ndarray:
+    """The owner, of ``n``, of every hash."""
+    return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
+
+
+def _cuts(h: np.ndarray, n: int) -> np.ndarray:
+    """Where each owner's part of sorted hashes begins, and the end."""
+    return np.searchsorted(_share(h, n), np.arange(n + 1))
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])), len(x)) if len(x) else np.zeros(1, np.int64)
+
+
+_BATCH = {"batch": "long", "docs": "binary", "held": "binary", "sizes": "binary", "codes": "binary", "hashes": "binary", "counts": "binary"}
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Batches as numbers: tokens by code, the hashes of the codes in order, their training counts."""
     number = TaskContext.get().partitionId() << 32
     for b in slices(batches):
         w = words(b.column("text"), SPACED, lower=True)
         n = w.counts
-        train = ~b.column("held").to_numpy(zero_copy_only=False)
+        held = b.column("held").to_numpy(zero_copy_only=False)
         # An end token after the words of every document.
         h = np.full(len(w) + len(n), END, U64)
         place = np.ones(len(h), bool)
-        ends = w.first[1:] + np.arange(len(n))
-        place[ends] = False
+        place[w.first[1:] + np.arange(len(n))] = False
         h[place] = w.hashes()
         order = np.argsort(h)
         new = np.ones(len(h), bool)
@@ -184,89 +230,307 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.empty(len(h), np.uint32)
         code[order] = np.cumsum(new) - 1
         hashes = h[order][new]
-        learn = np.repeat(train, n + 1)
-        counts = np.bincount(code[learn], minlength=len(hashes))
-        k = word_class(h)
-        before = np.empty(len(k), np.int64)
-        before[1:] = k[:-1]
-        before[ends - n] = START
-        follow += np.bincount(before[learn] * CLASSES + k[learn], minlength=len(follow))
+        counts = np.bincount(code[np.repeat(~held, n + 1)], minlength=len(hashes))
         valid = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         ids = b.column("doc_id").fill_null(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([
-            pa.array([number], pa.int64()), pa.array([valid.tobytes() + ids.astype("<i8").tobytes()], pa.binary()),
-            *(pa.array([x.tobytes()], pa.binary()) for x in (~train, (n + 1).astype("<i8"), code, hashes, counts.astype("<u4"))),
-            pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names)
+        yield dict(batch=number, docs=valid.tobytes() + ids.astype("<i8").tobytes(), held=held.tobytes(), sizes=(n + 1).astype("<i8").tobytes(),
+                   codes=_pack(code), hashes=hashes.tobytes(), counts=_pack(counts.astype("<u4")))
         number += 1
-    follow = follow.reshape(-1, CLASSES)
-    for piece, at in enumerate(range(0, len(follow), BLOCK)):
-        part = follow[at:at + BLOCK]
-        if part.any():
-            none = [pa.nulls(1, pa.int64()), *(pa.nulls(1, pa.binary()) for _ in range(6))]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([piece], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """The context matrix summed over tasks, one row for each block of contexts."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, x in zip(b.column("piece").to_pylist(), b.column("follow")):
-                x = np.frombuffer(zlib.decompress(x.as_py()), "<i8")
-                total[p] = total[p] + x if p in total else x
-        for p, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["piece", "counts"])
-
-    pieces = rows.where("piece IS NOT NULL").select("piece", "follow")
-    return stored(pieces.repartition(-(-(CLASSES + 1) // BLOCK), "piece").mapInArrow(add, "piece int, counts binary"), "contexts")
-
-
-def _totals(rows: DataFrame, n_parts: int) -> DataFrame:
-    """Replies (batch, part, totals of its words) and, with batch null, what each part knows of the classes."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = (np.arange(1, n_parts, dtype=np.float64) * (2.0 ** 64 / n_parts)).astype(U64)
-        for b in batches:
-            for number, h, c in zip(b.column("batch").to_pylist(), b.column("hashes"), b.column("counts")):
-                h, c = np.frombuffer(h.as_py(), U64), np.frombuffer(c.as_py(), "<u4")
-                cut = [0, *np.searchsorted(h, edges).tolist(), len(h)]
-                some = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()),
-                    *(pa.array([x[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary()) for x in (h, c))],
-                    ["batch", "part", "hashes", "counts"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = []
-        for b in batches:
-            asked += zip(b.column("batch").to_pylist(), b.column("part").to_pylist(),
-                         (np.frombuffer(x.as_py(), U64) for x in b.column("hashes")), (np.frombuffer(x.as_py(), "<u4") for x in b.column("counts")))
-        if not asked:
-            return
-        h, c = np.concatenate([x[2] for x in asked]), np.concatenate([x[3] for x in asked]).astype(np.int64)
-        order = np.argsort(h)
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        total = np.add.reduceat(c[order], np.flatnonzero(new))
-        reply = np.empty(len(h), np.int64)
-        reply[order] = total[np.cumsum(new) - 1]
-        known = total > 0
-        k = word_class(h[order][new][known])
-        at = 0
-        for number, part, x, _ in asked:
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int32()),
-                                              pa.array([reply[at:at + len(x)].astype("<u8").tobytes()], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))],
-                                             ["batch", "part", "totals", "k", "n", "v"])
-            at += len(x)
-        n, v = np.bincount(k, total[known], minlength=CLASSES), np.bincount(k, minlength=CLASSES)
-        some = np.flatnonzero(v)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()),
-                                          pa.array(some), pa.array(n[some].astype(np.int64)), pa.array(v[some].astype(np.int64))],
-                                         ["batch", "part", "totals", "k", "n", "v"])
 
-    asked = rows.where("batch IS NOT NULL").select("batch", "hashes", "counts").mapInArrow(ask, "batch long, part int, hashes binary, counts binary")
-    return stored(asked.repartition(n_parts, "part").mapInArrow(answer, "batch long, part int, totals binary, k long, n long, v long"), "totals")
+
+def _pairs(code: np.ndarray, size: np.ndarray, hashes: np.ndarray, hot: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Distinct (context, word) codes of a batch by owner, where each owner's begin, and the pair of every token."""
+    before = np.empty(len(code), np.int64)
+    before[1:] = code[:-1]
+    before[np.cumsum(size) - size] = len(hashes) - 1  # the end token has the highest hash
+    key = before * len(hashes) + code
+    order = np.argsort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    u, w = np.divmod(key[order][new], len(hashes))
+    owner = _share(mix(hashes), n)[u]
+    split = np.isin(hashes, hot)[u]
+    owner[split] = _share(chain([hashes[u[split]], hashes[w[split]]]), n)
+    by = np.argsort(owner, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    of = np.empty(len(key), np.int64)
+    of[order] = place[np.cumsum(new) - 1]
+    return u[by], w[by], np.searchsorted(owner[by], np.arange(n + 1)), of
+
+
+_WORDS = {"batch": "long", "part": "int", "places": "binary", "words": "binary", "counts": "binary", "n": "long", "v": "long"}
+
+
+def _lexicon(rows: DataFrame, n_parts: int) -> DataFrame:
+    """For every batch and part where its words stand among the part's training words; with batch null, those words and counts."""
+    kinds = {"batch": "long", "part": "int", "hashes": "binary", "counts": "binary"}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for number, h, c in _rows(batches, "batch", "hashes", "counts"):
+            h, c = np.frombuffer(h, U64), _open(c, "<u4")
+            cut = np.searchsorted(_share(h, n_parts), np.arange(n_parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                yield dict(batch=number, part=p, hashes=h[cut[p]:cut[p + 1]].tobytes(), counts=_pack(c[cut[p]:cut[p + 1]]))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        asked: dict[int, list] = {}
+        for number, part, h, c in _rows(batches, *kinds):
+            asked.setdefault(part, []).append((number, np.frombuffer(h, U64), _open(c, "<u4")))
+        for part, got in asked.items():
+            h, c = np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]).astype(np.int64)
+            order = np.argsort(h)
+            at = _runs(h[order])[:-1]
+            total, h = np.add.reduceat(c[order], at), h[order][at]
+            known, total = h[total > 0], total[total > 0]
+            for number, x, _ in got:
+                i = np.searchsorted(known, x)
+                seen = np.append(known, END)[i] == x
+                seen &= i < len(known)
+                yield dict(batch=number, part=part, places=_pack(np.where(seen, i + 1, 0).astype("<u4")))
+            yield dict(part=part, words=known.tobytes(), counts=total.tobytes(), n=int(total.sum()), v=len(known))
+
+    return stored(_map(_map(rows, ask, kinds).repartition(n_parts, "part"), answer, _WORDS), "lexicon")
+
+
+#: kind 0: what a batch asked of a piece; 1: the pairs of a piece that occur repeatedly; 2: a piece's words at a part.
+_PIECE = {"kind": "int", "batch": "long", "piece": "int", "part": "int", "a": "binary", "b": "binary", "c": "binary", "d": "binary", "e": "binary",
+          "singles": "long", "repeated": "long"}
+
+
+def _pieces(rows: DataFrame, hot: np.ndarray, n_parts: int) -> DataFrame:
+    """Pairs counted over all batches by their owners, the pieces."""
+    kinds = {"batch": "long", "piece": "int", "contexts": "binary", "runs": "binary", "words": "binary", "places": "binary", "counts": "binary"}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for number, held, size, code, h in _rows(batches, "batch", "held", "sizes", "codes", "hashes"):
+            size, code, h = np.frombuffer(size, "<i8"), _open(code, "<u4"), np.frombuffer(h, U64)
+            u, w, cut, of = _pairs(code, size, h, hot, n_parts)
+            c = np.bincount(of[np.repeat(~np.frombuffer(held, bool), size)], minlength=len(u)).astype("<u4")
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                i = slice(cut[p], cut[p + 1])
+                at, some = _runs(u[i]), distinct(w[i])
+                yield dict(batch=number, piece=p, contexts=h[u[i][at[:-1]]].tobytes(), runs=_pack(np.diff(at).astype("<u4")),
+                           words=h[some].tobytes(), places=_pack(_small(np.searchsorted(some, w[i]), len(some))), counts=_pack(c[i]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        asked: dict[int, list] = {}
+        for number, piece, *x in _rows(batches, *kinds):
+            asked.setdefault(piece, []).append((number, *x))
+        for piece in list(asked):
+            got = asked.pop(piece)
+            lengths = [(x[0], int(_open(x[2], "<u4").sum())) for x in got]
+            u = np.concatenate([np.repeat(np.frombuffer(x[1], U64), _open(x[2], "<u4")) for x in got])
+            w = np.concatenate([np.frombuffer(x[3], U64)[_open(x[4], _kind(len(x[3]) // 8))] for x in got])
+            c = np.concatenate([_open(x[5], "<u4") for x in got])
+            del got
+            key = chain([u, w])
+            order = np.argsort(key)
+            at = _runs(key[order])
+            total = np.add.reduceat(c[order], at[:-1], dtype=np.int64)
+            first, n_asked = order[at[:-1]], len(key)
+            del key, c
+            u, w = u[first], w[first]
+            by = np.argsort(u, kind="stable")  # repeated pairs stand in the order of their contexts
+            u, w, total = u[by], w[by], total[by]
+            many = total > 1
+            slot = np.where(many, np.cumsum(many) + 1, total).astype("<u4")
+            reply = np.empty(n_asked, "<u4")
+            back = np.empty(len(by), np.int64)
+            back[by] = np.arange(len(by))
+            reply[order] = np.repeat(slot[back], np.diff(at))
+            end = 0
+            for number, n in lengths:
+                yield dict(kind=0, batch=number, piece=piece, a=_pack(reply[end:end + n]))
+                end += n
+            learnt = total > 0
+            if not learnt.any():
+                continue
+            # The piece's words, by part: those of repeated pairs take part in the sweeps, single pairs are one table for good.
+            # The lists of contexts and of words are told to their parts, which keep them by place.
+            mu, mw, single = distinct(u[many]), distinct(w[many]), distinct(np.concatenate([u[total == 1], w[total == 1]]))
+            iu, iw = np.searchsorted(mu, u[many]), np.searchsorted(mw, w[many])
+            yield dict(kind=1, piece=piece, a=_pack(_small(iu, len(mu))), b=_pack(_small(iw, len(mw))), c=_pack(total[many].astype("<i8")),
+                       d=np.stack([_cuts(mu, n_parts), _cuts(mw, n_parts)]).astype("<i8").tobytes(), singles=int((total == 1).sum()), repeated=int(many.sum()))
+            su, sw = (np.bincount(np.searchsorted(single, x[total == 1]), minlength=len(single)).astype("<u4") for x in (u, w))
+            bu, bw = (np.bincount(i, minlength=len(x)).astype("<u4") for i, x in ((iu, mu), (iw, mw)))
+            cu, cw, cs = _cuts(mu, n_parts), _cuts(mw, n_parts), _cuts(single, n_parts)
+            for p in np.flatnonzero(np.diff(cu) + np.diff(cw) + np.diff(cs)).tolist():
+                i, j, k = (slice(x[p], x[p + 1]) for x in (cu, cw, cs))
+                yield dict(kind=2, piece=piece, part=p, a=mu[i].tobytes(), b=mw[j].tobytes(), c=single[k].tobytes(),
+                           d=_pack(np.concatenate([su[k], sw[k]])), e=_pack(np.concatenate([bu[i], bw[j]])))
+
+    return stored(_map(_map(rows, ask, kinds).repartition(n_parts, "piece"), count, _PIECE), "pieces")
+
+
+#: A part's words: their counts, tables of single pairs in both roles; what each piece asks for by place.
+_PART = {"part": "int", "piece": "int", "contexts": "binary", "words": "binary", "begin": "binary", "counts": "binary", "single": "binary"}
+
+
+def _owners(lexicon: DataFrame, pieces: DataFrame, n_parts: int) -> DataFrame:
+    kinds = {"part": "int", "piece": "int", "words": "binary", "counts": "binary", "a": "binary", "b": "binary", "c": "binary", "d": "binary", "e": "binary"}
+    own = _fill(lexicon.where("batch IS NULL"), kinds, "part", "words", "counts")
+    asked = _fill(pieces.where("kind = 2"), kinds, "part", "piece", *"abcde")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for x in _rows(batches, *kinds):
+            held.setdefault(x[0], []).append(x[1:])
+        for part, got in held.items():
+            own = next(x for x in got if x[0] is None)
+            h = np.frombuffer(own[1], U64)
+            single = np.zeros((2, len(h)), np.int64)
+            for x in got:
+                if x[0] is not None:
+                    i = np.searchsorted(h, np.frombuffer(x[5], U64))
+                    single[:, i] += _open(x[6], "<u4").reshape(2, -1)
+                    at = [np.searchsorted(h, np.frombuffer(x[k], U64)) for k in (3, 4)]
+                    yield dict(part=part, piece=x[0], contexts=_pack(np.diff(at[0], prepend=0).astype("<u4")), words=_pack(np.diff(at[1], prepend=0).astype("<u4")), begin=x[7])
+            yield dict(part=part, counts=_pack(np.frombuffer(own[2], "<i8")), single=_pack(single))
+
+    return stored(_map(own.unionByName(asked).repartition(n_parts, "part"), meet, _PART), "owners")
+
+
+#: What owners of words yield in a sweep: masses for a piece, or with piece null their state and sums.
+_SENT = {"part": "int", "piece": "int", "x": "binary", "g": "binary", "known": "binary", "tables": "long", "total": "double", "inverse": "double"}
+#: What pieces yield: table sums for a part, or with part null the tables of the samples so far.
+_BACK = {"part": "int", "piece": "int", "sums": "binary", "drawn": "binary", "customers": "long"}
+
+
+def _deal(owners: DataFrame, back: DataFrame | None, sent: DataFrame | None, n_parts: int, sweep: int, s: float, u: float) -> DataFrame:
+    """A part's share of a sweep: scales of its contexts and masses of its words, drawn anew.
+
+    ``known`` gathers for the samples, word by word, what the parent's seating gives it and the weight of the parent after it.
+    """
+    kinds = _PART | {"sums": "binary", "known": "binary"}
+    rows = _fill(owners, kinds, *(x for x in _PART if x != "begin" or back is None))
+    if back is not None:
+        rows = rows.unionByName(_fill(back.where("part IS NOT NULL"), kinds, "part", "piece", "sums"))
+        rows = rows.unionByName(_fill(sent.where("piece IS NULL"), kinds, "part", "known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for x in _rows(batches, *kinds):
+            held.setdefault(x[0], []).append(x[1:])
+        for part, got in held.items():
+            rng = np.random.default_rng([11, sweep, part])
+            asked = [(x[0], *(np.cumsum(_open(x[i], "<u4"), dtype=np.int64) for i in (1, 2)), x[3]) for x in got if x[1] is not None]
+            sums = {x[0]: x[6] for x in got if x[6] is not None}
+            n, t, c = next((_open(x[4], "<i8"), *_open(x[5], "<i8").reshape(2, -1).copy()) for x in got if x[4] is not None)
+            for piece, contexts, heard, begin in asked:
+                drawn = _open(begin, "<u4") if begin is not None else _open(sums[piece], "<i8") if piece in sums else np.zeros(len(contexts) + len(heard), np.int64)
+                t[contexts] += drawn[:len(contexts)]
+                c[heard] += drawn[len(contexts):]
+            x, (seats, g) = rng.gamma(STRENGTH[1] / DISCOUNT + t), masses(c, s, u, rng)
+            known = next((zlib.decompress(x[7]) for x in got if x[7] is not None), b"")
+            if sweep > BURN_IN:  # the tables that came back and those of the parent are a sample
+                known += (c - DISCOUNT * seats).astype("<f4").tobytes() + ((STRENGTH[1] + DISCOUNT * t) / (STRENGTH[1] + n)).astype("<f4").tobytes()
+            if sweep < BURN_IN + SAMPLES:
+                for piece, contexts, heard, _ in asked:
+                    yield dict(part=part, piece=piece, x=x[contexts].astype("<f4").tobytes(), g=g[heard].astype("<f4").tobytes())
+            yield dict(part=part, known=zlib.compress(known, 1), tables=int(seats.sum()), total=float(g.sum()), inverse=float((1 / g).sum()))
+
+    return stored(_map(rows.repartition(n_parts, "part"), run, _SENT), f"sent{sweep}")
+
+
+def _seats(pieces: DataFrame, sent: DataFrame, back: DataFrame | None, n_parts: int, sweep: int, scale: float) -> DataFrame:
+    """A piece's share of a sweep: the tables of its pairs, drawn anew."""
+    kinds = {"piece": "int", "part": "int", "a": "binary", "b": "binary", "c": "binary", "d": "binary", "x": "binary", "g": "binary", "drawn": "binary"}
+    rows = _fill(pieces.where("kind = 1"), kinds, "piece", "a", "b", "c", "d").unionByName(_fill(sent.where("piece IS NOT NULL"), kinds, "piece", "part", "x", "g"))
+    if back is not None:
+        rows = rows.unionByName(_fill(back.where("part IS NULL"), kinds, "piece", "drawn"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for x in _rows(batches, *kinds):
+            held.setdefault(x[0], []).append(x[1:])
+        for piece, got in held.items():
+            a, b, c, cuts = next((x[1], x[2], _open(x[3], "<i8"), np.frombuffer(x[4], "<i8").reshape(2, -1)) for x in got if x[1] is not None)
+            told = sorted((x[0], x[5], x[6]) for x in got if x[0] is not None)
+            scales, g = (np.concatenate([np.frombuffer(x[i], "<f4") for x in told] or [np.zeros(0)]).astype(float) for i in (1, 2))
+            iu, iw = _open(a, _kind(len(scales))), _open(b, _kind(len(g)))
+            t = tables(c, DISCOUNT * scales[iu] * g[iw] / scale, np.random.default_rng([13, sweep, piece]))
+            drawn = next((_open(x[7], "<i8") for x in got if x[7] is not None), np.zeros(len(t), np.int64))
+            of_u, of_w = np.zeros(len(scales), np.int64), np.zeros(len(g), np.int64)
+            np.add.at(of_u, iu, t)
+            np.add.at(of_w, iw, t)
+            for p in np.flatnonzero(np.diff(cuts).sum(0)).tolist():
+                yield dict(part=p, piece=piece, sums=_pack(np.concatenate([x[k[p]:k[p + 1]] for x, k in ((of_u, cuts[0]), (of_w, cuts[1]))])))
+            yield dict(piece=piece, drawn=_pack(drawn + t * (sweep >= BURN_IN)), customers=int(t.sum()))
+
+    return stored(_map(rows.repartition(n_parts, "piece"), run, _BACK), f"back{sweep}")
+
+
+def gibbs(lexicon: DataFrame, pieces: DataFrame, n_parts: int, v: int) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """Sweeps over all restaurants: the owners' samples, the pieces' tables, and the parent's customers and tables in each sample.
+
+    The driver sees sums alone: the parent's customers, its mass, and the sum of the inverse masses.
+    """
+    rng = np.random.default_rng(7)
+    owners = _owners(lexicon, pieces, n_parts)
+    of = pieces.agg(F.sum("singles").alias("singles"), F.sum("repeated").alias("repeated")).first()
+    singles = of.singles or 0
+    customers = singles + (of.repeated or 0)  # every pair at one table
+    scale, parent, back, sent = STRENGTH[0], [], None, None
+    zeta = (v + 1) * np.sqrt(scale / max(customers, 1))
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        u = rng.gamma(customers) / scale if customers else 0.0
+        was, sent = sent, _deal(owners, back, sent, n_parts, sweep, zeta / (v + 1), u)
+        if was is not None:
+            forget(was)
+        of = sent.where("piece IS NULL").agg(*(F.sum(x).alias(x) for x in ("tables", "total", "inverse"))).first()
+        if sweep > BURN_IN:
+            parent.append((customers, of.tables or 0))
+        if sweep == BURN_IN + SAMPLES:
+            break
+        other = masses(np.zeros(1, np.int64), zeta / (v + 1), u, rng)[1][0]
+        scale = (of.total or 0.0) + other
+        zeta = process_time(v, (of.inverse or 0.0) + 1 / other, rng)
+        was, back = back, _seats(pieces, sent, back, n_parts, sweep, scale)
+        if was is not None:
+            forget(was)
+        customers = singles + (back.agg(F.sum("customers").alias("n")).first().n or 0)
+    forget(owners)
+    return sent, back, parent
+
+
+def _answers(lexicon: DataFrame, pieces: DataFrame, sent: DataFrame, back: DataFrame, n_parts: int) -> DataFrame:
+    """To every batch: with part, what is known of its words; with piece, the customers of its pairs less their tables' discounts."""
+    names = {"batch": "long", "part": "int", "piece": "int", "values": "binary"}
+    kinds = {"part": "int", "batch": "long", "places": "binary", "counts": "binary", "known": "binary"}
+    rows = _fill(lexicon, kinds, "part", "batch", "places", "counts").unionByName(_fill(sent.where("piece IS NULL"), kinds, "part", "known"))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for x in _rows(batches, *kinds):
+            held.setdefault(x[0], []).append(x[1:])
+        for part, got in held.items():
+            c = next(np.frombuffer(x[2], "<i8") for x in got if x[2] is not None)
+            known = next(_open(x[3], "<f4") for x in got if x[3] is not None).reshape(SAMPLES, 2, len(c))
+            # Place 0 is the unknown word, and a context without customers.
+            c = np.append(0, c)
+            known = np.concatenate([np.tile(np.float32([[0], [1]]), (SAMPLES, 1, 1)), known], 2)
+            for batch, places, *_ in got:
+                if batch is not None:
+                    i = _open(places, "<u4")
+                    yield dict(batch=batch, part=part, values=zlib.compress(c[i].tobytes() + known[:, :, i].tobytes(), 1))
+
+    kinds2 = {"piece": "int", "kind": "int", "batch": "long", "a": "binary", "c": "binary", "drawn": "binary"}
+    asked = _fill(pieces.where("kind < 2"), kinds2, "piece", "kind", "batch", "a", "c").unionByName(_fill(back.where("part IS NULL"), kinds2, "piece", "drawn"))
+
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for x in _rows(batches, *kinds2):
+            held.setdefault(x[0], []).append(x[1:])
+        for piece, got in held.items():
+            c = next((_open(x[3], "<i8") for x in got if x[3] is not None), np.zeros(0))
+            t = next((_open(x[4], "<i8") for x in got if x[4] is not None), np.zeros(0))
+            left = np.concatenate([[0, 1 - DISCOUNT], c - DISCOUNT * t / SAMPLES]).astype("<f4")
+            for _, batch, a, *_ in got:
+                if batch is not None:
+                    yield dict(batch=batch, piece=piece, values=_pack(left[_open(a, "<u4")]))
+
+    return _map(rows.repartition(n_parts, "part"), tell, names).unionByName(_map(asked.repartition(n_parts, "piece"), show, names))
 
 
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -275,42 +539,76 @@ _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_to
 
 def scores(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: counts, the base score, the model's log10 probability and the perplexity."""
+    conf = docs.sparkSession.conf
+    was = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return _scores(docs)
+    finally:
+        conf.set(CLEANUP, was)
+
+
+def _scores(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         (crc32_mod(F.col("doc_id"), 5) == 1).alias("held"))
-    rows = stored(plain.mapInArrow(_read, _BATCH), "batches")
-    totals = _totals(rows, parts(docs))
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in totals.where("batch IS NULL").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        class_n[r.k], class_v[r.k] = r.n, r.v  # at most CLASSES rows
-    lexicon = Lexicon(int(class_n.sum()), int(class_v.sum()), class_n, class_v, gibbs(_blocks(rows)))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    mb = input_mb(docs)
+    n_parts = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16), min(100_000, int(mb / PART_MB) + 1) if mb < 1e9 else 1)
+    rows = stored(_map(plain, _read, _BATCH), "batches")
+    lexicon = _lexicon(rows, n_parts)
+    of = lexicon.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n, v = of.n or 0, of.v or 0
+    hot = _hot(lexicon, n // max(CLASSES, 4 * n_parts))
+    pieces = _pieces(rows, hot, n_parts)
+    sent, back, parent = gibbs(lexicon, pieces, n_parts, v)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        logs = np.log10(lex.follow)
-        for b in batches:
-            for x in zip(*(b.column(c).to_pylist() for c in ("docs", "held", "sizes", "codes", "hashes", "replies"))):
-                size = np.frombuffer(x[2], "<i8")
-                valid, ids = np.frombuffer(x[0], bool, len(size)), np.frombuffer(x[0], "<i8", len(size), len(size))
-                code, h = np.frombuffer(x[3], "<u4"), np.frombuffer(x[4], U64)
-                c = np.concatenate([np.frombuffer(r["totals"], "<u8") for r in sorted(x[5], key=lambda r: r["part"])]).astype(np.float64)
-                k = word_class(h)
-                base, inside = lex.base(c)[code], lex.inside(c, k)[code]
-                k = k[code]
-                ends = np.cumsum(size)
-                before = np.empty(len(k), np.int64)
-                before[1:] = k[:-1]
-                before[ends - size] = START
-                full = inside + logs[before, k]
-                per = lambda v, at=ends - size: np.add.reduceat(v, at)  # noqa: E731  every document has its end token
-                total = per(full)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, mask=~valid), pa.array(np.frombuffer(x[1], bool)), pa.array(size), pa.array(per((c > 0)[code].astype(np.int64))),
-                    pa.array(np.full(len(size), lex.n)), pa.array(per(base)), pa.array(total), pa.array(10.0 ** (-total / size))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
-    replies = totals.where("batch IS NOT NULL").groupBy("batch").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))
-    out = stored(rows.where("batch IS NOT NULL").select("batch", "docs", "held", "sizes", "codes", "hashes").hint("merge").join(replies, "batch")
-                 .mapInArrow(score, _SCORES), "scores")
-    forget(rows, totals)
+        names = ["batch", *list(_BATCH)[1:-1], "part", "piece", "values"]
+        for _, got in groupby(_rows(batches, *names), lambda x: x[0]):
+            own, words_known, pairs_known = None, [], []
+            for x in got:
+                if x[1] is not None:
+                    own = x
+                elif x[6] is not None:
+                    words_known.append((x[6], zlib.decompress(x[8])))
+                else:
+                    pairs_known.append((x[7], _open(x[8], "<f4")))
+            size = np.frombuffer(own[3], "<i8")
+            valid, ids = np.frombuffer(own[1], bool, len(size)), np.frombuffer(own[1], "<i8", len(size), len(size))
+            code, h = _open(own[4], "<u4"), np.frombuffer(own[5], U64)
+            each = [(len(x) // (8 + 8 * SAMPLES), x) for _, x in sorted(words_known)]
+            c = np.concatenate([np.frombuffer(x, "<i8", k) for k, x in each]).astype(float)
+            known = np.concatenate([np.frombuffer(x, "<f4", offset=8 * k).reshape(SAMPLES, 2, k) for k, x in each], 2)
+            left = np.concatenate([x for _, x in sorted(pairs_known, key=lambda x: x[0])])
+            u, w, _, of = _pairs(code, size, h, hot, n_parts)
+            p = left / (STRENGTH[1] + c[u])
+            for (seated, weight), (customers, all_tables) in zip(known.astype(float), parent):
+                g = (seated + (STRENGTH[0] + DISCOUNT * all_tables) / (v + 1)) / (STRENGTH[0] + customers)
+                p += weight[u] * g[w] / SAMPLES
+            logs = np.log10(p)[of]
+            base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))[code]
+            per = lambda x, at=np.cumsum(size) - size: np.add.reduceat(x, at)  # noqa: E731  every document has its end token
+            total = per(logs)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, mask=~valid), pa.array(np.frombuffer(own[2], bool)), pa.array(size), pa.array(per((c > 0)[code].astype(np.int64))),
+                pa.array(np.full(len(size), n)), pa.array(per(base)), pa.array(total), pa.array(10.0 ** (-total / size))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    answers = stored(_answers(lexicon, pieces, sent, back, n_parts), "answers")
+    forget(lexicon, pieces, sent, back)
+    every = rows.drop("counts").unionByName(answers, allowMissingColumns=True)
+    out = stored(every.repartition(n_parts, "batch").sortWithinPartitions("batch").mapInArrow(score, _SCORES), "scores")
+    forget(rows, answers)
     return out
+
+
+def _hot(lexicon: DataFrame, most: int) -> np.ndarray:
+    """Hashes of the contexts with more than ``most`` training tokens, which are few by the choice of ``most``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for h, c in _rows(batches, "words", "counts"):
+            h = np.frombuffer(h, U64)[np.frombuffer(c, "<i8") > max(most, HOT)]
+            if len(h):
+                yield dict(words=h.tobytes())
+
+    found = _map(lexicon.where("batch IS NULL").select("words", "counts"), find, {"words": "binary"}).collect()
+    return distinct(np.concatenate([np.zeros(0, U64), *(np.frombuffer(bytes(r.words), U64) for r in found)]))

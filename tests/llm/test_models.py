@@ -72,6 +72,129 @@ def test_seating_and_predictive():
     assert abs(many[0] - many[1]) < 0.15 * many[1]
 
 
+def ways(d, most=6):
+    """Weights of c customers at k tables, by enumerating all set partitions."""
+    out = np.zeros((most + 1, most + 1))
+
+    def seated(sizes, left, w):
+        c = sum(sizes)
+        if c:
+            out[c, len(sizes)] += w
+        if left:
+            for i, n in enumerate(sizes):
+                seated(sizes[:i] + [n + 1] + sizes[i + 1:], left - 1, w * (n - d))
+            seated(sizes + [1], left - 1, w)
+
+    seated([], most, 1.0)
+    return out
+
+
+@pytest.mark.parametrize("d", [0.5, 0.8])
+def test_seating_against_enumeration(d):
+    """Sweeps over six customers of one dish, in a restaurant with strength 50, keep the exact law of the tables."""
+    rng, theta, h, n = np.random.default_rng(3), 50.0, 0.01, 20000
+    s = ways(d)
+    want = np.array([s[6, k] * h ** k * np.prod(theta + d * np.arange(k)) for k in range(7)])
+    for limit in (0, 64):
+        old, lm.ONE_BY_ONE = lm.ONE_BY_ONE, limit
+        t = np.ones((n, 1))
+        for _ in range(4):
+            t = lm.seat(np.full((n, 1), 6), np.array([h]), t, d, theta, rng)
+        lm.ONE_BY_ONE = old
+        assert np.abs(np.bincount(t[:, 0].astype(int), minlength=7) / n - want / want.sum()).max() < 0.02
+
+
+def test_tables_of_large_counts():
+    """The window about the mode against the whole law, written out."""
+    rng = np.random.default_rng(4)
+    logs = lm._log_ways(400, 0.5)
+    for c, y in ((400, 0.01), (400, 3.0), (400, 1e4), (65, 50.0)):
+        k = np.arange(1, c + 1)
+        p = logs[c, 1:c + 1] + k * math.log(y)
+        p = np.exp(p - p.max())
+        p /= p.sum()
+        got = lm.tables(np.full(20000, c), np.full(20000, y), rng)
+        assert abs(got.mean() - p @ k) < 5 * got.std() / 20000 ** 0.5 + 1e-3 and abs(got.std() - (p @ k ** 2 - (p @ k) ** 2) ** 0.5) < 0.05 * got.std() + 1e-3
+    many = lm.tables(np.array([10**9, 10**9]), np.array([1e-6, 1e3]), rng)
+    # For c beyond all y the tables are 1 + Poisson(2 y).
+    assert many[0] == 1 and 1700 < many[1] < 2300
+
+
+def test_parent_against_enumeration():
+    """Tables and mean probabilities of the parent with two words of 3 and 2 customers, by sweeps and by enumeration."""
+    rng, theta, c = np.random.default_rng(5), lm.STRENGTH[0], np.array([3, 2, 0])
+    s = ways(0.5)
+    want = {(a, b): s[3, a] * s[2, b] * 3.0 ** -(a + b) * np.prod(theta + 0.5 * np.arange(a + b)) for a in (1, 2, 3) for b in (1, 2)}
+    all_ = sum(want.values())
+    mean = sum(x * lm.predictive(c[None], np.array([[a, b, 0]]), np.full(3, 1 / 3), 0.5, theta)[0] for (a, b), x in want.items()) / all_
+    zeta, scale, got, p, n = 2 * theta, theta, collections.Counter(), np.zeros(3), 20000
+    for _ in range(n):
+        t, g = lm.masses(c, zeta / 3, rng.gamma(5) / scale, rng)
+        scale = g.sum()
+        zeta = lm.process_time(2, (1 / g).sum(), rng)
+        got[tuple(t[:2].tolist())] += 1 / n
+        p += g / scale / n
+    assert all(abs(got[x] - want[x] / all_) < 0.03 for x in want)
+    assert np.abs(p - mean).max() < 0.01
+
+
+def test_words_are_contexts(spark):
+    """Words that share the upper bits of their hashes have restaurants of their own, also where contexts are split."""
+    from fieldcheck.llm.common import SPACED, words
+
+    names = [f"w{i}" for i in range(20000)]
+    k = words(pa.array([" ".join(names)]), SPACED).hashes() >> np.uint64(54)
+    u1, u2, x, y = (names[i] for i in np.flatnonzero(k == k[0])[:4])
+    train = [d for d in range(400) if zlib.crc32(str(d).encode()) % 5 != 1]
+    held = [d for d in range(400, 900) if zlib.crc32(str(d).encode()) % 5 == 1]
+    rows = [(d, f"{u1} {x}" if i % 2 else f"{u2} {y}") for i, d in enumerate(train)] + [(held[0], f"{u1} {x}"), (held[1], f"{u1} {y}"), (held[2], f"{u2} {y}")]
+    df = frame(spark, rows, "doc_id long, text string")
+    old, lm.HOT = lm.HOT, 20
+    try:
+        got = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    finally:
+        lm.HOT = old
+    same = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    assert all(abs(got[d] - same[d]) < 0.1 for d in got)
+    assert got[held[0]] - got[held[1]] > 1 and abs(got[held[0]] - got[held[2]]) < 0.1
+
+
+def test_word_probabilities_sum_to_one(spark):
+    """After every context, the probabilities of all words and of the unknown one."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"v{min(int(i), 60)}" for i in rng.zipf(1.3, 40)) for _ in range(60)]
+    plain = frame(spark, [(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held boolean")
+    rows = lm.stored(lm._map(plain, lm._read, lm._BATCH), "batches")
+    lexicon = lm._lexicon(rows, 3)
+    v = lexicon.agg(F.sum("v")).first()[0]
+    assert v == len({w for t in texts for w in t.split()}) + 1
+    pieces = lm._pieces(rows, np.zeros(0, np.uint64), 3)
+    sent, back, parent = lm.gibbs(lexicon, pieces, 3, v)
+    c, left, weight = collections.Counter(), collections.Counter(), {}
+    total = np.array([(lm.STRENGTH[0] + lm.DISCOUNT * t) / (lm.STRENGTH[0] + n) for n, t in parent])  # uniform over v + 1
+    known = {r.part: lm._open(bytes(r.known), "<f4") for r in sent.where("piece IS NULL").collect()}
+    for r in lexicon.where("batch IS NULL").collect():
+        h, k = np.frombuffer(bytes(r.words), np.uint64).tolist(), known[r.part].reshape(lm.SAMPLES, 2, -1)
+        c.update(dict(zip(h, np.frombuffer(bytes(r.counts), "<i8").tolist())))
+        weight |= dict(zip(h, k[:, 1].T))
+        total += k[:, 0].sum(1) / [lm.STRENGTH[0] + n for n, _ in parent]
+    assert np.allclose(total, 1, atol=1e-5)
+    drawn = {r.piece: lm._open(bytes(r.drawn), "<i8") for r in back.where("part IS NULL").collect()}
+    lists = collections.defaultdict(list)
+    for r in pieces.where("kind = 2").orderBy("part").collect():
+        lists[r.piece] += np.frombuffer(bytes(r.a), np.uint64).tolist()
+    for r in pieces.where("kind = 1").collect():
+        h = np.array(lists[r.piece], np.uint64)[lm._open(bytes(r.a), "<u2")]
+        n, t = lm._open(bytes(r.c), "<i8"), drawn[r.piece]
+        assert (t >= lm.SAMPLES).all() and (t <= n * lm.SAMPLES).all()
+        for u, x in zip(h.tolist(), (n - lm.DISCOUNT * t / lm.SAMPLES).tolist()):
+            left[u] += x
+    for r in pieces.where("kind = 2").collect():
+        for u, x in zip(np.frombuffer(bytes(r.c), np.uint64).tolist(), lm._open(bytes(r.d), "<u4").tolist()):
+            left[u] += x * (1 - lm.DISCOUNT)
+    assert len(c) == v and all(abs(left[u] / (lm.STRENGTH[1] + c[u]) + weight[u] @ total / lm.SAMPLES - 1) < 1e-4 for u in c)
+
+
 def test_gradients():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(2)
