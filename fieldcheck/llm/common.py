@@ -47,8 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a cut of its lineage."""
+    return stored_together(name, df)
+
+
+def stored_together(name: str, *tables: DataFrame) -> DataFrame:
+    """All rows of ``tables`` of one schema, written one table after the other, read back as one."""
+    df = tables[0]
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    for t in tables:
+        t.write.mode("append").option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_path = path
     return back

@@ -20,7 +20,8 @@ averaged over the sweeps after the first ones.
 
 Moves: batches of documents send their distinct words to the owner of the hash range, and their distinct pairs to the
 owner of the context (a frequent context is split by word). Owners of pairs and of words exchange sums and masses in
-each sweep, by position in lists agreed once; in the end all replies come back to the batches.
+each sweep, by position in lists agreed once; in the end all replies come back to the batches. Both large moves, of the
+pairs and of the replies, go in ``TURNS`` over shares of the pieces and of the batches, so the disk holds one share of them.
 
 Defined results: a null text is empty and has the end token alone; without any training document all
 words are unknown; rows are independent, repeated rows count repeatedly. Extra columns are ignored. Words are told
@@ -31,21 +32,24 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldcheck.llm.common import SPACED, U64, chain, crc32_mod, distinct, forget, input_mb, mix, slices, stored, words
+from fieldcheck.llm.common import SPACED, U64, chain, crc32_mod, distinct, forget, input_mb, mix, slices, stored, stored_together, words
 
 #: A context is split by word if it has more than ``HOT`` training tokens and more than one ``CLASSES``-th of them all
 #: (in large inputs, a quarter of a task's share).
 CLASSES, HOT = 1024, 1 << 14
 #: MB of input whose words and pairs one task owns.
 PART_MB = 8.0
+#: Pairs are counted, and batches scored, in so many turns; only what one turn moves is on disk at a time.
+TURNS = 4
 #: Every step is stored, so nothing reads the shuffle files of the steps before; this setting deletes them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The end of a text as a word of its own, and as the context of the first word.
@@ -155,6 +159,32 @@ def _open(x: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def _pack_sorted(h: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, byte by byte: the upper bytes are mostly zero."""
+    return _pack(np.diff(h, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _open_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_open(x, "u1").reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def _pack_codes(code: np.ndarray, counts: np.ndarray) -> bytes:
+    """Codes as ranks by falling ``counts``, lower and upper halves apart: what is frequent is small, upper halves are mostly zero."""
+    rank = np.empty(len(counts), "<u4")
+    rank[_by_count(counts)] = np.arange(len(counts))
+    return pa.compress(np.ascontiguousarray(rank[code].view("<u2").reshape(-1, 2).T).tobytes(), "zstd", asbytes=True)
+
+
+def _open_codes(x: bytes, n: int, counts: np.ndarray) -> np.ndarray:
+    """The ``n`` codes again."""
+    halves = np.frombuffer(pa.decompress(x, 4 * n, "zstd", asbytes=True), "<u2").reshape(2, -1)
+    return _by_count(counts)[np.ascontiguousarray(halves.T).view("<u4").ravel()]
+
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
 
 
@@ -230,27 +260,38 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         code = np.empty(len(h), np.uint32)
         code[order] = np.cumsum(new) - 1
         hashes = h[order][new]
-        counts = np.bincount(code[np.repeat(~held, n + 1)], minlength=len(hashes))
+        counts = np.bincount(code[np.repeat(~held, n + 1)], minlength=len(hashes)).astype("<u4")
         valid = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         ids = b.column("doc_id").fill_null(0).to_numpy()
         yield dict(batch=number, docs=valid.tobytes() + ids.astype("<i8").tobytes(), held=held.tobytes(), sizes=(n + 1).astype("<i8").tobytes(),
-                   codes=_pack(code), hashes=hashes.tobytes(), counts=_pack(counts.astype("<u4")))
+                   codes=_pack_codes(code, counts), hashes=_pack_sorted(hashes), counts=_pack(counts))
         number += 1
 
 
-def _pairs(code: np.ndarray, size: np.ndarray, hashes: np.ndarray, hot: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Distinct (context, word) codes of a batch by owner, where each owner's begin, and the pair of every token."""
+def _contexts(code: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The code before every token."""
     before = np.empty(len(code), np.int64)
     before[1:] = code[:-1]
     before[np.cumsum(size) - size] = len(hashes) - 1  # the end token has the highest hash
+    return before
+
+
+def _owner(u: np.ndarray, w: np.ndarray, hashes: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """The piece, of ``n``, of every pair of codes."""
+    owner = _share(mix(hashes), n)[u]
+    split = np.isin(hashes, hot)[u]
+    owner[split] = _share(chain([hashes[u[split]], hashes[w[split]]]), n)
+    return owner
+
+
+def _pairs(before: np.ndarray, code: np.ndarray, hashes: np.ndarray, hot: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Distinct (context, word) codes of a batch by owner, where each owner's begin, and the pair of every token."""
     key = before * len(hashes) + code
     order = np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     u, w = np.divmod(key[order][new], len(hashes))
-    owner = _share(mix(hashes), n)[u]
-    split = np.isin(hashes, hot)[u]
-    owner[split] = _share(chain([hashes[u[split]], hashes[w[split]]]), n)
+    owner = _owner(u, w, hashes, hot, n)
     by = np.argsort(owner, kind="stable")
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
@@ -268,7 +309,7 @@ def _lexicon(rows: DataFrame, n_parts: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for number, h, c in _rows(batches, "batch", "hashes", "counts"):
-            h, c = np.frombuffer(h, U64), _open(c, "<u4")
+            h, c = _open_sorted(h), _open(c, "<u4")
             cut = np.searchsorted(_share(h, n_parts), np.arange(n_parts + 1))
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 yield dict(batch=number, part=p, hashes=h[cut[p]:cut[p + 1]].tobytes(), counts=_pack(c[cut[p]:cut[p + 1]]))
@@ -299,14 +340,17 @@ _PIECE = {"kind": "int", "batch": "long", "piece": "int", "part": "int", "a": "b
 
 
 def _pieces(rows: DataFrame, hot: np.ndarray, n_parts: int) -> DataFrame:
-    """Pairs counted over all batches by their owners, the pieces."""
+    """Pairs counted over all batches by their owners, the pieces, every ``TURNS``-th of them at a time."""
     kinds = {"batch": "long", "piece": "int", "contexts": "binary", "runs": "binary", "words": "binary", "places": "binary", "counts": "binary"}
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for number, held, size, code, h in _rows(batches, "batch", "held", "sizes", "codes", "hashes"):
-            size, code, h = np.frombuffer(size, "<i8"), _open(code, "<u4"), np.frombuffer(h, U64)
-            u, w, cut, of = _pairs(code, size, h, hot, n_parts)
-            c = np.bincount(of[np.repeat(~np.frombuffer(held, bool), size)], minlength=len(u)).astype("<u4")
+    def ask(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[dict]:
+        for number, held, size, code, h, c in _rows(batches, "batch", "held", "sizes", "codes", "hashes", "counts"):
+            size, h = np.frombuffer(size, "<i8"), _open_sorted(h)
+            code = _open_codes(code, int(size.sum()), _open(c, "<u4"))
+            before = _contexts(code, size, h)
+            now = np.flatnonzero(_owner(before, code, h, hot, n_parts) % TURNS == turn)
+            u, w, cut, of = _pairs(before[now], code[now], h, hot, n_parts)
+            c = np.bincount(of[np.repeat(~np.frombuffer(held, bool), size)[now]], minlength=len(u)).astype("<u4")
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 i = slice(cut[p], cut[p + 1])
                 at, some = _runs(u[i]), distinct(w[i])
@@ -360,7 +404,7 @@ def _pieces(rows: DataFrame, hot: np.ndarray, n_parts: int) -> DataFrame:
                 yield dict(kind=2, piece=piece, part=p, a=mu[i].tobytes(), b=mw[j].tobytes(), c=single[k].tobytes(),
                            d=_pack(np.concatenate([su[k], sw[k]])), e=_pack(np.concatenate([bu[i], bw[j]])))
 
-    return stored(_map(_map(rows, ask, kinds).repartition(n_parts, "piece"), count, _PIECE), "pieces")
+    return stored_together("pieces", *(_map(_map(rows, partial(ask, turn=i), kinds).repartition(n_parts, "piece"), count, _PIECE) for i in range(TURNS)))
 
 
 #: A part's words: their counts, tables of single pairs in both roles; what each piece asks for by place.
@@ -494,11 +538,11 @@ def gibbs(lexicon: DataFrame, pieces: DataFrame, n_parts: int, v: int) -> tuple[
     return sent, back, parent
 
 
-def _answers(lexicon: DataFrame, pieces: DataFrame, sent: DataFrame, back: DataFrame, n_parts: int) -> DataFrame:
-    """To every batch: with part, what is known of its words; with piece, the customers of its pairs less their tables' discounts."""
+def _answers(lexicon: DataFrame, pieces: DataFrame, sent: DataFrame, back: DataFrame, n_parts: int, now: Column) -> DataFrame:
+    """To every batch of ``now``: with part, what is known of its words; with piece, the customers of its pairs less their tables' discounts."""
     names = {"batch": "long", "part": "int", "piece": "int", "values": "binary"}
     kinds = {"part": "int", "batch": "long", "places": "binary", "counts": "binary", "known": "binary"}
-    rows = _fill(lexicon, kinds, "part", "batch", "places", "counts").unionByName(_fill(sent.where("piece IS NULL"), kinds, "part", "known"))
+    rows = _fill(lexicon.where(F.col("batch").isNull() | now), kinds, "part", "batch", "places", "counts").unionByName(_fill(sent.where("piece IS NULL"), kinds, "part", "known"))
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
@@ -516,7 +560,7 @@ def _answers(lexicon: DataFrame, pieces: DataFrame, sent: DataFrame, back: DataF
                     yield dict(batch=batch, part=part, values=zlib.compress(c[i].tobytes() + known[:, :, i].tobytes(), 1))
 
     kinds2 = {"piece": "int", "kind": "int", "batch": "long", "a": "binary", "c": "binary", "drawn": "binary"}
-    asked = _fill(pieces.where("kind < 2"), kinds2, "piece", "kind", "batch", "a", "c").unionByName(_fill(back.where("part IS NULL"), kinds2, "piece", "drawn"))
+    asked = _fill(pieces.where((F.col("kind") == 1) | (F.col("kind") == 0) & now), kinds2, "piece", "kind", "batch", "a", "c").unionByName(_fill(back.where("part IS NULL"), kinds2, "piece", "drawn"))
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
@@ -562,24 +606,24 @@ def _scores(docs: DataFrame) -> DataFrame:
     sent, back, parent = gibbs(lexicon, pieces, n_parts, v)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["batch", *list(_BATCH)[1:-1], "part", "piece", "values"]
+        names = [*_BATCH, "part", "piece", "values"]
         for _, got in groupby(_rows(batches, *names), lambda x: x[0]):
             own, words_known, pairs_known = None, [], []
             for x in got:
                 if x[1] is not None:
                     own = x
-                elif x[6] is not None:
-                    words_known.append((x[6], zlib.decompress(x[8])))
+                elif x[7] is not None:
+                    words_known.append((x[7], zlib.decompress(x[9])))
                 else:
-                    pairs_known.append((x[7], _open(x[8], "<f4")))
+                    pairs_known.append((x[8], _open(x[9], "<f4")))
             size = np.frombuffer(own[3], "<i8")
             valid, ids = np.frombuffer(own[1], bool, len(size)), np.frombuffer(own[1], "<i8", len(size), len(size))
-            code, h = _open(own[4], "<u4"), np.frombuffer(own[5], U64)
+            code, h = _open_codes(own[4], int(size.sum()), _open(own[6], "<u4")), _open_sorted(own[5])
             each = [(len(x) // (8 + 8 * SAMPLES), x) for _, x in sorted(words_known)]
             c = np.concatenate([np.frombuffer(x, "<i8", k) for k, x in each]).astype(float)
             known = np.concatenate([np.frombuffer(x, "<f4", offset=8 * k).reshape(SAMPLES, 2, k) for k, x in each], 2)
             left = np.concatenate([x for _, x in sorted(pairs_known, key=lambda x: x[0])])
-            u, w, _, of = _pairs(code, size, h, hot, n_parts)
+            u, w, _, of = _pairs(_contexts(code, size, h), code, h, hot, n_parts)
             p = left / (STRENGTH[1] + c[u])
             for (seated, weight), (customers, all_tables) in zip(known.astype(float), parent):
                 g = (seated + (STRENGTH[0] + DISCOUNT * all_tables) / (v + 1)) / (STRENGTH[0] + customers)
@@ -593,11 +637,15 @@ def _scores(docs: DataFrame) -> DataFrame:
                 pa.array(np.full(len(size), n)), pa.array(per(base)), pa.array(total), pa.array(10.0 ** (-total / size))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    answers = stored(_answers(lexicon, pieces, sent, back, n_parts), "answers")
-    forget(lexicon, pieces, sent, back)
-    every = rows.drop("counts").unionByName(answers, allowMissingColumns=True)
-    out = stored(every.repartition(n_parts, "batch").sortWithinPartitions("batch").mapInArrow(score, _SCORES), "scores")
-    forget(rows, answers)
+    def scored(turn: int) -> DataFrame:
+        # Not the hash that deals batches to tasks, which would leave most tasks of a turn empty.
+        now = F.pmod(F.xxhash64("batch"), F.lit(TURNS)) == turn
+        answers = _answers(lexicon, pieces, sent, back, n_parts, now)
+        every = rows.where(now).unionByName(answers, allowMissingColumns=True)
+        return every.repartition(n_parts, "batch").sortWithinPartitions("batch").mapInArrow(score, _SCORES)
+
+    out = stored_together("scores", *(scored(i) for i in range(TURNS)))
+    forget(rows, lexicon, pieces, sent, back)
     return out
 
 

@@ -195,6 +195,42 @@ def test_word_probabilities_sum_to_one(spark):
     assert len(c) == v and all(abs(left[u] / (lm.STRENGTH[1] + c[u]) + weight[u] @ total / lm.SAMPLES - 1) < 1e-4 for u in c)
 
 
+def test_large_moves_go_in_turns(spark, monkeypatch):
+    """Pairs are counted, and batches scored, share by share; the shares are all of them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{min(int(i), 60)}" for i in rng.zipf(1.3, 30)) for _ in range(80)]
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string").repartition(24)
+    moved, store = {}, lm.stored_together
+
+    def spy(name, *tables):
+        shares = moved[name] = [t.collect() for t in tables]
+        assert len(shares) == lm.TURNS
+        return store(name, *tables)
+
+    monkeypatch.setattr(lm, "stored_together", spy)
+    got = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    assert set(moved) == {"pieces", "scores"} and set(got) == set(range(80))
+    for i, rows in enumerate(moved["pieces"]):
+        assert rows and all(r.piece % lm.TURNS == i for r in rows)
+    shares = [{r.doc_id for r in rows} for rows in moved["scores"]]
+    assert sum(map(len, shares)) == 80 and set().union(*shares) == set(range(80)) and max(map(len, shares)) < 60
+
+
+def test_batches_are_packed():
+    """Codes and hashes come back as they were, in fewer bits than whole numbers of their ranges take."""
+    rng = np.random.default_rng(9)
+    for n, most in ((1, 1), (9, 3), (300000, 70000)):
+        h = np.append(np.sort(rng.choice(1 << 62, most - 1, replace=False)).astype(np.uint64), lm.END)
+        code = rng.permutation(most)[np.minimum(rng.zipf(1.2, n) - 1, most - 1)].astype(np.uint32)
+        for counts in (np.bincount(code, minlength=most).astype("<u4"), np.zeros(most, "<u4")):
+            packed = lm._pack_codes(code, counts)
+            assert (lm._open_codes(packed, n, counts) == code).all()
+            if n > 9 and counts.any():
+                assert 8 * len(packed) < 0.75 * n * math.log2(most) and len(packed) < 0.8 * len(lm._pack(code))
+        assert (lm._open_sorted(lm._pack_sorted(h)) == h).all()
+        assert most < 9 or len(lm._pack_sorted(h)) < 7 * most
+
+
 def test_gradients():
     """Backpropagation through time against finite differences."""
     rng = np.random.default_rng(2)
